@@ -98,3 +98,25 @@ def combine_filter_columns(conditions: Iterable[Column], operator: str = "and")
 def filtered_row_count(df: DataFrame, raw: object) -> int:
     """Rows passing the filter; blank filter = all rows (SCH-4)."""
     return apply_filter(df, raw).count()
+
+
+def row_counts(df: DataFrame, raw: object) -> DataFrame:
+    """One row: ``row_count`` and ``filtered_row_count`` in a single scan (SCH-3, SCH-4)."""
+    expression = normalise_filter(raw)
+    if not expression:
+        return df.agg(F.count(F.lit(1)).alias("row_count")).withColumn(
+            "filtered_row_count", F.col("row_count")
+        )
+    spark = df.sparkSession
+    try:
+        with _quoted_identifiers(spark):
+            cond = F.expr(expression)
+            counted = df.agg(
+                F.count(F.lit(1)).alias("row_count"),
+                F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias("filtered_row_count"),
+            )
+            counted.schema
+    except (AnalysisException, ParseException, PySparkException) as exc:
+        first = str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__
+        raise ValueError(f"Invalid filter: {first}") from exc
+    return counted

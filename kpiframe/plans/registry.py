@@ -256,3 +256,330 @@ for _name, _src, _col, _bucket, _resp in [
         return q
 
     register(_name, _bucket_sql(_src, _col, _bucket, _resp))(_make())
+
+
+# --- totals, weight quality, counts, filters --------------------------------------------
+
+
+@register(
+    "chart_totals",
+    """WITH base AS (SELECT * FROM """ + ORDERS_NULLS + """),
+w AS (SELECT CASE WHEN price IS NOT NULL AND expected IS NOT NULL THEN 1.0 END AS w, price, expected FROM base),
+s AS (SELECT SUM(CASE WHEN w IS NOT NULL THEN price END) AS n0, SUM(CASE WHEN w IS NOT NULL THEN expected END) AS n1,
+             COALESCE(SUM(w), 0) AS d FROM w)
+SELECT 0 AS response, 'Actual' AS label, round(n0 / NULLIF(d, 0), 6) AS value, round(n0, 6) AS numerator, round(d, 6) AS denominator FROM s
+UNION ALL
+SELECT 1, 'Expected', round(n1 / NULLIF(d, 0), 6), round(n1, 6), round(d, 6) FROM s""",
+)
+def chart_totals(spark, sf):
+    res = chart(orders_nulls(spark, sf), "o_orderstatus", "price", "expected")
+    return out(res.totals, ["response", "label", "value", "numerator", "denominator"])
+
+
+_QUALITY_SQL = """WITH base AS (SELECT * FROM """ + CUSTOMER_WEIGHTS + """ WHERE c_nationkey < 20),
+q AS (SELECT
+  COALESCE(SUM(CASE WHEN bal IS NOT NULL AND wt IS NOT NULL THEN wt END), 0) AS value,
+  COUNT(*) AS filtered_row_count,
+  CAST(SUM(CASE WHEN bal IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_response_rows,
+  CAST(SUM(CASE WHEN wt IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_weight_rows,
+  CAST(SUM(CASE WHEN wt = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero_weight_rows,
+  CAST(SUM(CASE WHEN wt < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative_weight_rows
+  FROM base)"""
+
+
+def _quality_chart(spark, sf):
+    return chart(customer_weights(spark, sf), "c_mktsegment", "bal", weight="wt", filter="c_nationkey < 20")
+
+
+@register("weight_quality", _QUALITY_SQL + "\nSELECT round(value, 6) AS value, filtered_row_count, missing_response_rows, "
+          "missing_weight_rows, zero_weight_rows, negative_weight_rows FROM q")
+def weight_quality(spark, sf):
+    return out(_quality_chart(spark, sf).quality, ["value", "filtered_row_count", "missing_response_rows",
+                                                   "missing_weight_rows", "zero_weight_rows", "negative_weight_rows"])
+
+
+def _rows(n: str) -> str:
+    return f"format('{{:,}}', {n}) || CASE WHEN {n} = 1 THEN ' row' ELSE ' rows' END"
+
+
+def _verb(n: str) -> str:
+    return f"CASE WHEN {n} = 1 THEN 'has' ELSE 'have' END"
+
+
+@register(
+    "weight_warnings",
+    _QUALITY_SQL + f""",
+wl AS (
+  SELECT 0 AS position, 'missing_response' AS code, missing_response_rows AS count,
+         {_rows('missing_response_rows')} || ' excluded from Weight because one or more selected response values were missing.' AS message FROM q
+  UNION ALL SELECT 1, 'missing_weight', missing_weight_rows,
+         {_rows('missing_weight_rows')} || ' excluded from Weight because wt was missing.' FROM q
+  UNION ALL SELECT 2, 'zero_weight', zero_weight_rows,
+         {_rows('zero_weight_rows')} || ' ' || {_verb('zero_weight_rows')} || ' zero wt.' FROM q
+  UNION ALL SELECT 3, 'negative_weight', negative_weight_rows,
+         {_rows('negative_weight_rows')} || ' ' || {_verb('negative_weight_rows')} || ' negative wt.' FROM q)
+SELECT position, code, count, message FROM wl WHERE count > 0""",
+)
+def weight_warnings(spark, sf):
+    return out(_quality_chart(spark, sf).warnings, ["position", "code", "count", "message"])
+
+
+@register(
+    "filtered_counts",
+    "SELECT COUNT(*) AS row_count, CAST(SUM(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 150000 THEN 1 ELSE 0 END) AS BIGINT) "
+    "AS filtered_row_count FROM orders",
+)
+def filtered_counts(spark, sf):
+    from kpiframe.operators.filters import row_counts
+
+    return row_counts(table(spark, sf, "orders"), "o_orderstatus = 'F' AND o_totalprice > 150000")
+
+
+_SAVED = ["o_orderstatus = 'F'", "o_totalprice > 150000 OR o_orderpriority = '1-URGENT'"]
+
+for _op in ("and", "or", "nand", "nor"):
+    def _mk(op=_op):
+        def q(spark, sf):
+            from kpiframe.operators.filters import combine_filters
+
+            res = chart(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice",
+                        filter=combine_filters(_SAVED, op))
+            return out(res.rows, ["x", "position", "volume", "resp0"])
+        return q
+
+    _joiner = " OR " if _op in ("or", "nor") else " AND "
+    _expr = _joiner.join(f"({e})" for e in _SAVED)
+    if _op in ("nand", "nor"):
+        _expr = f"NOT ({_expr})"
+    register(
+        f"filter_{_op}",
+        O.chart_sql("orders", O.category_key("o_orderpriority"), O.category_key("o_orderpriority"),
+                    O.category_key("o_orderpriority"), ["o_totalprice"], None, ALPHA,
+                    ["x", "position", rd("volume"), rd("resp0")], where=_expr),
+    )(_mk())
+
+
+@register(
+    "filter_quoted_date_literal",
+    O.chart_sql("orders", O.category_key("o_orderstatus"), O.category_key("o_orderstatus"), O.category_key("o_orderstatus"),
+                ["o_totalprice"], None, ALPHA, ["x", "position", rd("volume"), rd("resp0")],
+                where="\"o_orderdate\" >= TIMESTAMP '1996-01-01' AND \"o_orderpriority\" ILIKE '%urgent%'"),
+)
+def filter_quoted_date_literal(spark, sf):
+    res = chart(table(spark, sf, "orders"), "o_orderstatus", "o_totalprice",
+                filter="\"o_orderdate\" >= TIMESTAMP '1996-01-01' AND \"o_orderpriority\" ILIKE '%urgent%'")
+    return out(res.rows, ["x", "position", "volume", "resp0"])
+
+
+# --- sigma ------------------------------------------------------------------------------
+
+_BOUNDS = [
+    "round(CASE WHEN sigma_se IS NOT NULL AND resp1 IS NOT NULL THEN resp1 - {k} * sigma_se END, 6) AS resp1_low",
+    "round(CASE WHEN sigma_se IS NOT NULL AND resp1 IS NOT NULL THEN resp1 + {k} * sigma_se END, 6) AS resp1_high",
+]
+_SIG_COLS = ["x", "position", "is_tail", rd("volume"), rd("resp0"), rd("resp1"), rd("sigma_se"), "valid_folds"]
+
+
+@register(
+    "sigma_groups",
+    O.chart_sql(ORDERS_NULLS, O.category_key("priority"), O.category_key("priority"), O.category_key("priority"),
+                ["o_totalprice", "expected"], None, ALPHA,
+                _SIG_COLS + [b.format(k="2.0") for b in _BOUNDS], fold_key="o_orderkey"),
+)
+def sigma_groups(spark, sf):
+    res = chart(orders_nulls(spark, sf), "priority", "o_totalprice", "expected", sigma=2, fold_by=["o_orderkey"])
+    return out(res.rows, ["x", "position", "is_tail", "volume", "resp0", "resp1", "sigma_se", "valid_folds",
+                          "resp1_low", "resp1_high"])
+
+
+_PB = "FLOOR(TRY_CAST(o_totalprice AS DOUBLE) / 50000.0) * 50000.0"
+
+
+@register(
+    "sigma_tails",
+    O.chart_sql(ORDERS_NULLS, _PB, O.numeric_label(_PB), _PB, ["price", "expected"], None, ORDERED,
+                _SIG_COLS + [b.format(k="1.0") for b in _BOUNDS], fold_key="o_orderkey",
+                tails=("ordered", "700")),
+)
+def sigma_tails(spark, sf):
+    res = chart(orders_nulls(spark, sf), "o_totalprice", "price", "expected", band=50000, low_weight="700",
+                sigma=1, fold_by=["o_orderkey"])
+    return out(res.rows, ["x", "position", "is_tail", "volume", "resp0", "resp1", "sigma_se", "valid_folds",
+                          "resp1_low", "resp1_high"])
+
+
+# --- tails / Other ----------------------------------------------------------------------
+
+_TAIL_COLS = ["x", "position", "is_tail", rd("volume"), rd("resp0")]
+_TAIL_OUT = ["x", "position", "is_tail", "volume", "resp0"]
+_LQ = "TRY_CAST(l_quantity AS DOUBLE)"
+
+
+@register(
+    "tails_absolute",
+    O.chart_sql("lineitem", _LQ, O.numeric_label(_LQ), _LQ, ["l_extendedprice"], None, ORDERED, _TAIL_COLS,
+                tails=("ordered", "5000")),
+)
+def tails_absolute(spark, sf):
+    res = chart(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", low_weight="5000")
+    return out(res.rows, _TAIL_OUT)
+
+
+_MONTH = "CAST(DATE_TRUNC('month', l_shipdate) AS TIMESTAMP)"
+
+
+@register(
+    "tails_percent",
+    O.chart_sql("lineitem", _MONTH, f"CASE WHEN {_MONTH} IS NULL THEN '(missing)' ELSE CAST({_MONTH} AS VARCHAR) END",
+                _MONTH, ["l_extendedprice"], "l_quantity", ORDERED, _TAIL_COLS,
+                tails=("ordered", "(SELECT SUM(volume) FROM g) * 5 / 100")),
+)
+def tails_percent(spark, sf):
+    res = chart(table(spark, sf, "lineitem"), "l_shipdate", "l_extendedprice", weight="l_quantity", bucket="month",
+                low_weight="5%")
+    return out(res.rows, _TAIL_OUT)
+
+
+_AB = "FLOOR(TRY_CAST(c_acctbal AS DOUBLE) / 1000.0) * 1000.0"
+
+
+@register(
+    "tails_with_negative_weight",
+    O.chart_sql(CUSTOMER_WEIGHTS, _AB, O.numeric_label(_AB), _AB, ["bal"], "wt", ORDERED, _TAIL_COLS,
+                tails=("ordered", "400")),
+)
+def tails_with_negative_weight(spark, sf):
+    res = chart(customer_weights(spark, sf), "c_acctbal", "bal", weight="wt", band=1000, low_weight="400")
+    return out(res.rows, _TAIL_OUT)
+
+
+_BRAND = O.category_key("p_brand")
+
+
+@register(
+    "other_group",
+    O.chart_sql("part", _BRAND, _BRAND, _BRAND, ["p_retailprice"], "p_size", ALPHA, _TAIL_COLS,
+                tails=("other", "(SELECT SUM(volume) FROM g) * 3.5 / 100")),
+)
+def other_group(spark, sf):
+    res = chart(table(spark, sf, "part"), "p_brand", "p_retailprice", weight="p_size", low_weight="3.5%")
+    return out(res.rows, _TAIL_OUT)
+
+
+@register(
+    "tails_quantile_missing",
+    O.chart_sql(_quantile_source(ORDERS_NULLS, "price_q", "o_orderkey", 10), "tile", _QLABEL, _QSORT,
+                ["o_totalprice"], None, ORDERED, _TAIL_COLS, tails=("ordered", "2500"), quantile=True),
+)
+def tails_quantile_missing(spark, sf):
+    res = chart(orders_nulls(spark, sf), "price_q", "o_totalprice", quantiles=10, tie_by=["o_orderkey"],
+                low_weight="2500")
+    return out(res.rows, _TAIL_OUT)
+
+
+# --- sort modes, cap, paging ------------------------------------------------------------
+
+_SORT_ORDERS = {
+    "alpha": ALPHA,
+    "volume": "is_tail DESC, volume DESC, lower(x), x",
+    "actual": "resp0 DESC NULLS LAST, lower(x), x",
+    "expected": "resp1 DESC NULLS LAST, lower(x), x",
+}
+for _mode, _order in _SORT_ORDERS.items():
+    def _mk_sort(mode=_mode):
+        def q(spark, sf):
+            res = chart(table(spark, sf, "part"), "p_brand", "p_retailprice", "p_size", weight="p_size",
+                        low_weight="3.5%", sort=mode)
+            return out(res.rows, ["x", "position", "is_tail", "volume", "resp0", "resp1"])
+        return q
+
+    register(
+        f"sort_{_mode}",
+        O.chart_sql("part", _BRAND, _BRAND, _BRAND, ["p_retailprice", "p_size"], "p_size", _order,
+                    ["x", "position", "is_tail", rd("volume"), rd("resp0"), rd("resp1")],
+                    tails=("other", "(SELECT SUM(volume) FROM g) * 3.5 / 100")),
+    )(_mk_sort())
+
+_PK = "TRY_CAST(l_partkey AS DOUBLE)"
+
+
+@register(
+    "group_cap",
+    O.chart_sql("lineitem", _PK, O.integer_label(_PK), _PK, ["l_extendedprice"], None, ORDERED,
+                ["x", "position", rd("volume"), rd("resp0")], final_where="position <= 100"),
+)
+def group_cap(spark, sf):
+    res = chart(table(spark, sf, "lineitem"), "l_partkey", "l_extendedprice", max_groups=100)
+    return out(res.rows, ["x", "position", "volume", "resp0"])
+
+
+@register(
+    "table_page",
+    "SELECT x, position, page, pages FROM (SELECT x, position, 2 AS page, CAST(CEIL(COUNT(*) OVER () / 1000.0) AS BIGINT) AS pages FROM ("
+    + O.chart_sql("lineitem", _PK, O.integer_label(_PK), _PK, ["l_extendedprice"], None, ORDERED,
+                  ["x", "position"], final_where="position <= 2500")
+    + ") capped) p WHERE position > 1000 AND position <= 2000",
+)
+def table_page(spark, sf):
+    from kpiframe.operators.ordering import table_page as page_of
+
+    res = chart(table(spark, sf, "lineitem"), "l_partkey", "l_extendedprice", max_groups=2500)
+    return page_of(res.rows, page=2, page_size=1000).select("x", "position", "page", "pages")
+
+
+# --- transforms -------------------------------------------------------------------------
+
+def _avg(i: int) -> str:
+    return f"(SUM(COALESCE(num{i}, 0)) OVER () / NULLIF(SUM(COALESCE(volume, 0)) OVER (), 0))"
+
+
+def _fin(e: str) -> str:
+    return f"CASE WHEN isfinite({e}) THEN {e} END"
+
+
+_TRANSFORM_SQL = {
+    "log": lambda v, i: f"CASE WHEN {v} > 0 THEN ln({v}) END",
+    "exp": lambda v, i: _fin(f"exp({v})"),
+    "logit": lambda v, i: f"CASE WHEN {v} > 0 AND {v} < 1 THEN ln({v} / (1 - {v})) END",
+    "zero": lambda v, i: f"{v} - {_avg(i)}",
+    "one": lambda v, i: f"{v} / NULLIF({_avg(i)}, 0)",
+}
+_TRANSFORM_INPUT = {
+    "log": ("l_extendedprice", "l_tax"),
+    "exp": ("l_discount", "l_tax"),
+    "logit": ("l_discount", "l_tax"),
+    "zero": ("l_extendedprice", "l_quantity"),
+    "one": ("l_extendedprice", "l_quantity"),
+}
+_RF = O.category_key("l_returnflag")
+for _t, (_a, _e) in _TRANSFORM_INPUT.items():
+    def _mk_t(t=_t, a=_a, e=_e):
+        def q(spark, sf):
+            res = chart(table(spark, sf, "lineitem"), "l_linestatus", a, e, transform=t)
+            return out(res.rows, ["x", "position", "volume", "resp0", "resp1"])
+        return q
+
+    _LS = O.category_key("l_linestatus")
+    register(
+        f"transform_{_t}",
+        O.chart_sql("lineitem", _LS, _LS, _LS, [_a, _e], None, ALPHA,
+                    ["x", "position", rd("volume"),
+                     f"round({_TRANSFORM_SQL[_t]('resp0', 0)}, 6) AS resp0",
+                     f"round({_TRANSFORM_SQL[_t]('resp1', 1)}, 6) AS resp1"]),
+    )(_mk_t())
+
+
+@register(
+    "transform_invalid_count",
+    "SELECT 4 AS position, 'transform_domain' AS code, CAST(SUM(bad) AS BIGINT) AS count, "
+    "CAST(SUM(bad) AS VARCHAR) || ' response values could not be shown because they are outside the log transform domain.' AS message "
+    "FROM (" + O.chart_sql(CUSTOMER_WEIGHTS, "TRY_CAST(c_nationkey AS DOUBLE)", O.integer_label("TRY_CAST(c_nationkey AS DOUBLE)"),
+                           "TRY_CAST(c_nationkey AS DOUBLE)", ["shifted"], None, ORDERED,
+                           ["CASE WHEN resp0 IS NOT NULL AND resp0 <= 0 THEN 1 ELSE 0 END AS bad"]).replace(
+        "SELECT * FROM " + CUSTOMER_WEIGHTS, "SELECT *, c_acctbal - 4500 AS shifted FROM " + CUSTOMER_WEIGHTS)
+    + ") b HAVING SUM(bad) > 0",
+)
+def transform_invalid_count(spark, sf):
+    df = customer_weights(spark, sf).withColumn("shifted", F.col("c_acctbal") - 4500)
+    res = chart(df, "c_nationkey", "shifted", transform="log")
+    return res.warnings.where(F.col("code") == "transform_domain")
