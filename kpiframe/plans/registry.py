@@ -583,3 +583,283 @@ def transform_invalid_count(spark, sf):
     df = customer_weights(spark, sf).withColumn("shifted", F.col("c_acctbal") - 4500)
     res = chart(df, "c_nationkey", "shifted", transform="log")
     return res.warnings.where(F.col("code") == "transform_domain")
+
+
+# --- geo ----------------------------------------------------------------------------------
+
+def geo_input(spark: SparkSession, sf: str) -> DataFrame:
+    c = customer_weights(spark, sf)
+    n = table(spark, sf, "nation")
+    j = c.join(n, c.c_nationkey == n.n_nationkey)
+    sector = F.concat(F.col("n_name"), F.lit(" "), (F.col("c_custkey") % 4).cast("string"))
+    return j.select(
+        "c_custkey", "c_nationkey", "c_mktsegment", "wt", "bal",
+        F.when(F.col("c_custkey") % 23 == 0, F.lit("  ")).otherwise(F.col("n_name")).alias("area"),
+        sector.alias("sector"),
+        F.concat(sector, F.lit("-"), (F.col("c_custkey") % 5).cast("string")).alias("unit"),
+        F.when(F.col("c_custkey") % 19 == 0, F.lit(999.0))
+        .otherwise(F.lit(50.0) + F.col("c_nationkey") / 2.0 + (F.col("c_custkey") % 7) / 100.0).alias("lat"),
+        F.when(F.col("c_custkey") % 29 == 0, F.lit(None).cast("double"))
+        .otherwise(F.lit(-5.0) + F.col("c_acctbal") / 2000.0).alias("lon"),
+    )
+
+
+GEO_INPUT = """(SELECT c_custkey, c_nationkey, c_mktsegment, wt, bal,
+  CASE WHEN c_custkey % 23 = 0 THEN '  ' ELSE n_name END AS area,
+  n_name || ' ' || CAST(c_custkey % 4 AS VARCHAR) AS sector,
+  n_name || ' ' || CAST(c_custkey % 4 AS VARCHAR) || '-' || CAST(c_custkey % 5 AS VARCHAR) AS unit,
+  CASE WHEN c_custkey % 19 = 0 THEN 999.0 ELSE 50.0 + c_nationkey / 2.0 + (c_custkey % 7) / 100.0 END AS lat,
+  CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE -5.0 + c_acctbal / 2000.0 END AS lon
+  FROM """ + CUSTOMER_WEIGHTS + """ JOIN nation ON c_nationkey = n_nationkey) gsrc"""
+
+
+def geo_sql(key: str, where: str = "", unit: bool = False) -> str:
+    w = f" WHERE ({where})" if where else ""
+    coords = ""
+    if unit:
+        coords = (", AVG(CASE WHEN TRY_CAST(lat AS DOUBLE) BETWEEN -90 AND 90 THEN TRY_CAST(lat AS DOUBLE) END) AS latitude"
+                  ", AVG(CASE WHEN TRY_CAST(lon AS DOUBLE) BETWEEN -180 AND 180 THEN TRY_CAST(lon AS DOUBLE) END) AS longitude")
+    return f"""s AS (
+  SELECT k AS key, COUNT(*) AS row_count,
+    SUM(CASE WHEN w IS NOT NULL THEN r END) AS numerator, COALESCE(SUM(w), 0) AS denominator{coords}
+  FROM (SELECT *, NULLIF(TRIM(CAST({key} AS VARCHAR)), '') AS k,
+          CASE WHEN TRY_CAST(bal AS DOUBLE) IS NOT NULL AND TRY_CAST(wt AS DOUBLE) IS NOT NULL THEN TRY_CAST(wt AS DOUBLE) END AS w,
+          TRY_CAST(bal AS DOUBLE) AS r
+        FROM {GEO_INPUT}{w}) x
+  WHERE k IS NOT NULL GROUP BY k),
+sv AS (SELECT *, denominator AS volume, CASE WHEN isfinite(numerator / NULLIF(denominator, 0)) THEN numerator / NULLIF(denominator, 0) END AS value FROM s)"""
+
+
+_GEO_COLS = ["key", "row_count", rd("numerator"), rd("denominator"), rd("volume"), rd("value")]
+_GEO_OUT = ["key", "row_count", "numerator", "denominator", "volume", "value"]
+
+
+def _geo(spark, sf, level, **kw):
+    from kpiframe.plans.geo import geo_summary
+
+    return geo_summary(geo_input(spark, sf), level, "bal", weight="wt", key_col=level if level != "unit" else "unit",
+                       lat_col="lat", lon_col="lon", **kw)
+
+
+@register("geo_area", "WITH " + geo_sql("area") + f"\nSELECT {', '.join(_GEO_COLS)} FROM sv")
+def geo_area(spark, sf):
+    return out(_geo(spark, sf, "area").rows, _GEO_OUT)
+
+
+@register("geo_sector", "WITH " + geo_sql("sector", "c_mktsegment <> 'AUTOMOBILE'") + f"\nSELECT {', '.join(_GEO_COLS)} FROM sv")
+def geo_sector(spark, sf):
+    return out(_geo(spark, sf, "sector", filter="c_mktsegment <> 'AUTOMOBILE'").rows, _GEO_OUT)
+
+
+_UNIT_STATUS = """, us AS (SELECT *, CASE WHEN value IS NULL THEN 'missing_value'
+  WHEN latitude IS NULL OR longitude IS NULL THEN 'missing_coordinate' ELSE 'plotted' END AS status FROM sv)"""
+_UNIT_COLS = _GEO_COLS + [rd("latitude"), rd("longitude")]
+_UNIT_OUT = _GEO_OUT + ["latitude", "longitude"]
+
+
+@register("geo_unit", "WITH " + geo_sql("unit", unit=True) + _UNIT_STATUS + f"\nSELECT {', '.join(_UNIT_COLS)}, status FROM us")
+def geo_unit(spark, sf):
+    return out(_geo(spark, sf, "unit").summary, _UNIT_OUT + ["status"])
+
+
+@register("geo_unit_plot_ready", "WITH " + geo_sql("unit", unit=True) + _UNIT_STATUS
+          + f"\nSELECT {', '.join(_UNIT_COLS)} FROM us WHERE status = 'plotted'")
+def geo_unit_plot_ready(spark, sf):
+    return out(_geo(spark, sf, "unit").rows, _UNIT_OUT)
+
+
+@register("geo_point_summary", "WITH " + geo_sql("unit", unit=True) + _UNIT_STATUS + """
+SELECT COUNT(*) AS summary_count, COUNT(CASE WHEN status = 'plotted' THEN 1 END) AS plotted_count,
+  COUNT(CASE WHEN status = 'missing_value' THEN 1 END) AS missing_value_count,
+  COUNT(CASE WHEN status = 'missing_coordinate' THEN 1 END) AS missing_coordinate_count FROM us""")
+def geo_point_summary(spark, sf):
+    return _geo(spark, sf, "unit").point_summary
+
+
+@register("geo_extent", "WITH " + geo_sql("unit", unit=True) + _UNIT_STATUS + """
+SELECT round(MIN(latitude), 6) AS min_latitude, round(MAX(latitude), 6) AS max_latitude,
+  round(MIN(longitude), 6) AS min_longitude, round(MAX(longitude), 6) AS max_longitude FROM us WHERE status = 'plotted'""")
+def geo_extent(spark, sf):
+    from kpiframe.operators.geo import extent
+
+    return out(extent(_geo(spark, sf, "unit").rows), ["min_latitude", "max_latitude", "min_longitude", "max_longitude"])
+
+
+@register("geo_totals", """WITH t AS (SELECT SUM(CASE WHEN w IS NOT NULL THEN r END) AS n, COALESCE(SUM(w), 0) AS d FROM (
+  SELECT CASE WHEN bal IS NOT NULL AND wt IS NOT NULL THEN wt END AS w, bal AS r FROM """ + GEO_INPUT + """ WHERE c_nationkey < 20) x)
+SELECT 0 AS response, 'bal' AS label, round(n / NULLIF(d, 0), 6) AS value, round(n, 6) AS numerator, round(d, 6) AS denominator FROM t""")
+def geo_totals(spark, sf):
+    return out(_geo(spark, sf, "area", filter="c_nationkey < 20").totals,
+               ["response", "label", "value", "numerator", "denominator"])
+
+
+# Boundary features: every nation, keyed by name; the summary lacks nations >= 20.
+def _boundaries(spark, sf):
+    n = table(spark, sf, "nation")
+    geometry = F.concat(F.lit('{"type":"Point","coordinates":['), n.n_nationkey.cast("string"), F.lit(",0]}"))
+    return n.select(F.col("n_name").alias("PostcodeArea"), geometry.alias("geometry"))
+
+
+_THRESH = """vals AS (SELECT key, value, ROW_NUMBER() OVER (ORDER BY value, key) AS rk, COUNT(*) OVER () AS n FROM sv WHERE value IS NOT NULL),
+th AS (SELECT r.range AS i, v.value AS threshold FROM range(1, {b}) r JOIN vals v
+       ON v.rk = LEAST(v.n, CAST(CEIL(v.n * r.range / {b}.0) AS BIGINT)))"""
+
+
+def _map(spark, sf, hotspots=0):
+    from kpiframe.plans.geo import boundary_join as bj
+
+    summary = _geo(spark, sf, "area", filter="c_nationkey < 20").rows
+    return bj(summary, _boundaries(spark, sf), "PostcodeArea", hotspots=hotspots)
+
+
+_MAP_BASE = "WITH " + geo_sql("area", "c_nationkey < 20") + ",\n" + _THRESH.format(b=100)
+
+
+@register("geo_boundary_join", _MAP_BASE + """,
+feats AS (SELECT n_name AS PostcodeArea FROM nation)
+SELECT f.PostcodeArea, round(sv.value, 6) AS value, COALESCE(sv.value IS NOT NULL, FALSE) AS matched,
+  CASE WHEN sv.value IS NOT NULL THEN (SELECT COUNT(*) FROM th WHERE th.threshold < sv.value) END AS bucket
+FROM feats f LEFT JOIN sv ON f.PostcodeArea = sv.key""")
+def geo_boundary_join(spark, sf):
+    res = _map(spark, sf)
+    return out(res.features.withColumn("bucket", F.col("bucket").cast("long")), ["PostcodeArea", "value", "matched", "bucket"])
+
+
+@register("geo_match_stats", "WITH " + geo_sql("area", "c_nationkey < 20") + """,
+feats AS (SELECT n_name AS PostcodeArea FROM nation),
+j AS (SELECT f.PostcodeArea, sv.value FROM feats f LEFT JOIN sv ON f.PostcodeArea = sv.key)
+SELECT COUNT(*) AS features, COUNT(value) AS matched, (SELECT COUNT(*) FROM sv) AS summary_rows,
+  COUNT(value) = 0 AND (SELECT COUNT(*) FROM sv) > 0 AS no_match_warning FROM j""")
+def geo_match_stats(spark, sf):
+    return _map(spark, sf).stats
+
+
+@register("geo_quantile_colour", _MAP_BASE + """
+SELECT key, round(value, 6) AS value, CASE WHEN value IS NOT NULL THEN (SELECT COUNT(*) FROM th WHERE th.threshold < sv.value) END AS bucket FROM sv""")
+def geo_quantile_colour(spark, sf):
+    from kpiframe.operators.geo import colour_buckets
+
+    summary = _geo(spark, sf, "area", filter="c_nationkey < 20").rows
+    return out(colour_buckets(summary).withColumn("bucket", F.col("bucket").cast("long")), ["key", "value", "bucket"])
+
+
+@register("geo_legend_bins", "WITH " + geo_sql("area", "c_nationkey < 20") + ",\n" + _THRESH.format(b=10) + """,
+bins AS (SELECT range AS bin FROM range(0, 10)),
+bnd AS (SELECT bin, (SELECT threshold FROM th WHERE i = bin) AS lower0, (SELECT threshold FROM th WHERE i = bin + 1) AS upper0 FROM bins),
+cnt AS (SELECT CASE WHEN value IS NOT NULL THEN (SELECT COUNT(*) FROM th WHERE th.threshold < sv.value) END AS bin, COUNT(*) AS keys FROM sv GROUP BY 1)
+SELECT CAST(b.bin AS INTEGER) AS bin, round(CASE WHEN b.bin > 0 THEN lower0 END, 6) AS lower,
+  round(CASE WHEN b.bin < 9 THEN upper0 END, 6) AS upper, COALESCE(c.keys, 0) AS keys
+FROM bnd b LEFT JOIN cnt c ON b.bin = c.bin
+UNION ALL SELECT -1, NULL, NULL, keys FROM cnt WHERE bin IS NULL""")
+def geo_legend_bins(spark, sf):
+    from kpiframe.operators.geo import legend_bins
+
+    summary = _geo(spark, sf, "area", filter="c_nationkey < 20").rows
+    return out(legend_bins(summary), ["bin", "lower", "upper", "keys"])
+
+
+@register("geo_hotspots", "WITH " + geo_sql("area", "c_nationkey < 20") + """
+SELECT key, round(value, 6) AS value, ROW_NUMBER() OVER (ORDER BY value DESC, key DESC) AS rank
+FROM sv WHERE value IS NOT NULL ORDER BY value DESC, key DESC LIMIT 5""")
+def geo_hotspots(spark, sf):
+    from kpiframe.operators.geo import hotspots
+
+    return out(hotspots(_geo(spark, sf, "area", filter="c_nationkey < 20").rows, 5), ["key", "value", "rank"])
+
+
+@register("geo_coldspots", "WITH " + geo_sql("area", "c_nationkey < 20") + """
+SELECT key, round(value, 6) AS value, ROW_NUMBER() OVER (ORDER BY value ASC, key ASC) AS rank
+FROM sv WHERE value IS NOT NULL ORDER BY value ASC, key ASC LIMIT 5""")
+def geo_coldspots(spark, sf):
+    from kpiframe.operators.geo import hotspots
+
+    return out(hotspots(_geo(spark, sf, "area", filter="c_nationkey < 20").rows, -5), ["key", "value", "rank"])
+
+
+# --- postcode search ----------------------------------------------------------------------
+
+def _letters(k: str) -> tuple[str, str]:
+    return f"chr(CAST(65 + {k} % 26 AS INTEGER))", f"chr(CAST(65 + ({k} // 26) % 26 AS INTEGER))"
+
+
+def _postcode_text_sql(k: str) -> str:
+    l1, l2 = _letters(k)
+    d, e = f"CAST({k} % 97 AS VARCHAR)", f"CAST({k} % 10 AS VARCHAR)"
+    return f"""CASE {k} % 8
+  WHEN 0 THEN {l1} || {l2} || {d} || ' ' || {e} || 'AB'
+  WHEN 1 THEN lower({l1} || {l2} || {d} || {e} || 'AB')
+  WHEN 2 THEN {l1} || {l2} || {d}
+  WHEN 3 THEN {l1} || {l2} || {d} || ' ' || {e}
+  WHEN 4 THEN {l1} || {l2}
+  WHEN 5 THEN {d} || {l1}
+  WHEN 6 THEN '  ' || {l1} || {d} || {e} || '  '
+  ELSE {l1} || {l2} || '-' || {d} || '/' || {e} || 'XY' END"""
+
+
+def _pc_parts(col: str) -> tuple[Column, Column, Column, Column]:
+    k = F.col(col)
+    l1 = F.char(F.lit(65) + k % 26)
+    l2 = F.char(F.lit(65) + (k / 26).cast("long") % 26)
+    return l1, l2, (k % 97).cast("string"), (k % 10).cast("string")
+
+
+def _pc_text_spark(col: str) -> Column:
+    """Synthetic postcode texts in eight shapes (same rule as ``_postcode_text_sql``)."""
+    l1, l2, d, e = _pc_parts(col)
+    m = F.col(col) % 8
+    return (
+        F.when(m == 0, F.concat(l1, l2, d, F.lit(" "), e, F.lit("AB")))
+        .when(m == 1, F.lower(F.concat(l1, l2, d, e, F.lit("AB"))))
+        .when(m == 2, F.concat(l1, l2, d))
+        .when(m == 3, F.concat(l1, l2, d, F.lit(" "), e))
+        .when(m == 4, F.concat(l1, l2))
+        .when(m == 5, F.concat(d, l1))
+        .when(m == 6, F.concat(F.lit("  "), l1, d, e, F.lit("  ")))
+        .otherwise(F.concat(l1, l2, F.lit("-"), d, F.lit("/"), e, F.lit("XY")))
+    )
+
+
+_PARSE_SQL = """pv AS (SELECT *, upper(regexp_replace(txt, '^\\s+|\\s+$', '', 'g')) AS v FROM t),
+pc AS (SELECT *, regexp_replace(v, '[^A-Z0-9]', '', 'g') AS c,
+  string_split_regex(trim(regexp_replace(v, '[^A-Z0-9 ]', ' ', 'g')), ' +') AS parts FROM pv),
+pa AS (SELECT *, regexp_extract(c, '^[A-Z]{1,2}', 0) AS area, length(c) AS n FROM pc),
+ps AS (SELECT *, CASE
+    WHEN len(parts) >= 2 AND regexp_matches(parts[1], '[0-9]') AND regexp_matches(parts[2], '^[0-9]') THEN parts[1] || ' ' || substr(parts[2], 1, 1)
+    WHEN n >= 5 AND regexp_matches(c, '[0-9][A-Z]{2}$') THEN substr(c, 1, n - 3) || ' ' || substr(c, n - 2, 1)
+    WHEN regexp_matches(c, '[0-9]$') AND regexp_matches(substr(c, 1, n - 1), '[0-9]') THEN substr(c, 1, n - 1) || ' ' || substr(c, n, 1)
+  END AS sector FROM pa),
+parsed AS (SELECT *,
+  CASE WHEN c = '' OR area = '' THEN NULL WHEN regexp_matches(c, '^[A-Z]{1,2}$') THEN 'area' WHEN sector IS NOT NULL THEN 'sector' ELSE 'area' END AS level,
+  CASE WHEN c = '' OR area = '' THEN NULL WHEN regexp_matches(c, '^[A-Z]{1,2}$') THEN area ELSE COALESCE(sector, area) END AS pkey FROM ps)"""
+
+
+@register("postcode_keys", "WITH t AS (SELECT s_suppkey, " + _postcode_text_sql("s_suppkey") + " AS txt FROM supplier),\n"
+          + _PARSE_SQL + "\nSELECT s_suppkey, txt, level, pkey AS key FROM parsed")
+def postcode_keys(spark, sf):
+    from kpiframe.functions.postcode import parse_postcode
+
+    s = table(spark, sf, "supplier").select("s_suppkey", _pc_text_spark("s_suppkey").alias("txt"))
+    p = s.withColumn("p", parse_postcode(F.col("txt")))
+    return p.select("s_suppkey", "txt", F.col("p.level").alias("level"), F.col("p.key").alias("key"))
+
+
+def _customer_boundaries_sql() -> str:
+    l1, l2 = _letters("c_custkey")
+    return (f"SELECT 'sector' AS level, {l1} || {l2} || CAST(c_custkey % 97 AS VARCHAR) || ' ' || CAST(c_custkey % 10 AS VARCHAR) AS key FROM customer "
+            f"UNION SELECT 'area', {l1} || {l2} FROM customer WHERE c_custkey % 3 = 0")
+
+
+@register("postcode_lookup", "WITH t AS (SELECT s_suppkey, " + _postcode_text_sql("s_suppkey") + " AS txt FROM supplier),\n"
+          + _PARSE_SQL + ",\nb AS (" + _customer_boundaries_sql() + ")\n"
+          "SELECT s_suppkey, level AS search_level, pkey AS search_key, "
+          "EXISTS (SELECT 1 FROM b WHERE b.level = parsed.level AND b.key = parsed.pkey) AS found FROM parsed")
+def postcode_lookup(spark, sf):
+    from kpiframe.functions.postcode import postcode_lookup as lookup
+
+    s = table(spark, sf, "supplier").select("s_suppkey", _pc_text_spark("s_suppkey").alias("txt"))
+    c = table(spark, sf, "customer")
+    l1, l2, d, e = _pc_parts("c_custkey")
+    sectors = c.select(F.lit("sector").alias("level"), F.concat(l1, l2, d, F.lit(" "), e).alias("key"))
+    areas = c.where(F.col("c_custkey") % 3 == 0).select(F.lit("area").alias("level"), F.concat(l1, l2).alias("key"))
+    b = sectors.unionByName(areas)
+    return lookup(s, "txt", b).select("s_suppkey", "search_level", "search_key", "found")
