@@ -863,3 +863,53 @@ def postcode_lookup(spark, sf):
     areas = c.where(F.col("c_custkey") % 3 == 0).select(F.lit("area").alias("level"), F.concat(l1, l2).alias("key"))
     b = sectors.unionByName(areas)
     return lookup(s, "txt", b).select("s_suppkey", "search_level", "search_key", "found")
+
+
+# --- profile -------------------------------------------------------------------------------
+
+_KIND_SQL = """CASE WHEN upper(data_type) LIKE '%INT%' THEN 'integer'
+  WHEN upper(data_type) IN ('DOUBLE', 'FLOAT', 'REAL') OR upper(data_type) LIKE 'DECIMAL%' THEN 'numeric'
+  WHEN upper(data_type) LIKE '%TIMESTAMP%' THEN 'datetime'
+  WHEN upper(data_type) LIKE '%DATE%' OR upper(data_type) LIKE '%TIME%' THEN 'date'
+  ELSE 'categorical' END"""
+
+
+def _profile_of(spark, sf, name):
+    from kpiframe.operators.profile import profile
+
+    return profile(table(spark, sf, name))
+
+
+@register("profile_kinds", "SELECT column_name AS name, CAST(ordinal_position AS INTEGER) AS position, " + _KIND_SQL
+          + " AS kind, (SELECT COUNT(*) FROM lineitem) AS row_count FROM information_schema.columns WHERE table_name = 'lineitem'")
+def profile_kinds(spark, sf):
+    return _profile_of(spark, sf, "lineitem").select("name", "position", "kind", "row_count")
+
+
+@register("profile_integer_range", " UNION ALL ".join(
+    f"SELECT '{c}' AS name, CAST(MIN({c}) AS BIGINT) AS min_value, CAST(MAX({c}) AS BIGINT) AS max_value FROM lineitem"
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")))
+def profile_integer_range(spark, sf):
+    return _profile_of(spark, sf, "lineitem").where(F.col("kind") == "integer").select("name", "min_value", "max_value")
+
+
+def _ladder_sql() -> str:
+    return "(SELECT m * pow(10, e) AS rung FROM (VALUES (1), (2), (5)) mm(m), (SELECT range AS e FROM range(-8, 13)) ee)"
+
+
+_SUGGEST = """SELECT name, CASE WHEN is_int AND hi - lo < 120 THEN 1.0 ELSE (
+    SELECT CASE WHEN COUNT(*) <= 1 THEN MIN(rung) ELSE MAX(rung) FILTER (WHERE rung < (SELECT MAX(rung) FROM {ladder} l2 WHERE l2.rung <= sd)) END
+    FROM {ladder} l WHERE l.rung <= sd) END AS band_suggestion
+FROM ({stats}) st"""
+
+
+@register("profile_band_suggestion", "SELECT name, CASE WHEN sd IS NULL OR sd <= 0 OR NOT isfinite(sd) THEN NULL ELSE band_suggestion END AS band_suggestion FROM ("
+          + _SUGGEST.format(ladder=_ladder_sql(), stats=" UNION ALL ".join([
+              "SELECT 'p_partkey' AS name, TRUE AS is_int, MIN(p_partkey) AS lo, MAX(p_partkey) AS hi, STDDEV_SAMP(p_partkey) AS sd FROM part",
+              "SELECT 'p_size', TRUE, MIN(p_size), MAX(p_size), STDDEV_SAMP(p_size) FROM part",
+              "SELECT 'p_retailprice', FALSE, NULL, NULL, STDDEV_SAMP(p_retailprice) FROM part",
+          ])).replace("SELECT name, CASE WHEN is_int", "SELECT name, sd, CASE WHEN is_int") + ") x")
+def profile_band_suggestion(spark, sf):
+    # part has fewer than 10,000 rows at the checked scales, so the first-rows
+    # sample is the whole table and the suggestion is deterministic.
+    return _profile_of(spark, sf, "part").where(F.col("kind").isin("integer", "numeric")).select("name", "band_suggestion")
