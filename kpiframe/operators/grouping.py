@@ -38,12 +38,21 @@ def _untouched(groups: DataFrame) -> DataFrame:
     return groups.withColumn("x", F.col("x_label")).withColumn("is_tail", F.lit(False))
 
 
-def assign_display(groups: DataFrame, kind: str, threshold: object, small_rows: int | None = None) -> DataFrame:
-    """Group rows plus ``x`` (display label) and ``is_tail``.
+def _needs_total(threshold: object) -> bool:
+    return str(threshold if threshold is not None else "").strip().endswith("%")
+
+
+def assign_display(
+    groups: DataFrame, kind: str, threshold: object, small_rows: int | None = None
+) -> tuple[DataFrame, bool]:
+    """Group rows plus ``x`` (display label) and ``is_tail``; second value: whether anything merged.
 
     ``groups`` needs ``x_key, x_label, x_sort, volume``.  Only scalars (group
-    count, totals, the two tail boundaries) reach the driver.
+    count, totals, the two tail boundaries) reach the driver; a zero
+    threshold runs no job at all.
     """
+    if not _needs_total(threshold) and parse_threshold(threshold, 0.0) <= 0:
+        return _untouched(groups), False
     is_missing = (F.col("x_key").isNull()) if kind == kinds.QUANTILE else F.lit(False)
     stats = groups.agg(
         F.coalesce(F.sum("volume"), F.lit(0.0)).alias("total"),
@@ -52,16 +61,16 @@ def assign_display(groups: DataFrame, kind: str, threshold: object, small_rows:
     t = parse_threshold(threshold, float(stats["total"] or 0.0))
     n = int(stats["n"] or 0)
     if t <= 0 or n < 3:
-        return _untouched(groups)
+        return _untouched(groups), False
 
     if kind not in kinds.ORDERED_KINDS:
         rare = F.col("volume") <= F.lit(t)
         n_rare = groups.where(rare).count()
         if n_rare <= 1:
-            return _untouched(groups)
+            return _untouched(groups), False
         return groups.withColumn("is_tail", rare).withColumn(
             "x", F.when(rare, F.lit(OTHER)).otherwise(F.col("x_label"))
-        )
+        ), True
 
     candidates = groups.where(~is_missing)
     ranked = running_sum(
@@ -94,4 +103,4 @@ def assign_display(groups: DataFrame, kind: str, threshold: object, small_rows:
     out = ranked.withColumn("x", label).withColumn("is_tail", tail).drop("__pos", "__cum")
     if kind == kinds.QUANTILE:
         out = out.unionByName(_untouched(groups.where(is_missing)))
-    return out
+    return out, (n_low > 1 or n_high > 1)

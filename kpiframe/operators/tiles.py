@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from kpiframe.functions.numbers import col_of
 from kpiframe.operators.ranking import running_sum
+from kpiframe.session import materialize
 
 
 def tile_of_rank(rank: Column, total: int, n: int) -> Column:
@@ -68,7 +69,9 @@ def assign_tiles(
     spark = df.sparkSession
     base = df.withColumn("__qx", x)
     non_null = base.where(F.col("__qx").isNotNull())
-    values = non_null.groupBy("__qx").agg(F.count(F.lit(1)).alias("__c"))
+    # Distinct values and their counts: read three times below (totals, ranks,
+    # edges), so kept; its size is the number of distinct x values.
+    values = materialize(non_null.groupBy("__qx").agg(F.count(F.lit(1)).alias("__c")))
     stats = values.agg(F.count(F.lit(1)).alias("k"), F.sum("__c").alias("total")).first()
     distinct, total = int(stats["k"] or 0), int(stats["total"] or 0)
     if total == 0:

@@ -19,12 +19,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiframe.functions import kinds
+from kpiframe.functions.labels import QUANTILE_MISSING_SORT
 from kpiframe.functions.numbers import col_of, finite_or_null, quantile_count, safe_ratio, try_double
 from kpiframe.functions.transforms import transform_value
 from kpiframe.operators import measures as M
@@ -34,25 +34,52 @@ from kpiframe.operators.keys import quantile_key, x_key
 from kpiframe.operators.ordering import cap_groups, sort_columns
 from kpiframe.operators.sigma import fold_column, fold_sigma
 from kpiframe.operators.tiles import assign_tiles
+from kpiframe.session import materialize
 
 _UNORDERABLE = (T.MapType, T.VariantType) if hasattr(T, "VariantType") else (T.MapType,)
 
 
 @dataclass
 class ChartResult:
-    """Lazy result DataFrames of one chart request."""
+    """Result DataFrames of one chart request.
+
+    ``rows`` (display rows) and ``groups`` (one row per group before tails)
+    are built by :func:`chart`; ``totals``, ``quality`` and ``warnings`` are
+    built on first access from the persisted groups (no extra table scan).
+    """
 
     rows: DataFrame
     groups: DataFrame
-    totals: DataFrame
-    quality: DataFrame
-    warnings: DataFrame
     x: str
     x_kind: str
     group_kind: str
     responses: list[M.Response]
     weight: M.Weight
+    _invalid: DataFrame | None = field(default=None, repr=False)
     _persisted: list[DataFrame] = field(default_factory=list, repr=False)
+    _cache: dict = field(default_factory=dict, repr=False)
+
+    def _parts(self) -> DataFrame:
+        return self.groups.withColumn("volume_sum", F.col("volume"))
+
+    @property
+    def totals(self) -> DataFrame:
+        if "totals" not in self._cache:
+            self._cache["totals"] = M.totals(self._parts(), self.responses)
+        return self._cache["totals"]
+
+    @property
+    def quality(self) -> DataFrame:
+        if "quality" not in self._cache:
+            self._cache["quality"] = M.weight_quality(self._parts())
+        return self._cache["quality"]
+
+    @property
+    def warnings(self) -> DataFrame:
+        if "warnings" not in self._cache:
+            w = M.weight_warnings(self.quality, self.weight)
+            self._cache["warnings"] = w.unionByName(self._invalid) if self._invalid is not None else w
+        return self._cache["warnings"]
 
     def unpersist(self) -> None:
         for df in self._persisted:
@@ -138,7 +165,10 @@ def chart(
     group_kind = key.kind
 
     measure_cols = M.row_measures(resp, wt)
-    select = [key.key.alias("x_key"), key.label.alias("x_label"), key.sort.alias("x_sort")]
+    # The sort key is a function of the group key, so it is derived after the
+    # aggregation: a min() over a string sort key would force a sort-based
+    # aggregate of the whole table instead of a hash aggregate.
+    select = [key.key.alias("x_key"), key.label.alias("x_label")]
     grain = ["x_key", "x_label"]
     if include_sigma:
         select.append(fold_column(fold_by).alias("__fold"))
@@ -146,24 +176,22 @@ def chart(
     select += [c.alias(name) for name, c in measure_cols.items()]
     keyed = source.select(*select)
 
-    parts = keyed.groupBy(*grain).agg(F.min("x_sort").alias("x_sort"), *M.partial_aggs(n_resp))
+    parts = keyed.groupBy(*grain).agg(*M.partial_aggs(n_resp))
     persisted: list[DataFrame] = []
     if include_sigma:
-        parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
-        persisted.append(parts)
-        grouped = parts.groupBy("x_key", "x_label").agg(F.min("x_sort").alias("x_sort"), *M.rollup_aggs(n_resp))
+        parts = materialize(parts)
+        grouped = parts.groupBy("x_key", "x_label").agg(*M.rollup_aggs(n_resp))
     else:
         grouped = parts
-    groups = M.finish(grouped, n_resp).withColumn("volume", F.coalesce(finite_or_null("volume"), F.lit(0.0)))
-    groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
-    persisted.append(groups)
-
-    quality = M.weight_quality(groups.withColumn("volume_sum", F.col("volume")))
-    totals = M.totals(groups.withColumn("volume_sum", F.col("volume")), resp)
+    sort_of_key = F.coalesce(F.col("x_key"), F.lit(QUANTILE_MISSING_SORT)) if group_kind == kinds.QUANTILE else F.col("x_key")
+    groups = M.finish(grouped, n_resp).withColumns(
+        {"volume": F.coalesce(finite_or_null("volume"), F.lit(0.0)), "x_sort": sort_of_key}
+    )
+    groups = materialize(groups)
 
-    display = assign_display(groups, group_kind, low_weight, small_rows=small_rows)
+    display, has_tails = assign_display(groups, group_kind, low_weight, small_rows=small_rows)
     display = display.withColumn("__id", F.when(F.col("is_tail"), F.lit(None)).otherwise(F.col("x_key")))
-    merged = _merge(display, n_resp)
+    merged = _merge(display, n_resp, group_kind) if has_tails else _unmerged(display, n_resp)
     if include_sigma:
         members = display.select("x_key", "x_label", F.col("x").alias("__x"), F.col("is_tail").alias("__t"), F.col("__id").alias("__i"))
         fold_parts = parts.join(
@@ -183,16 +211,10 @@ def chart(
 
     capped = cap_groups(merged, sort_columns(group_kind, sort), max_groups)
     rows, invalid = _transform(capped, n_resp, transform, float(sigma or 0) if include_sigma else 0.0)
-    warnings = M.weight_warnings(quality, wt)
-    if invalid is not None:
-        warnings = warnings.unionByName(invalid)
-
     return ChartResult(
         rows=rows.drop("__id"),
         groups=groups,
-        totals=totals,
-        quality=quality,
-        warnings=warnings,
+        _invalid=invalid,
         x=x,
         x_kind=x_kind,
         group_kind=group_kind,
@@ -202,13 +224,26 @@ def chart(
     )
 
 
-def _merge(display: DataFrame, n_resp: int) -> DataFrame:
-    """Collapse display rows: tails re-sum their members (null parts count as 0)."""
+def _unmerged(display: DataFrame, n_resp: int) -> DataFrame:
+    """Display rows when nothing was merged: the groups themselves."""
+    cols = [F.col("x"), F.col("is_tail"), F.col("__id"), F.col("x_sort"), F.col("volume")]
+    for i in range(n_resp):
+        num, den = F.col(f"resp{i}_num"), F.col(f"resp{i}_den")
+        cols += [finite_or_null(num).alias(f"resp{i}_num"), finite_or_null(den).alias(f"resp{i}_den"),
+                 finite_or_null(safe_ratio(num, den)).alias(f"resp{i}")]
+    return display.select(*cols)
+
+
+def _merge(display: DataFrame, n_resp: int, group_kind: str) -> DataFrame:
+    """Collapse display rows: tails re-sum their members (null parts count as 0).
+
+    Categorical rows never sort by ``x_sort``; their (string) sort key is
+    re-derived from the label so the aggregate stays hash-based.
+    """
     tail = F.col("is_tail")
-    aggs = [
-        F.min("x_sort").alias("x_sort"),
-        F.sum("volume").alias("volume"),
-    ]
+    ordered = group_kind != kinds.CATEGORICAL
+    aggs = [F.min("x_sort").alias("x_sort")] if ordered else []
+    aggs.append(F.sum("volume").alias("volume"))
     for i in range(n_resp):
         aggs.append(
             F.when(F.first(tail), F.coalesce(F.sum(f"resp{i}_num"), F.lit(0.0)))
@@ -217,6 +252,8 @@ def _merge(display: DataFrame, n_resp: int) -> DataFrame:
         )
         aggs.append(F.sum(f"resp{i}_den").alias(f"resp{i}_den"))
     out = display.groupBy("x", "is_tail", "__id").agg(*aggs)
+    if not ordered:
+        out = out.withColumn("x_sort", F.col("x"))
     for i in range(n_resp):
         out = out.withColumn(f"resp{i}", finite_or_null(safe_ratio(F.col(f"resp{i}_num"), F.col(f"resp{i}_den"))))
         out = out.withColumn(f"resp{i}_num", finite_or_null(f"resp{i}_num")).withColumn(
@@ -231,28 +268,29 @@ def _transform(rows: DataFrame, n_resp: int, transform: str, sigma: float) -> tu
     Averages for the centred transforms are taken over the displayed rows
     (after the cap), as the chart shows them.
     """
+    if n_resp == 0:
+        return rows, None
     everything = Window.partitionBy(F.lit(1))  # capped rows only: bounded
-    out = rows
+    averages = {}
     for i in range(n_resp):
         num = F.sum(F.coalesce(F.col(f"resp{i}_num"), F.lit(0.0))).over(everything)
         den = F.sum(F.coalesce(F.col(f"resp{i}_den"), F.lit(0.0))).over(everything)
-        out = out.withColumn(f"__avg{i}", safe_ratio(num, den))
-    invalid = F.lit(0)
-    for i in range(n_resp):
-        out = out.withColumn(f"__raw{i}", F.col(f"resp{i}"))
-        out = out.withColumn(f"resp{i}", transform_value(F.col(f"__raw{i}"), transform, F.col(f"__avg{i}")))
-        invalid = invalid + F.when(F.col(f"__raw{i}").isNotNull() & F.col(f"resp{i}").isNull(), 1).otherwise(0)
+        averages[f"__avg{i}"] = safe_ratio(num, den)
+    staged = rows.withColumns(averages)
+    shown = {f"resp{i}": transform_value(F.col(f"resp{i}"), transform, F.col(f"__avg{i}")) for i in range(n_resp)}
     if sigma > 0 and n_resp >= 2:
-        ok = F.col("sigma_se").isNotNull() & F.col("__raw1").isNotNull()
+        ok = F.col("sigma_se").isNotNull() & F.col("resp1").isNotNull()
         spread = F.lit(sigma) * F.col("sigma_se")
-        out = out.withColumn("resp1_low", F.when(ok, transform_value(F.col("__raw1") - spread, transform, F.col("__avg1"))))
-        out = out.withColumn("resp1_high", F.when(ok, transform_value(F.col("__raw1") + spread, transform, F.col("__avg1"))))
-    out = out.withColumn("__invalid", invalid)
-    helpers = [f"__avg{i}" for i in range(n_resp)] + [f"__raw{i}" for i in range(n_resp)]
-    display = out.drop(*helpers, "__invalid")
-    if n_resp == 0 or str(transform or "none") == "none":
+        shown["resp1_low"] = F.when(ok, transform_value(F.col("resp1") - spread, transform, F.col("__avg1")))
+        shown["resp1_high"] = F.when(ok, transform_value(F.col("resp1") + spread, transform, F.col("__avg1")))
+    helpers = [f"__avg{i}" for i in range(n_resp)]
+    display = staged.withColumns(shown).drop(*helpers)
+    if str(transform or "none") == "none":
         return display, None
-    counted = out.agg(F.sum("__invalid").cast("bigint").alias("count"))
+    invalid = F.lit(0)
+    for i in range(n_resp):
+        invalid = invalid + F.when(F.col(f"resp{i}").isNotNull() & shown[f"resp{i}"].isNull(), 1).otherwise(0)
+    counted = staged.agg(F.sum(invalid).cast("bigint").alias("count"))
     warning = counted.where(F.col("count") > 0).select(
         F.lit(4).alias("position"),
         F.lit("transform_domain").alias("code"),

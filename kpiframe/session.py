@@ -65,3 +65,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="kpiframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir() or folder
+
+
+def materialize(df):
+    """Write ``df`` to the checkpoint folder and return a DataFrame reading it.
+
+    Used for the small aggregated tables (groups, group x fold parts,
+    distinct-value counts) that several later steps read: the lineage back
+    to the big scan is cut, a lost executor costs a re-read of the
+    checkpoint files rather than a re-aggregation of the table, and no
+    entry is left in the session's cache manager.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
