@@ -515,10 +515,11 @@ def group_cap(spark, sf):
 
 @register(
     "table_page",
-    "SELECT x, position, page, pages FROM (SELECT x, position, 2 AS page, CAST(CEIL(COUNT(*) OVER () / 1000.0) AS BIGINT) AS pages FROM ("
+    "SELECT x, position, page, pages FROM (SELECT x, position, pages, LEAST(GREATEST(2, 1), pages) AS page FROM ("
+    "SELECT x, position, CAST(GREATEST(1, CEIL(COUNT(*) OVER () / 1000.0)) AS BIGINT) AS pages FROM ("
     + O.chart_sql("lineitem", _PK, O.integer_label(_PK), _PK, ["l_extendedprice"], None, ORDERED,
                   ["x", "position"], final_where="position <= 2500")
-    + ") capped) p WHERE position > 1000 AND position <= 2000",
+    + ") capped) c) p WHERE position > (page - 1) * 1000 AND position <= page * 1000",
 )
 def table_page(spark, sf):
     from kpiframe.operators.ordering import table_page as page_of
