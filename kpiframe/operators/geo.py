@@ -27,7 +27,7 @@ def clean_coordinate(column: str, limit: float) -> Column:
     return F.when(c.between(-limit, limit), c)
 
 
-def key_summary(
+def key_parts(
     df: DataFrame,
     key_col: str,
     response: M.Response,
@@ -35,28 +35,49 @@ def key_summary(
     lat_col: str | None = None,
     lon_col: str | None = None,
 ) -> DataFrame:
-    """Per non-null key: row_count, numerator, denominator, volume, value [, latitude, longitude].
+    """One aggregation of the table by geo key, the null key included.
 
-    One aggregation; the mean coordinates are over all rows of the key.
+    Carries the measure partials (so weight quality and totals are re-sums
+    of this table) and, for points, the coordinate means over all rows of
+    the key.  Map-side partial aggregation keeps the shuffle at
+    (partitions x keys) rows however hot a key is.
     """
     cols = M.row_measures([response], weight)
     select = [geo_key(key_col).alias("key")] + [c.alias(n) for n, c in cols.items()]
-    aggs = [
-        F.count(F.lit(1)).alias("row_count"),
-        F.sum(F.when(F.col("__w").isNotNull(), F.col("__r0"))).alias("numerator"),
-        F.coalesce(F.sum("__w"), F.lit(0.0)).alias("denominator"),
-    ]
+    aggs = M.partial_aggs(1)
     if lat_col and lon_col:
         select += [clean_coordinate(lat_col, 90).alias("__lat"), clean_coordinate(lon_col, 180).alias("__lon")]
         aggs += [F.avg("__lat").alias("latitude"), F.avg("__lon").alias("longitude")]
-    out = df.select(*select).where(F.col("key").isNotNull()).groupBy("key").agg(*aggs)
-    out = out.withColumn("volume", F.col("denominator")).withColumn(
-        "value", finite_or_null(safe_ratio(F.col("numerator"), F.col("denominator")))
-    )
-    front = ["key", "row_count", "numerator", "denominator", "volume", "value"]
-    if lat_col and lon_col:
-        front += ["latitude", "longitude"]
-    return out.select(*front)
+    return df.select(*select).groupBy("key").agg(*aggs)
+
+
+def summary_from_parts(parts: DataFrame, points: bool = False) -> DataFrame:
+    """key, row_count, numerator, denominator, volume, value [, latitude, longitude] for non-null keys (AGG-14/15)."""
+    den = F.coalesce(F.col("volume_sum"), F.lit(0.0))
+    cols = [
+        F.col("key"),
+        F.col("rows").alias("row_count"),
+        F.col("resp0_num").alias("numerator"),
+        den.alias("denominator"),
+        den.alias("volume"),
+        finite_or_null(safe_ratio(F.col("resp0_num"), den)).alias("value"),
+    ]
+    if points:
+        cols += [F.col("latitude"), F.col("longitude")]
+    return parts.where(F.col("key").isNotNull()).select(*cols)
+
+
+def key_summary(
+    df: DataFrame,
+    key_col: str,
+    response: M.Response,
+    weight: M.Weight,
+    lat_col: str | None = None,
+    lon_col: str | None = None,
+) -> DataFrame:
+    """Per non-null key summary straight from a table (one aggregation)."""
+    parts = key_parts(df, key_col, response, weight, lat_col, lon_col)
+    return summary_from_parts(parts, bool(lat_col and lon_col))
 
 
 def point_status(units: DataFrame) -> DataFrame:

@@ -67,8 +67,13 @@ def running_sum(
 
     ensure_checkpoint_dir(df.sparkSession)
     p = _partitions(df, partitions)
+    # A random last key splits a run of identical order keys (say a third of
+    # all rows) over several range partitions; such rows are interchangeable,
+    # so the positions they get do not change any result.
+    salted = [*order_by, F.col("__salt").asc()]
     ranged = (
-        df.repartitionByRange(p, *order_by)
+        df.withColumn("__salt", F.rand(17))
+        .repartitionByRange(p, *salted)
         .withColumn("__part", F.spark_partition_id())
         .checkpoint(eager=True)
     )
@@ -80,11 +85,11 @@ def running_sum(
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n_off"),
         F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__v_off"),
     )
-    local = Window.partitionBy("__part").orderBy(*order_by)
+    local = Window.partitionBy("__part").orderBy(*salted)
     local_frame = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         ranged.join(F.broadcast(offsets), "__part")
         .withColumn(pos_col, (F.col("__n_off") + F.row_number().over(local)).cast("long"))
         .withColumn(cum_col, F.col("__v_off") + F.sum("__val").over(local_frame))
-        .drop("__part", "__n_off", "__v_off", "__val")
+        .drop("__part", "__n_off", "__v_off", "__val", "__salt")
     )

@@ -104,11 +104,10 @@ def assign_tiles(
     lookup = F.lit(1) + _search_tree(F.col("__qx"), distinct_starts, cumulative, 0, len(distinct_starts))
 
     straddle_values = [v for v, _, _ in straddling]
-    whole = non_null.where(~F.col("__qx").isin(straddle_values)) if straddle_values else non_null
-    parts = [
-        whole.withColumn(tile_col, lookup.cast("long")),
-        base.where(F.col("__qx").isNull()).withColumn(tile_col, F.lit(None).cast("long")),
-    ]
+    # One scan tiles every row whose value sits wholly in a tile (null x -> null tile).
+    qx = F.col("__qx")
+    whole = base.where(qx.isNull() | ~qx.isin(straddle_values)) if straddle_values else base
+    parts = [whole.withColumn(tile_col, F.when(qx.isNotNull(), lookup).cast("long"))]
     if straddle_values:
         # offset(v) = lo(v) - 1 - (rows of straddling values below v)
         offsets, seen = [], 0
