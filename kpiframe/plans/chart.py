@@ -183,45 +183,76 @@ def chart(
         grouped = parts.groupBy("x_key", "x_label").agg(*M.rollup_aggs(n_resp))
     else:
         grouped = parts
+    groups = materialize(groups_from_parts(grouped, group_kind, n_resp))
+
+    rows, invalid = present_groups(
+        groups, group_kind, n_resp, parts=parts if include_sigma else None, low_weight=low_weight, sort=sort,
+        max_groups=max_groups, transform=transform, sigma=float(sigma or 0) if include_sigma else 0.0,
+        small_rows=small_rows,
+    )
+    return ChartResult(
+        rows=rows,
+        groups=groups,
+        _invalid=invalid,
+        x=x,
+        x_kind=x_kind,
+        group_kind=group_kind,
+        responses=resp,
+        weight=wt,
+        _persisted=persisted,
+    )
+
+
+def groups_from_parts(grouped: DataFrame, group_kind: str, n_resp: int) -> DataFrame:
+    """Group rows (volume, KPI parts and ratios, sort key) from (group) partial sums."""
     sort_of_key = F.coalesce(F.col("x_key"), F.lit(QUANTILE_MISSING_SORT)) if group_kind == kinds.QUANTILE else F.col("x_key")
-    groups = M.finish(grouped, n_resp).withColumns(
+    return M.finish(grouped, n_resp).withColumns(
         {"volume": F.coalesce(finite_or_null("volume"), F.lit(0.0)), "x_sort": sort_of_key}
     )
-    groups = materialize(groups)
 
+
+def present_groups(
+    groups: DataFrame,
+    group_kind: str,
+    n_resp: int,
+    *,
+    parts: DataFrame | None = None,
+    low_weight: Any = "0",
+    sort: str = "alpha",
+    max_groups: int | None = 10_000,
+    transform: str = "none",
+    sigma: float = 0.0,
+    small_rows: int | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Display rows from group rows: tails/Other, sigma, sort, cap, transforms.
+
+    ``parts`` are the (group, fold) partial sums, required when ``sigma`` > 0.
+    Returns the rows and the transform-domain warning (or None).
+    """
     display, has_tails = assign_display(groups, group_kind, low_weight, small_rows=small_rows)
     display = display.withColumn("__id", F.when(F.col("is_tail"), F.lit(None)).otherwise(F.col("x_key")))
     merged = _merge(display, n_resp, group_kind) if has_tails else _unmerged(display, n_resp)
-    if include_sigma:
-        members = display.select("x_key", "x_label", F.col("x").alias("__x"), F.col("is_tail").alias("__t"), F.col("__id").alias("__i"))
+    if sigma > 0 and parts is not None and n_resp >= 2:
+        members = display.select("x_key", "x_label", F.col("x").alias("__x"), F.col("is_tail").alias("__t"),
+                                 F.col("__id").alias("__i"))
         fold_parts = parts.join(
             members, (parts["x_key"].eqNullSafe(members["x_key"])) & (parts["x_label"] == members["x_label"])
         ).select(F.col("__x").alias("x"), F.col("__t").alias("is_tail"), F.col("__i").alias("__id"),
                  "__fold", "volume_sum", "resp0_num", "resp1_num")
-        sig = fold_sigma(fold_parts, ["x", "is_tail", "__id"])
+        sig = fold_sigma(fold_parts, ["x", "is_tail", "__id"]).select(
+            F.col("x").alias("__sx"), F.col("is_tail").alias("__st"), F.col("__id").alias("__si"),
+            "sigma_se", "valid_folds")
         merged = merged.join(
-            sig.withColumnRenamed("x", "__sx").withColumnRenamed("is_tail", "__st").withColumnRenamed("__id", "__si"),
+            sig,
             (F.col("x") == F.col("__sx")) & (F.col("is_tail") == F.col("__st")) & F.col("__id").eqNullSafe(F.col("__si")),
             "left",
         ).drop("__sx", "__st", "__si")
     else:
-        merged = merged.withColumn("sigma_se", F.lit(None).cast("double")).withColumn(
-            "valid_folds", F.lit(None).cast("long")
-        )
-
+        sigma = 0.0
+        merged = merged.withColumns({"sigma_se": F.lit(None).cast("double"), "valid_folds": F.lit(None).cast("long")})
     capped = cap_groups(merged, sort_columns(group_kind, sort), max_groups)
-    rows, invalid = _transform(capped, n_resp, transform, float(sigma or 0) if include_sigma else 0.0)
-    return ChartResult(
-        rows=rows.drop("__id"),
-        groups=groups,
-        _invalid=invalid,
-        x=x,
-        x_kind=x_kind,
-        group_kind=group_kind,
-        responses=resp,
-        weight=wt,
-        _persisted=persisted,
-    )
+    rows, invalid = _transform(capped, n_resp, transform, sigma)
+    return rows.drop("__id"), invalid
 
 
 def _unmerged(display: DataFrame, n_resp: int) -> DataFrame:

@@ -1,0 +1,29 @@
+import pytest
+from conftest import by_x
+
+from kpiframe.plans.chart import chart
+from kpiframe.streaming.refresh import chart_parts_stream, present_snapshot, start_refresh
+
+
+def test_stream_matches_batch_as_files_arrive(spark, tmp_path):
+    folder = tmp_path / "incoming"
+    schema = "k string, n int, v double, w double"
+    first = spark.createDataFrame([("a", 1, 1.0, 2.0), ("b", 2, 3.0, 1.0), (None, 3, 5.0, 1.0)], schema)
+    second = spark.createDataFrame([("a", 4, 7.0, 1.0), ("c", 5, None, 1.0)], schema)
+    first.write.parquet(str(folder / "part1"))
+    parts, spec = chart_parts_stream(spark, str(folder / "*"), schema, "k", "v", weight="w")
+    query = start_refresh(parts, "kpiframe_test_refresh", checkpoint_location=str(tmp_path / "ckpt"))
+    try:
+        query.processAllAvailable()
+        rows = by_x(present_snapshot(spark.table("kpiframe_test_refresh"), spec).collect())
+        assert rows["a"]["resp0"] == pytest.approx(0.5) and rows["(missing)"]["volume"] == 1
+        second.write.parquet(str(folder / "part2"))
+        query.processAllAvailable()
+        got = by_x(present_snapshot(spark.table("kpiframe_test_refresh"), spec).collect())
+    finally:
+        query.stop()
+    want = by_x(chart(first.unionByName(second), "k", "v", weight="w").rows.collect())
+    assert set(got) == set(want)
+    for x in want:
+        assert got[x]["volume"] == pytest.approx(want[x]["volume"])
+        assert got[x]["resp0"] == pytest.approx(want[x]["resp0"]) if want[x]["resp0"] is not None else got[x]["resp0"] is None
