@@ -914,3 +914,118 @@ def profile_band_suggestion(spark, sf):
     # part has fewer than 10,000 rows at the checked scales, so the first-rows
     # sample is the whole table and the suggestion is deterministic.
     return _profile_of(spark, sf, "part").where(F.col("kind").isin("integer", "numeric")).select("name", "band_suggestion")
+
+
+# --- more key kinds: DATE columns, fractional bands on integers, booleans, joined inputs ---------
+
+def orders_dates(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    return o.select(
+        "o_orderkey", "o_totalprice",
+        F.when(o.o_orderkey % 9 == 0, F.lit(None)).otherwise(o.o_orderdate.cast("date")).alias("odate"),
+        (o.o_totalprice > 150000).alias("big"),
+    )
+
+
+ORDERS_DATES = """(SELECT o_orderkey, o_totalprice,
+  CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS odate,
+  o_totalprice > 150000 AS big FROM orders) src"""
+
+
+@register(
+    "chart_date_raw",
+    O.chart_sql(ORDERS_DATES, "odate", "CASE WHEN odate IS NULL THEN '(missing)' ELSE CAST(odate AS VARCHAR) END", "odate",
+                ["o_totalprice"], None, ORDERED, ["x", "position", rd("volume"), rd("resp0")]),
+)
+def chart_date_raw(spark, sf):
+    res = chart(orders_dates(spark, sf), "odate", "o_totalprice")
+    return out(res.rows, ["x", "position", "volume", "resp0"])
+
+
+_DM = "CAST(DATE_TRUNC('month', odate) AS TIMESTAMP)"
+
+
+@register(
+    "chart_date_month",
+    O.chart_sql(ORDERS_DATES, _DM, f"CASE WHEN {_DM} IS NULL THEN '(missing)' ELSE CAST({_DM} AS VARCHAR) END", _DM,
+                ["o_totalprice"], None, ORDERED, ["x", "position", rd("volume"), rd("resp0")]),
+)
+def chart_date_month(spark, sf):
+    res = chart(orders_dates(spark, sf), "odate", "o_totalprice", bucket="month")
+    return out(res.rows, ["x", "position", "volume", "resp0"])
+
+
+_BOOL = O.category_key("big")
+
+
+@register(
+    "chart_boolean_category",
+    O.chart_sql(ORDERS_DATES, _BOOL, _BOOL, _BOOL, ["o_totalprice"], None, ALPHA, ["x", "position", rd("volume"), rd("resp0")]),
+)
+def chart_boolean_category(spark, sf):
+    res = chart(orders_dates(spark, sf), "big", "o_totalprice")
+    return out(res.rows, ["x", "position", "volume", "resp0"])
+
+
+_FB = "FLOOR(TRY_CAST(p_size AS DOUBLE) / 2.5) * 2.5"
+
+
+@register(
+    "chart_fractional_band_integer",
+    O.chart_sql("part", _FB, O.integer_label(_FB), _FB, ["p_retailprice"], None, ORDERED,
+                ["x", "position", rd("volume"), rd("resp0")]),
+)
+def chart_fractional_band_integer(spark, sf):
+    # keys 2.5, 7.5, 12.5 ... label as BIGINT rounded half to even: "2", "8", "12", ...
+    res = chart(table(spark, sf, "part"), "p_size", "p_retailprice", band=2.5)
+    return out(res.rows, ["x", "position", "volume", "resp0"])
+
+
+def documents_labels(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    return d.join(lab, "doc_id", "left")
+
+
+DOCS_LABELS = """(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) src"""
+_LANG = O.category_key("lang")
+
+
+@register(
+    "chart_label_rates_logit",
+    O.chart_sql(DOCS_LABELS, _LANG, _LANG, _LANG, ["quality", "toxic"], None, ALPHA,
+                ["x", "position", rd("volume"),
+                 "round(CASE WHEN resp0 > 0 AND resp0 < 1 THEN ln(resp0 / (1 - resp0)) END, 6) AS resp0",
+                 "round(CASE WHEN resp1 > 0 AND resp1 < 1 THEN ln(resp1 / (1 - resp1)) END, 6) AS resp1"]),
+)
+def chart_label_rates_logit(spark, sf):
+    # Documents without labels have missing responses and drop out of the weight.
+    res = chart(documents_labels(spark, sf), "lang", "quality", "toxic", transform="logit")
+    return out(res.rows, ["x", "position", "volume", "resp0", "resp1"])
+
+
+@register(
+    "chart_label_missing_quality",
+    """SELECT CAST(COUNT(*) AS BIGINT) AS filtered_row_count,
+  CAST(SUM(CASE WHEN quality IS NULL OR toxic IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_response_rows,
+  round(CAST(COALESCE(SUM(CASE WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 1.0 END), 0) AS DOUBLE), 6) AS value
+FROM """ + DOCS_LABELS,
+)
+def chart_label_missing_quality(spark, sf):
+    res = chart(documents_labels(spark, sf), "source", "quality", "toxic")
+    return out(res.quality, ["filtered_row_count", "missing_response_rows", "value"])
+
+
+_NCH = "FLOOR(TRY_CAST(n_chars AS DOUBLE) / 5000.0) * 5000.0"
+
+
+@register(
+    "chart_text_length_band_tails",
+    O.chart_sql(DOCS_LABELS, _NCH, O.integer_label(_NCH), _NCH, ["quality"], None, ORDERED,
+                ["x", "position", "is_tail", rd("volume"), rd("resp0")],
+                tails=("ordered", "(SELECT SUM(volume) FROM g) * 10 / 100")),
+)
+def chart_text_length_band_tails(spark, sf):
+    res = chart(documents_labels(spark, sf), "n_chars", "quality", band=5000, low_weight="10%")
+    return out(res.rows, ["x", "position", "is_tail", "volume", "resp0"])
