@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kpiframe.functions import kinds
 from kpiframe.functions.labels import (
@@ -40,14 +41,37 @@ def numeric_key(x: str, kind: str, band: object = None) -> XKey:
     return XKey(key, label, key, kind)
 
 
-def temporal_key(x: str, kind: str, bucket: object = None) -> XKey:
+def truncate_wall_clock(c: Column, unit: str) -> Column:
+    """Bucket start of a timestamp_ntz or date value as timestamp_ntz, without any time zone.
+
+    Built from the calendar fields, so the result does not depend on the
+    session time zone (``date_trunc`` would round-trip through it).  Weeks
+    start on Monday.
+    """
+    zero = F.lit(0)
+    if unit == "week":
+        day = F.to_date(c)
+        monday = F.date_sub(day, (F.dayofweek(day) + F.lit(5)) % F.lit(7))
+        return F.make_timestamp_ntz(F.year(monday), F.month(monday), F.dayofmonth(monday), zero, zero, zero)
+    if unit == "year":
+        return F.make_timestamp_ntz(F.year(c), F.lit(1), F.lit(1), zero, zero, zero)
+    if unit == "month":
+        return F.make_timestamp_ntz(F.year(c), F.month(c), F.lit(1), zero, zero, zero)
+    if unit == "day":
+        return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), zero, zero, zero)
+    return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), zero, zero)
+
+
+def temporal_key(x: str, kind: str, bucket: object = None, data_type: T.DataType | None = None) -> XKey:
     """Calendar bucket ``hour/day/week/month/year`` (weeks start Monday), else raw (KEY-6, KEY-10)."""
     name = str(bucket or "none").lower()
     c = col_of(x)
     if name in DATE_BUCKETS:
-        # date_trunc yields a session-zone timestamp; the session runs in UTC,
-        # so casting back to timestamp_ntz restores the wall-clock bucket.
-        key = F.date_trunc(name, c).cast("timestamp_ntz")
+        if isinstance(data_type, T.TimestampType):
+            # zoned timestamps are truncated in the session time zone
+            key = F.date_trunc(name, c).cast("timestamp_ntz")
+        else:
+            key = truncate_wall_clock(c, name)
     else:
         key = c
     return XKey(key, temporal_label(key), key, kind)
@@ -72,5 +96,5 @@ def x_key(df: DataFrame, x: str, band: object = None, bucket: object = None) ->
     if kinds.is_numeric_kind(kind):
         return numeric_key(x, kind, band)
     if kind in (kinds.DATE, kinds.DATETIME):
-        return temporal_key(x, kind, bucket)
+        return temporal_key(x, kind, bucket, df.schema[x].dataType)
     return categorical_key(x)

@@ -8,7 +8,7 @@ Plan, per request:
    map-side partial aggregation, so the shuffle carries at most
    groups × folds rows per task;
 4. everything else (totals, weight quality, tails, sort, cap, transforms,
-   sigma) runs on the persisted group rows.
+   sigma) runs on the checkpointed group rows.
 
 Quantile mode first assigns exact NTILE tiles without a global window
 (:mod:`kpiframe.operators.tiles`).
@@ -45,7 +45,7 @@ class ChartResult:
 
     ``rows`` (display rows) and ``groups`` (one row per group before tails)
     are built by :func:`chart`; ``totals``, ``quality`` and ``warnings`` are
-    built on first access from the persisted groups (no extra table scan).
+    built on first access from the checkpointed groups (no extra table scan).
     """
 
     rows: DataFrame
@@ -56,7 +56,6 @@ class ChartResult:
     responses: list[M.Response]
     weight: M.Weight
     _invalid: DataFrame | None = field(default=None, repr=False)
-    _persisted: list[DataFrame] = field(default_factory=list, repr=False)
     _cache: dict = field(default_factory=dict, repr=False)
 
     def _parts(self) -> DataFrame:
@@ -82,8 +81,7 @@ class ChartResult:
         return self._cache["warnings"]
 
     def unpersist(self) -> None:
-        for df in self._persisted:
-            df.unpersist()
+        """Nothing is cached: group tables live in the checkpoint folder."""
 
 
 def default_ties(df: DataFrame) -> list[str]:
@@ -177,7 +175,6 @@ def chart(
     keyed = source.select(*select)
 
     parts = keyed.groupBy(*grain).agg(*M.partial_aggs(n_resp))
-    persisted: list[DataFrame] = []
     if include_sigma:
         parts = materialize(parts)
         grouped = parts.groupBy("x_key", "x_label").agg(*M.rollup_aggs(n_resp))
@@ -199,7 +196,6 @@ def chart(
         group_kind=group_kind,
         responses=resp,
         weight=wt,
-        _persisted=persisted,
     )
 
 
