@@ -60,3 +60,39 @@ def profile(df: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_fraction: floa
         "name string, position int, type string, kind string, band_suggestion double, "
         "min_value long, max_value long, row_count long",
     )
+
+
+def suggest_band(df: DataFrame, column: str, sample_rows: int = SAMPLE_ROWS) -> float | None:
+    """Suggested band width of one numeric column (SCH-5..7); None for other kinds."""
+    kind = kinds.column_kinds(df).get(column)
+    if not kind or not kinds.is_numeric_kind(kind):
+        return None
+    if kind == kinds.INTEGER:
+        c = col_of(column).try_cast("bigint")
+        row = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).first()
+        if row["lo"] is not None and row["hi"] is not None and row["hi"] - row["lo"] < 120:
+            return 1.0
+    std = df.limit(int(sample_rows)).agg(F.stddev_samp(try_double(column)).alias("s")).first()["s"]
+    return suggested_band_width(std)
+
+
+def chart_defaults(df: DataFrame, requested: dict | None = None) -> dict:
+    """Initial chart arguments (ARG-4): x = first column, actual = first numeric column,
+    no expected, no weight, numeric x banded at its suggested width; valid requested values win."""
+    requested = requested or {}
+    column_kinds = kinds.column_kinds(df)
+    numeric = [c for c, k in column_kinds.items() if kinds.is_numeric_kind(k)]
+
+    def pick(name, allowed, fallback):
+        value = requested.get(name)
+        return value if value in allowed else fallback
+
+    x = pick("x", list(column_kinds), next(iter(column_kinds), None))
+    out = {
+        "x": x,
+        "actual": pick("actual", numeric, numeric[0] if numeric else None),
+        "expected": pick("expected", numeric, None),
+        "weight": pick("weight", numeric, None),
+    }
+    out["band"] = suggest_band(df, x) if x and kinds.is_numeric_kind(column_kinds[x]) else None
+    return out

@@ -56,11 +56,22 @@ class ChartResult:
     responses: list[M.Response]
     weight: M.Weight
     _invalid: DataFrame | None = field(default=None, repr=False)
+    _source: DataFrame | None = field(default=None, repr=False)
+    _filter: str | None = field(default=None, repr=False)
     _cache: dict = field(default_factory=dict, repr=False)
 
     def _parts(self) -> DataFrame:
         return self.groups.withColumn("volume_sum", F.col("volume"))
 
+    @property
+    def counts(self) -> DataFrame:
+        """``row_count`` (whole table) and ``filtered_row_count`` in one scan (SCH-3, SCH-4)."""
+        if "counts" not in self._cache:
+            from kpiframe.operators.filters import row_counts
+
+            self._cache["counts"] = row_counts(self._source, self._filter)
+        return self._cache["counts"]
+
     @property
     def totals(self) -> DataFrame:
         if "totals" not in self._cache:
@@ -142,6 +153,10 @@ def chart(
     if x not in df.columns:
         raise ValueError("Choose a valid x-axis feature")
     x_kind = kinds.column_kinds(df)[x]
+    if isinstance(band, str) and band.strip().lower() == "auto":
+        from kpiframe.operators.profile import suggest_band
+
+        band = suggest_band(df, x)
     resp = _responses(df, actual, expected, responses)
     wt = M.resolve_weight(df, weight)
     base = apply_filter(df, filter)
@@ -191,6 +206,8 @@ def chart(
         rows=rows,
         groups=groups,
         _invalid=invalid,
+        _source=df,
+        _filter=filter,
         x=x,
         x_kind=x_kind,
         group_kind=group_kind,

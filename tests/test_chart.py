@@ -171,3 +171,17 @@ def test_group_cap_and_page(spark):
     page = table_page(res.rows, page=9, page_size=1000).collect()
     assert {r["page"] for r in page} == {3} and {r["pages"] for r in page} == {3}
     assert sorted(r["position"] for r in page) == list(range(2001, 2101))
+
+
+def test_defaults_auto_band_and_counts(spark, chart_df):
+    from kpiframe.operators.profile import chart_defaults
+
+    d = chart_defaults(chart_df)
+    assert (d["x"], d["actual"], d["expected"], d["weight"]) == ("YoungestDriverAge", "YoungestDriverAge", None, None)
+    assert d["band"] == 1.0  # integer range 30 < 120
+    d = chart_defaults(chart_df, {"x": "UseofVan", "actual": "Actual", "weight": "nope"})
+    assert (d["x"], d["actual"], d["weight"], d["band"]) == ("UseofVan", "Actual", None, None)
+    res = chart(chart_df, "YoungestDriverAge", "Actual", band="auto", filter="Actual > 100")
+    assert res.rows.count() == 3
+    c = res.counts.first()
+    assert (c["row_count"], c["filtered_row_count"]) == (4, 3)
