@@ -56,6 +56,12 @@ def _search_tree(x: Column, starts: list[float], counts: list[int], lo: int, hi:
     )
 
 
+# Distinct values above which tiles are found from approximate boundary windows
+# instead of per-value counts (the per-value count shuffles one row per value).
+DISTINCT_LIMIT = 5_000_000
+ACCURACY = 20_000
+
+
 def assign_tiles(
     df: DataFrame,
     x: Column,
@@ -64,8 +70,103 @@ def assign_tiles(
     *,
     tile_col: str = "__tile",
     small_rows: int | None = None,
+    method: str = "auto",
+    accuracy: int = ACCURACY,
+    distinct_limit: int = DISTINCT_LIMIT,
+) -> DataFrame:
+    """``df`` plus ``tile_col``: NTILE(n) over non-null ``x`` ordered by ``(x, ties…)``; null x -> null.
+
+    ``method``: ``"values"`` (counts per distinct value), ``"windows"``
+    (approximate boundary windows, exact counts, ranking inside the windows
+    only) or ``"auto"`` (windows when x has more than ``distinct_limit``
+    distinct values).  Both are exact.
+    """
+    if method == "auto":
+        approx = df.select(F.approx_count_distinct(x).alias("d")).first()["d"] or 0
+        method = "windows" if approx > distinct_limit else "values"
+    if method == "windows":
+        out = _tiles_by_windows(df, x, n, ties, tile_col, small_rows, accuracy)
+        if out is not None:
+            return out
+    return _tiles_by_values(df, x, n, ties, tile_col, small_rows)
+
+
+def _count_at_most(x: Column, bounds: list[float], strict: bool) -> Column:
+    """Number of sorted ``bounds`` b with b <= x (or b < x when ``strict``) — balanced CASE tree."""
+
+    def build(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        cond = x > F.lit(bounds[mid - 1]) if strict else x >= F.lit(bounds[mid - 1])
+        return F.when(cond, build(mid, hi)).otherwise(build(lo, mid - 1))
+
+    return build(0, len(bounds))
+
+
+def _tiles_by_windows(
+    df: DataFrame, x: Column, n: int, ties: Sequence[str], tile_col: str, small_rows: int | None, accuracy: int
+) -> DataFrame | None:
+    """Exact tiles from value windows around each tile boundary; None when a check fails."""
+    base = df.withColumn("__qx", x)
+    qx = F.col("__qx")
+    total = base.where(qx.isNotNull()).count()
+    if total == 0:
+        return base.withColumn(tile_col, F.lit(None).cast("long")).drop("__qx")
+    tiles = min(n, total)
+    q, m = divmod(total, n)
+    last_ranks = [t * (q + 1) if t <= m else m * (q + 1) + (t - m) * q for t in range(1, tiles)]
+    if not last_ranks:  # one tile
+        return base.withColumn(tile_col, F.when(qx.isNotNull(), F.lit(1)).cast("long")).drop("__qx")
+    margin = 3.0 * total / accuracy + 1
+    fracs = []
+    for r in last_ranks:
+        fracs += [max(0.0, (r - margin) / total), min(1.0, (r + 1 + margin) / total)]
+    approx = base.where(qx.isNotNull()).select(F.percentile_approx(qx, fracs, accuracy).alias("p")).first()["p"]
+    raw = sorted((approx[2 * i], approx[2 * i + 1]) for i in range(len(last_ranks)))
+    windows: list[list[float]] = []
+    for lo, hi in raw:
+        if windows and lo <= windows[-1][1]:
+            windows[-1][1] = max(windows[-1][1], hi)
+        else:
+            windows.append([lo, hi])
+    aggs = []
+    for k, (lo, hi) in enumerate(windows):
+        aggs.append(F.count(F.when(qx < F.lit(lo), 1)).alias(f"b{k}"))
+        aggs.append(F.count(F.when((qx >= F.lit(lo)) & (qx <= F.lit(hi)), 1)).alias(f"i{k}"))
+    counts = base.agg(*aggs).first()
+    below = [int(counts[f"b{k}"]) for k in range(len(windows))]
+    inside = [int(counts[f"i{k}"]) for k in range(len(windows))]
+    # Every boundary rank r and r+1 must fall inside some window.
+    for r in last_ranks:
+        if not any(b < r and b + c >= min(r + 1, total) for b, c in zip(below, inside)):
+            return None
+    # Rows between windows: all in one tile (no boundary inside a gap).
+    gap_tile = [_py_tile(b, total, n) if b > 0 else 1 for b in below] + [tiles]
+    his = [hi for _, hi in windows]
+    los = [lo for lo, _ in windows]
+    gap = _count_at_most(qx, his, strict=True)
+    gap_lookup = F.element_at(F.array(*[F.lit(t) for t in gap_tile]), gap + F.lit(1))
+    candidate = _count_at_most(qx, los, strict=False)  # windows whose lo <= x
+    in_window = (candidate > 0) & (qx <= F.element_at(F.array(*[F.lit(h) for h in his]), F.greatest(candidate, F.lit(1))))
+    outside = base.where(qx.isNull() | ~in_window)
+    parts = [outside.withColumn(tile_col, F.when(qx.isNotNull(), gap_lookup).cast("long"))]
+    hot = base.where(qx.isNotNull() & in_window).withColumn("__win", candidate)
+    offsets, seen = [], 0
+    for b, c in zip(below, inside):
+        offsets.append(b - seen)
+        seen += c
+    order = [qx.asc()] + [col_of(t).asc_nulls_last() for t in ties]
+    ranked = running_sum(hot, order, None, small_rows=small_rows, row_count=seen)
+    rank = F.col("__pos") + F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("__win"))
+    parts.append(ranked.withColumn(tile_col, tile_of_rank(rank, total, n)).drop("__pos", "__cum", "__win"))
+    return parts[0].unionByName(parts[1]).drop("__qx")
+
+
+def _tiles_by_values(
+    df: DataFrame, x: Column, n: int, ties: Sequence[str], tile_col: str, small_rows: int | None
 ) -> DataFrame:
-    """``df`` plus ``tile_col``: NTILE(n) over non-null ``x`` ordered by ``(x, ties…)``; null x -> null."""
+    """Tiles from exact counts per distinct value; only straddling values are ranked by row."""
     spark = df.sparkSession
     base = df.withColumn("__qx", x)
     non_null = base.where(F.col("__qx").isNotNull())

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kpiframe.operators.ranking import running_sum
-from kpiframe.operators.tiles import assign_tiles
+from kpiframe.operators.tiles import _tiles_by_windows, assign_tiles
 
 
 @pytest.mark.parametrize("small_rows", [None, 0])
@@ -50,3 +50,36 @@ def test_tile_sizes_differ_by_at_most_one(spark):
     df = spark.range(1003).select(F.col("id"), (F.col("id") % 17).cast("double").alias("x"))
     sizes = [r["count"] for r in assign_tiles(df, F.col("x"), 10, ["id"], small_rows=0).groupBy("__tile").count().collect()]
     assert max(sizes) - min(sizes) <= 1 and sum(sizes) == 1003
+
+
+@pytest.mark.parametrize("n", [1, 4, 10, 33])
+@pytest.mark.parametrize("accuracy", [50, 1000])
+def test_window_tiles_equal_ntile(spark, n, accuracy):
+    rnd = random.Random(100 + n)
+    # high-cardinality values, one hot value (a third of rows), nulls, and ties
+    xs = [7.5 if rnd.random() < 0.33 else (None if rnd.random() < 0.03 else round(rnd.uniform(0, 100), 2)) for _ in range(2500)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "id long, x double")
+    got = _tiles_by_windows(df, F.col("x"), n, ["id"], "__tile", 0, accuracy)
+    assert got is not None  # the window path itself, not the fallback
+    want = df.where(F.col("x").isNotNull()).withColumn("t", F.ntile(n).over(Window.orderBy("x", "id")))
+    a = {r["id"]: r["__tile"] for r in got.collect()}
+    b = {r["id"]: r["t"] for r in want.collect()}
+    assert len(a) == len(xs)
+    assert all(a[i] is None for i, x in enumerate(xs) if x is None)
+    assert {k: v for k, v in a.items() if v is not None} == b
+
+
+def test_window_tiles_unique_values(spark):
+    df = spark.range(5000).select("id", (F.col("id") * 7919 % 5003).cast("double").alias("x"))
+    tiled = _tiles_by_windows(df, F.col("x"), 10, ["id"], "__tile", None, 200)
+    assert tiled is not None
+    got = {r["id"]: r["__tile"] for r in tiled.collect()}
+    want = {r["id"]: r["t"] for r in df.withColumn("t", F.ntile(10).over(Window.orderBy("x", "id"))).collect()}
+    assert got == want
+
+
+def test_auto_method_picks_windows_for_many_values(spark):
+    df = spark.range(3000).select("id", (F.col("id") * 1.5).alias("x"))
+    got = {r["id"]: r["__tile"] for r in assign_tiles(df, F.col("x"), 6, ["id"], distinct_limit=100).collect()}
+    want = {r["id"]: r["t"] for r in df.withColumn("t", F.ntile(6).over(Window.orderBy("x", "id"))).collect()}
+    assert got == want
