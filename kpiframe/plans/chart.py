@@ -140,6 +140,7 @@ def chart(
     tie_by: Sequence[str] | None = None,
     fold_by: Sequence[str] | None = None,
     small_rows: int | None = None,
+    tile_method: str = "auto",
 ) -> ChartResult:
     """Chart rows for feature ``x``.
 
@@ -148,7 +149,8 @@ def chart(
     width; ``quantiles`` a tile count (numeric x); ``bucket`` one of
     hour/day/week/month/year (date x); ``low_weight`` a tail threshold
     (absolute or ``"p%"``); ``sigma`` the bound multiplier; ``tie_by`` and
-    ``fold_by`` key columns for quantile ties and sigma folds.
+    ``fold_by`` key columns for quantile ties and sigma folds; ``tile_method``
+    picks the exact tile strategy (see :func:`kpiframe.operators.tiles.assign_tiles`).
     """
     if x not in df.columns:
         raise ValueError("Choose a valid x-axis feature")
@@ -170,7 +172,7 @@ def chart(
         if wt.column:
             needed.add(wt.column)
         projected = base.select(*[col_of(c) for c in base.columns if c in needed])
-        source = assign_tiles(projected, try_double(x), n_tiles, ties, small_rows=small_rows)
+        source = assign_tiles(projected, try_double(x), n_tiles, ties, small_rows=small_rows, method=tile_method)
         key = quantile_key(F.col("__tile"))
     else:
         source = base

@@ -1029,3 +1029,16 @@ _NCH = "FLOOR(TRY_CAST(n_chars AS DOUBLE) / 5000.0) * 5000.0"
 def chart_text_length_band_tails(spark, sf):
     res = chart(documents_labels(spark, sf), "n_chars", "quality", band=5000, low_weight="10%")
     return out(res.rows, ["x", "position", "is_tail", "volume", "resp0"])
+
+
+@register(
+    "chart_quantile_windows",
+    O.chart_sql(_quantile_source("lineitem", "l_extendedprice", "l_orderkey, l_linenumber, l_discount, l_quantity", 20), "tile", _QLABEL, _QSORT,
+                ["l_extendedprice", "l_discount"], "l_quantity", ORDERED,
+                ["x", "position", rd("volume"), rd("resp0"), rd("resp1")]),
+)
+def chart_quantile_windows(spark, sf):
+    # High-cardinality x: tiles from approximate boundary windows + exact counts.
+    res = chart(table(spark, sf, "lineitem"), "l_extendedprice", "l_extendedprice", "l_discount", weight="l_quantity",
+                quantiles=20, tie_by=["l_orderkey", "l_linenumber", "l_discount", "l_quantity"], tile_method="windows")
+    return out(res.rows, ["x", "position", "volume", "resp0", "resp1"])
