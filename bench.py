@@ -22,6 +22,7 @@ HEADLINE = [
     "chart_fixed_band",  # numeric band, two responses
     "chart_quantile_band",  # exact distributed NTILE
     "chart_quantile_ties",  # NTILE with straddling values ranked row by row
+    "chart_quantile_windows",  # NTILE for high-cardinality x from boundary windows
     "chart_month",  # calendar bucket
     "sigma_tails",  # folds, tails, merged sigma
     "tails_percent",  # percent threshold, ordered tails

@@ -91,6 +91,12 @@ class ChartResult:
             self._cache["warnings"] = w.unionByName(self._invalid) if self._invalid is not None else w
         return self._cache["warnings"]
 
+    def payload(self) -> dict:
+        """The original tool's response dict (collects the capped rows and one-row summaries)."""
+        from kpiframe.plans.payload import chart_payload
+
+        return chart_payload(self, self._filter or "")
+
     def unpersist(self) -> None:
         """Nothing is cached: group tables live in the checkpoint folder."""
 

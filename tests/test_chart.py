@@ -185,3 +185,13 @@ def test_defaults_auto_band_and_counts(spark, chart_df):
     assert res.rows.count() == 3
     c = res.counts.first()
     assert (c["row_count"], c["filtered_row_count"]) == (4, 3)
+
+
+def test_chart_payload(chart_df):
+    p = chart(chart_df, "UseofVan", "Actual", "Expected", weight="Weight", filter="YoungestDriverAge > 40").payload()
+    assert (p["row_count"], p["filtered_row_count"], p["x_kind"]) == (4, 3, "categorical")
+    assert p["denominator"]["value"] == 90 and p["denominator"]["label"] == "Weight"
+    assert [r["x"] for r in p["rows"]] == ["Business", "Social"]
+    assert p["rows"][0] == {"x": "Business", "volume": 70, "is_tail": False, "valid_folds": None, "resp0": 10, "resp1": 10}
+    assert p["response_summaries"][0] == {"label": "Actual", "value": 10, "numerator": 900, "denominator": 90}
+    assert p["warnings"] == []

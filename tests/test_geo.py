@@ -119,3 +119,13 @@ def test_quantile_thresholds_rule(spark):
 def test_postcode_parse(spark, text, expected):
     row = spark.createDataFrame([(text,)], "s string").select(parse_postcode(F.col("s")).alias("p")).first()["p"]
     assert (None if row is None else (row["level"], row["key"])) == expected
+
+
+def test_geo_payload(geo_df):
+    p = geo_summary(geo_df, "sector", "Actual", weight="Weight", filter="PostcodeArea = 'AL'").payload()
+    assert p["row_count"] == 5 and p["filtered_row_count"] == 2 and p["denominator"]["value"] == 30
+    assert p["rows"][0] == {"key": "AL1 1", "row_count": 1, "numerator": 300, "denominator": 30, "volume": 30, "value": 10}
+    assert p["rows"][1]["value"] is None
+    assert p["warnings"] == ["1 row excluded from Weight because Weight was missing."]
+    u = geo_summary(geo_df, "unit", "Actual").payload()
+    assert u["point_summary"] == {"summary_count": 4, "plotted_count": 3, "missing_value_count": 0, "missing_coordinate_count": 1}
