@@ -37,6 +37,32 @@ def double_text(x: Column) -> Column:
     )
 
 
+def double_text_sql(q: str) -> str:
+    """SQL text of :func:`double_text` for the SQL expression ``q`` (one parse instead of many calls)."""
+    s = f"CAST({q} AS STRING)"
+    plain = f"regexp_replace(regexp_replace(CAST(CAST({q} AS DECIMAL(38,18)) AS STRING), '0+$', ''), '\\\\.$', '.0')"
+    mantissa = f"regexp_replace(regexp_extract({s}, '^(-?[0-9.]+)E', 1), '\\\\.0$', '')"
+    sign = f"CASE WHEN regexp_extract({s}, 'E(-?)', 1) = '-' THEN '-' ELSE '+' END"
+    digits = f"lpad(regexp_extract({s}, 'E-?([0-9]+)$', 1), 2, '0')"
+    return (
+        f"CASE WHEN isnan({q}) THEN 'nan' WHEN {q} = double('inf') THEN 'inf' WHEN {q} = double('-inf') THEN '-inf' "
+        f"WHEN NOT contains({s}, 'E') THEN {s} "
+        f"WHEN abs({q}) >= 1e-4 AND abs({q}) < 1e16 THEN {plain} "
+        f"ELSE concat({mantissa}, 'e', {sign}, {digits}) END"
+    )
+
+
+def label_sql(q: str, kind: str) -> str:
+    """Label SQL for a key SQL expression ``q`` of an integer / numeric / temporal key."""
+    if kind == "integer":
+        body = f"CAST(TRY_CAST(rint({q}) AS BIGINT) AS STRING)"
+    elif kind == "numeric":
+        body = double_text_sql(q)
+    else:
+        body = f"CAST({q} AS STRING)"
+    return f"CASE WHEN {q} IS NULL THEN '{MISSING}' ELSE {body} END"
+
+
 def integer_label(key: Column) -> Column:
     """Integer-kind label: key rounded half-even to BIGINT text (KEY-8)."""
     return F.when(key.isNull(), F.lit(MISSING)).otherwise(F.rint(key).try_cast("bigint").cast("string"))

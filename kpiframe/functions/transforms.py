@@ -31,3 +31,22 @@ def transform_value(value: Column, transform: str, average: Column | None = None
     else:
         out = x
     return finite_or_null(out)
+
+
+def transform_sql(v: str, transform: str, average: str) -> str:
+    """SQL text of :func:`transform_value` for the SQL expression ``v`` and average ``average``."""
+    x = f"(CASE WHEN abs({v}) < double('inf') THEN {v} END)"
+    name = str(transform or "none")
+    if name == "log":
+        out = f"CASE WHEN {x} > 0 THEN ln({x}) END"
+    elif name == "exp":
+        out = f"exp({x})"
+    elif name == "logit":
+        out = f"CASE WHEN {x} > 0 AND {x} < 1 THEN ln({x} / (1D - {x})) END"
+    elif name == "zero":
+        out = f"{x} - {average}"
+    elif name == "one":
+        out = f"CASE WHEN {average} <> 0 THEN {x} / {average} END"
+    else:
+        out = x
+    return f"(CASE WHEN abs({out}) < double('inf') THEN {out} END)"

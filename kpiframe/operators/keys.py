@@ -12,12 +12,11 @@ from kpiframe.functions import kinds
 from kpiframe.functions.labels import (
     MISSING,
     QUANTILE_MISSING_SORT,
-    integer_label,
-    numeric_label,
+    label_sql,
     quantile_label,
     temporal_label,
 )
-from kpiframe.functions.numbers import col_of, floor_band, parse_positive_float, try_double
+from kpiframe.functions.numbers import col_of, parse_positive_float, quote
 
 DATE_BUCKETS = ("hour", "day", "week", "month", "year")
 
@@ -32,13 +31,26 @@ class XKey:
     kind: str
 
 
-def numeric_key(x: str, kind: str, band: object = None) -> XKey:
-    """Raw (KEY-1) or fixed-width band (KEY-2) key of a numeric column."""
-    raw = try_double(x)
+def numeric_key_sql(x: str, band: object = None) -> str:
+    """SQL of the raw (KEY-1) or banded (KEY-2) key of a numeric column.
+
+    Spark's ``floor(double)`` is BIGINT and saturates beyond 2^63, so
+    quotients outside +-2^53 (integral as doubles already) are kept as is.
+    """
+    raw = f"TRY_CAST({quote(x)} AS DOUBLE)"
     width = parse_positive_float(band)
-    key = floor_band(raw, width) if width else raw
-    label = integer_label(key) if kind == kinds.INTEGER else numeric_label(key)
-    return XKey(key, label, key, kind)
+    if not width:
+        return raw
+    w = f"{float(width)!r}D"
+    q = f"({raw} / {w})"
+    return f"(CASE WHEN abs({q}) < 9007199254740992.0D THEN CAST(FLOOR({q}) AS DOUBLE) ELSE {q} END * {w})"
+
+
+def numeric_key(x: str, kind: str, band: object = None) -> XKey:
+    """Raw (KEY-1) or fixed-width band (KEY-2) key of a numeric column, label by kind (KEY-8/9)."""
+    key_sql = numeric_key_sql(x, band)
+    key = F.expr(key_sql)
+    return XKey(key, F.expr(label_sql(key_sql, kind)), key, kind)
 
 
 def truncate_wall_clock(c: Column, unit: str) -> Column:

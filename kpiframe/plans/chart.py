@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from kpiframe.functions import kinds
 from kpiframe.functions.labels import QUANTILE_MISSING_SORT
-from kpiframe.functions.numbers import col_of, finite_or_null, quantile_count, safe_ratio, try_double
-from kpiframe.functions.transforms import transform_value
+from kpiframe.functions.numbers import col_of, finite_or_null, quantile_count, quote, safe_ratio, try_double
+from kpiframe.functions.transforms import transform_sql
 from kpiframe.operators import measures as M
 from kpiframe.operators.filters import apply_filter
 from kpiframe.operators.grouping import assign_display
@@ -276,14 +276,18 @@ def present_groups(
     return rows.drop("__id"), invalid
 
 
+def _finite(q: str) -> str:
+    return f"CASE WHEN abs({q}) < double('inf') THEN {q} END"
+
+
 def _unmerged(display: DataFrame, n_resp: int) -> DataFrame:
     """Display rows when nothing was merged: the groups themselves."""
-    cols = [F.col("x"), F.col("is_tail"), F.col("__id"), F.col("x_sort"), F.col("volume")]
+    exprs = ["x", "is_tail", "__id", "x_sort", "volume"]
     for i in range(n_resp):
-        num, den = F.col(f"resp{i}_num"), F.col(f"resp{i}_den")
-        cols += [finite_or_null(num).alias(f"resp{i}_num"), finite_or_null(den).alias(f"resp{i}_den"),
-                 finite_or_null(safe_ratio(num, den)).alias(f"resp{i}")]
-    return display.select(*cols)
+        num, den = f"resp{i}_num", f"resp{i}_den"
+        exprs += [f"{_finite(num)} AS {num}", f"{_finite(den)} AS {den}",
+                  f"{_finite(f'CASE WHEN {den} <> 0 THEN {num} / {den} END')} AS resp{i}"]
+    return display.selectExpr(*exprs)
 
 
 def _merge(display: DataFrame, n_resp: int, group_kind: str) -> DataFrame:
@@ -318,38 +322,38 @@ def _transform(rows: DataFrame, n_resp: int, transform: str, sigma: float) -> tu
     """Display values (TRF-1..4) over the capped rows; returns rows and the invalid-value warning.
 
     Averages for the centred transforms are taken over the displayed rows
-    (after the cap), as the chart shows them.
+    (after the cap), as the chart shows them; ``OVER ()`` spans the capped
+    rows only, so its single partition is bounded by ``max_groups``.
     """
     if n_resp == 0:
         return rows, None
-    everything = Window.partitionBy(F.lit(1))  # capped rows only: bounded
-    averages = {}
-    for i in range(n_resp):
-        num = F.sum(F.coalesce(F.col(f"resp{i}_num"), F.lit(0.0))).over(everything)
-        den = F.sum(F.coalesce(F.col(f"resp{i}_den"), F.lit(0.0))).over(everything)
-        averages[f"__avg{i}"] = safe_ratio(num, den)
-    staged = rows.withColumns(averages)
-    shown = {f"resp{i}": transform_value(F.col(f"resp{i}"), transform, F.col(f"__avg{i}")) for i in range(n_resp)}
+    name = str(transform or "none")
+    if name == "none" and not (sigma > 0 and n_resp >= 2):
+        return rows, None
+    averages = [
+        f"CASE WHEN sum(coalesce(resp{i}_den, 0D)) OVER () <> 0 "
+        f"THEN sum(coalesce(resp{i}_num, 0D)) OVER () / sum(coalesce(resp{i}_den, 0D)) OVER () END AS __avg{i}"
+        for i in range(n_resp)
+    ]
+    staged = rows.selectExpr("*", *averages)
+    shown = {f"resp{i}": transform_sql(f"resp{i}", name, f"__avg{i}") for i in range(n_resp)}
     if sigma > 0 and n_resp >= 2:
-        ok = F.col("sigma_se").isNotNull() & F.col("resp1").isNotNull()
-        spread = F.lit(sigma) * F.col("sigma_se")
-        shown["resp1_low"] = F.when(ok, transform_value(F.col("resp1") - spread, transform, F.col("__avg1")))
-        shown["resp1_high"] = F.when(ok, transform_value(F.col("resp1") + spread, transform, F.col("__avg1")))
-    helpers = [f"__avg{i}" for i in range(n_resp)]
-    display = staged.withColumns(shown).drop(*helpers)
-    if str(transform or "none") == "none":
+        ok = "sigma_se IS NOT NULL AND resp1 IS NOT NULL"
+        for bound, op in (("resp1_low", "-"), ("resp1_high", "+")):
+            value = transform_sql(f"(resp1 {op} {float(sigma)!r}D * sigma_se)", name, "__avg1")
+            shown[bound] = f"CASE WHEN {ok} THEN {value} END"
+    others = [quote(c) for c in staged.columns if c not in shown and not c.startswith("__avg")]
+    display = staged.selectExpr(*others, *[f"{sql} AS {col}" for col, sql in shown.items()])
+    if name == "none":
         return display, None
-    invalid = F.lit(0)
-    for i in range(n_resp):
-        invalid = invalid + F.when(F.col(f"resp{i}").isNotNull() & shown[f"resp{i}"].isNull(), 1).otherwise(0)
-    counted = staged.agg(F.sum(invalid).cast("bigint").alias("count"))
-    warning = counted.where(F.col("count") > 0).select(
-        F.lit(4).alias("position"),
-        F.lit("transform_domain").alias("code"),
-        F.col("count"),
-        F.concat(
-            F.col("count").cast("string"),
-            F.lit(f" response values could not be shown because they are outside the {transform} transform domain."),
-        ).alias("message"),
+    invalid = " + ".join(
+        f"CASE WHEN resp{i} IS NOT NULL AND ({shown[f'resp{i}']}) IS NULL THEN 1 ELSE 0 END" for i in range(n_resp)
+    )
+    counted = staged.selectExpr(f"CAST(sum({invalid}) AS BIGINT) AS count")
+    warning = counted.where("count > 0").selectExpr(
+        "4 AS position",
+        "'transform_domain' AS code",
+        "count",
+        f"concat(CAST(count AS STRING), ' response values could not be shown because they are outside the {name} transform domain.') AS message",
     )
     return display, warning
