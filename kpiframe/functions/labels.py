@@ -15,30 +15,8 @@ QUANTILE_MISSING = "Missing"
 QUANTILE_MISSING_SORT = 1000001
 
 
-def double_text(x: Column) -> Column:
-    """Plain-notation text for a double column."""
-    s = x.cast("string")
-    ax = F.abs(x)
-    # Plain notation via a scale-18 decimal, trailing zeros trimmed, ".0" kept.
-    plain = F.regexp_replace(
-        F.regexp_replace(x.cast("decimal(38,18)").cast("string"), "0+$", ""), "\\.$", ".0"
-    )
-    mantissa = F.regexp_replace(F.regexp_extract(s, "^(-?[0-9.]+)E", 1), "\\.0$", "")
-    exp_sign = F.when(F.regexp_extract(s, "E(-?)", 1) == "-", F.lit("-")).otherwise(F.lit("+"))
-    exp_digits = F.lpad(F.regexp_extract(s, "E-?([0-9]+)$", 1), 2, "0")
-    scientific = F.concat(mantissa, F.lit("e"), exp_sign, exp_digits)
-    return (
-        F.when(F.isnan(x), F.lit("nan"))
-        .when(x == F.lit(float("inf")), F.lit("inf"))
-        .when(x == F.lit(float("-inf")), F.lit("-inf"))
-        .when(~s.contains("E"), s)
-        .when((ax >= F.lit(1e-4)) & (ax < F.lit(1e16)), plain)
-        .otherwise(scientific)
-    )
-
-
 def double_text_sql(q: str) -> str:
-    """SQL text of :func:`double_text` for the SQL expression ``q`` (one parse instead of many calls)."""
+    """Plain-notation text of the double SQL expression ``q``, as SQL (parsed once by Spark)."""
     s = f"CAST({q} AS STRING)"
     plain = f"regexp_replace(regexp_replace(CAST(CAST({q} AS DECIMAL(38,18)) AS STRING), '0+$', ''), '\\\\.$', '.0')"
     mantissa = f"regexp_replace(regexp_extract({s}, '^(-?[0-9.]+)E', 1), '\\\\.0$', '')"
@@ -63,16 +41,6 @@ def label_sql(q: str, kind: str) -> str:
     return f"CASE WHEN {q} IS NULL THEN '{MISSING}' ELSE {body} END"
 
 
-def integer_label(key: Column) -> Column:
-    """Integer-kind label: key rounded half-even to BIGINT text (KEY-8)."""
-    return F.when(key.isNull(), F.lit(MISSING)).otherwise(F.rint(key).try_cast("bigint").cast("string"))
-
-
-def numeric_label(key: Column) -> Column:
-    """Numeric-kind label (KEY-9)."""
-    return F.when(key.isNull(), F.lit(MISSING)).otherwise(double_text(key))
-
-
 def temporal_label(key: Column) -> Column:
     """Date / datetime label (KEY-10)."""
     return F.when(key.isNull(), F.lit(MISSING)).otherwise(key.cast("string"))

@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from kpiframe.functions.numbers import finite_or_null
 
 TRANSFORMS = ("none", "log", "exp", "logit", "zero", "one")
 
 
-def transform_value(value: Column, transform: str, average: Column | None = None) -> Column:
-    """Transformed value; outside the domain (or overflowing) -> null.
+def transform_sql(v: str, transform: str, average: str) -> str:
+    """Transformed value of SQL expression ``v`` as SQL; outside the domain (or overflowing) -> null.
 
-    log: x > 0; exp: overflow -> null; logit: 0 < x < 1; zero: x − avg;
+    log: x > 0; exp: overflow -> null; logit: 0 < x < 1; zero: x - avg;
     one: x / avg (avg null or 0 -> null); anything else: x.
     """
-    x = finite_or_null(value)
-    name = str(transform or "none")
-    if name == "log":
-        out = F.when(x > 0, F.log(x))
-    elif name == "exp":
-        out = F.exp(x)
-    elif name == "logit":
-        out = F.when((x > 0) & (x < 1), F.log(x / (F.lit(1.0) - x)))
-    elif name == "zero":
-        out = x - average if average is not None else F.lit(None).cast("double")
-    elif name == "one":
-        out = F.when(average != 0, x / average) if average is not None else F.lit(None).cast("double")
-    else:
-        out = x
-    return finite_or_null(out)
-
-
-def transform_sql(v: str, transform: str, average: str) -> str:
-    """SQL text of :func:`transform_value` for the SQL expression ``v`` and average ``average``."""
     x = f"(CASE WHEN abs({v}) < double('inf') THEN {v} END)"
     name = str(transform or "none")
     if name == "log":

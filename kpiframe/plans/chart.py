@@ -19,13 +19,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiframe.functions import kinds
 from kpiframe.functions.labels import QUANTILE_MISSING_SORT
-from kpiframe.functions.numbers import col_of, finite_or_null, quantile_count, quote, safe_ratio, try_double
+from kpiframe.functions.numbers import col_of, finite_or_null, quantile_count, quote, safe_ratio, try_double, use_quantiles
 from kpiframe.functions.transforms import transform_sql
 from kpiframe.operators import measures as M
 from kpiframe.operators.filters import apply_filter
@@ -357,3 +357,30 @@ def _transform(rows: DataFrame, n_resp: int, transform: str, sigma: float) -> tu
         f"concat(CAST(count AS STRING), ' response values could not be shown because they are outside the {name} transform domain.') AS message",
     )
     return display, warning
+
+
+def chart_from_request(df: DataFrame, request: dict) -> ChartResult:
+    """Run a chart from a request dict with the original tool's keys.
+
+    Keys: x, responses (list of {label, numerator}), denominator/weight,
+    filter, bandWidth, quantileMode, dateBucket, lowGroup, sort, sigma,
+    transform, maxGroups; plus our tieBy / foldBy key lists.
+    """
+    quantile_mode = use_quantiles(request.get("quantileMode"))
+    return chart(
+        df,
+        str(request.get("x") or ""),
+        responses=request.get("responses") or [],
+        weight=request.get("denominator", request.get("weight")),
+        filter=request.get("filter"),
+        band=None if quantile_mode else request.get("bandWidth"),
+        quantiles=quantile_count(request.get("bandWidth")) if quantile_mode else None,
+        bucket=request.get("dateBucket"),
+        low_weight=str(request.get("lowGroup") or "0"),
+        sort=str(request.get("sort") or "alpha"),
+        sigma=float(request.get("sigma") or 0),
+        transform=str(request.get("transform") or "none"),
+        max_groups=int(request.get("maxGroups") or 10_000),
+        tie_by=request.get("tieBy"),
+        fold_by=request.get("foldBy"),
+    )

@@ -129,3 +129,11 @@ def test_geo_payload(geo_df):
     assert p["warnings"] == ["1 row excluded from Weight because Weight was missing."]
     u = geo_summary(geo_df, "unit", "Actual").payload()
     assert u["point_summary"] == {"summary_count": 4, "plotted_count": 3, "missing_value_count": 0, "missing_coordinate_count": 1}
+
+
+def test_geo_from_request(geo_df):
+    from kpiframe.plans.geo import geo_from_request
+
+    res = geo_from_request(geo_df, {"level": "units", "numerator": "Actual", "unitColumn": "CustomUnit",
+                                    "latitudeColumn": "CustomLat", "longitudeColumn": "CustomLong"})
+    assert res.level == "unit" and res.rows.count() == 4
