@@ -124,12 +124,15 @@ def boundary_join(summary: DataFrame, boundaries: DataFrame, key: str = "key") -
     return joined.withColumn("matched", F.coalesce(finite_or_null(F.col("value")).isNotNull(), F.lit(False))).drop("__bkey")
 
 
-def match_stats(joined: DataFrame, summary: DataFrame) -> DataFrame:
-    """features, matched, summary_rows and the no-match warning flag (JOIN-4)."""
+def match_stats(joined: DataFrame, summary: DataFrame, level_label: str = "keys", key_property: str = "key") -> DataFrame:
+    """features, matched, summary_rows, no_match_warning and its message (JOIN-4)."""
     feats = joined.agg(F.count(F.lit(1)).alias("features"), F.count(F.when(F.col("matched"), 1)).alias("matched"))
     summary_rows = summary.count()  # one scalar
-    return feats.withColumn("summary_rows", F.lit(summary_rows).cast("long")).withColumn(
-        "no_match_warning", (F.col("matched") == 0) & (F.col("summary_rows") > 0)
+    warn = (F.col("matched") == 0) & (F.col("summary_rows") > 0)
+    return (
+        feats.withColumn("summary_rows", F.lit(summary_rows).cast("long"))
+        .withColumn("no_match_warning", warn)
+        .withColumn("message", F.when(warn, F.lit(f"No {level_label} matched the GeoJSON {key_property} values.")))
     )
 
 

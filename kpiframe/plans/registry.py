@@ -728,7 +728,8 @@ def geo_boundary_join(spark, sf):
 feats AS (SELECT n_name AS PostcodeArea FROM nation),
 j AS (SELECT f.PostcodeArea, sv.value FROM feats f LEFT JOIN sv ON f.PostcodeArea = sv.key)
 SELECT COUNT(*) AS features, COUNT(value) AS matched, (SELECT COUNT(*) FROM sv) AS summary_rows,
-  COUNT(value) = 0 AND (SELECT COUNT(*) FROM sv) > 0 AS no_match_warning FROM j""")
+  COUNT(value) = 0 AND (SELECT COUNT(*) FROM sv) > 0 AS no_match_warning,
+  CASE WHEN COUNT(value) = 0 AND (SELECT COUNT(*) FROM sv) > 0 THEN 'No keys matched the GeoJSON PostcodeArea values.' END AS message FROM j""")
 def geo_match_stats(spark, sf):
     return _map(spark, sf).stats
 
