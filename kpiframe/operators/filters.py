@@ -120,3 +120,21 @@ def row_counts(df: DataFrame, raw: object) -> DataFrame:
         first = str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__
         raise ValueError(f"Invalid filter: {first}") from exc
     return counted
+
+
+def check_filters(df: DataFrame, filters: DataFrame | list[tuple[str, str]]) -> list[tuple[str, bool, str]]:
+    """Bind every saved filter against ``df``: ``(name, ok, error)`` per filter.
+
+    Analysis only — no job runs.  ``filters`` is the ``(name, expression)``
+    DataFrame of :func:`kpiframe.sources.saved_filters.load_saved_filters`
+    (a handful of rows) or a list of pairs.
+    """
+    pairs = [(r["name"], r["expression"]) for r in filters.collect()] if isinstance(filters, DataFrame) else list(filters)
+    results = []
+    for name, expression in pairs:
+        try:
+            apply_filter(df, expression)
+            results.append((name, True, ""))
+        except ValueError as exc:
+            results.append((name, False, str(exc)))
+    return results

@@ -107,3 +107,13 @@ def test_profile(spark):
     assert rows["age"]["row_count"] == 300 and (rows["age"]["min_value"], rows["age"]["max_value"]) == (0, 299)
     small = spark.createDataFrame([(i,) for i in range(50)], "n int")
     assert profile(small).first()["band_suggestion"] == 1.0
+
+
+def test_saved_filters_bind(spark, tmp_path, chart_df):
+    from kpiframe.operators.filters import check_filters
+
+    p = tmp_path / "spec.csv"
+    p.write_text('name,expression\nOlder drivers,YoungestDriverAge > 40\nVans,"UseofVan IN (\'Social\', \'Business\')"\nBroken,NoSuchColumn = 1\n')
+    results = check_filters(chart_df, load_saved_filters(spark, str(p)))
+    assert [(n, ok) for n, ok, _ in results] == [("Older drivers", True), ("Vans", True), ("Broken", False)]
+    assert results[2][2].startswith("Invalid filter")
