@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiframe.functions import kinds
+from kpiframe.operators.ranking import SMALL_ROWS, running_sum
 
 DEFAULT_MAX_GROUPS = 10_000
 PAGE_SIZE = 1_000
@@ -38,28 +39,35 @@ def sort_columns(kind: str, sort: str = "alpha") -> list[Column]:
     return label
 
 
-def cap_groups(rows: DataFrame, order: list[Column], max_groups: int | None = None) -> DataFrame:
-    """First ``max_groups`` rows in ``order`` (0/None -> 10,000) with a 1-based ``position``."""
+def cap_groups(rows: DataFrame, order: list[Column], max_groups: int | None = None,
+               small_rows: int | None = None) -> DataFrame:
+    """First ``max_groups`` rows in ``order`` (0/None -> 10,000) with a 1-based ``position``.
+
+    Up to ``SMALL_ROWS`` kept rows: a distributed top-k, then a numbering of
+    the (bounded) result in one partition.  A larger cap numbers all rows
+    with the distributed running count and keeps positions <= cap, so no
+    task ever holds more than its range partition.
+    """
     limit = int(max_groups or DEFAULT_MAX_GROUPS)
-    top = rows.orderBy(*order).limit(limit)
-    # <= limit rows: a bounded single-partition numbering.
-    return top.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    bound = SMALL_ROWS if small_rows is None else small_rows
+    if limit <= bound:
+        top = rows.orderBy(*order).limit(limit)
+        return top.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    ranked = running_sum(rows, order, None, small_rows=bound)
+    return ranked.where(F.col("__pos") <= F.lit(limit)).withColumnRenamed("__pos", "position").drop("__cum")
 
 
 def table_page(rows: DataFrame, page: int = 1, page_size: int = PAGE_SIZE) -> DataFrame:
     """One page of positioned rows; the page is clamped to 1..pages.
 
-    Adds ``page`` and ``pages``.  ``rows`` must carry ``position`` (1..n).
+    Adds ``page`` and ``pages``.  ``rows`` must carry ``position`` (1..n);
+    the row count is one scalar, so the page filter is a plain predicate.
     """
     size = max(1, int(page_size))
-    n = F.max("position").over(Window.partitionBy(F.lit(1)))
-    pages = F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("long")
-    clamped = F.least(F.greatest(F.lit(int(page)), F.lit(1)), pages)
-    return (
-        rows.withColumn("pages", pages)
-        .withColumn("page", clamped)
-        .where(
-            (F.col("position") > (F.col("page") - 1) * F.lit(size))
-            & (F.col("position") <= F.col("page") * F.lit(size))
-        )
+    n = int(rows.agg(F.max("position").alias("n")).first()["n"] or 0)
+    pages = max(1, -(-n // size))
+    current = min(max(int(page), 1), pages)
+    lo, hi = (current - 1) * size, current * size
+    return rows.where((F.col("position") > F.lit(lo)) & (F.col("position") <= F.lit(hi))).withColumns(
+        {"pages": F.lit(pages).cast("long"), "page": F.lit(current).cast("long")}
     )

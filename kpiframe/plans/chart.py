@@ -32,6 +32,7 @@ from kpiframe.operators.filters import apply_filter
 from kpiframe.operators.grouping import assign_display
 from kpiframe.operators.keys import quantile_key, x_key
 from kpiframe.operators.ordering import cap_groups, sort_columns
+from kpiframe.operators.ranking import SMALL_ROWS
 from kpiframe.operators.sigma import fold_column, fold_sigma
 from kpiframe.operators.tiles import assign_tiles
 from kpiframe.session import materialize
@@ -271,8 +272,9 @@ def present_groups(
     else:
         sigma = 0.0
         merged = merged.withColumns({"sigma_se": F.lit(None).cast("double"), "valid_folds": F.lit(None).cast("long")})
-    capped = cap_groups(merged, sort_columns(group_kind, sort), max_groups)
-    rows, invalid = _transform(capped, n_resp, transform, sigma)
+    capped = cap_groups(merged, sort_columns(group_kind, sort), max_groups, small_rows=small_rows)
+    bound = SMALL_ROWS if small_rows is None else small_rows
+    rows, invalid = _transform(capped, n_resp, transform, sigma, bounded=int(max_groups or 10_000) <= bound)
     return rows.drop("__id"), invalid
 
 
@@ -318,23 +320,37 @@ def _merge(display: DataFrame, n_resp: int, group_kind: str) -> DataFrame:
     return out
 
 
-def _transform(rows: DataFrame, n_resp: int, transform: str, sigma: float) -> tuple[DataFrame, DataFrame | None]:
+def _transform(rows: DataFrame, n_resp: int, transform: str, sigma: float,
+               bounded: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Display values (TRF-1..4) over the capped rows; returns rows and the invalid-value warning.
 
     Averages for the centred transforms are taken over the displayed rows
-    (after the cap), as the chart shows them; ``OVER ()`` spans the capped
-    rows only, so its single partition is bounded by ``max_groups``.
+    (after the cap), as the chart shows them.  With a bounded cap they are a
+    window ``OVER ()`` over the capped rows; with a larger cap they are two
+    scalars from one aggregate.
     """
     if n_resp == 0:
         return rows, None
     name = str(transform or "none")
     if name == "none" and not (sigma > 0 and n_resp >= 2):
         return rows, None
-    averages = [
-        f"CASE WHEN sum(coalesce(resp{i}_den, 0D)) OVER () <> 0 "
-        f"THEN sum(coalesce(resp{i}_num, 0D)) OVER () / sum(coalesce(resp{i}_den, 0D)) OVER () END AS __avg{i}"
-        for i in range(n_resp)
-    ]
+    if bounded or name not in ("zero", "one"):
+        averages = [
+            f"CASE WHEN sum(coalesce(resp{i}_den, 0D)) OVER () <> 0 "
+            f"THEN sum(coalesce(resp{i}_num, 0D)) OVER () / sum(coalesce(resp{i}_den, 0D)) OVER () END AS __avg{i}"
+            for i in range(n_resp)
+        ]
+        if name not in ("zero", "one"):
+            averages = [f"CAST(NULL AS DOUBLE) AS __avg{i}" for i in range(n_resp)]
+    else:
+        sums = rows.selectExpr(
+            *[f"sum(coalesce(resp{i}_num, 0D)) AS n{i}" for i in range(n_resp)],
+            *[f"sum(coalesce(resp{i}_den, 0D)) AS d{i}" for i in range(n_resp)],
+        ).first()
+        averages = [
+            f"{(sums[f'n{i}'] / sums[f'd{i}'])!r}D AS __avg{i}" if sums[f"d{i}"] else f"CAST(NULL AS DOUBLE) AS __avg{i}"
+            for i in range(n_resp)
+        ]
     staged = rows.selectExpr("*", *averages)
     shown = {f"resp{i}": transform_sql(f"resp{i}", name, f"__avg{i}") for i in range(n_resp)}
     if sigma > 0 and n_resp >= 2:

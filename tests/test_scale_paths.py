@@ -46,3 +46,14 @@ def test_hot_key_keeps_whole_weight(spark, skewed):
     res = chart(skewed, "x", "a", weight="w", quantiles=5, tie_by=["id"], small_rows=0)
     total = skewed.agg(F.sum("w")).first()[0]
     assert res.rows.agg(F.sum("volume")).first()[0] == pytest.approx(total)
+
+
+def test_large_cap_uses_distributed_numbering(spark):
+    df = spark.range(3000).select((F.col("id") % 2500).alias("x"), (F.col("id") % 7).cast("double").alias("v"))
+    small = chart(df, "x", "v", max_groups=2400, transform="zero")
+    large = chart(df, "x", "v", max_groups=2400, transform="zero", small_rows=100)
+    cols = ["x", "position", "volume", "resp0"]
+    a = sorted(tuple(r) for r in small.rows.select(*cols).collect())
+    b = sorted(tuple(r) for r in large.rows.select(*cols).collect())
+    assert len(a) == 2400 and [r[:3] for r in a] == [r[:3] for r in b]
+    assert all(abs(x[3] - y[3]) < 1e-9 for x, y in zip(a, b))
