@@ -5,7 +5,7 @@ A null KPI is "no data" here (the browser tool turned it into 0).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiframe.functions.numbers import col_of, finite_or_null, safe_ratio, try_double
@@ -153,33 +153,37 @@ def quantile_thresholds(summary: DataFrame, buckets: int = COLOUR_BUCKETS, small
     return ranked.join(F.broadcast(wanted), "__pos").select("i", F.col("v").alias("threshold"))
 
 
-def _threshold_array(thresholds: DataFrame) -> Column:
-    rows = sorted(thresholds.collect(), key=lambda r: r["i"])  # < buckets rows
-    return F.array(*[F.lit(float(r["threshold"])) for r in rows]) if rows else F.array().cast("array<double>")
+def _thresholds(summary: DataFrame, buckets: int, small_rows: int | None) -> list[float]:
+    rows = sorted(quantile_thresholds(summary, buckets, small_rows).collect(), key=lambda r: r["i"])  # < buckets rows
+    return [float(r["threshold"]) for r in rows]
+
+
+def _bucket_of(v: Column, thresholds: list[float]) -> Column:
+    """Number of thresholds strictly below ``v`` — a balanced CASE search, codegen-friendly."""
+    from kpiframe.operators.tiles import _count_at_most
+
+    return F.when(v.isNotNull(), _count_at_most(v, thresholds, strict=True))
 
 
 def colour_buckets(summary: DataFrame, buckets: int = COLOUR_BUCKETS, small_rows: int | None = None) -> DataFrame:
     """``bucket`` = number of thresholds strictly below the value (0..buckets-1); null value -> null (GEO-3)."""
-    arr = _threshold_array(quantile_thresholds(summary, buckets, small_rows))
-    v = finite_or_null(F.col("value"))
-    return summary.withColumn("bucket", F.when(v.isNotNull(), F.size(F.filter(arr, lambda t: v > t))))
+    thresholds = _thresholds(summary, buckets, small_rows)
+    return summary.withColumn("bucket", _bucket_of(finite_or_null(F.col("value")), thresholds).cast("int"))
 
 
 def legend_bins(summary: DataFrame, buckets: int = LEGEND_BUCKETS, small_rows: int | None = None) -> DataFrame:
     """Legend rows (GEO-4): bin 0..buckets-1 with lower/upper bounds and the keys per bin, plus "No data"."""
     spark = summary.sparkSession
-    th = sorted(quantile_thresholds(summary, buckets, small_rows).collect(), key=lambda r: r["i"])
-    bounds = [float(r["threshold"]) for r in th]
+    bounds = _thresholds(summary, buckets, small_rows)
     rows = []
     for b in range(buckets):
         lower = bounds[b - 1] if 0 < b <= len(bounds) else None
         upper = bounds[b] if b < len(bounds) and b < buckets - 1 else None
         rows.append((b, lower, upper))
     bins = spark.createDataFrame(rows, "bin int, lower double, upper double")
-    arr = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array().cast("array<double>")
     v = finite_or_null(F.col("value"))
     counted = (
-        summary.select(F.when(v.isNotNull(), F.size(F.filter(arr, lambda t: v > t))).alias("bin"))
+        summary.select(_bucket_of(v, bounds).cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("keys"))
     )
@@ -200,7 +204,8 @@ def hotspots(summary: DataFrame, count: int) -> DataFrame:
     v = finite_or_null(F.col("value"))
     finite = summary.where(F.col("key").isNotNull() & v.isNotNull())
     if count == 0:
-        return finite.limit(0)
+        return finite.limit(0).withColumn("rank", F.lit(None).cast("long"))
     order = [F.col("value").desc(), F.col("key").desc()] if count > 0 else [F.col("value").asc(), F.col("key").asc()]
-    top = finite.orderBy(*order).limit(abs(int(count)))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    from kpiframe.operators.ordering import cap_groups
+
+    return cap_groups(finite, order, abs(int(count))).withColumnRenamed("position", "rank")
