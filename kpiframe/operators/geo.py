@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.functions.numbers import col_of, finite_or_null, safe_ratio, try_double
+from kpiframe.functions.numbers import col_of, count_at_most, finite_or_null, safe_ratio, try_double
 from kpiframe.operators import measures as M
 from kpiframe.operators.ranking import running_sum
 
@@ -160,9 +160,7 @@ def _thresholds(summary: DataFrame, buckets: int, small_rows: int | None) -> lis
 
 def _bucket_of(v: Column, thresholds: list[float]) -> Column:
     """Number of thresholds strictly below ``v`` — a balanced CASE search, codegen-friendly."""
-    from kpiframe.operators.tiles import _count_at_most
-
-    return F.when(v.isNotNull(), _count_at_most(v, thresholds, strict=True))
+    return F.when(v.isNotNull(), count_at_most(v, thresholds, strict=True))
 
 
 def colour_buckets(summary: DataFrame, buckets: int = COLOUR_BUCKETS, small_rows: int | None = None) -> DataFrame:

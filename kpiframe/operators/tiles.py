@@ -23,7 +23,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.functions.numbers import col_of
+from kpiframe.functions.numbers import col_of, count_at_most
 from kpiframe.operators.ranking import running_sum
 from kpiframe.session import materialize
 
@@ -91,19 +91,6 @@ def assign_tiles(
     return _tiles_by_values(df, x, n, ties, tile_col, small_rows)
 
 
-def _count_at_most(x: Column, bounds: list[float], strict: bool) -> Column:
-    """Number of sorted ``bounds`` b with b <= x (or b < x when ``strict``) — balanced CASE tree."""
-
-    def build(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        cond = x > F.lit(bounds[mid - 1]) if strict else x >= F.lit(bounds[mid - 1])
-        return F.when(cond, build(mid, hi)).otherwise(build(lo, mid - 1))
-
-    return build(0, len(bounds))
-
-
 def _tiles_by_windows(
     df: DataFrame, x: Column, n: int, ties: Sequence[str], tile_col: str, small_rows: int | None, accuracy: int
 ) -> DataFrame | None:
@@ -145,9 +132,9 @@ def _tiles_by_windows(
     gap_tile = [_py_tile(b, total, n) if b > 0 else 1 for b in below] + [tiles]
     his = [hi for _, hi in windows]
     los = [lo for lo, _ in windows]
-    gap = _count_at_most(qx, his, strict=True)
+    gap = count_at_most(qx, his, strict=True)
     gap_lookup = F.element_at(F.array(*[F.lit(t) for t in gap_tile]), gap + F.lit(1))
-    candidate = _count_at_most(qx, los, strict=False)  # windows whose lo <= x
+    candidate = count_at_most(qx, los, strict=False)  # windows whose lo <= x
     in_window = (candidate > 0) & (qx <= F.element_at(F.array(*[F.lit(h) for h in his]), F.greatest(candidate, F.lit(1))))
     outside = base.where(qx.isNull() | ~in_window)
     parts = [outside.withColumn(tile_col, F.when(qx.isNotNull(), gap_lookup).cast("long"))]
