@@ -846,7 +846,7 @@ def postcode_keys(spark, sf):
 def _customer_boundaries_sql() -> str:
     l1, l2 = _letters("c_custkey")
     return (f"SELECT 'sector' AS level, {l1} || {l2} || CAST(c_custkey % 97 AS VARCHAR) || ' ' || CAST(c_custkey % 10 AS VARCHAR) AS key FROM customer "
-            f"UNION SELECT 'area', {l1} || {l2} FROM customer WHERE c_custkey % 3 = 0")
+            f"UNION SELECT 'area', {l1} || {l2} FROM customer WHERE c_mktsegment = 'BUILDING'")
 
 
 @register("postcode_lookup", "WITH t AS (SELECT s_suppkey, " + _postcode_text_sql("s_suppkey") + " AS txt FROM supplier),\n"
@@ -860,7 +860,7 @@ def postcode_lookup(spark, sf):
     c = table(spark, sf, "customer")
     l1, l2, d, e = _pc_parts("c_custkey")
     sectors = c.select(F.lit("sector").alias("level"), F.concat(l1, l2, d, F.lit(" "), e).alias("key"))
-    areas = c.where(F.col("c_custkey") % 3 == 0).select(F.lit("area").alias("level"), F.concat(l1, l2).alias("key"))
+    areas = c.where(F.col("c_mktsegment") == "BUILDING").select(F.lit("area").alias("level"), F.concat(l1, l2).alias("key"))
     b = sectors.unionByName(areas)
     return lookup(s, "txt", b).select("s_suppkey", "search_level", "search_key", "found")
 
