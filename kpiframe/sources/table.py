@@ -69,6 +69,26 @@ class Table:
             F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size")
         ).distinct()
 
+    def describe(self) -> dict:
+        """Schema response like the original tool's: path, file size, row count, columns (SCH-1).
+
+        Collects only the per-column profile (one row per column) and one
+        row of file totals.
+        """
+        from kpiframe.operators.profile import profile
+
+        size = self.total_size().first()
+        columns = profile(self.df).orderBy("position").collect()
+        return {
+            "path": self.path,
+            "file_size": int(size["file_size"] or 0),
+            "row_count": int(columns[0]["row_count"]) if columns else self.df.count(),
+            "columns": [
+                {"name": c["name"], "type": c["type"], "kind": c["kind"], "band_suggestion": c["band_suggestion"]}
+                for c in columns
+            ],
+        }
+
     def total_size(self) -> DataFrame:
         return self.file_metadata().agg(
             F.count("*").alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("file_size")

@@ -26,6 +26,10 @@ def test_csv_dropmalformed_and_types(spark, tmp_path):
     assert t.total_size().first()["files"] == 1
     typed = load_table(spark, str(p), schema="x int, Actual int, d date").df
     assert typed.count() == 3
+    d = t.describe()
+    assert d["row_count"] == 3 and d["file_size"] == p.stat().st_size
+    assert [(c["name"], c["kind"], c["band_suggestion"]) for c in d["columns"]] == [
+        ("x", "integer", 1.0), ("Actual", "integer", 1.0), ("d", "date", None)]
 
 
 def test_parquet_and_errors(spark, tmp_path):
