@@ -137,3 +137,13 @@ def test_geo_from_request(geo_df):
     res = geo_from_request(geo_df, {"level": "units", "numerator": "Actual", "unitColumn": "CustomUnit",
                                     "latitudeColumn": "CustomLat", "longitudeColumn": "CustomLong"})
     assert res.level == "unit" and res.rows.count() == 4
+
+
+def test_empty_result_warnings(geo_df):
+    res = geo_summary(geo_df, "area", "Actual", filter="Actual > 10000")
+    assert [r["message"] for r in res.warnings.collect()] == [
+        "No non-empty PostcodeArea values were found after filtering."]
+    res = geo_summary(geo_df, "unit", "Actual", weight="Weight", filter="Weight IS NULL")
+    assert [r["message"] for r in res.warnings.orderBy("position").collect()] == [
+        "1 row excluded from Weight because Weight was missing.",
+        "No plot-ready PostcodeUnit points were found after filtering."]
