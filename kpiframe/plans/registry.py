@@ -1041,3 +1041,50 @@ def chart_quantile_windows(spark, sf):
     res = chart(table(spark, sf, "lineitem"), "l_extendedprice", "l_extendedprice", "l_discount", weight="l_quantity",
                 quantiles=20, tie_by=["l_orderkey", "l_linenumber", "l_discount", "l_quantity"], tile_method="windows")
     return out(res.rows, ["x", "position", "volume", "resp0", "resp1"])
+
+
+# --- other given tables: events, conversations, pages (whole texts) --------------------------
+
+_ET = O.category_key("event_type")
+
+
+@register(
+    "sigma_events",
+    O.chart_sql("(SELECT *, value * 0.8 + (event_id % 5) AS baseline FROM events) src", _ET, _ET, _ET,
+                ["value", "baseline"], None, ALPHA,
+                _SIG_COLS + [b.format(k="2.0") for b in _BOUNDS], fold_key="event_id"),
+)
+def sigma_events(spark, sf):
+    ev = table(spark, sf, "events").withColumn("baseline", F.col("value") * 0.8 + (F.col("event_id") % 5))
+    res = chart(ev, "event_type", "value", "baseline", sigma=2, fold_by=["event_id"])
+    return out(res.rows, ["x", "position", "is_tail", "volume", "resp0", "resp1", "sigma_se", "valid_folds",
+                          "resp1_low", "resp1_high"])
+
+
+_ROLE = O.category_key("role")
+
+
+@register(
+    "chart_conversation_text_length",
+    O.chart_sql("(SELECT *, CAST(length(text) AS BIGINT) AS text_chars FROM conversations) src", _ROLE, _ROLE, _ROLE,
+                ["text_chars", "turn"], None, "volume DESC, lower(x), x",
+                ["x", "position", rd("volume"),
+                 f"round({_TRANSFORM_SQL['one']('resp0', 0)}, 6) AS resp0",
+                 f"round({_TRANSFORM_SQL['one']('resp1', 1)}, 6) AS resp1"]),
+)
+def chart_conversation_text_length(spark, sf):
+    # Whole-text character counts per role, relative to the displayed average ("one").
+    conv = table(spark, sf, "conversations").withColumn("text_chars", F.length("text").cast("long"))
+    res = chart(conv, "role", "text_chars", "turn", sort="volume", transform="one")
+    return out(res.rows, ["x", "position", "volume", "resp0", "resp1"])
+
+
+@register(
+    "chart_page_length_quantiles",
+    O.chart_sql(_quantile_source("(SELECT *, CAST(length(html) AS BIGINT) AS html_chars FROM pages) p0", "html_chars", "page_id", 5),
+                "tile", _QLABEL, _QSORT, ["html_chars"], None, ORDERED, ["x", "position", rd("volume"), rd("resp0")]),
+)
+def chart_page_length_quantiles(spark, sf):
+    pages = table(spark, sf, "pages").withColumn("html_chars", F.length("html").cast("long"))
+    res = chart(pages, "html_chars", "html_chars", quantiles=5, tie_by=["page_id"])
+    return out(res.rows, ["x", "position", "volume", "resp0"])
