@@ -21,6 +21,23 @@ _EXPORTS = {
     "GeoResult": "kpiframe.plans.geo",
     "boundary_join": "kpiframe.plans.geo",
     "profile": "kpiframe.operators.profile",
+    "chart_defaults": "kpiframe.operators.profile",
+    "chart_from_request": "kpiframe.plans.chart",
+    "geo_from_request": "kpiframe.plans.geo",
+    "MapResult": "kpiframe.plans.geo",
+    "apply_filter": "kpiframe.operators.filters",
+    "combine_filters": "kpiframe.operators.filters",
+    "check_filters": "kpiframe.operators.filters",
+    "row_counts": "kpiframe.operators.filters",
+    "load_saved_filters": "kpiframe.sources.saved_filters",
+    "read_boundaries": "kpiframe.sources.boundaries",
+    "write_features": "kpiframe.sources.boundaries",
+    "features_from_wkb": "kpiframe.sources.boundaries",
+    "assign_tiles": "kpiframe.operators.tiles",
+    "running_sum": "kpiframe.operators.ranking",
+    "chart_parts_stream": "kpiframe.streaming.refresh",
+    "start_refresh": "kpiframe.streaming.refresh",
+    "present_snapshot": "kpiframe.streaming.refresh",
 }
 
 __all__ = sorted(_EXPORTS)
