@@ -63,18 +63,35 @@ def start_refresh(
     name: str,
     *,
     sink: str = "memory",
+    path: str | None = None,
     checkpoint_location: str | None = None,
     processing_time: str | None = None,
     options: dict | None = None,
 ) -> StreamingQuery:
     """Start the stateful aggregation in complete mode.
 
-    The streaming checkpoint goes under the session's shared checkpoint
-    folder unless a location is given, so a restarted driver resumes from
-    the files already counted.
+    ``sink="memory"`` keeps the snapshot in the driver (tests, notebooks);
+    ``sink="parquet"`` overwrites a Parquet snapshot at ``path`` after every
+    micro-batch (one row per group, written by the executors), which is
+    what a cluster job should use.  The streaming checkpoint goes under the
+    session's shared checkpoint folder unless a location is given, so a
+    restarted job resumes from the files already counted.
     """
     spark = parts.sparkSession
     location = checkpoint_location or os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+    if sink == "parquet":
+        if not path:
+            raise ValueError("sink='parquet' needs a path")
+
+        def write_snapshot(batch: DataFrame, epoch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(path)
+
+        writer = parts.writeStream.outputMode("complete").foreachBatch(write_snapshot).queryName(name).option(
+            "checkpointLocation", location
+        )
+        if processing_time:
+            writer = writer.trigger(processingTime=processing_time)
+        return writer.start()
     writer = parts.writeStream.outputMode("complete").format(sink).queryName(name).option("checkpointLocation", location)
     for key, value in (options or {}).items():
         writer = writer.option(key, value)

@@ -27,3 +27,19 @@ def test_stream_matches_batch_as_files_arrive(spark, tmp_path):
     for x in want:
         assert got[x]["volume"] == pytest.approx(want[x]["volume"])
         assert got[x]["resp0"] == pytest.approx(want[x]["resp0"]) if want[x]["resp0"] is not None else got[x]["resp0"] is None
+
+
+def test_stream_parquet_snapshot(spark, tmp_path):
+    folder = tmp_path / "incoming"
+    schema = "k string, v double"
+    spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], schema).write.parquet(str(folder / "p1"))
+    parts, spec = chart_parts_stream(spark, str(folder / "*"), schema, "k", "v")
+    snap = str(tmp_path / "snapshot")
+    query = start_refresh(parts, "kpiframe_test_snapshot", sink="parquet", path=snap,
+                          checkpoint_location=str(tmp_path / "ckpt2"))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    rows = by_x(present_snapshot(spark.read.parquet(snap), spec).collect())
+    assert rows["a"]["resp0"] == pytest.approx(2.0) and rows["b"]["volume"] == 1
