@@ -38,6 +38,11 @@ def _untouched(groups: DataFrame) -> DataFrame:
     return groups.withColumn("x", F.col("x_label")).withColumn("is_tail", F.lit(False))
 
 
+def has_threshold(threshold: object) -> bool:
+    """Whether a low-weight threshold may merge anything (percent, or a positive number)."""
+    return _needs_total(threshold) or parse_threshold(threshold, 0.0) > 0
+
+
 def _needs_total(threshold: object) -> bool:
     return str(threshold if threshold is not None else "").strip().endswith("%")
 

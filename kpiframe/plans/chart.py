@@ -29,7 +29,7 @@ from kpiframe.functions.numbers import col_of, finite_or_null, quantile_count, q
 from kpiframe.functions.transforms import transform_sql
 from kpiframe.operators import measures as M
 from kpiframe.operators.filters import apply_filter
-from kpiframe.operators.grouping import assign_display
+from kpiframe.operators.grouping import assign_display, has_threshold
 from kpiframe.operators.keys import quantile_key, x_key
 from kpiframe.operators.ordering import cap_groups, sort_columns
 from kpiframe.operators.ranking import SMALL_ROWS
@@ -60,8 +60,24 @@ class ChartResult:
     _source: DataFrame | None = field(default=None, repr=False)
     _filter: str | None = field(default=None, repr=False)
     _cache: dict = field(default_factory=dict, repr=False)
+    _present: Any = field(default=None, repr=False)
+    _materialized: bool = field(default=True, repr=False)
+
+    def materialize(self) -> "ChartResult":
+        """Checkpoint the group table (once) and rebuild ``rows`` on it.
+
+        Charts without tails or sigma read their groups once, so :func:`chart`
+        leaves them lazy; the first side output that needs the groups again
+        triggers this, keeping a full request at one table scan.
+        """
+        if not self._materialized:
+            self.groups = materialize(self.groups)
+            self.rows, self._invalid = self._present(self.groups)
+            self._materialized = True
+        return self
 
     def _parts(self) -> DataFrame:
+        self.materialize()
         return self.groups.withColumn("volume_sum", F.col("volume"))
 
     @property
@@ -87,6 +103,7 @@ class ChartResult:
 
     @property
     def warnings(self) -> DataFrame:
+        self.materialize()
         if "warnings" not in self._cache:
             w = M.weight_warnings(self.quality, self.weight)
             self._cache["warnings"] = w.unionByName(self._invalid) if self._invalid is not None else w
@@ -96,6 +113,7 @@ class ChartResult:
         """The original tool's response dict (collects the capped rows and one-row summaries)."""
         from kpiframe.plans.payload import chart_payload
 
+        self.materialize()
         return chart_payload(self, self._filter or "")
 
     def unpersist(self) -> None:
@@ -204,16 +222,27 @@ def chart(
         grouped = parts.groupBy("x_key", "x_label").agg(*M.rollup_aggs(n_resp))
     else:
         grouped = parts
-    groups = materialize(groups_from_parts(grouped, group_kind, n_resp))
+    groups = groups_from_parts(grouped, group_kind, n_resp)
+    # Tails and sigma read the groups several times: keep them in the checkpoint
+    # folder now.  Otherwise ``rows`` reads them once and the checkpoint waits
+    # for a second reader (ChartResult.materialize).
+    eager = include_sigma or has_threshold(low_weight)
+    if eager:
+        groups = materialize(groups)
+
+    def present(g: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        return present_groups(
+            g, group_kind, n_resp, parts=parts if include_sigma else None, low_weight=low_weight, sort=sort,
+            max_groups=max_groups, transform=transform, sigma=float(sigma or 0) if include_sigma else 0.0,
+            small_rows=small_rows,
+        )
 
-    rows, invalid = present_groups(
-        groups, group_kind, n_resp, parts=parts if include_sigma else None, low_weight=low_weight, sort=sort,
-        max_groups=max_groups, transform=transform, sigma=float(sigma or 0) if include_sigma else 0.0,
-        small_rows=small_rows,
-    )
+    rows, invalid = present(groups)
     return ChartResult(
         rows=rows,
         groups=groups,
+        _present=present,
+        _materialized=eager,
         _invalid=invalid,
         _source=df,
         _filter=filter,
