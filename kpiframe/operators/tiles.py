@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from kpiframe.functions.numbers import col_of, count_at_most
 from kpiframe.operators.ranking import running_sum
-from kpiframe.session import materialize
 
 
 def tile_of_rank(rank: Column, total: int, n: int) -> Column:
@@ -81,23 +80,32 @@ def assign_tiles(
     only) or ``"auto"`` (windows when x has more than ``distinct_limit``
     distinct values).  Both are exact.
     """
+    # One pass: exact non-null count (the tile formula needs it) and an
+    # estimate of the distinct values (picks the strategy and the ranking path).
+    stats = df.select(x.alias("__qx")).agg(
+        F.count("__qx").alias("total"), F.approx_count_distinct("__qx").alias("distinct")
+    ).first()
+    total, distinct = int(stats["total"] or 0), int(stats["distinct"] or 0)
+    if total == 0:
+        return df.withColumn(tile_col, F.lit(None).cast("long"))
     if method == "auto":
-        approx = df.select(F.approx_count_distinct(x).alias("d")).first()["d"] or 0
-        method = "windows" if approx > distinct_limit else "values"
+        method = "windows" if distinct > distinct_limit else "values"
     if method == "windows":
-        out = _tiles_by_windows(df, x, n, ties, tile_col, small_rows, accuracy)
+        out = _tiles_by_windows(df, x, n, ties, tile_col, small_rows, accuracy, total)
         if out is not None:
             return out
-    return _tiles_by_values(df, x, n, ties, tile_col, small_rows)
+    return _tiles_by_values(df, x, n, ties, tile_col, small_rows, total, distinct)
 
 
 def _tiles_by_windows(
-    df: DataFrame, x: Column, n: int, ties: Sequence[str], tile_col: str, small_rows: int | None, accuracy: int
+    df: DataFrame, x: Column, n: int, ties: Sequence[str], tile_col: str, small_rows: int | None, accuracy: int,
+    total: int | None = None,
 ) -> DataFrame | None:
     """Exact tiles from value windows around each tile boundary; None when a check fails."""
     base = df.withColumn("__qx", x)
     qx = F.col("__qx")
-    total = base.where(qx.isNotNull()).count()
+    if total is None:
+        total = base.where(qx.isNotNull()).count()
     if total == 0:
         return base.withColumn(tile_col, F.lit(None).cast("long")).drop("__qx")
     tiles = min(n, total)
@@ -151,20 +159,18 @@ def _tiles_by_windows(
 
 
 def _tiles_by_values(
-    df: DataFrame, x: Column, n: int, ties: Sequence[str], tile_col: str, small_rows: int | None
+    df: DataFrame, x: Column, n: int, ties: Sequence[str], tile_col: str, small_rows: int | None,
+    total: int, distinct: int,
 ) -> DataFrame:
-    """Tiles from exact counts per distinct value; only straddling values are ranked by row."""
+    """Tiles from exact counts per distinct value; only straddling values are ranked by row.
+
+    ``distinct`` (an estimate is fine) only picks the ranking path.  The
+    per-value counts are read once, by the job that collects the tile edges.
+    """
     spark = df.sparkSession
     base = df.withColumn("__qx", x)
     non_null = base.where(F.col("__qx").isNotNull())
-    # Distinct values and their counts: read three times below (totals, ranks,
-    # edges), so kept; its size is the number of distinct x values.
-    values = materialize(non_null.groupBy("__qx").agg(F.count(F.lit(1)).alias("__c")))
-    stats = values.agg(F.count(F.lit(1)).alias("k"), F.sum("__c").alias("total")).first()
-    distinct, total = int(stats["k"] or 0), int(stats["total"] or 0)
-    if total == 0:
-        return base.withColumn(tile_col, F.lit(None).cast("long")).drop("__qx")
-
+    values = non_null.groupBy("__qx").agg(F.count(F.lit(1)).alias("__c"))
     ranked = running_sum(values, [F.col("__qx").asc()], F.col("__c"), small_rows=small_rows, row_count=distinct)
     hi = F.col("__cum")
     lo = hi - F.col("__c") + F.lit(1)
