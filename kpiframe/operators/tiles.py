@@ -80,28 +80,50 @@ def assign_tiles(
     only) or ``"auto"`` (windows when x has more than ``distinct_limit``
     distinct values).  Both are exact.
     """
-    # One pass: exact non-null count (the tile formula needs it) and an
-    # estimate of the distinct values (picks the strategy and the ranking path).
-    stats = df.select(x.alias("__qx")).agg(
-        F.count("__qx").alias("total"), F.approx_count_distinct("__qx").alias("distinct")
-    ).first()
+    # One pass: exact non-null count (the tile formula needs it), an estimate
+    # of the distinct values (picks the strategy and the ranking path) and,
+    # unless per-value counts are forced, approximate values around the tile
+    # boundaries t/n (within n/N of the exact fractions; the windows add that
+    # slack and are verified with exact counts before use).
+    aggs = [F.count("__qx").alias("total"), F.approx_count_distinct("__qx").alias("distinct")]
+    guess = _guess_fractions(n, accuracy) if method != "values" else []
+    if guess:
+        aggs.append(F.percentile_approx("__qx", guess, accuracy).alias("p"))
+    stats = df.select(x.alias("__qx")).agg(*aggs).first()
     total, distinct = int(stats["total"] or 0), int(stats["distinct"] or 0)
     if total == 0:
         return df.withColumn(tile_col, F.lit(None).cast("long"))
     if method == "auto":
         method = "windows" if distinct > distinct_limit else "values"
     if method == "windows":
-        out = _tiles_by_windows(df, x, n, ties, tile_col, small_rows, accuracy, total)
+        approx = list(stats["p"]) if guess and stats["p"] is not None and total >= 4 * n * accuracy else None
+        out = _tiles_by_windows(df, x, n, ties, tile_col, small_rows, accuracy, total, approx)
+        if out is None and approx is not None:
+            out = _tiles_by_windows(df, x, n, ties, tile_col, small_rows, accuracy, total)
         if out is not None:
             return out
     return _tiles_by_values(df, x, n, ties, tile_col, small_rows, total, distinct)
 
 
+def _guess_fractions(n: int, accuracy: int) -> list[float]:
+    """Fractions bracketing each boundary t/n (t = 1..n-1) by 4/accuracy."""
+    margin = 4.0 / accuracy
+    out: list[float] = []
+    for t in range(1, n):
+        out += [max(0.0, t / n - margin), min(1.0, t / n + margin)]
+    return out
+
+
 def _tiles_by_windows(
     df: DataFrame, x: Column, n: int, ties: Sequence[str], tile_col: str, small_rows: int | None, accuracy: int,
-    total: int | None = None,
+    total: int | None = None, approx: list[float] | None = None,
 ) -> DataFrame | None:
-    """Exact tiles from value windows around each tile boundary; None when a check fails."""
+    """Exact tiles from value windows around each tile boundary; None when a check fails.
+
+    ``approx`` holds precomputed window edges (pairs per boundary, from
+    :func:`_guess_fractions`); without it they are computed here from the
+    exact boundary fractions.
+    """
     base = df.withColumn("__qx", x)
     qx = F.col("__qx")
     if total is None:
@@ -113,11 +135,12 @@ def _tiles_by_windows(
     last_ranks = [t * (q + 1) if t <= m else m * (q + 1) + (t - m) * q for t in range(1, tiles)]
     if not last_ranks:  # one tile
         return base.withColumn(tile_col, F.when(qx.isNotNull(), F.lit(1)).cast("long")).drop("__qx")
-    margin = 3.0 * total / accuracy + 1
-    fracs = []
-    for r in last_ranks:
-        fracs += [max(0.0, (r - margin) / total), min(1.0, (r + 1 + margin) / total)]
-    approx = base.where(qx.isNotNull()).select(F.percentile_approx(qx, fracs, accuracy).alias("p")).first()["p"]
+    if approx is None or len(approx) != 2 * len(last_ranks):
+        margin = 3.0 * total / accuracy + 1
+        fracs = []
+        for r in last_ranks:
+            fracs += [max(0.0, (r - margin) / total), min(1.0, (r + 1 + margin) / total)]
+        approx = base.where(qx.isNotNull()).select(F.percentile_approx(qx, fracs, accuracy).alias("p")).first()["p"]
     raw = sorted((approx[2 * i], approx[2 * i + 1]) for i in range(len(last_ranks)))
     windows: list[list[float]] = []
     for lo, hi in raw:

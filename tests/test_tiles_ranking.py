@@ -83,3 +83,22 @@ def test_auto_method_picks_windows_for_many_values(spark):
     got = {r["id"]: r["__tile"] for r in assign_tiles(df, F.col("x"), 6, ["id"], distinct_limit=100).collect()}
     want = {r["id"]: r["t"] for r in df.withColumn("t", F.ntile(6).over(Window.orderBy("x", "id"))).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("n", [3, 8])
+def test_window_tiles_with_first_pass_edges(spark, n):
+    from kpiframe.operators.tiles import _guess_fractions
+
+    rnd = random.Random(7 + n)
+    xs = [3.25 if rnd.random() < 0.3 else round(rnd.uniform(0, 1000), 3) for _ in range(4000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "id long, x double")
+    acc = 100
+    approx = df.agg(F.percentile_approx("x", _guess_fractions(n, acc), acc).alias("p")).first()["p"]
+    tiled = _tiles_by_windows(df, F.col("x"), n, ["id"], "__tile", None, acc, len(xs), list(approx))
+    assert tiled is not None
+    got = {r["id"]: r["__tile"] for r in tiled.collect()}
+    want = {r["id"]: r["t"] for r in df.withColumn("t", F.ntile(n).over(Window.orderBy("x", "id"))).collect()}
+    assert got == want
+    # and through the public entry point (first-pass edges are used when N >= 4*n*accuracy)
+    via = {r["id"]: r["__tile"] for r in assign_tiles(df, F.col("x"), n, ["id"], method="windows", accuracy=acc).collect()}
+    assert via == want
