@@ -82,11 +82,13 @@ def assign_tiles(
     """
     # One pass: exact non-null count (the tile formula needs it), an estimate
     # of the distinct values (picks the strategy and the ranking path) and,
-    # unless per-value counts are forced, approximate values around the tile
-    # boundaries t/n (within n/N of the exact fractions; the windows add that
-    # slack and are verified with exact counts before use).
+    # when the window strategy is asked for, approximate values around the
+    # tile boundaries t/n (within n/N of the exact fractions; windows are
+    # verified with exact counts before use).  The percentile sketch is a
+    # heavy aggregate, so "auto" leaves it out and pays a separate pass only
+    # when it does pick windows.
     aggs = [F.count("__qx").alias("total"), F.approx_count_distinct("__qx").alias("distinct")]
-    guess = _guess_fractions(n, accuracy) if method != "values" else []
+    guess = _guess_fractions(n, accuracy) if method == "windows" else []
     if guess:
         aggs.append(F.percentile_approx("__qx", guess, accuracy).alias("p"))
     stats = df.select(x.alias("__qx")).agg(*aggs).first()
@@ -96,7 +98,7 @@ def assign_tiles(
     if method == "auto":
         method = "windows" if distinct > distinct_limit else "values"
     if method == "windows":
-        approx = list(stats["p"]) if guess and stats["p"] is not None and total >= 4 * n * accuracy else None
+        approx = list(stats["p"]) if guess and stats["p"] is not None else None
         out = _tiles_by_windows(df, x, n, ties, tile_col, small_rows, accuracy, total, approx)
         if out is None and approx is not None:
             out = _tiles_by_windows(df, x, n, ties, tile_col, small_rows, accuracy, total)
