@@ -11,12 +11,12 @@ overflow loop: the prefix ends at the first running sum above t.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiframe.functions import kinds
 from kpiframe.functions.numbers import parse_positive_float
-from kpiframe.operators.ranking import running_sum
+from kpiframe.operators.ranking import SMALL_ROWS, running_sum
 
 LOW_TAIL = "Low tail"
 HIGH_TAIL = "High tail"
@@ -85,16 +85,28 @@ def assign_display(
         small_rows=small_rows,
         row_count=n,
     )
-    bounds = ranked.agg(
-        F.min(F.when(F.col("__cum") > F.lit(t), F.col("__pos"))).alias("first_over"),
-        F.sum("volume").alias("total"),
-    ).first()
-    first_over = int(bounds["first_over"]) if bounds["first_over"] is not None else n + 1
-    total = float(bounds["total"] or 0.0)
-    suffix = F.lit(total) - (F.col("__cum") - F.col("volume"))
-    last_over = (
-        ranked.where((F.col("__pos") >= first_over) & (suffix > F.lit(t))).agg(F.max("__pos").alias("m")).first()["m"]
-    )
+    limit = SMALL_ROWS if small_rows is None else small_rows
+    over = F.when(F.col("__cum") > F.lit(t), F.col("__pos"))
+    if n <= limit:
+        # Groups fit the single-window path: both boundaries in one job.
+        everything = Window.partitionBy(F.lit(1))
+        staged = ranked.withColumns({
+            "__first": F.coalesce(F.min(over).over(everything), F.lit(n + 1)),
+            "__total": F.sum("volume").over(everything),
+        })
+        suffix = F.col("__total") - (F.col("__cum") - F.col("volume"))
+        b = staged.agg(
+            F.first("__first").alias("first_over"),
+            F.max(F.when((F.col("__pos") >= F.col("__first")) & (suffix > F.lit(t)), F.col("__pos"))).alias("m"),
+        ).first()
+        first_over, last_over = int(b["first_over"]), b["m"]
+    else:
+        bounds = ranked.agg(F.min(over).alias("first_over"), F.sum("volume").alias("total")).first()
+        first_over = int(bounds["first_over"]) if bounds["first_over"] is not None else n + 1
+        suffix = F.lit(float(bounds["total"] or 0.0)) - (F.col("__cum") - F.col("volume"))
+        last_over = (
+            ranked.where((F.col("__pos") >= first_over) & (suffix > F.lit(t))).agg(F.max("__pos").alias("m")).first()["m"]
+        )
     high_start = int(last_over) + 1 if last_over is not None else first_over
     n_low = first_over - 1
     n_high = n - high_start + 1 if high_start <= n else 0
