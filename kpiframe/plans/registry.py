@@ -37,18 +37,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Sums (weights, numerators) are rounded to 3 places: finer than the inputs'
+# 2-3 decimal granularity, coarser than the engines' different summation
+# orders (~1e-6 on sums near 1e9).  Ratios and means keep 6 places.
+SUM_COLUMNS = {"volume", "resp0_num", "resp0_den", "resp1_num", "resp1_den", "numerator", "denominator"}
+SUM_ROUND = 3
+
+
+def round_sql(c: str, places: int) -> str:
+    """Round like SQL engines do for doubles: scale, round half away from zero on the binary value, unscale.
+
+    (Spark's own ``round`` rounds the shortest decimal text half-up, which
+    can break a tie the other way.)
+    """
+    m = f"{float(10 ** places)!r}D"
+    y = f"({c} * {m})"
+    return (f"CAST(signum({y}) * CASE WHEN abs({y}) - floor(abs({y})) >= 0.5D THEN ceil(abs({y})) "
+            f"ELSE floor(abs({y})) END / {m} AS DOUBLE)")
+
+
 def out(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Select ``columns``; doubles rounded to 6 places."""
+    """Select ``columns``; doubles rounded (sums to 3 places, other values to 6)."""
     types = dict((f.name, f.dataType) for f in df.schema.fields)
-    sel = [
-        f"round({c}, {O.ROUND}) AS {c}" if isinstance(types.get(c), (T.DoubleType, T.FloatType)) else c
-        for c in columns
-    ]
+    sel = []
+    for c in columns:
+        if isinstance(types.get(c), (T.DoubleType, T.FloatType)):
+            places = SUM_ROUND if c in SUM_COLUMNS else O.ROUND
+            sel.append(f"{round_sql(c, places)} AS {c}")
+        else:
+            sel.append(c)
     return df.selectExpr(*sel)
 
 
 def rd(c: str) -> str:
-    return f"{O.r(c)} AS {c}"
+    places = SUM_ROUND if c in SUM_COLUMNS or c == "num0" else O.ROUND
+    return f"{O.r(c, places)} AS {c}"
 
 
 # --- derived inputs with projected nulls (same rule in Spark and SQL) -------------------
@@ -265,9 +288,10 @@ for _name, _src, _col, _bucket, _resp in [
 w AS (SELECT CASE WHEN price IS NOT NULL AND expected IS NOT NULL THEN 1.0 END AS w, price, expected FROM base),
 s AS (SELECT SUM(CASE WHEN w IS NOT NULL THEN price END) AS n0, SUM(CASE WHEN w IS NOT NULL THEN expected END) AS n1,
              COALESCE(SUM(w), 0) AS d FROM w)
-SELECT 0 AS response, 'Actual' AS label, round(n0 / NULLIF(d, 0), 6) AS value, round(n0, 6) AS numerator, round(d, 6) AS denominator FROM s
+SELECT 0 AS response, 'Actual' AS label, round(CAST(n0 / NULLIF(d, 0) AS DOUBLE), 6) AS value,
+  round(CAST(n0 AS DOUBLE), 3) AS numerator, round(CAST(d AS DOUBLE), 3) AS denominator FROM s
 UNION ALL
-SELECT 1, 'Expected', round(n1 / NULLIF(d, 0), 6), round(n1, 6), round(d, 6) FROM s""",
+SELECT 1, 'Expected', round(CAST(n1 / NULLIF(d, 0) AS DOUBLE), 6), round(CAST(n1 AS DOUBLE), 3), round(CAST(d AS DOUBLE), 3) FROM s""",
 )
 def chart_totals(spark, sf):
     res = chart(orders_nulls(spark, sf), "o_orderstatus", "price", "expected")
@@ -289,7 +313,7 @@ def _quality_chart(spark, sf):
     return chart(customer_weights(spark, sf), "c_mktsegment", "bal", weight="wt", filter="c_nationkey < 20")
 
 
-@register("weight_quality", _QUALITY_SQL + "\nSELECT round(value, 6) AS value, filtered_row_count, missing_response_rows, "
+@register("weight_quality", _QUALITY_SQL + "\nSELECT round(CAST(value AS DOUBLE), 6) AS value, filtered_row_count, missing_response_rows, "
           "missing_weight_rows, zero_weight_rows, negative_weight_rows FROM q")
 def weight_quality(spark, sf):
     return out(_quality_chart(spark, sf).quality, ["value", "filtered_row_count", "missing_response_rows",
@@ -597,9 +621,9 @@ def geo_input(spark: SparkSession, sf: str) -> DataFrame:
         sector.alias("sector"),
         F.concat(sector, F.lit("-"), (F.col("c_custkey") % 5).cast("string")).alias("unit"),
         F.when(F.col("c_custkey") % 19 == 0, F.lit(999.0))
-        .otherwise(F.lit(50.0) + F.col("c_nationkey") / 2.0 + (F.col("c_custkey") % 7) / 100.0).alias("lat"),
+        .otherwise(F.lit(50.0) + F.col("c_nationkey") / 2.0 + (F.col("c_custkey") % 7) / 97.0).alias("lat"),
         F.when(F.col("c_custkey") % 29 == 0, F.lit(None).cast("double"))
-        .otherwise(F.lit(-5.0) + F.col("c_acctbal") / 2000.0).alias("lon"),
+        .otherwise(F.lit(-5.0) + F.col("c_acctbal") / 1999.0).alias("lon"),
     )
 
 
@@ -607,8 +631,8 @@ GEO_INPUT = """(SELECT c_custkey, c_nationkey, c_mktsegment, wt, bal,
   CASE WHEN c_custkey % 23 = 0 THEN '  ' ELSE n_name END AS area,
   n_name || ' ' || CAST(c_custkey % 4 AS VARCHAR) AS sector,
   n_name || ' ' || CAST(c_custkey % 4 AS VARCHAR) || '-' || CAST(c_custkey % 5 AS VARCHAR) AS unit,
-  CASE WHEN c_custkey % 19 = 0 THEN 999.0 ELSE 50.0 + c_nationkey / 2.0 + (c_custkey % 7) / 100.0 END AS lat,
-  CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE -5.0 + c_acctbal / 2000.0 END AS lon
+  CASE WHEN c_custkey % 19 = 0 THEN 999.0 ELSE 50.0 + c_nationkey / 2.0 + (c_custkey % 7) / 97.0 END AS lat,
+  CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE -5.0 + c_acctbal / 1999.0 END AS lon
   FROM """ + CUSTOMER_WEIGHTS + """ JOIN nation ON c_nationkey = n_nationkey) gsrc"""
 
 
@@ -686,7 +710,8 @@ def geo_extent(spark, sf):
 
 @register("geo_totals", """WITH t AS (SELECT SUM(CASE WHEN w IS NOT NULL THEN r END) AS n, COALESCE(SUM(w), 0) AS d FROM (
   SELECT CASE WHEN bal IS NOT NULL AND wt IS NOT NULL THEN wt END AS w, bal AS r FROM """ + GEO_INPUT + """ WHERE c_nationkey < 20) x)
-SELECT 0 AS response, 'bal' AS label, round(n / NULLIF(d, 0), 6) AS value, round(n, 6) AS numerator, round(d, 6) AS denominator FROM t""")
+SELECT 0 AS response, 'bal' AS label, round(CAST(n / NULLIF(d, 0) AS DOUBLE), 6) AS value, round(CAST(n AS DOUBLE), 3) AS numerator,
+  round(CAST(d AS DOUBLE), 3) AS denominator FROM t""")
 def geo_totals(spark, sf):
     return out(_geo(spark, sf, "area", filter="c_nationkey < 20").totals,
                ["response", "label", "value", "numerator", "denominator"])
