@@ -41,7 +41,3 @@ def is_numeric_kind(kind: str) -> bool:
 def column_kinds(df: DataFrame) -> dict[str, str]:
     """Ordered ``{column: kind}`` for the top-level columns of ``df``."""
     return {field.name: kind_of(field.dataType) for field in df.schema.fields}
-
-
-def type_text(data_type: T.DataType) -> str:
-    return data_type.simpleString()

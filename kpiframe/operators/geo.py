@@ -67,19 +67,6 @@ def summary_from_parts(parts: DataFrame, points: bool = False) -> DataFrame:
     return parts.where(F.col("key").isNotNull()).select(*cols)
 
 
-def key_summary(
-    df: DataFrame,
-    key_col: str,
-    response: M.Response,
-    weight: M.Weight,
-    lat_col: str | None = None,
-    lon_col: str | None = None,
-) -> DataFrame:
-    """Per non-null key summary straight from a table (one aggregation)."""
-    parts = key_parts(df, key_col, response, weight, lat_col, lon_col)
-    return summary_from_parts(parts, bool(lat_col and lon_col))
-
-
 def point_status(units: DataFrame) -> DataFrame:
     """``status``: missing_value (checked first), missing_coordinate or plotted (AGG-16)."""
     return units.withColumn(

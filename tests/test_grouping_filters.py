@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kpiframe.functions import kinds
 from kpiframe.functions.labels import double_text_sql
-from kpiframe.operators.filters import apply_filter, combine_filters, row_counts
+from kpiframe.operators.filters import apply_filter, combine_filter_columns, combine_filters, row_counts
 from kpiframe.operators.grouping import assign_display, parse_threshold
 from kpiframe.plans.chart import chart
 
@@ -74,6 +74,9 @@ def test_filter_combinations_complement(spark):
     assert count("and") + count("nand") == 200
     assert count("or") + count("nor") == 200
     assert combine_filters([], "and") == ""
+    cols = [F.col("a") < 3, (F.col("b") == 1) | (F.col("b") == 2)]
+    assert df.where(combine_filter_columns(cols, "nand")).count() == count("nand")
+    assert df.where(combine_filter_columns(cols, "or")).count() == count("or")
     assert combine_filters(filters, "nor") == "NOT ((a < 3) OR (b = 1 OR b = 2))"
 
 
