@@ -64,10 +64,16 @@ class Table:
         return self.df
 
     def file_metadata(self) -> DataFrame:
-        """One row per input file: path and byte size (SRC-7)."""
-        return self.df.select(
-            F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size")
-        ).distinct()
+        """One row per input file: path and byte size (SRC-7).
+
+        Read from the file listing (``binaryFile`` with only path and length
+        selected, so no file content and no table row is read).
+        """
+        files = self.spark.read.format("binaryFile").load(self.path).select(
+            F.col("path").alias("file_path"), F.col("length").alias("file_size")
+        )
+        suffix = _suffix(self.path)
+        return files.where(F.lower(F.col("file_path")).endswith(suffix)) if suffix in SUPPORTED else files
 
     def describe(self) -> dict:
         """Schema response like the original tool's: path, file size, row count, columns (SCH-1).
