@@ -37,9 +37,12 @@ def profile(df: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_fraction: floa
         sample = df.sample(fraction=sample_fraction, seed=seed) if sample_fraction else df.limit(int(sample_rows))
         row = sample.agg(*[F.stddev_samp(try_double(c)).alias(f"s{i}") for i, c in enumerate(numeric)]).first()
         stds = {c: row[f"s{i}"] for i, c in enumerate(numeric)}
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+    # count / min / max over raw columns (no casts), so that with the
+    # DataSource V2 Parquet reader and aggregate push-down Spark can answer
+    # them from file footers instead of scanning.
+    aggs = [F.count("*").alias("__rows")]
     for i, c in enumerate(integer):
-        aggs += [F.min(col_of(c).try_cast("bigint")).alias(f"lo{i}"), F.max(col_of(c).try_cast("bigint")).alias(f"hi{i}")]
+        aggs += [F.min(col_of(c)).alias(f"lo{i}"), F.max(col_of(c)).alias(f"hi{i}")]
     whole = df.agg(*aggs).first()
     ranges = {c: (whole[f"lo{i}"], whole[f"hi{i}"]) for i, c in enumerate(integer)}
 
