@@ -3,7 +3,8 @@
 Two aggregate jobs, each one pass and one row: standard deviations of the
 numeric columns over a sample (the first ``sample_rows`` rows, as the
 original tool does, or a seeded fraction), and row count plus integer
-min/max over the whole table (Parquet can answer those from footers).
+min/max over the whole table (a column-pruned scan; with the DataSource V2
+Parquet reader and aggregate push-down, footers answer it).
 Only those single rows reach the driver; their size is bounded by the
 column count.
 """
