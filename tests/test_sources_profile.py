@@ -121,3 +121,14 @@ def test_saved_filters_bind(spark, tmp_path, chart_df):
     results = check_filters(chart_df, load_saved_filters(spark, str(p)))
     assert [(n, ok) for n, ok, _ in results] == [("Older drivers", True), ("Vans", True), ("Broken", False)]
     assert results[2][2].startswith("Invalid filter")
+
+
+def test_file_metadata_folder(spark, tmp_path):
+    out = str(tmp_path / "multi.parquet")
+    spark.range(100).repartition(3).write.parquet(out)  # a folder with 3 part files and _SUCCESS
+    t = load_table(spark, out)
+    files = t.file_metadata().collect()
+    assert len(files) == 3 and all(r["file_path"].endswith(".parquet") for r in files)
+    size = t.total_size().first()
+    assert size["files"] == 3 and size["file_size"] == sum(r["file_size"] for r in files)
+    assert t.df.count() == 100
