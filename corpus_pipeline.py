@@ -1,12 +1,71 @@
-"""Corpus pipeline: quality filter, exact and near deduplication, source mixing, BPE encoding."""
+"""Corpus pipeline: quality filter, exact deduplication, near deduplication, source mix, BPE encoding.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. ``run`` writes each stage's result
+to the shared folder and reads it again for the next, so a lost executor costs no earlier stage.
+"""
+
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kpiframe.llm.bpe_codec import bpe_codec
+from kpiframe.llm.common import importable, stored, without, written
+from kpiframe.llm.exact_dedup import exact_dedup
+from kpiframe.llm.near_dedup import near_dedup
+from kpiframe.llm.quality_gam import accepted
+from kpiframe.llm.source_mix import mixed_documents
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model doesn't reject; it learns from those of ``docs`` that have labels."""
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with equal texts."""
+    docs = stored(docs)
+    return without(docs, exact_dedup(docs).filter("not kept").select("place"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    docs = stored(docs)
+    return without(docs, near_dedup(docs).filter("not kept").select("place"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of sources takes them."""
+    return mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and text (decoded from the ids)."""
+    coded = bpe_codec(docs, public_tokenizers.path(TOKENIZER), keep=("doc_id", "lang", "source"))
+    return coded.select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text")
+    )
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("mix", mix),
+    ("encode", encode),
+]
+
+#: Models and signatures can't be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline over ``documents``."""
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

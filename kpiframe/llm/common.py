@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from kpiframe.session import ensure_checkpoint_dir
 
@@ -44,3 +46,47 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """``docs``, or a written copy if it isn't read from files: then every row has a place (file and row)."""
+    try:
+        docs.select("_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return written(docs, "content")
+
+
+def located(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``place``, the file and row where the row is stored."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return stored(docs).select(*columns, place.alias("place"))
+
+
+#: Up to so many dropped rows (a file name and a number each) are broadcast; beyond, the same join shuffles.
+DROPPED_BROADCAST = 200_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (stored) whose place isn't in ``dropped`` (place)."""
+    columns = docs.columns
+    placed = docs.withColumn("__place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    gone = written(dropped.select(F.col("place").alias("__gone")), "dropped")
+    if gone.count() <= DROPPED_BROADCAST:
+        gone = F.broadcast(gone)
+    return placed.join(gone, F.col("__place") == F.col("__gone"), "left_anti").select(*columns)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few fixed rows as a DataFrame of literals."""
+    fields = [part.split() for part in schema.split(", ")]
+    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver did, if it lies there for them too."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])

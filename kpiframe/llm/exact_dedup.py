@@ -23,9 +23,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from kpiframe.llm.common import BLANKS, shared_path, written
+from kpiframe.llm.common import BLANKS, located, shared_path, written
 
 DIGEST_BITS = 256
 
@@ -54,16 +53,6 @@ def sha256(norm: Column) -> Column:
     return F.sha2(norm, DIGEST_BITS)
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """``docs`` with its content locator; an input that isn't read from files is written first."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    narrow = ("doc_id", "text")
-    try:
-        return docs.select(*narrow, place.alias("place"))
-    except AnalysisException:
-        return written(docs.select(*narrow), "dedup-content").select(*narrow, place.alias("place"))
-
-
 def _stays() -> Column:
     """Sorts the row that stays first: most code points, smallest id (null last), smallest locator."""
     return F.struct(
@@ -116,11 +105,11 @@ def exact_dedup(
     ``state_dir`` keeps the state for later runs (default: a new folder in the shared folder).
     """
     spark = docs.sparkSession
-    located = _located(docs)
+    content = located(docs, "doc_id", "text")
     norm = normalised(F.col("text"))
     table = shared_path(spark, "dedup-arrivals")
     arrivals = written(
-        located.select(
+        content.select(
             "doc_id",
             "place",
             F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"),
@@ -152,7 +141,7 @@ def exact_dedup(
         ),
         "dedup-hits",
     )
-    texts = located.select("place", norm.alias("norm"))
+    texts = content.select("place", norm.alias("norm"))
     if hits.count() <= HITS_BROADCAST:
         texts = texts.join(F.broadcast(hits.select("spot")), F.xxhash64("place") == F.col("spot"), "left_semi")
     mixed = written(

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import written
+from kpiframe.llm.common import small_table, written
 
 COVERAGE = 0.8
 
@@ -130,9 +130,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     index = licence_index(docs)
     rare = rarest_words(index)
-    anchors = spark.createDataFrame([r[:3] for r in rare], "template int, anchor string, anchor_place int")
+    anchors = small_table(spark, [r[:3] for r in rare], "template int, anchor string, anchor_place int")
     # Both tables have a few rows per template of the list above.
-    posting = F.broadcast(spark.createDataFrame(postings(), _POSTING_SCHEMA).join(anchors, "template"))
+    posting = F.broadcast(small_table(spark, postings(), _POSTING_SCHEMA).join(anchors, "template"))
     looked_up = sorted({r[1] for r in rare})
     found = (
         index.filter(F.exists("places", lambda x: x["word"].isin(looked_up)))
@@ -150,7 +150,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         .filter("anchored")
     )
     wanted = anchors.select("template").join(
-        spark.createDataFrame(postings(), _POSTING_SCHEMA).groupBy("template").agg(
+        small_table(spark, postings(), _POSTING_SCHEMA).groupBy("template").agg(
             F.sum(F.col("must").cast("int")).alias("needs")
         ),
         "template",

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiframe.llm import license_scan, source_mix
+from kpiframe.llm import license_scan, source_mix, url_rules, vector_topk
 from kpiframe.llm.bpe_codec import bpe_codec
+from kpiframe.llm.common import importable
 from kpiframe.llm.exact_dedup import exact_dedup
+from kpiframe.llm.language_crf import identify
+from kpiframe.llm.near_dedup import near_dedup
+from kpiframe.llm.quality_gam import quality_scores
 from kpiframe.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,14 +24,37 @@ BYTE_BPE = "byte_bpe_50k.json"
 
 
 def _query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = query
+    return query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_language_crf(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_vector_topk(spark, sf_dir):
+    vectors = (
+        table(spark, sf_dir, "embeddings")
+        .filter(vector_topk.usable(F.col("embedding")))
+        .select(F.col("vec_id").alias("id"), vector_topk.quantised(F.col("embedding")).alias("v"))
+    )
+    return vector_topk.top_k(vectors, vectors.filter(F.col("id") % 100 == 0))
+
+
+ORACLE["op2_vector_topk"] = vector_topk.ORACLE
+
+
 @_query
 def op3_source_mix(spark, sf_dir):
     lines, targets, plan = source_mix.mix_sources(table(spark, sf_dir, "documents"))
@@ -36,6 +64,19 @@ def op3_source_mix(spark, sf_dir):
 ORACLE["op3_source_mix"] = source_mix.ORACLE
 
 
+@_query
+def op4_quality_gam(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op5_url_rules(spark, sf_dir):
+    return url_rules.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op5_url_rules"] = url_rules.oracle()
+
+
 @_query
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("place")
@@ -61,6 +102,11 @@ def op7_license_scan(spark, sf_dir):
 ORACLE["op7_license_scan"] = license_scan.oracle()
 
 
+@_query
+def op8_near_dedup(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents")).drop("place")
+
+
 @_query
 def op9_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))

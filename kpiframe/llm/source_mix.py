@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import WORD_OF_SIZE, written
+from kpiframe.llm.common import BLANKS, WORD_OF_SIZE, located, stored, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -182,7 +182,10 @@ def mix_sources(
     row per source; ``plan``: one row per piece of a document in a scheduled block: slot, source, start (names
     the document, with source), doc_id, round (0: first use of the document), from_word, to_word.
     """
-    sized = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "mix-sizes")
+    sized = written(
+        located(docs, "doc_id", "source", "text").select("doc_id", "source", size_of(F.col("text")).alias("size"), "place"),
+        "mix-sizes",
+    )
     targets = written(source_targets(sized, share, most), "mix-targets")
     lines = written(shuffled_lines(sized, sized.count(), seed), "mix-lines")
     goals = targets.select(F.col("source").alias("s"), "source_size", "goal").filter("goal > 0")
@@ -206,7 +209,7 @@ def mix_sources(
 
 
 def taken_words(lines: DataFrame, targets: DataFrame, plan: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and start."""
+    """One row per document: doc_id, size, source_size, target, taken, source, start, place."""
     taken = (
         plan.select(_spot(F.col("source"), F.col("start")).alias("spot"), (F.col("to_word") - F.col("from_word")).alias("n"))
         .groupBy("spot")
@@ -219,11 +222,36 @@ def taken_words(lines: DataFrame, targets: DataFrame, plan: DataFrame) -> DataFr
         .join(goals, _same(F.col("source"), F.col("s")))
         .select(
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-            "source", "start",
+            "source", "start", "place",
         )
     )
 
 
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The documents of the mix, all columns: each as often as it is taken, cut to its first words where it is
+    taken in part (one document of a source at most), documents that aren't taken left out."""
+    docs = stored(docs)
+    columns = docs.columns
+    taken = taken_words(*mix_sources(docs, **settings)).filter("taken > 0")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    uses = taken.select(
+        F.col("place").alias("__at"),
+        F.col("size").alias("__size"),
+        F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")))).alias("__round"),
+        "taken",
+    ).select("__at", "__size", F.least("__size", F.col("taken") - F.col("__round") * F.col("__size")).alias("__words"))
+    out = docs.withColumn("__place", place).join(uses, F.col("__place") == F.col("__at"))
+    parts = F.split("text", BLANKS + "+", -1)
+    # A text that starts with blanks has an empty first part.
+    first = F.when(F.element_at(parts, 1) == "", F.col("__words") + 1).otherwise(F.col("__words"))
+    cut = F.array_join(F.slice(parts, F.lit(1), first.cast("int")), " ")
+    partial = F.col("__words") < F.col("__size")
+    out = out.withColumn("text", F.when(partial, cut).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(partial, F.char_length("text")).otherwise(F.col("n_chars")))
+    return out.select(*columns)
+
+
 #: Rows of the mix query for DuckDB: targets by the same water level, words by position on the shuffled line.
 ORACLE = r"""
 WITH sized AS (
