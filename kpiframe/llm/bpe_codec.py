@@ -2,7 +2,8 @@
 
 1. *Words.* Tasks split whole texts into words (a piece: blanks and the word behind them) and pack the documents
    of about ``BLOCK_BYTES`` into a block: its distinct words, and each document as numbers of those words. The
-   distinct words leave the block in ``buckets`` parts by a hash of the word. Blocks are written to the shared folder.
+   distinct words leave the block in ``buckets`` parts by a hash of the word. Blocks are written to the shared folder
+   as a table bucketed by block.
 2. *Distinct-word table.* The parts are shuffled by bucket, so all occurrences of a word meet in one task, which
    encodes each distinct word once (and starts its table again after ``TABLE`` words). A word comes once per block, so a
    word that holds a third of all positions brings one row per block.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zlib
 
 import numpy as np
@@ -29,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiframe.llm.common import shuffle_partitions, written
+from kpiframe.llm.common import shared_path, shuffle_partitions
 from kpiframe.llm.pieces import encode_keys, ship, tools
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 TABLE = 500_000
 
 
@@ -63,14 +65,28 @@ def _expand(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-_BLOCK_SCHEMA = "block long, bucket int, words array<string>, docs binary, lengths binary, numbers binary, buckets binary"
+def _squeeze_words(words: list[str]) -> bytes:
+    """Words as zstd of their lengths and their text."""
+    text = zstandard.ZstdCompressor(level=3).compress("".join(words).encode())
+    lengths = _squeeze(np.fromiter(map(len, words), np.uint32, len(words)))
+    return len(lengths).to_bytes(4, "little") + lengths + text
+
+
+def _expand_words(blob: bytes) -> list[str]:
+    cut = 4 + int.from_bytes(blob[:4], "little")
+    text = zstandard.ZstdDecompressor().decompress(blob[cut:]).decode()
+    ends = np.cumsum(_expand(blob[4:cut]), dtype=np.int64).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+_BLOCK_SCHEMA = "block long, bucket int, words binary, docs binary, lengths binary, numbers binary, buckets binary"
 
 
 def pack_blocks(docs: DataFrame, tokenizer, buckets: int, keep: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks: one row with the documents (bucket -1) and one row of words for each bucket that has any."""
     schema = T._parse_datatype_string(_BLOCK_SCHEMA)
     arrow = pa.schema(
-        [("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.string()))]
+        [("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary())]
         + [(name, pa.binary()) for name in ("docs", "lengths", "numbers", "buckets")]
     )
 
@@ -87,7 +103,7 @@ def pack_blocks(docs: DataFrame, tokenizer, buckets: int, keep: list[str], block
         for b in range(buckets):
             if ends[b] < ends[b + 1]:
                 part = [words[i] for i in order[ends[b] : ends[b + 1]]]
-                rows.append({"block": number, "bucket": b, "words": part})
+                rows.append({"block": number, "bucket": b, "words": _squeeze_words(part)})
         return pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     def pack(batches):
@@ -113,7 +129,16 @@ def pack_blocks(docs: DataFrame, tokenizer, buckets: int, keep: list[str], block
             yield block_rows(first + made, pa.concat_tables(kept), lengths, numbers, table)
 
     rows = docs.select(*keep, F.col("text").alias("__text"))
-    return written(rows.mapInArrow(pack, schema), "bpe-blocks")
+    # Bucketed by block, so that the documents needn't be shuffled to meet their ids.
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    (
+        rows.mapInArrow(pack, schema)
+        .write.bucketBy(buckets, "block")
+        .option("path", shared_path(docs.sparkSession, "bpe-blocks"))
+        .option("compression", "zstd")
+        .saveAsTable(name)
+    )
+    return docs.sparkSession.table(name)
 
 
 class _Numbers(dict):
@@ -125,13 +150,14 @@ class _Numbers(dict):
 
 
 def encode_words(blocks: DataFrame, tokenizer, buckets: int) -> DataFrame:
-    """block, bucket, ids (of all words of the row, one after another) and counts (ids of each word)."""
+    """block, bucket, ids (of all words of the row, one after another) and counts (ids of each word), squeezed."""
 
     def encode(batches):
         _, encoder = tools(tokenizer.value)
         table: dict[str, list[int]] = {}
         for batch in batches:
-            for block, bucket, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for block, bucket, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words = _expand_words(packed)
                 new = [w for w in words if w not in table]
                 if len(table) + len(new) > TABLE:
                     table, new = {}, words
@@ -142,14 +168,14 @@ def encode_words(blocks: DataFrame, tokenizer, buckets: int) -> DataFrame:
                     [
                         pa.array([block], pa.int64()),
                         pa.array([bucket], pa.int32()),
-                        pa.array([np.concatenate([np.array(x, np.int32) for x in found])], pa.list_(pa.int32())),
-                        pa.array([np.fromiter(map(len, found), np.int32, len(found))], pa.list_(pa.int32())),
+                        pa.array([_squeeze(np.array([i for x in found for i in x], np.uint32))], pa.binary()),
+                        pa.array([_squeeze(np.fromiter(map(len, found), np.uint32, len(found)))], pa.binary()),
                     ],
                     ["block", "bucket", "ids", "counts"],
                 )
 
     words = blocks.filter("bucket >= 0").select("block", "bucket", "words").repartition(buckets, "bucket")
-    return words.mapInArrow(encode, "block long, bucket int, ids array<int>, counts array<int>")
+    return words.mapInArrow(encode, "block long, bucket int, ids binary, counts binary")
 
 
 def bpe_codec(
@@ -175,10 +201,10 @@ def bpe_codec(
         lengths, numbers, where = (_expand(row[k]) for k in ("lengths", "numbers", "buckets"))
         if parts.num_rows:
             parts = parts.sort_by("bucket")
-            flat = parts.column("ids").combine_chunks().flatten().to_numpy()
-            counts = parts.column("counts").combine_chunks().flatten().to_numpy().astype(np.int64)
+            flat = np.concatenate([_expand(x) for x in parts.column("ids").to_pylist()])
+            counts = np.concatenate([_expand(x) for x in parts.column("counts").to_pylist()]).astype(np.int64)
         else:
-            flat, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+            flat, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         # Words stand by bucket, then by number: place[n] is where word n stands.
         place = np.empty(len(where), np.int64)
         place[np.argsort(where, kind="stable")] = np.arange(len(where))
@@ -198,7 +224,7 @@ def bpe_codec(
             ]
             columns = rows.slice(lo, hi - lo).combine_chunks()
             yield pa.table(
-                [*columns.columns, pa.ListArray.from_arrays(pa.array(marks, pa.int32()), pa.array(tokens, pa.int32())), pa.array(decoded, pa.string())],
+                [*columns.columns, pa.ListArray.from_arrays(pa.array(marks, pa.int32()), pa.array(tokens.astype(np.int32))), pa.array(decoded, pa.string())],
                 [*keep, "ids", "decoded"],
             )
 
