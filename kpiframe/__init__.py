@@ -3,7 +3,7 @@
 Every public operator takes a DataFrame and returns DataFrames built from
 Spark columns, aggregations and windows; nothing row-level passes through
 the driver.  Small, bounded results (a handful of scalars, <= 1000 tile
-edges, <= max_groups display rows) are the only things ever collected.
+edges, display rows under an explicit cap) are the only things ever collected.
 """
 
 from __future__ import annotations
@@ -35,9 +35,6 @@ _EXPORTS = {
     "features_from_wkb": "kpiframe.sources.boundaries",
     "assign_tiles": "kpiframe.operators.tiles",
     "running_sum": "kpiframe.operators.ranking",
-    "chart_parts_stream": "kpiframe.streaming.refresh",
-    "start_refresh": "kpiframe.streaming.refresh",
-    "present_snapshot": "kpiframe.streaming.refresh",
 }
 
 __all__ = sorted(_EXPORTS)

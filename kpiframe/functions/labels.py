@@ -16,17 +16,28 @@ QUANTILE_MISSING_SORT = 1000001
 
 
 def double_text_sql(q: str) -> str:
-    """Plain-notation text of the double SQL expression ``q``, as SQL (parsed once by Spark)."""
+    """Plain-notation text of the double SQL expression ``q``, as SQL (parsed once by Spark).
+
+    Spark prints the shortest digits that give the double back, as ``d.dddE[-]x`` outside 1e-3 .. 1e7; in the
+    plain range only the point moves, over the same digits.
+    """
     s = f"CAST({q} AS STRING)"
-    plain = f"regexp_replace(regexp_replace(CAST(CAST({q} AS DECIMAL(38,18)) AS STRING), '0+$', ''), '\\\\.$', '.0')"
+    sign = f"CASE WHEN startswith({s}, '-') THEN '-' ELSE '' END"
+    exponent = f"TRY_CAST(regexp_extract({s}, 'E(-?[0-9]+)$', 1) AS INT)"
+    # Digits without the point; the mantissa's trailing ".0" has no digit of its own.
+    digits = f"replace(regexp_replace(regexp_extract({s}, '^-?([0-9.]+)E', 1), '\\\\.0$', ''), '.', '')"
+    small = f"concat({sign}, '0.', repeat('0', -{exponent} - 1), {digits})"
+    # rpad fills up missing digits and cuts those behind the point.
+    large = (f"concat({sign}, rpad({digits}, {exponent} + 1, '0'), '.', "
+             f"CASE WHEN length({digits}) > {exponent} + 1 THEN substring({digits}, {exponent} + 2) ELSE '0' END)")
     mantissa = f"regexp_replace(regexp_extract({s}, '^(-?[0-9.]+)E', 1), '\\\\.0$', '')"
-    sign = f"CASE WHEN regexp_extract({s}, 'E(-?)', 1) = '-' THEN '-' ELSE '+' END"
-    digits = f"lpad(regexp_extract({s}, 'E-?([0-9]+)$', 1), 2, '0')"
+    power = f"concat(CASE WHEN {exponent} < 0 THEN '-' ELSE '+' END, lpad(CAST(abs({exponent}) AS STRING), 2, '0'))"
     return (
         f"CASE WHEN isnan({q}) THEN 'nan' WHEN {q} = double('inf') THEN 'inf' WHEN {q} = double('-inf') THEN '-inf' "
         f"WHEN NOT contains({s}, 'E') THEN {s} "
-        f"WHEN abs({q}) >= 1e-4 AND abs({q}) < 1e16 THEN {plain} "
-        f"ELSE concat({mantissa}, 'e', {sign}, {digits}) END"
+        f"WHEN abs({q}) >= 1e-4 AND abs({q}) < 1 THEN {small} "
+        f"WHEN abs({q}) >= 1 AND abs({q}) < 1e16 THEN {large} "
+        f"ELSE concat({mantissa}, 'e', {power}) END"
     )
 
 

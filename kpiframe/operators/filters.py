@@ -14,34 +14,47 @@ from contextlib import contextmanager
 from typing import Iterable, Iterator
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Marks that no filter may hold, and the error callers see.
 FORBIDDEN_TOKENS = (";", "--", "/*", "*/")
+FORBIDDEN_ERROR = "Filter must be a single SQL expression without statement separators or comments"
 FORBIDDEN_CALLS = re.compile(r"\b(reflect|java_method|try_reflect)\b", re.IGNORECASE)
 
 
-@contextmanager
-def _quoted_identifiers(spark: SparkSession) -> Iterator[None]:
-    key = "spark.sql.ansi.doubleQuotedIdentifiers"
-    previous = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, previous)
+_PIECES = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`""", re.DOTALL)
+
+
+def _spark_identifiers(expression: str) -> str:
+    """Double-quoted names as backticked ones; string literals and backticked names stay as they are."""
+
+    def rewrite(found: re.Match) -> str:
+        piece = found.group()
+        if piece[0] != '"':
+            return piece
+        return "`" + piece[1:-1].replace('""', '"').replace("`", "``") + "`"
+
+    return _PIECES.sub(rewrite, expression)
 
 
 def normalise_filter(raw: object) -> str:
-    """Trimmed filter text; blank -> ``""``; forbidden tokens -> ValueError (FLT-2)."""
-    expression = str(raw or "").strip()
-    if not expression:
-        return ""
-    if any(token in expression for token in FORBIDDEN_TOKENS):
-        raise ValueError("Filter must be a single SQL expression without statement separators or comments")
-    if FORBIDDEN_CALLS.search(expression):
+    """The filter's text, ``""`` for none; text that could hold more than one expression is an error (FLT-2)."""
+    text = "" if raw is None else str(raw).strip()
+    if any(mark in text for mark in FORBIDDEN_TOKENS):
+        raise ValueError(FORBIDDEN_ERROR)
+    if FORBIDDEN_CALLS.search(text):
         raise ValueError("Invalid filter: reflection functions are not allowed")
-    return expression
+    return text
+
+
+@contextmanager
+def _readable_errors() -> Iterator[None]:
+    try:
+        yield
+    except (AnalysisException, ParseException, PySparkException) as exc:
+        lines = str(exc).strip().splitlines()
+        raise ValueError(f"Invalid filter: {lines[0] if lines else type(exc).__name__}") from exc
 
 
 def apply_filter(df: DataFrame, raw: object) -> DataFrame:
@@ -54,14 +67,9 @@ def apply_filter(df: DataFrame, raw: object) -> DataFrame:
     expression = normalise_filter(raw)
     if not expression:
         return df
-    spark = df.sparkSession
-    try:
-        with _quoted_identifiers(spark):
-            filtered = df.where(F.expr(expression))
-            filtered.schema  # force analysis while the parser setting is on
-    except (AnalysisException, ParseException, PySparkException) as exc:
-        first = str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__
-        raise ValueError(f"Invalid filter: {first}") from exc
+    with _readable_errors():
+        filtered = df.where(F.expr(_spark_identifiers(expression)))
+        filtered.schema  # analysed now
     return filtered
 
 
@@ -103,22 +111,12 @@ def filtered_row_count(df: DataFrame, raw: object) -> int:
 def row_counts(df: DataFrame, raw: object) -> DataFrame:
     """One row: ``row_count`` and ``filtered_row_count`` in a single scan (SCH-3, SCH-4)."""
     expression = normalise_filter(raw)
-    if not expression:
-        return df.agg(F.count(F.lit(1)).alias("row_count")).withColumn(
-            "filtered_row_count", F.col("row_count")
+    with _readable_errors():
+        passes = F.expr(_spark_identifiers(expression)) if expression else F.lit(True)
+        counted = df.agg(
+            F.count(F.lit(1)).alias("row_count"), F.count(F.when(passes, F.lit(1))).alias("filtered_row_count")
         )
-    spark = df.sparkSession
-    try:
-        with _quoted_identifiers(spark):
-            cond = F.expr(expression)
-            counted = df.agg(
-                F.count(F.lit(1)).alias("row_count"),
-                F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias("filtered_row_count"),
-            )
-            counted.schema
-    except (AnalysisException, ParseException, PySparkException) as exc:
-        first = str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__
-        raise ValueError(f"Invalid filter: {first}") from exc
+        counted.schema
     return counted
 
 

@@ -5,6 +5,8 @@ A null KPI is "no data" here (the browser tool turned it into 0).
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,36 +115,53 @@ def boundary_join(summary: DataFrame, boundaries: DataFrame, key: str = "key") -
 
 def match_stats(joined: DataFrame, summary: DataFrame, level_label: str = "keys", key_property: str = "key") -> DataFrame:
     """features, matched, summary_rows, no_match_warning and its message (JOIN-4)."""
-    feats = joined.agg(F.count(F.lit(1)).alias("features"), F.count(F.when(F.col("matched"), 1)).alias("matched"))
-    summary_rows = summary.count()  # one scalar
-    warn = (F.col("matched") == 0) & (F.col("summary_rows") > 0)
+    matched = F.col("matched")
+    warn = (matched == 0) & (F.col("summary_rows") > 0)
     return (
-        feats.withColumn("summary_rows", F.lit(summary_rows).cast("long"))
+        joined.agg(F.count(F.lit(1)).alias("features"), F.count(F.when(matched, 1)).alias("matched"))
+        .withColumn("summary_rows", summary.agg(F.count(F.lit(1))).scalar())
         .withColumn("no_match_warning", warn)
         .withColumn("message", F.when(warn, F.lit(f"No {level_label} matched the GeoJSON {key_property} values.")))
     )
 
 
-def quantile_thresholds(summary: DataFrame, buckets: int = COLOUR_BUCKETS, small_rows: int | None = None) -> DataFrame:
-    """Thresholds of an equal-count scale (GEO-2): rows ``(i, threshold)`` for i = 1..buckets-1.
+@dataclass
+class Scale:
+    """Summary rows with ``__rank`` among the finite values (ascending, then key), null for the others; ``count`` of them."""
 
-    With n finite values sorted ascending, threshold i is the value at
-    1-based rank ``min(n, ceil(n*i/buckets))``.  No values -> no rows.
-    """
-    values = summary.select(finite_or_null(F.col("value")).alias("v"), F.col("key")).where(F.col("v").isNotNull())
-    n = values.count()
-    spark = summary.sparkSession
-    if n == 0 or buckets <= 1:
-        return spark.createDataFrame([], "i int, threshold double")
-    picks = [(i, min(n, -(-n * i // buckets))) for i in range(1, buckets)]
-    wanted = spark.createDataFrame(picks, "i int, __pos long")  # buckets-1 rows
-    ranked = running_sum(values, [F.col("v").asc(), F.col("key").asc()], None, small_rows=small_rows, row_count=n)
-    return ranked.join(F.broadcast(wanted), "__pos").select("i", F.col("v").alias("threshold"))
+    rows: DataFrame
+    count: int
+    _bounds: dict[int, list[float]] = field(default_factory=dict, repr=False)
+
+    def bounds(self, buckets: int) -> list[float]:
+        """Thresholds of an equal-count scale: entry i-1 is the value at rank ceil(count * i / buckets) (GEO-2)."""
+        n = self.count
+        if n and buckets not in self._bounds:
+            ranks = [-(-n * i // buckets) for i in range(1, buckets)]
+            # Fewer rows than buckets, whatever the table's size.
+            found = self.rows.where(F.col("__rank").isin(sorted(set(ranks)))).select("__rank", "value").collect()
+            value = {r["__rank"]: float(r["value"]) for r in found}
+            self._bounds[buckets] = [value[r] for r in ranks]
+        return self._bounds.get(buckets, [])
+
+
+def value_scale(summary: DataFrame) -> Scale:
+    """Number the finite values of a summary once, for thresholds, colours, legend and extremes."""
+    finite = finite_or_null(F.col("value"))
+    ranked = running_sum(summary, [finite.isNull().asc(), finite.asc(), F.col("key").asc()])
+    rows = ranked.withColumn("__rank", F.when(finite.isNotNull(), F.col("__pos"))).drop("__pos", "__cum")
+    return Scale(rows, int(rows.agg(F.count("__rank")).first()[0]))
 
 
-def _thresholds(summary: DataFrame, buckets: int, small_rows: int | None) -> list[float]:
-    rows = sorted(quantile_thresholds(summary, buckets, small_rows).collect(), key=lambda r: r["i"])  # < buckets rows
-    return [float(r["threshold"]) for r in rows]
+def _as_scale(summary: DataFrame | Scale) -> Scale:
+    return summary if isinstance(summary, Scale) else value_scale(summary)
+
+
+def quantile_thresholds(summary: DataFrame | Scale, buckets: int = COLOUR_BUCKETS) -> DataFrame:
+    """Rows ``(i, threshold)`` for i = 1..buckets-1 (GEO-2); no values -> no rows."""
+    scale = _as_scale(summary)
+    pairs = list(enumerate(scale.bounds(buckets), start=1))
+    return scale.rows.sparkSession.createDataFrame(pairs, "i int, threshold double")
 
 
 def _bucket_of(v: Column, thresholds: list[float]) -> Column:
@@ -150,47 +169,46 @@ def _bucket_of(v: Column, thresholds: list[float]) -> Column:
     return F.when(v.isNotNull(), count_at_most(v, thresholds, strict=True))
 
 
-def colour_buckets(summary: DataFrame, buckets: int = COLOUR_BUCKETS, small_rows: int | None = None) -> DataFrame:
+def colour_buckets(summary: DataFrame | Scale, buckets: int = COLOUR_BUCKETS) -> DataFrame:
     """``bucket`` = number of thresholds strictly below the value (0..buckets-1); null value -> null (GEO-3)."""
-    thresholds = _thresholds(summary, buckets, small_rows)
-    return summary.withColumn("bucket", _bucket_of(finite_or_null(F.col("value")), thresholds).cast("int"))
+    scale = _as_scale(summary)
+    bucket = _bucket_of(finite_or_null(F.col("value")), scale.bounds(buckets)).cast("int")
+    return scale.rows.drop("__rank").withColumn("bucket", bucket)
 
 
-def legend_bins(summary: DataFrame, buckets: int = LEGEND_BUCKETS, small_rows: int | None = None) -> DataFrame:
+def legend_bins(summary: DataFrame | Scale, buckets: int = LEGEND_BUCKETS) -> DataFrame:
     """Legend rows (GEO-4): bin 0..buckets-1 with lower/upper bounds and the keys per bin, plus "No data"."""
-    spark = summary.sparkSession
-    bounds = _thresholds(summary, buckets, small_rows)
-    rows = []
-    for b in range(buckets):
-        lower = bounds[b - 1] if 0 < b <= len(bounds) else None
-        upper = bounds[b] if b < len(bounds) and b < buckets - 1 else None
-        rows.append((b, lower, upper))
-    bins = spark.createDataFrame(rows, "bin int, lower double, upper double")
-    v = finite_or_null(F.col("value"))
+    scale = _as_scale(summary)
+    bounds = scale.bounds(buckets)
+    inner = [None, *bounds, None] if bounds else [None] * (buckets + 1)
+    bins = [(b, inner[b], inner[b + 1]) for b in range(buckets)]
     counted = (
-        summary.select(_bucket_of(v, bounds).cast("int").alias("bin"))
+        scale.rows.select(_bucket_of(finite_or_null(F.col("value")), bounds).cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("keys"))
     )
-    legend = bins.join(counted, "bin", "left").select("bin", "lower", "upper", F.coalesce("keys", F.lit(0)).alias("keys"))
-    no_data = counted.where(F.col("bin").isNull()).select(
-        F.lit(-1).alias("bin"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"),
-        F.col("keys"),
+    legend = scale.rows.sparkSession.createDataFrame([*bins, (-1, None, None)], "bin int, lower double, upper double")
+    # Bin -1 counts keys without a value; it only shows if there are any.
+    found = counted.select(F.coalesce("bin", F.lit(-1)).alias("bin"), "keys")
+    return (
+        legend.join(found, "bin", "left")
+        .where((F.col("bin") >= 0) | F.col("keys").isNotNull())
+        .select("bin", "lower", "upper", F.coalesce("keys", F.lit(0)).alias("keys"))
     )
-    return legend.unionByName(no_data)
 
 
-def hotspots(summary: DataFrame, count: int) -> DataFrame:
-    """The ``count`` highest (count > 0) or lowest (count < 0) finite values (GEO-5).
+def among_extremes(scale: Scale, count: int) -> Column:
+    """Whether a row of ``scale`` is among the ``count`` highest (count > 0) or lowest (count < 0) finite values."""
+    rank = F.col("__rank")
+    return rank > scale.count - count if count > 0 else rank <= -count
+
+
+def hotspots(summary: DataFrame | Scale, count: int) -> DataFrame:
+    """The ``count`` highest (count > 0) or lowest (count < 0) finite values with ``rank`` (GEO-5).
 
-    Ties follow the key: descending for highest, ascending for lowest.
-    A distributed top-k; 0 -> no rows.
+    Ties follow the key: descending for highest, ascending for lowest; 0 -> no rows.
     """
-    v = finite_or_null(F.col("value"))
-    finite = summary.where(F.col("key").isNotNull() & v.isNotNull())
-    if count == 0:
-        return finite.limit(0).withColumn("rank", F.lit(None).cast("long"))
-    order = [F.col("value").desc(), F.col("key").desc()] if count > 0 else [F.col("value").asc(), F.col("key").asc()]
-    from kpiframe.operators.ordering import cap_groups
-
-    return cap_groups(finite, order, abs(int(count))).withColumnRenamed("position", "rank")
+    scale = _as_scale(summary)
+    rank = F.lit(scale.count + 1) - F.col("__rank") if count > 0 else F.col("__rank")
+    chosen = scale.rows.where(among_extremes(scale, count) & F.col("key").isNotNull() & F.lit(count != 0))
+    return chosen.withColumn("rank", rank.cast("long")).drop("__rank")

@@ -1,123 +1,89 @@
 """Low-weight grouping of chart groups into tails or "Other" (PST-1..5, WIN-3).
 
-Works on aggregated group rows.  Ordered kinds: groups sorted by their sort
-key (nulls last); the longest prefix whose running weight stays <= t is
-"Low tail", then the longest suffix of the rest is "High tail"; a tail of
-one group is left alone.  Categorical kinds: groups with weight <= t become
-"Other" when there is more than one.  The quantile "Missing" group is never
-merged or counted.  Negative weights are handled like the stop-at-first-
-overflow loop: the prefix ends at the first running sum above t.
+Works on aggregated group rows. Ordered kinds: groups in the order of their sort key (nulls last). The low tail is the
+longest prefix whose running weight stays within the threshold; the high tail, among the rest, the longest
+suffix whose weight summed from the end does. A tail of one group is left alone. Categorical kinds: groups within the
+threshold become "Other" when there is more than one. The quantile "Missing" group is never merged or counted.
+A tail ends at the first running sum above the threshold, also when a negative weight would bring it back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiframe.functions import kinds
-from kpiframe.functions.numbers import parse_positive_float
-from kpiframe.operators.ranking import SMALL_ROWS, running_sum
+from kpiframe.functions.arguments import Argument, Threshold
+from kpiframe.operators.ranking import running_sum
+from kpiframe.session import materialize
 
 LOW_TAIL = "Low tail"
 HIGH_TAIL = "High tail"
 OTHER = "Other"
-
-
-def parse_threshold(value: object, total_volume: float) -> float:
-    """``"",0,none,-`` -> 0; ``p%`` -> p% of total weight; else absolute; unparsable -> 0 (PST-1)."""
-    raw = str(value if value is not None else "").strip().lower()
-    if raw in {"", "0", "none", "-"}:
-        return 0.0
-    if raw.endswith("%"):
-        parsed = parse_positive_float(raw[:-1])
-        return total_volume * parsed / 100 if parsed else 0.0
-    return parse_positive_float(raw) or 0.0
-
-
-def _untouched(groups: DataFrame) -> DataFrame:
-    return groups.withColumn("x", F.col("x_label")).withColumn("is_tail", F.lit(False))
+LEAST_GROUPS = 3
 
 
 def has_threshold(threshold: object) -> bool:
-    """Whether a low-weight threshold may merge anything (percent, or a positive number)."""
-    return _needs_total(threshold) or parse_threshold(threshold, 0.0) > 0
+    """Whether a low-weight threshold may merge anything."""
+    return Argument(threshold).threshold().active
 
 
-def _needs_total(threshold: object) -> bool:
-    return str(threshold if threshold is not None else "").strip().endswith("%")
+def _shown(groups: DataFrame, merged: Column | None = None, name: str | Column = OTHER) -> DataFrame:
+    """``x`` (display label) and ``is_tail``: groups where ``merged`` holds show ``name``."""
+    if merged is None:
+        return groups.withColumn("x", F.col("x_label")).withColumn("is_tail", F.lit(False))
+    label = F.lit(name) if isinstance(name, str) else name
+    return groups.withColumn("is_tail", merged).withColumn("x", F.when(merged, label).otherwise(F.col("x_label")))
 
 
-def assign_display(
-    groups: DataFrame, kind: str, threshold: object, small_rows: int | None = None
-) -> tuple[DataFrame, bool]:
-    """Group rows plus ``x`` (display label) and ``is_tail``; second value: whether anything merged.
+def assign_display(groups: DataFrame, kind: str, threshold: object) -> tuple[DataFrame, bool]:
+    """Group rows plus ``x`` and ``is_tail``; second value: whether anything merged.
 
-    ``groups`` needs ``x_key, x_label, x_sort, volume``.  Only scalars (group
-    count, totals, the two tail boundaries) reach the driver; a zero
-    threshold runs no job at all.
+    ``groups`` needs ``x_key, x_label, x_sort, volume``. With a threshold the returned rows read a checkpoint,
+    so callers may read them again. Only scalars reach the driver.
     """
-    if not _needs_total(threshold) and parse_threshold(threshold, 0.0) <= 0:
-        return _untouched(groups), False
-    is_missing = (F.col("x_key").isNull()) if kind == kinds.QUANTILE else F.lit(False)
-    stats = groups.agg(
-        F.coalesce(F.sum("volume"), F.lit(0.0)).alias("total"),
-        F.count(F.when(~is_missing, F.lit(1))).alias("n"),
+    limit = Argument(threshold).threshold()
+    if not limit.active:
+        return _shown(groups), False
+    if kind in kinds.ORDERED_KINDS:
+        return _tails(groups, limit, F.col("x_key").isNull() if kind == kinds.QUANTILE else F.lit(False))
+    return _others(materialize(groups), limit)
+
+
+def _others(groups: DataFrame, limit: Threshold) -> tuple[DataFrame, bool]:
+    whole = groups.agg(F.sum("volume").alias("total"), F.count(F.lit(1)).alias("n")).first()
+    amount = limit.of_total(float(whole["total"] or 0.0))
+    if amount <= 0 or whole["n"] < LEAST_GROUPS:
+        return _shown(groups), False
+    rare = F.col("volume") <= F.lit(amount)
+    several = len(groups.where(rare).select(F.lit(1)).take(2)) > 1
+    return (_shown(groups, rare), True) if several else (_shown(groups), False)
+
+
+def _tails(groups: DataFrame, limit: Threshold, missing: Column) -> tuple[DataFrame, bool]:
+    # The Missing group sorts last and weighs nothing here, so it changes no other group's sums or place.
+    order = [missing.asc(), F.col("x_sort").asc_nulls_last(), F.col("x_label").asc()]
+    ranked = running_sum(groups, order, F.when(missing, F.lit(0.0)).otherwise(F.col("volume")), suffix_col="__suffix")
+    # One job: totals, and how often each running sum is above a threshold that is a share of the total.
+    amount = F.col("__amount")
+    total = ranked.agg(F.coalesce(F.sum("volume"), F.lit(0.0)).alias("__total"))
+    share = F.lit(limit.share) * total.scalar() / F.lit(100.0)
+    staged = ranked.where(~missing).withColumn("__amount", share if limit.share else F.lit(limit.amount))
+    ends = staged.agg(
+        F.max("__amount").alias("amount"),
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(F.col("__cum") > amount, F.col("__pos"))).alias("low_stop"),
+        F.max(F.when(F.col("__suffix") > amount, F.col("__pos"))).alias("high_stop"),
     ).first()
-    t = parse_threshold(threshold, float(stats["total"] or 0.0))
-    n = int(stats["n"] or 0)
-    if t <= 0 or n < 3:
-        return _untouched(groups), False
-
-    if kind not in kinds.ORDERED_KINDS:
-        rare = F.col("volume") <= F.lit(t)
-        n_rare = groups.where(rare).count()
-        if n_rare <= 1:
-            return _untouched(groups), False
-        return groups.withColumn("is_tail", rare).withColumn(
-            "x", F.when(rare, F.lit(OTHER)).otherwise(F.col("x_label"))
-        ), True
-
-    candidates = groups.where(~is_missing)
-    ranked = running_sum(
-        candidates,
-        [F.col("x_sort").asc_nulls_last(), F.col("x_label").asc()],
-        F.col("volume"),
-        small_rows=small_rows,
-        row_count=n,
-    )
-    limit = SMALL_ROWS if small_rows is None else small_rows
-    over = F.when(F.col("__cum") > F.lit(t), F.col("__pos"))
-    if n <= limit:
-        # Groups fit the single-window path: both boundaries in one job.
-        everything = Window.partitionBy(F.lit(1))
-        staged = ranked.withColumns({
-            "__first": F.coalesce(F.min(over).over(everything), F.lit(n + 1)),
-            "__total": F.sum("volume").over(everything),
-        })
-        suffix = F.col("__total") - (F.col("__cum") - F.col("volume"))
-        b = staged.agg(
-            F.first("__first").alias("first_over"),
-            F.max(F.when((F.col("__pos") >= F.col("__first")) & (suffix > F.lit(t)), F.col("__pos"))).alias("m"),
-        ).first()
-        first_over, last_over = int(b["first_over"]), b["m"]
-    else:
-        bounds = ranked.agg(F.min(over).alias("first_over"), F.sum("volume").alias("total")).first()
-        first_over = int(bounds["first_over"]) if bounds["first_over"] is not None else n + 1
-        suffix = F.lit(float(bounds["total"] or 0.0)) - (F.col("__cum") - F.col("volume"))
-        last_over = (
-            ranked.where((F.col("__pos") >= first_over) & (suffix > F.lit(t))).agg(F.max("__pos").alias("m")).first()["m"]
-        )
-    high_start = int(last_over) + 1 if last_over is not None else first_over
-    n_low = first_over - 1
-    n_high = n - high_start + 1 if high_start <= n else 0
-    pos = F.col("__pos")
-    label: Column = F.col("x_label")
-    if n_low > 1:
-        label = F.when(pos < F.lit(first_over), F.lit(LOW_TAIL)).otherwise(label)
-    if n_high > 1:
-        label = F.when(pos >= F.lit(high_start), F.lit(HIGH_TAIL)).otherwise(label)
-    tail = (pos < F.lit(first_over)) & F.lit(n_low > 1) | (pos >= F.lit(high_start)) & F.lit(n_high > 1)
-    out = ranked.withColumn("x", label).withColumn("is_tail", tail).drop("__pos", "__cum")
-    if kind == kinds.QUANTILE:
-        out = out.unionByName(_untouched(groups.where(is_missing)))
-    return out, (n_low > 1 or n_high > 1)
+    plain = ranked.drop("__pos", "__cum", "__suffix")
+    n = int(ends["n"])
+    if n < LEAST_GROUPS or (ends["amount"] or 0.0) <= 0:
+        return _shown(plain), False
+    # Positions below low_from are the low tail; positions from high_from on the high tail.
+    low_from = int(ends["low_stop"]) if ends["low_stop"] is not None else n + 1
+    high_from = max(low_from, int(ends["high_stop"] or 0) + 1)
+    low = F.lit(low_from > 2) & (F.col("__pos") < low_from)
+    high = F.lit(n - high_from > 0) & (F.col("__pos") >= high_from)
+    merged = ~missing & (low | high)
+    shown = _shown(ranked, merged, F.when(low, F.lit(LOW_TAIL)).otherwise(F.lit(HIGH_TAIL)))
+    return shown.drop("__pos", "__cum", "__suffix"), low_from > 2 or n - high_from > 0

@@ -16,7 +16,8 @@ from kpiframe.functions.labels import (
     quantile_label,
     temporal_label,
 )
-from kpiframe.functions.numbers import col_of, parse_positive_float, quote
+from kpiframe.functions.arguments import Argument
+from kpiframe.functions.numbers import col_of, quote
 
 DATE_BUCKETS = ("hour", "day", "week", "month", "year")
 
@@ -38,7 +39,7 @@ def numeric_key_sql(x: str, band: object = None) -> str:
     quotients outside +-2^53 (integral as doubles already) are kept as is.
     """
     raw = f"TRY_CAST({quote(x)} AS DOUBLE)"
-    width = parse_positive_float(band)
+    width = Argument(band).amount()
     if not width:
         return raw
     w = f"{float(width)!r}D"

@@ -1,19 +1,13 @@
-"""Row order, group cap and table paging for chart rows (SRT-1..4, LIM-1, LIM-3).
-
-The cap is a distributed top-k (``orderBy().limit()`` plans as
-TakeOrderedAndProject); positions and pages are numbered only on the capped
-rows, whose count is bounded by ``max_groups``.
-"""
+"""Row order, group cap and table paging for chart rows (SRT-1..4, LIM-1, LIM-3)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiframe.functions import kinds
-from kpiframe.operators.ranking import SMALL_ROWS, running_sum
+from kpiframe.operators.ranking import running_sum
 
-DEFAULT_MAX_GROUPS = 10_000
 PAGE_SIZE = 1_000
 SORTS = ("alpha", "volume", "actual", "response", "expected")
 
@@ -39,22 +33,20 @@ def sort_columns(kind: str, sort: str = "alpha") -> list[Column]:
     return label
 
 
-def cap_groups(rows: DataFrame, order: list[Column], max_groups: int | None = None,
-               small_rows: int | None = None) -> DataFrame:
-    """First ``max_groups`` rows in ``order`` (0/None -> 10,000) with a 1-based ``position``.
+def cap_groups(rows: DataFrame, order: list[Column], max_groups: int | None = None) -> DataFrame:
+    """Rows with their 1-based ``position`` in ``order`` and ``truncated`` (whether a cap dropped rows).
 
-    Up to ``SMALL_ROWS`` kept rows: a distributed top-k, then a numbering of
-    the (bounded) result in one partition.  A larger cap numbers all rows
-    with the distributed running count and keeps positions <= cap, so no
-    task ever holds more than its range partition.
+    None or 0 keeps all rows. With a cap, a distributed top-k leaves one row more than asked for, which tells
+    whether there are more.
     """
-    limit = int(max_groups or DEFAULT_MAX_GROUPS)
-    bound = SMALL_ROWS if small_rows is None else small_rows
-    if limit <= bound:
-        top = rows.orderBy(*order).limit(limit)
-        return top.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    ranked = running_sum(rows, order, None, small_rows=bound)
-    return ranked.where(F.col("__pos") <= F.lit(limit)).withColumnRenamed("__pos", "position").drop("__cum")
+    cap = int(max_groups or 0)
+    ranked = running_sum(rows.orderBy(*order).limit(cap + 1) if cap > 0 else rows, order, count_col="__n")
+    ranked = ranked.withColumnRenamed("__pos", "position").drop("__cum")
+    if cap > 0:
+        ranked = ranked.withColumn("truncated", F.col("__n") > cap).where(F.col("position") <= cap)
+    else:
+        ranked = ranked.withColumn("truncated", F.lit(False))
+    return ranked.drop("__n")
 
 
 def table_page(rows: DataFrame, page: int = 1, page_size: int = PAGE_SIZE) -> DataFrame:

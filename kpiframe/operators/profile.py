@@ -1,83 +1,62 @@
 """Table profile: columns with type, kind and suggested band width (TOP-3, SCH-1..8).
 
-Two aggregate jobs, each one pass and one row: standard deviations of the
-numeric columns over a sample (the first ``sample_rows`` rows, as the
-original tool does, or a seeded fraction), and row count plus integer
-min/max over the whole table (a column-pruned scan; with the DataSource V2
-Parquet reader and aggregate push-down, footers answer it).
-Only those single rows reach the driver; their size is bounded by the
-column count.
+One aggregate over all rows gives row count, integer ranges and standard deviations; its one row reaches the driver,
+bounded by the column count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiframe.functions import kinds
-from kpiframe.functions.numbers import col_of, suggested_band_width, try_double
-
-SAMPLE_ROWS = 10_000
-
-
-def profile(df: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_fraction: float | None = None,
-            seed: int = 17) -> DataFrame:
-    """One row per column: name, position, type, kind, band_suggestion (+ row_count on every row).
-
-    ``sample_fraction`` replaces the first-rows sample (not reproducible on
-    a multi-file table) with a seeded random sample.
-    """
-    spark = df.sparkSession
-    fields = df.schema.fields
-    column_kinds = {f.name: kinds.kind_of(f.dataType) for f in fields}
-    numeric = [f.name for f in fields if kinds.is_numeric_kind(column_kinds[f.name])]
-    integer = [f.name for f in fields if column_kinds[f.name] == kinds.INTEGER]
-
-    stds: dict[str, float | None] = {}
-    if numeric:
-        sample = df.sample(fraction=sample_fraction, seed=seed) if sample_fraction else df.limit(int(sample_rows))
-        row = sample.agg(*[F.stddev_samp(try_double(c)).alias(f"s{i}") for i, c in enumerate(numeric)]).first()
-        stds = {c: row[f"s{i}"] for i, c in enumerate(numeric)}
-    # count / min / max over raw columns (no casts), so that with the
-    # DataSource V2 Parquet reader and aggregate push-down Spark can answer
-    # them from file footers instead of scanning.
-    aggs = [F.count("*").alias("__rows")]
-    for i, c in enumerate(integer):
-        aggs += [F.min(col_of(c)).alias(f"lo{i}"), F.max(col_of(c)).alias(f"hi{i}")]
-    whole = df.agg(*aggs).first()
-    ranges = {c: (whole[f"lo{i}"], whole[f"hi{i}"]) for i, c in enumerate(integer)}
+from kpiframe.functions.bands import width_for_spread
+from kpiframe.functions.numbers import col_of, try_double
 
+#: Integer columns with a smaller range than this are charted value by value (fixed value).
+SMALL_RANGE = 120
+
+
+def _statistics(df: DataFrame, column_kinds: dict[str, str]) -> tuple[int, dict[str, tuple]]:
+    """Row count, and (low, high, standard deviation) of every numeric column, in one job."""
+    aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
+    numeric = [c for c, k in column_kinds.items() if kinds.is_numeric_kind(k)]
+    for i, c in enumerate(numeric):
+        aggs.append(F.stddev_samp(try_double(c)).alias(f"s{i}"))
+        if column_kinds[c] == kinds.INTEGER:
+            aggs += [F.min(col_of(c)).alias(f"lo{i}"), F.max(col_of(c)).alias(f"hi{i}")]
+    found = df.agg(*aggs).first().asDict()
+    return found["rows"], {c: (found.get(f"lo{i}"), found.get(f"hi{i}"), found[f"s{i}"]) for i, c in enumerate(numeric)}
+
+
+def _suggestion(low, high, spread) -> float | None:
+    if low is not None and high is not None and high - low < SMALL_RANGE:
+        return 1.0
+    return width_for_spread(spread)
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """One row per column: name, position, type, kind, band_suggestion (+ row_count on every row)."""
+    column_kinds = {f.name: kinds.kind_of(f.dataType) for f in df.schema.fields}
+    count, statistics = _statistics(df, column_kinds)
     rows = []
-    for position, f in enumerate(fields, start=1):
-        kind = column_kinds[f.name]
-        suggestion = None
-        if kinds.is_numeric_kind(kind):
-            lo, hi = ranges.get(f.name, (None, None))
-            if kind == kinds.INTEGER and lo is not None and hi is not None and hi - lo < 120:
-                suggestion = 1.0
-            else:
-                suggestion = suggested_band_width(stds.get(f.name))
-        low, high = ranges.get(f.name, (None, None))
-        rows.append((f.name, position, f.dataType.simpleString(), kind, suggestion, low, high, int(whole["__rows"])))
-    return spark.createDataFrame(
+    for position, f in enumerate(df.schema.fields, start=1):
+        low, high, spread = statistics.get(f.name, (None, None, None))
+        suggestion = _suggestion(low, high, spread) if f.name in statistics else None
+        rows.append((f.name, position, f.dataType.simpleString(), column_kinds[f.name], suggestion, low, high, count))
+    return df.sparkSession.createDataFrame(
         rows,
         "name string, position int, type string, kind string, band_suggestion double, "
         "min_value long, max_value long, row_count long",
     )
 
 
-def suggest_band(df: DataFrame, column: str, sample_rows: int = SAMPLE_ROWS) -> float | None:
+def suggest_band(df: DataFrame, column: str) -> float | None:
     """Suggested band width of one numeric column (SCH-5..7); None for other kinds."""
     kind = kinds.column_kinds(df).get(column)
     if not kind or not kinds.is_numeric_kind(kind):
         return None
-    if kind == kinds.INTEGER:
-        c = col_of(column).try_cast("bigint")
-        row = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-        if row["lo"] is not None and row["hi"] is not None and row["hi"] - row["lo"] < 120:
-            return 1.0
-    std = df.limit(int(sample_rows)).agg(F.stddev_samp(try_double(column)).alias("s")).first()["s"]
-    return suggested_band_width(std)
+    return _suggestion(*_statistics(df, {column: kind})[1][column])
 
 
 def chart_defaults(df: DataFrame, requested: dict | None = None) -> dict:

@@ -1,16 +1,9 @@
-"""Exact global running sums / row positions without a single-task window.
+"""Exact global running sums and row positions without a single-task window.
 
-A window with no ``partitionBy`` moves every row into one task.  That is
-only acceptable behind a size check, so :func:`running_sum` counts first:
-
-* up to ``small_rows`` rows: one global window (bounded work in one task);
-* beyond: a two-level scan.  Rows are range-partitioned on the ordering
-  columns (Spark samples the bounds, so one hot leading value is split on
-  the following columns), the partition id is stored and the result is
-  written to the checkpoint folder — that pins the partition contents, so
-  a retried task or a second action sees the same split.  Per-partition
-  totals (one row per partition) give exclusive offsets; a window
-  partitioned by the stored partition id adds the local running sum.
+Rows are range-partitioned on the order columns (a random last key splits a run of equal ones), and written to the
+checkpoint folder with their partition number: that pins the partitions, so a retried task or a second action sees
+the same split. Totals per partition, one row each, give every partition what lies before and behind it; a
+window inside the partition adds the rest. One way at every size: adaptive execution makes one partition of a few rows.
 """
 
 from __future__ import annotations
@@ -22,19 +15,6 @@ from pyspark.sql import functions as F
 
 from kpiframe.session import ensure_checkpoint_dir
 
-# Largest input (rows) ranked with a single global window.
-SMALL_ROWS = 200_000
-
-
-def _partitions(df: DataFrame, requested: int | None) -> int:
-    if requested:
-        return int(requested)
-    value = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    try:
-        return max(1, int(value))
-    except ValueError:
-        return 200
-
 
 def running_sum(
     df: DataFrame,
@@ -43,53 +23,44 @@ def running_sum(
     *,
     pos_col: str = "__pos",
     cum_col: str = "__cum",
-    small_rows: int | None = None,
+    suffix_col: str | None = None,
+    count_col: str | None = None,
     partitions: int | None = None,
-    row_count: int | None = None,
 ) -> DataFrame:
-    """Add ``pos_col`` (1-based position) and ``cum_col`` (inclusive running sum of ``value``).
+    """Add ``pos_col`` (1-based position) and ``cum_col`` (inclusive running sum of ``value``, default 1).
 
-    ``order_by`` must be a total order over the rows for the result to be
-    unique (add a key column as the last tie-breaker).  ``value`` defaults to 1.
+    ``suffix_col`` adds the running sum from the end (summed from there, not a difference), ``count_col`` the number
+    of rows. ``order_by`` must be a total order for the result to be unique. The result reads the pinned rows.
     """
-    limit = SMALL_ROWS if small_rows is None else small_rows
-    v = value if value is not None else F.lit(1)
-    df = df.withColumn("__val", v)
-    n = df.count() if row_count is None else row_count
-    if n <= limit:
-        w = Window.orderBy(*order_by)
-        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return (
-            df.withColumn(pos_col, F.row_number().over(w).cast("long"))
-            .withColumn(cum_col, F.sum("__val").over(frame))
-            .drop("__val")
-        )
-
     ensure_checkpoint_dir(df.sparkSession)
-    p = _partitions(df, partitions)
-    # A random last key splits a run of identical order keys (say a third of
-    # all rows) over several range partitions; such rows are interchangeable,
-    # so the positions they get do not change any result.
-    salted = [*order_by, F.col("__salt").asc()]
-    ranged = (
-        df.withColumn("__salt", F.rand(17))
-        .repartitionByRange(p, *salted)
-        .withColumn("__part", F.spark_partition_id())
-        .checkpoint(eager=True)
-    )
-    totals = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.sum("__val").alias("__v"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition: a proven size bound for the broadcast.
-    offsets = totals.select(
+    keys = [*order_by, F.col("__salt").asc()]
+    staged = df.withColumn("__val", F.lit(1) if value is None else value).withColumn("__salt", F.rand(17))
+    ranged = staged.repartitionByRange(partitions, *keys) if partitions else staged.repartitionByRange(*keys)
+    pinned = ranged.withColumn("__part", F.spark_partition_id()).checkpoint(eager=True)
+    sums = pinned.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.sum("__val").alias("__v"))
+    by_part = Window.orderBy("__part")  # one row per partition
+    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.orderBy(F.col("__part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
         "__part",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n_off"),
-        F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__v_off"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n_before"),
+        F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__v_before"),
+        F.coalesce(F.sum("__v").over(behind), F.lit(0)).alias("__v_behind"),
+        F.sum("__n").over(Window.partitionBy()).alias("__n_all"),
     )
-    local = Window.partitionBy("__part").orderBy(*salted)
-    local_frame = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        ranged.join(F.broadcast(offsets), "__part")
-        .withColumn(pos_col, (F.col("__n_off") + F.row_number().over(local)).cast("long"))
-        .withColumn(cum_col, F.col("__v_off") + F.sum("__val").over(local_frame))
-        .drop("__part", "__n_off", "__v_off", "__val", "__salt")
+    local = Window.partitionBy("__part").orderBy(*keys)
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # From the end: a window in falling order of the position, added up one row at a time as well.
+    falling = Window.partitionBy("__part").orderBy(F.col(pos_col).desc())
+    back = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = pinned.join(F.broadcast(offsets), "__part").withColumns(  # one row per partition: a proven bound
+        {
+            pos_col: (F.col("__n_before") + F.row_number().over(local)).cast("long"),
+            cum_col: F.col("__v_before") + F.sum("__val").over(upto),
+        }
     )
+    if suffix_col:
+        placed = placed.withColumn(suffix_col, F.col("__v_behind") + F.sum("__val").over(back))
+    if count_col:
+        placed = placed.withColumn(count_col, F.col("__n_all"))
+    return placed.drop("__part", "__n_before", "__v_before", "__v_behind", "__n_all", "__val", "__salt")

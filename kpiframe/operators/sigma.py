@@ -29,7 +29,8 @@ def fold_column(fold_by: Sequence[str] | None = None, folds: int = FOLDS) -> Col
     stable for a given input and split size.
     """
     if fold_by:
-        parts = [col_of(c).cast("string") for c in fold_by]
+        # A null part has a text of its own, so null keys fall into folds like any other.
+        parts = [F.coalesce(col_of(c).cast("string"), F.lit("\x00")) for c in fold_by]
         key = parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
         hashed = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
         return (hashed % F.lit(folds)).cast("int")

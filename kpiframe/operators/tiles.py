@@ -1,24 +1,24 @@
 """Exact equal-count tiles (``NTILE(n) OVER (ORDER BY x, ties…)``) at scale (KEY-3, WIN-2).
 
-A global NTILE window runs in one task.  Instead:
-
-1. count rows per distinct x (partial aggregation; the big table is never sorted);
-2. running counts over the distinct values (:func:`running_sum`) give every
-   value its rank range ``lo..hi`` and so its first and last tile;
-3. a value wholly inside one tile gets its tile from a search over the
-   (<= n) tile start values, compiled into a balanced CASE tree — no join;
-4. only rows of the <= n-1 values that straddle a tile edge are ranked
-   row by row, ordered by ``(x, ties…)``; the range partitioning of that
-   ranking splits a hot straddling value over many tasks.
-
-Tile of rank r for N rows and n tiles (q, m = divmod(N, n)): the first m
-tiles hold q+1 rows, the rest q rows.
+A global NTILE window runs in one task. Instead, one way for every input:
+
+1. one pass counts the rows and sketches the values around the n-1 tile boundaries (``percentile_approx``): each
+   boundary gets a window of values that should hold its rank;
+2. one pass gives every row a bucket (inside a window or in a gap between two) and counts rows per bucket, along with
+   whatever else the caller aggregates. The exact counts show whether every boundary lies in its window (else the windows
+   are widened and counted again) and which buckets lie whole in one tile;
+3. only rows of buckets that hold a boundary are ranked, by ``(x, ties…)`` (:func:`running_sum`).
+
+NaN is the largest value, as in SQL's order: it is a bucket of its own behind the others. Zero and minus zero are
+equal. Null x has no tile. Tile of rank r for N rows and n tiles (q, m = divmod(N, n)): the first m tiles hold q+1
+rows, the rest q rows.
 """
 
 from __future__ import annotations
 
-import bisect
-from typing import Sequence
+
+from dataclasses import dataclass
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from kpiframe.functions.numbers import col_of, count_at_most
 from kpiframe.operators.ranking import running_sum
 
+INFINITY = float("inf")
+
 
 def tile_of_rank(rank: Column, total: int, n: int) -> Column:
     """Tile number (1-based) of 1-based ``rank`` among ``total`` rows in ``n`` tiles."""
@@ -38,212 +40,160 @@ def tile_of_rank(rank: Column, total: int, n: int) -> Column:
     return F.when(rank <= F.lit(big), first).otherwise(rest).cast("long")
 
 
-def _py_tile(rank: int, total: int, n: int) -> int:
+def _tile(rank: int, total: int, n: int) -> int:
     q, m = divmod(total, n)
-    if rank <= m * (q + 1):
-        return -(-rank // (q + 1))
-    return m + -(-(rank - m * (q + 1)) // q)
+    return -(-rank // (q + 1)) if rank <= m * (q + 1) else m + -(-(rank - m * (q + 1)) // q)
 
 
-def _search_tree(x: Column, starts: list[float], counts: list[int], lo: int, hi: int) -> Column:
-    """Number of tile starts <= x, for x within (starts[lo-1], starts[hi]) — balanced CASE tree."""
-    if lo >= hi:
-        return F.lit(counts[lo - 1] if lo > 0 else 0)
-    mid = (lo + hi + 1) // 2
-    return F.when(x >= F.lit(starts[mid - 1]), _search_tree(x, starts, counts, mid, hi)).otherwise(
-        _search_tree(x, starts, counts, lo, mid - 1)
-    )
+def _last_ranks(total: int, n: int) -> list[int]:
+    """Rank of the last row of every tile but the last."""
+    q, m = divmod(total, n)
+    return [t * q + min(t, m) for t in range(1, min(n, total))]
 
 
-# Distinct values above which tiles are found from approximate boundary windows
-# instead of per-value counts (the per-value count shuffles one row per value).
-DISTINCT_LIMIT = 5_000_000
-ACCURACY = 20_000
+@dataclass
+class TilePlan:
+    """Where rows go: ``bucket`` (a Column over x), the tile of whole buckets, and rank offsets of the others."""
 
+    bucket: Column
+    total: int
+    n: int
+    whole: dict[int, int]  # bucket -> tile
+    before: dict[int, tuple[int, int]]  # bucket that holds a boundary -> rows in all buckets before it, and in it
+
+    def lookup(self, values: dict[int, int]) -> Column:
+        entries = F.array(*[F.lit(values.get(b)).cast("long") for b in range(max(values, default=0) + 1)])
+        return F.when(F.col("__bucket").isNotNull(), F.element_at(entries, F.col("__bucket") + 1))
+
+    def is_whole(self) -> Column:
+        return ~F.col("__bucket").isin(list(self.before)) if self.before else F.lit(True)
 
-def assign_tiles(
-    df: DataFrame,
-    x: Column,
-    n: int,
-    ties: Sequence[str],
-    *,
-    tile_col: str = "__tile",
-    small_rows: int | None = None,
-    method: str = "auto",
-    accuracy: int = ACCURACY,
-    distinct_limit: int = DISTINCT_LIMIT,
-) -> DataFrame:
-    """``df`` plus ``tile_col``: NTILE(n) over non-null ``x`` ordered by ``(x, ties…)``; null x -> null.
 
-    ``method``: ``"values"`` (counts per distinct value), ``"windows"``
-    (approximate boundary windows, exact counts, ranking inside the windows
-    only) or ``"auto"`` (windows when x has more than ``distinct_limit``
-    distinct values).  Both are exact.
+def _windows(values: Sequence[float]) -> tuple[list[float], list[float]]:
+    """Disjoint ascending windows from (low, high) pairs that may overlap."""
+    lows: list[float] = []
+    highs: list[float] = []
+    for low, high in sorted(zip(values[::2], values[1::2])):
+        if lows and low <= highs[-1]:
+            highs[-1] = max(highs[-1], high)
+        else:
+            lows.append(low)
+            highs.append(high)
+    return lows, highs
+
+
+def plan_tiles(df: DataFrame, x: Column, n: int, count_buckets: Callable[[Column], dict[int, int]]) -> TilePlan | None:
+    """The plan for ``n`` tiles of ``x``; None when no row has an x.
+
+    ``count_buckets`` gets the bucket column and returns the exact rows of each bucket (one pass over the table).
+    Buckets: 2k is the gap before window k, 2k+1 window k, the last one NaN.
     """
-    # One pass: exact non-null count (the tile formula needs it), an estimate
-    # of the distinct values (picks the strategy and the ranking path) and,
-    # when the window strategy is asked for, approximate values around the
-    # tile boundaries t/n (within n/N of the exact fractions; windows are
-    # verified with exact counts before use).  The percentile sketch is a
-    # heavy aggregate, so "auto" leaves it out and pays a separate pass only
-    # when it does pick windows.
-    aggs = [F.count("__qx").alias("total"), F.approx_count_distinct("__qx").alias("distinct")]
-    guess = _guess_fractions(n, accuracy) if method == "windows" else []
-    if guess:
-        aggs.append(F.percentile_approx("__qx", guess, accuracy).alias("p"))
-    stats = df.select(x.alias("__qx")).agg(*aggs).first()
-    total, distinct = int(stats["total"] or 0), int(stats["distinct"] or 0)
-    if total == 0:
-        return df.withColumn(tile_col, F.lit(None).cast("long"))
-    if method == "auto":
-        method = "windows" if distinct > distinct_limit else "values"
-    if method == "windows":
-        approx = list(stats["p"]) if guess and stats["p"] is not None else None
-        out = _tiles_by_windows(df, x, n, ties, tile_col, small_rows, accuracy, total, approx)
-        if out is None and approx is not None:
-            out = _tiles_by_windows(df, x, n, ties, tile_col, small_rows, accuracy, total)
-        if out is not None:
-            return out
-    return _tiles_by_values(df, x, n, ties, tile_col, small_rows, total, distinct)
-
-
-def _guess_fractions(n: int, accuracy: int) -> list[float]:
-    """Fractions bracketing each boundary t/n (t = 1..n-1) by 4/accuracy."""
+    accuracy = max(10_000, 100 * n)
     margin = 4.0 / accuracy
-    out: list[float] = []
-    for t in range(1, n):
-        out += [max(0.0, t / n - margin), min(1.0, t / n + margin)]
-    return out
+    guesses = [min(1.0, max(0.0, t / n + side)) for t in range(1, n) for side in (-margin, margin)]
+    value = F.when(~F.isnan("__qx"), F.col("__qx"))
+    aggs = [F.count("__qx").alias("total"), F.count(value).alias("numbers")]
+    if guesses:
+        aggs.append(F.percentile_approx(value, guesses, accuracy).alias("values"))
+    stats = df.select(x.alias("__qx")).agg(*aggs).first()
+    total, numbers = int(stats["total"]), int(stats["numbers"])
+    if not total:
+        return None
+    ends = _last_ranks(total, n)
+    values = list(stats["values"] or []) if guesses and numbers else []
+    if numbers < total and numbers:
+        # The sketch's fractions are of the numbers only; the boundaries' are of all rows.
+        values = []
+    while True:
+        inside = [r for r in ends if r <= numbers]
+        if not values and inside:
+            shares = [min(1.0, max(0.0, r / numbers + side)) for r in inside for side in (-margin - 1 / numbers, margin + 1 / numbers)]
+            values = list(df.select(value_of(x).alias("v")).agg(F.percentile_approx("v", shares, accuracy).alias("p")).first()["p"])
+        lows, highs = _windows(values) if margin < 0.5 else ([-INFINITY], [INFINITY])
+        nan_bucket = 2 * len(lows) + 1
+        place = (count_at_most(x, lows) + count_at_most(x, highs, strict=True)).cast("int")
+        bucket = F.when(x.isNull(), F.lit(None).cast("int")).when(F.isnan(x), F.lit(nan_bucket)).otherwise(place)
+        counts = count_buckets(bucket)
+        whole: dict[int, int] = {}
+        before: dict[int, tuple[int, int]] = {}
+        seen, missed = 0, False
+        for b in range(nan_bucket + 1):
+            rows = counts.get(b, 0)
+            if rows:
+                first, last = _tile(seen + 1, total, n), _tile(seen + rows, total, n)
+                if first == last:
+                    whole[b] = first
+                else:
+                    before[b] = (seen, rows)
+                    missed |= b % 2 == 0 and b != nan_bucket  # a boundary in a gap: its window was too narrow
+            seen += rows
+        if not missed:
+            return TilePlan(bucket, total, n, whole, before)
+        margin, values = margin * 16, []
 
 
-def _tiles_by_windows(
-    df: DataFrame, x: Column, n: int, ties: Sequence[str], tile_col: str, small_rows: int | None, accuracy: int,
-    total: int | None = None, approx: list[float] | None = None,
-) -> DataFrame | None:
-    """Exact tiles from value windows around each tile boundary; None when a check fails.
+def value_of(x: Column) -> Column:
+    return F.when(~F.isnan(x), x)
 
-    ``approx`` holds precomputed window edges (pairs per boundary, from
-    :func:`_guess_fractions`); without it they are computed here from the
-    exact boundary fractions.
-    """
-    base = df.withColumn("__qx", x)
-    qx = F.col("__qx")
-    if total is None:
-        total = base.where(qx.isNotNull()).count()
-    if total == 0:
-        return base.withColumn(tile_col, F.lit(None).cast("long")).drop("__qx")
-    tiles = min(n, total)
-    q, m = divmod(total, n)
-    last_ranks = [t * (q + 1) if t <= m else m * (q + 1) + (t - m) * q for t in range(1, tiles)]
-    if not last_ranks:  # one tile
-        return base.withColumn(tile_col, F.when(qx.isNotNull(), F.lit(1)).cast("long")).drop("__qx")
-    if approx is None or len(approx) != 2 * len(last_ranks):
-        margin = 3.0 * total / accuracy + 1
-        fracs = []
-        for r in last_ranks:
-            fracs += [max(0.0, (r - margin) / total), min(1.0, (r + 1 + margin) / total)]
-        approx = base.where(qx.isNotNull()).select(F.percentile_approx(qx, fracs, accuracy).alias("p")).first()["p"]
-    raw = sorted((approx[2 * i], approx[2 * i + 1]) for i in range(len(last_ranks)))
-    windows: list[list[float]] = []
-    for lo, hi in raw:
-        if windows and lo <= windows[-1][1]:
-            windows[-1][1] = max(windows[-1][1], hi)
-        else:
-            windows.append([lo, hi])
-    aggs = []
-    for k, (lo, hi) in enumerate(windows):
-        aggs.append(F.count(F.when(qx < F.lit(lo), 1)).alias(f"b{k}"))
-        aggs.append(F.count(F.when((qx >= F.lit(lo)) & (qx <= F.lit(hi)), 1)).alias(f"i{k}"))
-    counts = base.agg(*aggs).first()
-    below = [int(counts[f"b{k}"]) for k in range(len(windows))]
-    inside = [int(counts[f"i{k}"]) for k in range(len(windows))]
-    # Every boundary rank r and r+1 must fall inside some window.
-    for r in last_ranks:
-        if not any(b < r and b + c >= min(r + 1, total) for b, c in zip(below, inside)):
-            return None
-    # Rows between windows: all in one tile (no boundary inside a gap).
-    gap_tile = [_py_tile(b, total, n) if b > 0 else 1 for b in below] + [tiles]
-    his = [hi for _, hi in windows]
-    los = [lo for lo, _ in windows]
-    gap = count_at_most(qx, his, strict=True)
-    gap_lookup = F.element_at(F.array(*[F.lit(t) for t in gap_tile]), gap + F.lit(1))
-    candidate = count_at_most(qx, los, strict=False)  # windows whose lo <= x
-    in_window = (candidate > 0) & (qx <= F.element_at(F.array(*[F.lit(h) for h in his]), F.greatest(candidate, F.lit(1))))
-    outside = base.where(qx.isNull() | ~in_window)
-    parts = [outside.withColumn(tile_col, F.when(qx.isNotNull(), gap_lookup).cast("long"))]
-    hot = base.where(qx.isNotNull() & in_window).withColumn("__win", candidate)
-    offsets, seen = [], 0
-    for b, c in zip(below, inside):
-        offsets.append(b - seen)
-        seen += c
-    order = [qx.asc()] + [col_of(t).asc_nulls_last() for t in ties]
-    ranked = running_sum(hot, order, None, small_rows=small_rows, row_count=seen)
-    rank = F.col("__pos") + F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("__win"))
-    parts.append(ranked.withColumn(tile_col, tile_of_rank(rank, total, n)).drop("__pos", "__cum", "__win"))
-    return parts[0].unionByName(parts[1]).drop("__qx")
-
-
-def _tiles_by_values(
-    df: DataFrame, x: Column, n: int, ties: Sequence[str], tile_col: str, small_rows: int | None,
-    total: int, distinct: int,
+
+def ranked_tiles(df: DataFrame, plan: TilePlan, ties: Sequence[str], tile_col: str) -> DataFrame:
+    """``tile_col`` for rows (with ``__bucket`` and ``__qx``) of the buckets that hold a boundary."""
+    hot = df.where(F.col("__bucket").isin(list(plan.before)))
+    order = [F.col("__bucket").asc(), F.col("__qx").asc()] + [col_of(t).asc_nulls_last() for t in ties]
+    # Ranked together, bucket after bucket: the offset adds the rows of the buckets in between.
+    skipped, held = {}, 0
+    for b, (before, rows) in sorted(plan.before.items()):
+        skipped[b] = before - held
+        held += rows
+    ranked = running_sum(hot, order)
+    rank = F.col("__pos") + plan.lookup(skipped)
+    return ranked.withColumn(tile_col, tile_of_rank(rank, plan.total, plan.n)).drop("__pos", "__cum")
+
+
+def assign_tiles(df: DataFrame, x: Column, n: int, ties: Sequence[str], *, tile_col: str = "__tile") -> DataFrame:
+    """``df`` plus ``tile_col``: NTILE(n) over non-null ``x`` ordered by ``(x, ties…)``; null x -> null."""
+
+    def count_buckets(bucket: Column) -> dict[int, int]:
+        rows = df.select(bucket.alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
+        return {r["b"]: r["n"] for r in rows if r["b"] is not None}
+
+    plan = plan_tiles(df, x, n, count_buckets)
+    if plan is None:
+        return df.withColumn(tile_col, F.lit(None).cast("long"))
+    base = df.withColumn("__qx", x).withColumn("__bucket", plan.bucket)
+    out = base.where(F.col("__bucket").isNull() | plan.is_whole()).withColumn(tile_col, plan.lookup(plan.whole))
+    if plan.before:
+        out = out.unionByName(ranked_tiles(base, plan, ties, tile_col))
+    return out.drop("__qx", "__bucket")
+
+
+def tiled_parts(
+    rows: DataFrame,
+    n: int,
+    ties: Sequence[str],
+    grain: Sequence[str],
+    partial: Sequence[Column],
+    rollup: Sequence[Column],
+    materialize: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Tiles from exact counts per distinct value; only straddling values are ranked by row.
+    """Partial sums per (``__tile``, grain) of ``rows`` (with ``__qx``), ``__tile`` null for null x.
 
-    ``distinct`` (an estimate is fine) only picks the ranking path.  The
-    per-value counts are read once, by the job that collects the tile edges.
+    The pass that counts the buckets also sums them, so whole buckets are never read again; only rows of buckets with a
+    boundary are. ``rollup`` re-sums ``partial`` (which has a count named ``rows``) at a coarser grain.
     """
-    spark = df.sparkSession
-    base = df.withColumn("__qx", x)
-    non_null = base.where(F.col("__qx").isNotNull())
-    values = non_null.groupBy("__qx").agg(F.count(F.lit(1)).alias("__c"))
-    ranked = running_sum(values, [F.col("__qx").asc()], F.col("__c"), small_rows=small_rows, row_count=distinct)
-    hi = F.col("__cum")
-    lo = hi - F.col("__c") + F.lit(1)
-    t_before = F.when(lo > 1, tile_of_rank(lo - F.lit(1), total, n)).otherwise(F.lit(0))
-    t_hi = tile_of_rank(hi, total, n)
-    # Values in which at least one tile starts: at most min(n, total) rows.
-    edges = (
-        ranked.where(t_before < t_hi)
-        .select("__qx", lo.alias("lo"), hi.alias("hi"), t_before.alias("t_before"), t_hi.alias("t_hi"))
-        .collect()
-    )
-    edges.sort(key=lambda r: r["__qx"])
-
-    starts: list[float] = []  # start value of tiles 2..T, ascending, may repeat
-    straddling: list[tuple[float, int, int]] = []  # (value, lo, rows)
-    for row in edges:
-        for tile in range(int(row["t_before"]) + 1, int(row["t_hi"]) + 1):
-            if tile >= 2:
-                starts.append(row["__qx"])
-        if _py_tile(int(row["lo"]), total, n) != int(row["t_hi"]):
-            straddling.append((row["__qx"], int(row["lo"]), int(row["hi"]) - int(row["lo"]) + 1))
-
-    distinct_starts = sorted(set(starts))
-    cumulative = [bisect.bisect_right(starts, s) for s in distinct_starts]
-    lookup = F.lit(1) + _search_tree(F.col("__qx"), distinct_starts, cumulative, 0, len(distinct_starts))
-
-    straddle_values = [v for v, _, _ in straddling]
-    # One scan tiles every row whose value sits wholly in a tile (null x -> null tile).
-    qx = F.col("__qx")
-    whole = base.where(qx.isNull() | ~qx.isin(straddle_values)) if straddle_values else base
-    parts = [whole.withColumn(tile_col, F.when(qx.isNotNull(), lookup).cast("long"))]
-    if straddle_values:
-        # offset(v) = lo(v) - 1 - (rows of straddling values below v)
-        offsets, seen = [], 0
-        for value, first_rank, rows in straddling:
-            offsets.append((value, first_rank - 1 - seen))
-            seen += rows
-        offset_df = spark.createDataFrame(offsets, "__qx double, __off long")  # <= n-1 rows
-        hot = non_null.where(F.col("__qx").isin(straddle_values))
-        order = [F.col("__qx").asc()] + [col_of(t).asc_nulls_last() for t in ties]
-        hot_ranked = running_sum(hot, order, None, small_rows=small_rows, row_count=seen)
-        rank = F.col("__pos") + F.col("__off")
-        parts.append(
-            hot_ranked.join(F.broadcast(offset_df), "__qx")
-            .withColumn(tile_col, tile_of_rank(rank, total, n))
-            .drop("__pos", "__cum", "__off")
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("__qx")
+    held: dict[str, DataFrame] = {}
+
+    def count_buckets(bucket: Column) -> dict[int, int]:
+        held["parts"] = materialize(rows.withColumn("__bucket", bucket).groupBy("__bucket", *grain).agg(*partial))
+        found = held["parts"].groupBy("__bucket").agg(F.sum("rows").alias("n")).collect()
+        return {r["__bucket"]: r["n"] for r in found if r["__bucket"] is not None}
+
+    plan = plan_tiles(rows, F.col("__qx"), n, count_buckets)
+    if plan is None:
+        return rows.withColumn("__tile", F.lit(None).cast("long")).groupBy("__tile", *grain).agg(*partial)
+    parts = held["parts"].where(F.col("__bucket").isNull() | plan.is_whole())
+    parts = parts.withColumn("__tile", plan.lookup(plan.whole)).drop("__bucket")
+    if plan.before:
+        ranked = ranked_tiles(rows.withColumn("__bucket", plan.bucket), plan, ties, "__tile")
+        parts = parts.unionByName(ranked.groupBy("__tile", *grain).agg(*partial))
+    return parts.groupBy("__tile", *grain).agg(*rollup)

@@ -10,120 +10,118 @@ Plan, per request:
 4. everything else (totals, weight quality, tails, sort, cap, transforms,
    sigma) runs on the checkpointed group rows.
 
-Quantile mode first assigns exact NTILE tiles without a global window
+Quantile mode aggregates by exact NTILE tiles without a global window
 (:mod:`kpiframe.operators.tiles`).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kpiframe.functions import kinds
 from kpiframe.functions.labels import QUANTILE_MISSING_SORT
-from kpiframe.functions.numbers import col_of, finite_or_null, quantile_count, quote, safe_ratio, try_double, use_quantiles
+from kpiframe.functions.arguments import MOST_TILES, Argument
+from kpiframe.functions.numbers import col_of, finite_or_null, quote, safe_ratio, try_double
 from kpiframe.functions.transforms import transform_sql
 from kpiframe.operators import measures as M
 from kpiframe.operators.filters import apply_filter
-from kpiframe.operators.grouping import assign_display, has_threshold
+from kpiframe.operators.grouping import assign_display
 from kpiframe.operators.keys import quantile_key, x_key
 from kpiframe.operators.ordering import cap_groups, sort_columns
-from kpiframe.operators.ranking import SMALL_ROWS
 from kpiframe.operators.sigma import fold_column, fold_sigma
-from kpiframe.operators.tiles import assign_tiles
+from kpiframe.operators.tiles import tiled_parts
 from kpiframe.session import materialize
 
-_UNORDERABLE = (T.MapType, T.VariantType) if hasattr(T, "VariantType") else (T.MapType,)
+#: The cap that requests in the original tool's shape get when they name none (fixed value).
+REQUEST_MAX_GROUPS = 10_000
+TRUNCATED_POSITION = 6
 
 
 @dataclass
 class ChartResult:
-    """Result DataFrames of one chart request.
+    """Result DataFrames of one chart request, built on first access.
 
-    ``rows`` (display rows) and ``groups`` (one row per group before tails)
-    are built by :func:`chart`; ``totals``, ``quality`` and ``warnings`` are
-    built on first access from the checkpointed groups (no extra table scan).
+    ``groups``: one row per group before tails, in the checkpoint folder; ``rows``: display rows. ``totals``,
+    ``quality`` and ``warnings`` re-sum the groups, so a full request scans the table once.
     """
 
-    rows: DataFrame
-    groups: DataFrame
     x: str
     x_kind: str
     group_kind: str
     responses: list[M.Response]
     weight: M.Weight
-    _invalid: DataFrame | None = field(default=None, repr=False)
-    _source: DataFrame | None = field(default=None, repr=False)
+    max_groups: int
+    _lazy_groups: DataFrame = field(repr=False)
+    _present: Any = field(repr=False)
+    _source: DataFrame = field(repr=False)
     _filter: str | None = field(default=None, repr=False)
-    _cache: dict = field(default_factory=dict, repr=False)
-    _present: Any = field(default=None, repr=False)
-    _materialized: bool = field(default=True, repr=False)
-
-    def materialize(self) -> "ChartResult":
-        """Checkpoint the group table (once) and rebuild ``rows`` on it.
-
-        Charts without tails or sigma read their groups once, so :func:`chart`
-        leaves them lazy; the first side output that needs the groups again
-        triggers this, keeping a full request at one table scan.
-        """
-        if not self._materialized:
-            self.groups = materialize(self.groups)
-            self.rows, self._invalid = self._present(self.groups)
-            self._materialized = True
-        return self
 
+    @cached_property
+    def groups(self) -> DataFrame:
+        return materialize(self._lazy_groups)
+
+    @cached_property
+    def _shown(self) -> tuple[DataFrame, DataFrame | None]:
+        return self._present(self.groups)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._shown[0]
+
+    @property
     def _parts(self) -> DataFrame:
-        self.materialize()
         return self.groups.withColumn("volume_sum", F.col("volume"))
 
-    @property
-    def counts(self) -> DataFrame:
-        """``row_count`` (whole table) and ``filtered_row_count`` in one scan (SCH-3, SCH-4)."""
-        if "counts" not in self._cache:
-            from kpiframe.operators.filters import row_counts
+    def row_count(self) -> int:
+        """Rows of the whole table (SCH-3): a count that reads no column; ``quality`` has the filtered rows."""
+        return self._source.count()
 
-            self._cache["counts"] = row_counts(self._source, self._filter)
-        return self._cache["counts"]
+    @cached_property
+    def counts(self) -> DataFrame:
+        """``row_count`` (whole table) and ``filtered_row_count`` (SCH-3, SCH-4)."""
+        filtered = self.quality.select(F.coalesce("filtered_row_count", F.lit(0)).alias("filtered_row_count"))
+        return filtered.withColumn("row_count", F.lit(self.row_count())).select("row_count", "filtered_row_count")
 
-    @property
+    @cached_property
     def totals(self) -> DataFrame:
-        if "totals" not in self._cache:
-            self._cache["totals"] = M.totals(self._parts(), self.responses)
-        return self._cache["totals"]
+        return M.totals(self._parts, self.responses)
 
-    @property
+    @cached_property
     def quality(self) -> DataFrame:
-        if "quality" not in self._cache:
-            self._cache["quality"] = M.weight_quality(self._parts())
-        return self._cache["quality"]
+        return M.weight_quality(self._parts)
 
-    @property
+    @cached_property
     def warnings(self) -> DataFrame:
-        self.materialize()
-        if "warnings" not in self._cache:
-            w = M.weight_warnings(self.quality, self.weight)
-            self._cache["warnings"] = w.unionByName(self._invalid) if self._invalid is not None else w
-        return self._cache["warnings"]
+        """Weight quality, values outside a transform's domain, and a cap that dropped groups."""
+        found = M.weight_warnings(self.quality, self.weight)
+        rows, invalid = self._shown
+        if invalid is not None:
+            found = found.unionByName(invalid)
+        if self.max_groups:
+            message = f"Only the first {self.max_groups} groups are shown."
+            cut = rows.where("truncated").limit(1).selectExpr(
+                f"{TRUNCATED_POSITION} AS position", "'truncated' AS code", f"{self.max_groups}L AS count", f"'{message}' AS message"
+            )
+            found = found.unionByName(cut)
+        return found
+
+    def rows_json(self) -> DataFrame:
+        """position and json: the display rows as JSON text."""
+        from kpiframe.plans.payload import chart_rows_json
+
+        return chart_rows_json(self)
 
     def payload(self) -> dict:
-        """The original tool's response dict (collects the capped rows and one-row summaries)."""
+        """The original tool's response dict; needs a ``max_groups`` cap, because it collects the rows."""
         from kpiframe.plans.payload import chart_payload
 
-        self.materialize()
         return chart_payload(self, self._filter or "")
 
-    def unpersist(self) -> None:
-        """Nothing is cached: group tables live in the checkpoint folder."""
-
-
-def default_ties(df: DataFrame) -> list[str]:
-    """All orderable columns: tied rows are then identical, so tiles are deterministic."""
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, _UNORDERABLE)]
-
 
 def _responses(df: DataFrame, actual: Any, expected: Any, responses: Any) -> list[M.Response]:
     if responses is not None:
@@ -137,12 +135,13 @@ def _responses(df: DataFrame, actual: Any, expected: Any, responses: Any) -> lis
 
 
 def _tile_count(quantiles: Any) -> int | None:
-    """None/False/"" -> no quantile mode; True -> 10 tiles; else ARG-5 normalisation."""
-    if quantiles is None or quantiles is False or (isinstance(quantiles, str) and not quantiles.strip()):
+    """None/False/"" -> no quantile mode; True -> 10 tiles; else the count, an error beyond the most."""
+    if quantiles is None or quantiles is False or quantiles == "":
         return None
-    if quantiles is True:
-        return 10
-    return quantile_count(quantiles)
+    n = 10 if quantiles is True else Argument(quantiles).tiles()
+    if n > MOST_TILES:
+        raise ValueError(f"Choose at most {MOST_TILES} quantiles")
+    return n
 
 
 def chart(
@@ -161,11 +160,9 @@ def chart(
     sort: str = "alpha",
     sigma: float = 0,
     transform: str = "none",
-    max_groups: int | None = 10_000,
+    max_groups: int | None = None,
     tie_by: Sequence[str] | None = None,
     fold_by: Sequence[str] | None = None,
-    small_rows: int | None = None,
-    tile_method: str = "auto",
 ) -> ChartResult:
     """Chart rows for feature ``x``.
 
@@ -173,9 +170,11 @@ def chart(
     ``weight`` a numeric column (None = average row value); ``band`` a fixed
     width; ``quantiles`` a tile count (numeric x); ``bucket`` one of
     hour/day/week/month/year (date x); ``low_weight`` a tail threshold
-    (absolute or ``"p%"``); ``sigma`` the bound multiplier; ``tie_by`` and
-    ``fold_by`` key columns for quantile ties and sigma folds; ``tile_method``
-    picks the exact tile strategy (see :func:`kpiframe.operators.tiles.assign_tiles`).
+    (absolute or ``"p%"``); ``sigma`` the bound multiplier; ``max_groups`` a cap
+    (None or 0: every group; rows carry ``truncated``); ``fold_by`` key columns for
+    sigma folds; ``tie_by`` columns that order rows with equal x in quantile mode
+    (default: the response, weight and fold columns, so rows still tied are
+    interchangeable in every output).
     """
     if x not in df.columns:
         raise ValueError("Choose a valid x-axis feature")
@@ -189,68 +188,54 @@ def chart(
     base = apply_filter(df, filter)
     n_resp = len(resp)
     include_sigma = float(sigma or 0) > 0 and n_resp >= 2
+    fold = {"__fold": fold_column(fold_by)} if include_sigma else {}
+    measures = {**fold, **M.row_measures(resp, wt)}
 
     n_tiles = _tile_count(quantiles)
     if n_tiles and kinds.is_numeric_kind(x_kind):
-        ties = list(tie_by) if tie_by else default_ties(base)
-        needed = {x, *ties, *(r.column for r in resp), *(fold_by or [])}
-        if wt.column:
-            needed.add(wt.column)
-        projected = base.select(*[col_of(c) for c in base.columns if c in needed])
-        source = assign_tiles(projected, try_double(x), n_tiles, ties, small_rows=small_rows, method=tile_method)
+        used = dict.fromkeys([*(r.column for r in resp), wt.column, *(fold_by or [])])
+        ties = list(tie_by) if tie_by else [c for c in used if c]
+        # Tie columns under names of their own, beside x and the measures: nothing else is read.
+        named = {f"__tie{i}": col_of(c) for i, c in enumerate(ties)}
+        rows = base.select(try_double(x).alias("__qx"), *[c.alias(n) for n, c in {**named, **measures}.items()])
+        parts = tiled_parts(
+            rows, n_tiles, list(named), list(fold), M.partial_aggs(n_resp), M.rollup_aggs(n_resp), materialize
+        )
         key = quantile_key(F.col("__tile"))
+        parts = parts.select(key.key.alias("x_key"), key.label.alias("x_label"), *[c for c in parts.columns if c != "__tile"])
     else:
-        source = base
         key = x_key(base, x, band, bucket)
+        # The sort key is a function of the group key, so it is derived after the
+        # aggregation: a min() over a string sort key would force a sort-based
+        # aggregate of the whole table instead of a hash aggregate.
+        keyed = base.select(
+            key.key.alias("x_key"), key.label.alias("x_label"), *[c.alias(name) for name, c in measures.items()]
+        )
+        parts = keyed.groupBy("x_key", "x_label", *fold).agg(*M.partial_aggs(n_resp))
     group_kind = key.kind
-
-    measure_cols = M.row_measures(resp, wt)
-    # The sort key is a function of the group key, so it is derived after the
-    # aggregation: a min() over a string sort key would force a sort-based
-    # aggregate of the whole table instead of a hash aggregate.
-    select = [key.key.alias("x_key"), key.label.alias("x_label")]
-    grain = ["x_key", "x_label"]
-    if include_sigma:
-        select.append(fold_column(fold_by).alias("__fold"))
-        grain.append("__fold")
-    select += [c.alias(name) for name, c in measure_cols.items()]
-    keyed = source.select(*select)
-
-    parts = keyed.groupBy(*grain).agg(*M.partial_aggs(n_resp))
     if include_sigma:
         parts = materialize(parts)
         grouped = parts.groupBy("x_key", "x_label").agg(*M.rollup_aggs(n_resp))
     else:
         grouped = parts
-    groups = groups_from_parts(grouped, group_kind, n_resp)
-    # Tails and sigma read the groups several times: keep them in the checkpoint
-    # folder now.  Otherwise ``rows`` reads them once and the checkpoint waits
-    # for a second reader (ChartResult.materialize).
-    eager = include_sigma or has_threshold(low_weight)
-    if eager:
-        groups = materialize(groups)
 
     def present(g: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         return present_groups(
             g, group_kind, n_resp, parts=parts if include_sigma else None, low_weight=low_weight, sort=sort,
             max_groups=max_groups, transform=transform, sigma=float(sigma or 0) if include_sigma else 0.0,
-            small_rows=small_rows,
         )
 
-    rows, invalid = present(groups)
     return ChartResult(
-        rows=rows,
-        groups=groups,
-        _present=present,
-        _materialized=eager,
-        _invalid=invalid,
-        _source=df,
-        _filter=filter,
         x=x,
         x_kind=x_kind,
         group_kind=group_kind,
         responses=resp,
         weight=wt,
+        max_groups=int(max_groups or 0),
+        _lazy_groups=groups_from_parts(grouped, group_kind, n_resp),
+        _present=present,
+        _source=df,
+        _filter=filter,
     )
 
 
@@ -270,17 +255,16 @@ def present_groups(
     parts: DataFrame | None = None,
     low_weight: Any = "0",
     sort: str = "alpha",
-    max_groups: int | None = 10_000,
+    max_groups: int | None = None,
     transform: str = "none",
     sigma: float = 0.0,
-    small_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Display rows from group rows: tails/Other, sigma, sort, cap, transforms.
 
     ``parts`` are the (group, fold) partial sums, required when ``sigma`` > 0.
     Returns the rows and the transform-domain warning (or None).
     """
-    display, has_tails = assign_display(groups, group_kind, low_weight, small_rows=small_rows)
+    display, has_tails = assign_display(groups, group_kind, low_weight)
     display = display.withColumn("__id", F.when(F.col("is_tail"), F.lit(None)).otherwise(F.col("x_key")))
     merged = _merge(display, n_resp, group_kind) if has_tails else _unmerged(display, n_resp)
     if sigma > 0 and parts is not None and n_resp >= 2:
@@ -301,9 +285,8 @@ def present_groups(
     else:
         sigma = 0.0
         merged = merged.withColumns({"sigma_se": F.lit(None).cast("double"), "valid_folds": F.lit(None).cast("long")})
-    capped = cap_groups(merged, sort_columns(group_kind, sort), max_groups, small_rows=small_rows)
-    bound = SMALL_ROWS if small_rows is None else small_rows
-    rows, invalid = _transform(capped, n_resp, transform, sigma, bounded=int(max_groups or 10_000) <= bound)
+    capped = cap_groups(merged, sort_columns(group_kind, sort), max_groups)
+    rows, invalid = _transform(capped, n_resp, transform, sigma)
     return rows.drop("__id"), invalid
 
 
@@ -349,36 +332,24 @@ def _merge(display: DataFrame, n_resp: int, group_kind: str) -> DataFrame:
     return out
 
 
-def _transform(rows: DataFrame, n_resp: int, transform: str, sigma: float,
-               bounded: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """Display values (TRF-1..4) over the capped rows; returns rows and the invalid-value warning.
+def _transform(rows: DataFrame, n_resp: int, transform: str, sigma: float) -> tuple[DataFrame, DataFrame | None]:
+    """Display values (TRF-1..4) over the shown rows; returns rows and the invalid-value warning.
 
-    Averages for the centred transforms are taken over the displayed rows
-    (after the cap), as the chart shows them.  With a bounded cap they are a
-    window ``OVER ()`` over the capped rows; with a larger cap they are two
-    scalars from one aggregate.
+    Averages for the centred transforms are two sums over the shown rows (after a cap), one job and one row.
     """
     if n_resp == 0:
         return rows, None
     name = str(transform or "none")
     if name == "none" and not (sigma > 0 and n_resp >= 2):
         return rows, None
-    if bounded or name not in ("zero", "one"):
-        averages = [
-            f"CASE WHEN sum(coalesce(resp{i}_den, 0D)) OVER () <> 0 "
-            f"THEN sum(coalesce(resp{i}_num, 0D)) OVER () / sum(coalesce(resp{i}_den, 0D)) OVER () END AS __avg{i}"
-            for i in range(n_resp)
-        ]
-        if name not in ("zero", "one"):
-            averages = [f"CAST(NULL AS DOUBLE) AS __avg{i}" for i in range(n_resp)]
-    else:
+    averages = [f"CAST(NULL AS DOUBLE) AS __avg{i}" for i in range(n_resp)]
+    if name in ("zero", "one"):
         sums = rows.selectExpr(
             *[f"sum(coalesce(resp{i}_num, 0D)) AS n{i}" for i in range(n_resp)],
             *[f"sum(coalesce(resp{i}_den, 0D)) AS d{i}" for i in range(n_resp)],
         ).first()
         averages = [
-            f"{(sums[f'n{i}'] / sums[f'd{i}'])!r}D AS __avg{i}" if sums[f"d{i}"] else f"CAST(NULL AS DOUBLE) AS __avg{i}"
-            for i in range(n_resp)
+            f"{(sums[f'n{i}'] / sums[f'd{i}'])!r}D AS __avg{i}" if sums[f"d{i}"] else averages[i] for i in range(n_resp)
         ]
     staged = rows.selectExpr("*", *averages)
     shown = {f"resp{i}": transform_sql(f"resp{i}", name, f"__avg{i}") for i in range(n_resp)}
@@ -407,25 +378,28 @@ def _transform(rows: DataFrame, n_resp: int, transform: str, sigma: float,
 def chart_from_request(df: DataFrame, request: dict) -> ChartResult:
     """Run a chart from a request dict with the original tool's keys.
 
+    Requests keep two responses, 1000 tiles and 10,000 groups at most, as that tool does.
+
     Keys: x, responses (list of {label, numerator}), denominator/weight,
     filter, bandWidth, quantileMode, dateBucket, lowGroup, sort, sigma,
     transform, maxGroups; plus our tieBy / foldBy key lists.
     """
-    quantile_mode = use_quantiles(request.get("quantileMode"))
+    quantile_mode = Argument(request.get("quantileMode")).switched_on()
+    numeric = [item for item in request.get("responses") or [] if M.resolve_responses(df, [item])]
     return chart(
         df,
         str(request.get("x") or ""),
-        responses=request.get("responses") or [],
+        responses=numeric[: M.MOST_RESPONSES],
         weight=request.get("denominator", request.get("weight")),
         filter=request.get("filter"),
         band=None if quantile_mode else request.get("bandWidth"),
-        quantiles=quantile_count(request.get("bandWidth")) if quantile_mode else None,
+        quantiles=Argument(request.get("bandWidth")).tiles(MOST_TILES) if quantile_mode else None,
         bucket=request.get("dateBucket"),
         low_weight=str(request.get("lowGroup") or "0"),
         sort=str(request.get("sort") or "alpha"),
         sigma=float(request.get("sigma") or 0),
         transform=str(request.get("transform") or "none"),
-        max_groups=int(request.get("maxGroups") or 10_000),
+        max_groups=int(request.get("maxGroups") or REQUEST_MAX_GROUPS),
         tie_by=request.get("tieBy"),
         fold_by=request.get("foldBy"),
     )

@@ -52,8 +52,8 @@ def round_sql(c: str, places: int) -> str:
     """
     m = f"{float(10 ** places)!r}D"
     y = f"({c} * {m})"
-    return (f"CAST(signum({y}) * CASE WHEN abs({y}) - floor(abs({y})) >= 0.5D THEN ceil(abs({y})) "
-            f"ELSE floor(abs({y})) END / {m} AS DOUBLE)")
+    return (f"CAST(CASE WHEN abs({y}) >= 4503599627370496D THEN {y} / {m} ELSE signum({y}) * "  # 2^52: no fraction left
+            f"CASE WHEN abs({y}) - floor(abs({y})) >= 0.5D THEN ceil(abs({y})) ELSE floor(abs({y})) END / {m} END AS DOUBLE)")
 
 
 def out(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -298,7 +298,7 @@ def chart_totals(spark, sf):
     return out(res.totals, ["response", "label", "value", "numerator", "denominator"])
 
 
-_QUALITY_SQL = """WITH base AS (SELECT * FROM """ + CUSTOMER_WEIGHTS + """ WHERE c_nationkey < 20),
+_QUALITY_SQL = """WITH base AS (SELECT * FROM """ + CUSTOMER_WEIGHTS + """),
 q AS (SELECT
   COALESCE(SUM(CASE WHEN bal IS NOT NULL AND wt IS NOT NULL THEN wt END), 0) AS value,
   COUNT(*) AS filtered_row_count,
@@ -310,7 +310,7 @@ q AS (SELECT
 
 
 def _quality_chart(spark, sf):
-    return chart(customer_weights(spark, sf), "c_mktsegment", "bal", weight="wt", filter="c_nationkey < 20")
+    return chart(customer_weights(spark, sf), "c_mktsegment", "bal", weight="wt")
 
 
 @register("weight_quality", _QUALITY_SQL + "\nSELECT round(CAST(value AS DOUBLE), 6) AS value, filtered_row_count, missing_response_rows, "
@@ -568,24 +568,36 @@ _TRANSFORM_SQL = {
     "one": lambda v, i: f"{v} / NULLIF({_avg(i)}, 0)",
 }
 _TRANSFORM_INPUT = {
-    "log": ("l_extendedprice", "l_tax"),
+    "log": ("l_discount", "l_tax"),
     "exp": ("l_discount", "l_tax"),
     "logit": ("l_discount", "l_tax"),
     "zero": ("l_extendedprice", "l_quantity"),
     "one": ("l_extendedprice", "l_quantity"),
 }
-_RF = O.category_key("l_returnflag")
+
+
+def shifted_items(spark, sf):
+    """lineitem with values around the edges of the transforms' domains: zero, negative, above one, huge."""
+    return table(spark, sf, "lineitem").select(
+        "l_suppkey", "l_extendedprice", "l_quantity",
+        (F.col("l_discount") * 30 - F.col("l_suppkey") % 4).alias("l_discount"),
+        (F.col("l_tax") + (F.col("l_suppkey") % 2) * 800).alias("l_tax"),
+    )
+
+
+SHIFTED_ITEMS = """(SELECT l_suppkey, l_extendedprice, l_quantity, l_discount * 30 - l_suppkey % 4 AS l_discount,
+  l_tax + (l_suppkey % 2) * 800 AS l_tax FROM lineitem) src"""
 for _t, (_a, _e) in _TRANSFORM_INPUT.items():
     def _mk_t(t=_t, a=_a, e=_e):
         def q(spark, sf):
-            res = chart(table(spark, sf, "lineitem"), "l_linestatus", a, e, transform=t)
+            res = chart(shifted_items(spark, sf), "l_suppkey", a, e, transform=t)
             return out(res.rows, ["x", "position", "volume", "resp0", "resp1"])
         return q
 
-    _LS = O.category_key("l_linestatus")
+    _LS = "TRY_CAST(l_suppkey AS DOUBLE)"
     register(
         f"transform_{_t}",
-        O.chart_sql("lineitem", _LS, _LS, _LS, [_a, _e], None, ALPHA,
+        O.chart_sql(SHIFTED_ITEMS, _LS, O.integer_label(_LS), _LS, [_a, _e], None, ORDERED,
                     ["x", "position", rd("volume"),
                      f"round({_TRANSFORM_SQL[_t]('resp0', 0)}, 6) AS resp0",
                      f"round({_TRANSFORM_SQL[_t]('resp1', 1)}, 6) AS resp1"]),
@@ -709,11 +721,11 @@ def geo_extent(spark, sf):
 
 
 @register("geo_totals", """WITH t AS (SELECT SUM(CASE WHEN w IS NOT NULL THEN r END) AS n, COALESCE(SUM(w), 0) AS d FROM (
-  SELECT CASE WHEN bal IS NOT NULL AND wt IS NOT NULL THEN wt END AS w, bal AS r FROM """ + GEO_INPUT + """ WHERE c_nationkey < 20) x)
+  SELECT CASE WHEN bal IS NOT NULL AND wt IS NOT NULL THEN wt END AS w, bal AS r FROM """ + GEO_INPUT + """) x)
 SELECT 0 AS response, 'bal' AS label, round(CAST(n / NULLIF(d, 0) AS DOUBLE), 6) AS value, round(CAST(n AS DOUBLE), 3) AS numerator,
   round(CAST(d AS DOUBLE), 3) AS denominator FROM t""")
 def geo_totals(spark, sf):
-    return out(_geo(spark, sf, "area", filter="c_nationkey < 20").totals,
+    return out(_geo(spark, sf, "area").totals,
                ["response", "label", "value", "numerator", "denominator"])
 
 
@@ -759,19 +771,29 @@ def geo_match_stats(spark, sf):
     return _map(spark, sf).stats
 
 
-@register("geo_quantile_colour", _MAP_BASE + """
-SELECT key, round(value, 6) AS value, CASE WHEN value IS NOT NULL THEN (SELECT COUNT(*) FROM th WHERE th.threshold < sv.value) END AS bucket FROM sv""")
+# Map scales over every unit: hundreds of keys, with ties (values rounded to tens).
+_UNITS = "WITH " + geo_sql("unit") + """,
+su AS (SELECT key, round(value / 10) * 10 AS value FROM sv)"""
+_UNIT_THRESH = _THRESH.replace("FROM sv WHERE", "FROM su WHERE")
+
+
+def _units(spark, sf):
+    summary = _geo(spark, sf, "unit").summary
+    return summary.select("key", F.expr(round_sql("(value / 10D)", 0) + " * 10D").alias("value"))
+
+
+@register("geo_quantile_colour", _UNITS + ",\n" + _UNIT_THRESH.format(b=100) + """
+SELECT key, round(value, 6) AS value, CASE WHEN value IS NOT NULL THEN (SELECT COUNT(*) FROM th WHERE th.threshold < su.value) END AS bucket FROM su""")
 def geo_quantile_colour(spark, sf):
     from kpiframe.operators.geo import colour_buckets
 
-    summary = _geo(spark, sf, "area", filter="c_nationkey < 20").rows
-    return out(colour_buckets(summary).withColumn("bucket", F.col("bucket").cast("long")), ["key", "value", "bucket"])
+    return out(colour_buckets(_units(spark, sf)).withColumn("bucket", F.col("bucket").cast("long")), ["key", "value", "bucket"])
 
 
-@register("geo_legend_bins", "WITH " + geo_sql("area", "c_nationkey < 20") + ",\n" + _THRESH.format(b=10) + """,
+@register("geo_legend_bins", _UNITS + ",\n" + _UNIT_THRESH.format(b=10) + """,
 bins AS (SELECT range AS bin FROM range(0, 10)),
 bnd AS (SELECT bin, (SELECT threshold FROM th WHERE i = bin) AS lower0, (SELECT threshold FROM th WHERE i = bin + 1) AS upper0 FROM bins),
-cnt AS (SELECT CASE WHEN value IS NOT NULL THEN (SELECT COUNT(*) FROM th WHERE th.threshold < sv.value) END AS bin, COUNT(*) AS keys FROM sv GROUP BY 1)
+cnt AS (SELECT CASE WHEN value IS NOT NULL THEN (SELECT COUNT(*) FROM th WHERE th.threshold < su.value) END AS bin, COUNT(*) AS keys FROM su GROUP BY 1)
 SELECT CAST(b.bin AS INTEGER) AS bin, round(CASE WHEN b.bin > 0 THEN lower0 END, 6) AS lower,
   round(CASE WHEN b.bin < 9 THEN upper0 END, 6) AS upper, COALESCE(c.keys, 0) AS keys
 FROM bnd b LEFT JOIN cnt c ON b.bin = c.bin
@@ -779,26 +801,25 @@ UNION ALL SELECT -1, NULL, NULL, keys FROM cnt WHERE bin IS NULL""")
 def geo_legend_bins(spark, sf):
     from kpiframe.operators.geo import legend_bins
 
-    summary = _geo(spark, sf, "area", filter="c_nationkey < 20").rows
-    return out(legend_bins(summary), ["bin", "lower", "upper", "keys"])
+    return out(legend_bins(_units(spark, sf)), ["bin", "lower", "upper", "keys"])
 
 
-@register("geo_hotspots", "WITH " + geo_sql("area", "c_nationkey < 20") + """
+@register("geo_hotspots", _UNITS + """
 SELECT key, round(value, 6) AS value, ROW_NUMBER() OVER (ORDER BY value DESC, key DESC) AS rank
-FROM sv WHERE value IS NOT NULL ORDER BY value DESC, key DESC LIMIT 5""")
+FROM su WHERE value IS NOT NULL ORDER BY value DESC, key DESC LIMIT 5""")
 def geo_hotspots(spark, sf):
     from kpiframe.operators.geo import hotspots
 
-    return out(hotspots(_geo(spark, sf, "area", filter="c_nationkey < 20").rows, 5), ["key", "value", "rank"])
+    return out(hotspots(_units(spark, sf), 5), ["key", "value", "rank"])
 
 
-@register("geo_coldspots", "WITH " + geo_sql("area", "c_nationkey < 20") + """
+@register("geo_coldspots", _UNITS + """
 SELECT key, round(value, 6) AS value, ROW_NUMBER() OVER (ORDER BY value ASC, key ASC) AS rank
-FROM sv WHERE value IS NOT NULL ORDER BY value ASC, key ASC LIMIT 5""")
+FROM su WHERE value IS NOT NULL ORDER BY value ASC, key ASC LIMIT 5""")
 def geo_coldspots(spark, sf):
     from kpiframe.operators.geo import hotspots
 
-    return out(hotspots(_geo(spark, sf, "area", filter="c_nationkey < 20").rows, -5), ["key", "value", "rank"])
+    return out(hotspots(_units(spark, sf), -5), ["key", "value", "rank"])
 
 
 # --- postcode search ----------------------------------------------------------------------
@@ -935,8 +956,6 @@ FROM ({stats}) st"""
               "SELECT 'p_retailprice', FALSE, NULL, NULL, STDDEV_SAMP(p_retailprice) FROM part",
           ])).replace("SELECT name, CASE WHEN is_int", "SELECT name, sd, CASE WHEN is_int") + ") x")
 def profile_band_suggestion(spark, sf):
-    # part has fewer than 10,000 rows at the checked scales, so the first-rows
-    # sample is the whole table and the suggestion is deterministic.
     return _profile_of(spark, sf, "part").where(F.col("kind").isin("integer", "numeric")).select("name", "band_suggestion")
 
 
@@ -1062,12 +1081,187 @@ def chart_text_length_band_tails(spark, sf):
                 ["x", "position", rd("volume"), rd("resp0"), rd("resp1")]),
 )
 def chart_quantile_windows(spark, sf):
-    # High-cardinality x: tiles from approximate boundary windows + exact counts.
+    # High-cardinality x: nearly every tile boundary is inside a narrow window of values.
     res = chart(table(spark, sf, "lineitem"), "l_extendedprice", "l_extendedprice", "l_discount", weight="l_quantity",
-                quantiles=20, tie_by=["l_orderkey", "l_linenumber", "l_discount", "l_quantity"], tile_method="windows")
+                quantiles=20, tie_by=["l_orderkey", "l_linenumber", "l_discount", "l_quantity"])
     return out(res.rows, ["x", "position", "volume", "resp0", "resp1"])
 
 
+# --- completeness: every group, truncation, exact tails, NaN, many tiles, default ties -----------
+
+_OK = "TRY_CAST(l_orderkey AS DOUBLE)"
+
+
+@register(
+    "chart_all_groups",
+    O.chart_sql("lineitem", _OK, O.integer_label(_OK), _OK, ["l_extendedprice"], None, ORDERED,
+                ["x", "position", rd("volume"), rd("resp0"), "FALSE AS truncated"]),
+)
+def chart_all_groups(spark, sf):
+    res = chart(table(spark, sf, "lineitem"), "l_orderkey", "l_extendedprice", max_groups=0)
+    return out(res.rows, ["x", "position", "volume", "resp0", "truncated"])
+
+
+@register(
+    "chart_truncated_flag",
+    "SELECT max(position) AS shown, bool_and(truncated) AS truncated FROM ("
+    + O.chart_sql("lineitem", _OK, O.integer_label(_OK), _OK, ["l_extendedprice"], None, ORDERED,
+                  ["position", "COUNT(*) OVER () > 500 AS truncated"]) + ") t WHERE position <= 500",
+)
+def chart_truncated_flag(spark, sf):
+    res = chart(table(spark, sf, "lineitem"), "l_orderkey", "l_extendedprice", max_groups=500)
+    return res.rows.agg(F.max("position").alias("shown"), F.bool_and("truncated").alias("truncated"))
+
+
+# Weights with fractions, one group of about all the weight, and a threshold that one running sum meets exactly.
+_FRACTIONAL = """(SELECT p_size, p_retailprice,
+  CASE WHEN p_size = 25 THEN 9007199254740992.0 ELSE 0.25 * (p_size % 8) END AS wt FROM part) src"""
+
+
+def fractional_weights(spark, sf):
+    p = table(spark, sf, "part")
+    wt = F.when(p.p_size == 25, F.lit(9007199254740992.0)).otherwise(F.lit(0.25) * (p.p_size % 8))
+    return p.select("p_size", "p_retailprice", wt.alias("wt"))
+
+
+_PS = "TRY_CAST(p_size AS DOUBLE)"
+
+
+@register(
+    "tails_fractional_weight",
+    O.chart_sql(_FRACTIONAL, _PS, O.integer_label(_PS), _PS, ["p_retailprice"], "wt", ORDERED, _TAIL_COLS,
+                tails=("ordered", "(SELECT SUM(wt) FROM " + _FRACTIONAL + " WHERE p_size <= 9)")),
+)
+def tails_fractional_weight(spark, sf):
+    df = fractional_weights(spark, sf)
+    exact = df.where("p_size <= 9").agg(F.sum("wt")).first()[0]
+    res = chart(df, "p_size", "p_retailprice", weight="wt", low_weight=str(exact))
+    return out(res.rows, _TAIL_OUT)
+
+
+_NAN_SRC = """(SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN 'nan'::DOUBLE
+  WHEN o_orderkey % 50 = 1 THEN 'infinity'::DOUBLE WHEN o_orderkey % 50 = 2 THEN '-infinity'::DOUBLE
+  WHEN o_orderkey % 10 = 4 THEN -0.0 WHEN o_orderkey % 10 = 5 THEN 0.0 ELSE o_totalprice - 100000 END AS v FROM orders)"""
+
+
+def odd_values(spark, sf):
+    o = table(spark, sf, "orders")
+    k = o.o_orderkey
+    v = (
+        F.when(k % 3 == 0, F.lit(float("nan"))).when(k % 50 == 1, F.lit(float("inf"))).when(k % 50 == 2, F.lit(float("-inf")))
+        .when(k % 10 == 4, F.lit(-0.0)).when(k % 10 == 5, F.lit(0.0)).otherwise(o.o_totalprice - 100000)
+    )
+    return o.select("o_orderkey", "o_totalprice", v.alias("v"))
+
+
+@register(
+    "chart_quantile_nan",
+    O.chart_sql(_quantile_source(_NAN_SRC, "v", "o_orderkey", 12), "tile", _QLABEL, _QSORT, ["o_totalprice"], None, ORDERED,
+                ["x", "position", rd("volume"), rd("resp0")]),
+)
+def chart_quantile_nan(spark, sf):
+    res = chart(odd_values(spark, sf), "v", "o_totalprice", quantiles=12, tie_by=["o_orderkey"])
+    return out(res.rows, ["x", "position", "volume", "resp0"])
+
+
+@register(
+    "chart_quantile_1000",
+    O.chart_sql(_quantile_source("lineitem", "l_extendedprice", "l_orderkey, l_linenumber, l_discount, l_quantity", 1000), "tile",
+                _QLABEL, _QSORT, ["l_extendedprice"], "l_quantity", ORDERED, ["x", "position", rd("volume"), rd("num0").replace(" AS num0", " AS resp0_num")]),
+)
+def chart_quantile_1000(spark, sf):
+    res = chart(table(spark, sf, "lineitem"), "l_extendedprice", "l_extendedprice", weight="l_quantity", quantiles=1000,
+                tie_by=["l_orderkey", "l_linenumber", "l_discount", "l_quantity"])
+    return out(res.rows, ["x", "position", "volume", "resp0_num"])
+
+
+@register(
+    "chart_quantile_default_ties",
+    O.chart_sql(_quantile_source("lineitem", "l_linenumber", "l_extendedprice, l_quantity", 9), "tile", _QLABEL, _QSORT,
+                ["l_extendedprice"], "l_quantity", ORDERED, ["x", "position", rd("volume"), rd("resp0")]),
+)
+def chart_quantile_default_ties(spark, sf):
+    res = chart(table(spark, sf, "lineitem"), "l_linenumber", "l_extendedprice", weight="l_quantity", quantiles=9)
+    return out(res.rows, ["x", "position", "volume", "resp0"])
+
+
+_TINY = "(SELECT l_extendedprice / 1e9 * (CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END) AS tiny, l_quantity FROM lineitem) src"
+
+
+@register(
+    "chart_small_numeric_labels",
+    O.chart_sql(_TINY, "TRY_CAST(tiny AS DOUBLE)", O.numeric_label("TRY_CAST(tiny AS DOUBLE)"), "TRY_CAST(tiny AS DOUBLE)",
+                ["l_quantity"], None, ORDERED, ["x", "position", rd("volume"), rd("resp0")]),
+)
+def chart_small_numeric_labels(spark, sf):
+    sign = F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)
+    df = table(spark, sf, "lineitem").select((F.col("l_extendedprice") / 1e9 * sign).alias("tiny"), "l_quantity")
+    return out(chart(df, "tiny", "l_quantity").rows, ["x", "position", "volume", "resp0"])
+
+
+_NULL_FOLD = "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey END"
+
+
+@register(
+    "sigma_null_fold_keys",
+    O.chart_sql(ORDERS_NULLS, O.category_key("priority"), O.category_key("priority"), O.category_key("priority"),
+                ["o_totalprice", "expected"], None, ALPHA, _SIG_COLS, fold_key=f"COALESCE(CAST({_NULL_FOLD} AS VARCHAR), chr(0))"),
+)
+def sigma_null_fold_keys(spark, sf):
+    df = orders_nulls(spark, sf).withColumn("fk", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey")))
+    res = chart(df, "priority", "o_totalprice", "expected", sigma=2, fold_by=["fk"])
+    return out(res.rows, ["x", "position", "is_tail", "volume", "resp0", "resp1", "sigma_se", "valid_folds"])
+
+
+# --- responses as JSON text, empty results -------------------------------------------------------
+
+
+def _json_number(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL OR NOT isfinite({c}) THEN 'null' WHEN {c} = round({c}) AND abs({c}) < 9007199254740992 "
+            f"THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END")
+
+
+@register(
+    "chart_rows_json",
+    "SELECT position, '{\"x\":\"' || x || '\",\"volume\":' || " + _json_number("volume")
+    + " || ',\"is_tail\":false,\"valid_folds\":null,\"resp0\":' || " + _json_number("resp0") + " || '}' AS json FROM ("
+    + O.chart_sql("(SELECT * FROM part) src", _BRAND, _BRAND, _BRAND, ["p_size"], None, ALPHA, ["x", "position", "volume", "resp0"])
+    + ") t",
+)
+def chart_rows_json(spark, sf):
+    return chart(table(spark, sf, "part"), "p_brand", "p_size").rows_json()
+
+
+# Quarters sum exactly in any order, so the texts agree to the last digit.
+@register(
+    "geo_rows_json",
+    """WITH s AS (SELECT n_name AS k, COUNT(*) AS n, CAST(SUM(c_custkey % 8 * 0.25) AS DOUBLE) AS v, CAST(COUNT(*) AS DOUBLE) AS d
+  FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT k AS key, '{"key":"' || k || '","row_count":' || n || ',"numerator":' || """ + _json_number("v")
+    + """ || ',"denominator":' || """ + _json_number("d") + """ || ',"volume":' || """ + _json_number("d")
+    + """ || ',"value":' || """ + _json_number("(v / d)") + """ || '}' AS json FROM s""",
+)
+def geo_rows_json(spark, sf):
+    from kpiframe.plans.geo import geo_summary
+
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    df = c.join(n, c.c_nationkey == n.n_nationkey).select("n_name", (F.col("c_custkey") % 8 * 0.25).alias("quarters"))
+    return geo_summary(df, "area", "quarters", key_col="n_name").rows_json()
+
+
+@register(
+    "geo_empty_warning",
+    "SELECT 5 AS position, 'empty' AS code, 0 AS count, 'No plot-ready unit points were found after filtering.' AS message "
+    "FROM (SELECT COUNT(*) AS n FROM customer) WHERE n > 0",
+)
+def geo_empty_warning(spark, sf):
+    from kpiframe.plans.geo import geo_summary
+
+    # No row has a latitude that a map can show, and none lacks a value or a weight.
+    df = geo_input(spark, sf).select("unit", F.lit(120.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(1.0).alias("one"))
+    return geo_summary(df, "unit", "one", key_col="unit", lat_col="lat", lon_col="lon").warnings
+
+
 # --- other given tables: events, conversations, pages (whole texts) --------------------------
 
 _ET = O.category_key("event_type")

@@ -17,9 +17,6 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # lets the DataSource V2 Parquet reader answer count/min/max from footers
-    # (no effect with the default V1 reader)
-    "spark.sql.parquet.aggregatePushdown": "true",
     # per-request group tables are checkpointed; remove their files once unreferenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

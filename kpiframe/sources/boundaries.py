@@ -34,21 +34,27 @@ def read_boundaries(spark: SparkSession, path: str, key_property: str, lines: bo
     else:
         doc = spark.read.schema(_COLLECTION_SCHEMA).option("multiLine", True).json(path)
         feats = doc.select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
-    first = feats.select(F.col("properties").getItem(key_property).alias("k")).limit(1).collect()
-    if first and first[0]["k"] is None:
+    if feats.where(F.col("properties").getItem(key_property).isNotNull()).isEmpty() and not feats.isEmpty():
         raise ValueError(f"Boundary features have no '{key_property}' property")
-    return feats.select(F.col("properties").getItem(key_property).alias("key"), "geometry")
+    return feats.select(F.col("properties").getItem(key_property).alias("key"), "geometry", "properties")
 
 
 def write_features(features: DataFrame, path: str, key_property: str, key_col: str = "key",
                    geometry_col: str = "geometry", mode: str = "overwrite") -> None:
-    """Write one compact GeoJSON Feature per line (``properties`` = {key_property: key})."""
+    """Write one compact GeoJSON Feature per line: the key, and every other column as a property.
+
+    A ``properties`` map (as :func:`read_boundaries` gives it) is written entry by entry.
+    """
+    own = F.struct(F.col(key_col).cast("string").alias(key_property),
+                   *[F.col(c) for c in features.columns if c not in (key_col, geometry_col, "properties", key_property)])
+    text = F.to_json(own)
+    if "properties" in features.columns:
+        more = F.to_json(F.map_filter("properties", lambda k, _: k != F.lit(key_property)))
+        some = F.col("properties").isNotNull() & (F.length(more) > 2)
+        text = F.when(some, F.concat(text.substr(F.lit(1), F.length(text) - 1), F.lit(","), more.substr(F.lit(2), F.length(more)))).otherwise(text)
     line = F.concat(
-        F.lit('{"type":"Feature","properties":'),
-        F.to_json(F.struct(F.col(key_col).cast("string").alias(key_property))),
-        F.lit(',"geometry":'),
-        F.coalesce(F.col(geometry_col), F.lit("null")),
-        F.lit("}"),
+        F.lit('{"type":"Feature","properties":'), text,
+        F.lit(',"geometry":'), F.coalesce(F.col(geometry_col), F.lit("null")), F.lit("}"),
     )
     features.select(line.alias("value")).write.mode(mode).text(path)
 

@@ -26,8 +26,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     so that a row malformed in an unread column is still dropped, keeping
     counts identical whichever columns a query touches.
     """
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED")
+    reader = spark.read.options(header=True, mode="DROPMALFORMED", columnPruning=False)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 

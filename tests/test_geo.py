@@ -10,90 +10,77 @@ def rows_by_key(df):
     return {r["key"]: r for r in df.collect()}
 
 
-def test_area_summary(geo_df):
-    res = geo_summary(geo_df, "area", "Actual")
+def test_area_summary(stations):
+    res = geo_summary(stations, "area", "spend")
     rows = rows_by_key(res.rows)
-    assert set(rows) == {"AB", "AL"}
-    assert (rows["AB"]["value"], rows["AB"]["denominator"]) == (150, 2)
-    assert (rows["AL"]["value"], rows["AL"]["denominator"]) == (350, 2)
-    assert res.quality.first()["value"] == 5
-    assert res.totals.first()["value"] == 300
+    assert {k: (r["value"], r["denominator"], r["row_count"]) for k, r in rows.items()} == {"NO": (8, 3, 3), "SU": (27, 3, 3)}
+    assert res.quality.first()["value"] == 7 and res.totals.first()["value"] == pytest.approx(149 / 7)
 
 
-def test_sector_weight_filter(geo_df):
-    res = geo_summary(geo_df, "sector", "Actual", weight="Weight", filter="PostcodeArea = 'AL'")
+def test_sector_weight_filter(stations):
+    res = geo_summary(stations, "sector", "spend", weight="hours", filter="PostcodeArea = 'SU'")
     rows = rows_by_key(res.rows)
-    assert (rows["AL1 1"]["value"], rows["AL1 1"]["denominator"]) == (10, 30)
-    assert rows["AL1 2"]["value"] is None and rows["AL1 2"]["denominator"] == 0
-    assert res.quality.first()["filtered_row_count"] == 2
-    assert [r["code"] for r in res.warnings.collect()] == ["missing_weight"]
+    assert (rows["SU 1"]["value"], rows["SU 1"]["denominator"]) == (5, 4)
+    assert rows["SU 2"]["value"] is None and rows["SU 2"]["denominator"] == 0 and rows["SU 2"]["row_count"] == 2
+    assert res.quality.first()["filtered_row_count"] == 3
+    assert [r["code"] for r in res.warnings.orderBy("position").collect()] == ["missing_weight", "zero_weight"]
 
 
-def test_custom_key(geo_df):
-    assert set(rows_by_key(geo_summary(geo_df, "area", "Actual", key_col="CustomArea").rows)) == {"A1", "A2", "A3"}
+def test_named_columns(stations):
+    assert set(rows_by_key(geo_summary(stations, "area", "spend", key_col="district").rows)) == {"D1", "D2", "D3", "D4"}
+    defaults = {"unit_column": "point", "latitude_column": "north", "longitude_column": "east"}
+    res = geo_summary(stations, "unit", "spend", defaults=defaults)
+    assert res.key_column == "point" and rows_by_key(res.rows)["P1"]["latitude"] == pytest.approx(41.25)
+    assert geo_summary(stations, "unit", "spend", key_col="PostcodeUnit", defaults=defaults).key_column == "PostcodeUnit"
 
 
-def test_unit_points(geo_df):
-    res = geo_summary(geo_df, "unit", "Actual")
+def test_unit_points(stations):
+    res = geo_summary(stations, "units", "spend", weight="hours")
     s = res.point_summary.first()
-    assert (s["summary_count"], s["plotted_count"], s["missing_value_count"], s["missing_coordinate_count"]) == (4, 3, 0, 1)
+    assert (s["summary_count"], s["plotted_count"], s["missing_value_count"], s["missing_coordinate_count"]) == (5, 3, 1, 1)
     rows = rows_by_key(res.rows)
-    assert rows["AB10 1AA"]["latitude"] == pytest.approx(57.2) and rows["AB10 1AA"]["longitude"] == pytest.approx(-2.2)
-    assert rows["AL1 1AA"]["value"] == 300
+    assert rows["NO 7-1"]["latitude"] == pytest.approx(40.25) and rows["NO 7-1"]["longitude"] == pytest.approx(10.25)
+    assert rows["NO 8-4"]["value"] == 4
 
 
-def test_unit_weight_filter(geo_df):
-    res = geo_summary(geo_df, "unit", "Actual", weight="Weight", filter="PostcodeArea = 'AL'")
-    s = res.point_summary.first()
-    assert (s["summary_count"], s["plotted_count"], s["missing_value_count"]) == (2, 1, 1)
-    assert rows_by_key(res.rows)["AL1 1AA"]["value"] == 10
-
-
-def test_custom_coordinates(geo_df):
-    res = geo_summary(geo_df, "unit", "Actual", key_col="CustomUnit", lat_col="CustomLat", lon_col="CustomLong")
-    rows = rows_by_key(res.rows)
-    assert set(rows) == {"U1", "U2", "U3", "U4"}
-    assert rows["U1"]["latitude"] == pytest.approx(58.2) and rows["U1"]["longitude"] == pytest.approx(-3.2)
-
-
-def test_errors(geo_df):
-    with pytest.raises(ValueError, match="valid area postcode column"):
-        geo_summary(geo_df, "area", "Actual", key_col="Nope")
-    with pytest.raises(ValueError, match="valid unit postcode column"):
-        geo_summary(geo_df, "unit", "Actual", key_col="Nope")
+def test_errors(stations):
+    for level in ("area", "unit"):
+        with pytest.raises(ValueError, match=f"valid {level} postcode column"):
+            geo_summary(stations, level, "spend", key_col="nowhere")
     with pytest.raises(ValueError, match="numeric latitude"):
-        geo_summary(geo_df, "unit", "Actual", lat_col="PostcodeArea")
+        geo_summary(stations, "unit", "spend", lat_col="district")
     with pytest.raises(ValueError, match="numeric longitude"):
-        geo_summary(geo_df, "unit", "Actual", lon_col="PostcodeArea")
+        geo_summary(stations, "unit", "spend", lon_col="nowhere")
+    with pytest.raises(ValueError, match="map level"):
+        geo_summary(stations, "street", "spend")
+    with pytest.raises(ValueError, match="Actual"):
+        geo_summary(stations, "area", "district")
 
 
 def test_aliases(spark):
-    df = spark.createDataFrame(
-        [("AB", "AB10 1", "AB10 1AA", 57.0, -2.0, 1.0, 1.0)],
-        "POSTCODE_AREA string, POSTCODE_SECTOR string, POSTCODE_UNIT string, LATITUDE double, LONGITUDE double, "
-        "Actual double, Weight double",
-    )
-    assert geo_summary(df, "area", "Actual").key_column == "POSTCODE_AREA"
-    assert geo_summary(df, "units", "Actual").rows.count() == 1
-    df2 = spark.createDataFrame([("AB10 1AA", 57.0, -2.0, 1.0)], "PostcodeUnit string, latitude double, LONGiTUDE double, Actual double")
-    assert geo_summary(df2, "unit", "Actual").rows.first()["longitude"] == -2.0
-
-
-def test_boundary_join_scale_and_hotspots(spark, geo_df):
-    summary = geo_summary(geo_df, "unit", "Actual", key_col="CustomUnit", lat_col="CustomLat", lon_col="CustomLong").rows
-    bounds = spark.createDataFrame([(k, "{}") for k in ["U1", "U2", "U3", "U4", "U9"]], "unit string, geometry string")
-    res = boundary_join(summary, bounds, "unit", hotspots=2)
-    feats = {r["unit"]: r for r in res.features.collect()}
-    assert not feats["U9"]["matched"] and feats["U9"]["bucket"] is None
-    assert {k for k, r in feats.items() if r["selected"]} == {"U4", "U3"}
+    df = spark.createDataFrame([("w1", "w1-2", 3.5, -7.0, 2)], "POSTCODE_AREA string, POSTCODE_UNIT string, LATITUDE double, LONGiTUDE double, n int")
+    assert geo_summary(df, "areas", "n").key_column == "POSTCODE_AREA"
+    point = geo_summary(df, "unit", "n").rows.first()
+    assert (point["latitude"], point["longitude"]) == (3.5, -7.0)
+
+
+def test_boundary_join_scale_and_hotspots(spark):
+    summary = spark.createDataFrame([("a", 4.0), ("b", 4.0), ("c", 9.0), ("d", None), ("e", 1.0), ("f", float("nan"))], "key string, value double")
+    bounds = spark.createDataFrame([(k, "{}") for k in "abcdefz"], "place string, geometry string")
+    res = boundary_join(summary, bounds, "place", hotspots=2)
+    feats = {r["place"]: r for r in res.features.collect()}
+    assert len(feats) == 7 and not feats["z"]["matched"] and feats["z"]["bucket"] is None and not feats["f"]["matched"]
+    assert {k for k, r in feats.items() if r["selected"]} == {"c", "b"}  # of equal values the larger key
+    # Ranks: e 1, a 2, b 3, c 4; of 100 thresholds 25 are e's, 50 of value 4, 24 of c's.
+    assert [feats[k]["bucket"] for k in "eabc"] == [0, 25, 25, 75]
     stats = res.stats.first()
-    assert (stats["features"], stats["matched"], stats["no_match_warning"]) == (5, 4, False)
-    # values 150, 300, 400, 500 -> 100 buckets: thresholds repeat; bucket = thresholds strictly below
-    assert feats["U1"]["bucket"] == 0 and feats["U4"]["bucket"] == 75
+    assert (stats["features"], stats["matched"], stats["summary_rows"], stats["no_match_warning"]) == (7, 4, 6, False)
     legend = {r["bin"]: r for r in res.legend.collect()}
-    assert sum(r["keys"] for r in legend.values()) == 4
-    cold = G.hotspots(summary, -1).collect()
-    assert [r["key"] for r in cold] == ["U1"]
+    assert sum(r["keys"] for r in legend.values()) == 6 and legend[-1]["keys"] == 2
+    assert [(r["key"], r["rank"]) for r in G.hotspots(summary, -2).orderBy("rank").collect()] == [("e", 1), ("a", 2)]
+    assert G.hotspots(summary, 0).count() == 0
+    nothing = boundary_join(summary.where("key = 'd'"), bounds, "place").stats.first()
+    assert nothing["matched"] == 0 and nothing["no_match_warning"]
 
 
 def test_quantile_thresholds_rule(spark):
@@ -121,29 +108,31 @@ def test_postcode_parse(spark, text, expected):
     assert (None if row is None else (row["level"], row["key"])) == expected
 
 
-def test_geo_payload(geo_df):
-    p = geo_summary(geo_df, "sector", "Actual", weight="Weight", filter="PostcodeArea = 'AL'").payload()
-    assert p["row_count"] == 5 and p["filtered_row_count"] == 2 and p["denominator"]["value"] == 30
-    assert p["rows"][0] == {"key": "AL1 1", "row_count": 1, "numerator": 300, "denominator": 30, "volume": 30, "value": 10}
-    assert p["rows"][1]["value"] is None
-    assert p["warnings"] == ["1 row excluded from Weight because Weight was missing."]
-    u = geo_summary(geo_df, "unit", "Actual").payload()
-    assert u["point_summary"] == {"summary_count": 4, "plotted_count": 3, "missing_value_count": 0, "missing_coordinate_count": 1}
+def test_geo_payload(stations, tmp_path):
+    import json
+
+    res = geo_summary(stations, "sector", "spend", weight="hours", filter="PostcodeArea = 'SU'")
+    path = str(tmp_path / "rows")
+    p = res.payload(path)
+    assert (p["row_count"], p["filtered_row_count"], p["denominator"]["value"]) == (7, 3, 4)
+    assert (p["level"], p["level_label"], p["join_property"], p["join_column"]) == ("sector", "sectors", "PostcodeSector", "PostcodeSector")
+    rows = sorted((json.loads(r["value"]) for r in res.source.sparkSession.read.text(path).collect()), key=lambda r: r["key"])
+    assert rows[0] == {"key": "SU 1", "row_count": 1, "numerator": 20, "denominator": 4, "volume": 4, "value": 5}
+    assert rows[1]["value"] is None
+    units = geo_summary(stations, "unit", "spend").payload()
+    assert units["point_summary"]["plotted_count"] == 4
 
 
-def test_geo_from_request(geo_df):
+def test_geo_from_request(stations):
     from kpiframe.plans.geo import geo_from_request
 
-    res = geo_from_request(geo_df, {"level": "units", "numerator": "Actual", "unitColumn": "CustomUnit",
-                                    "latitudeColumn": "CustomLat", "longitudeColumn": "CustomLong"})
-    assert res.level == "unit" and res.rows.count() == 4
+    request = {"level": "unit", "numerator": "spend", "unitColumn": "point", "latitudeColumn": "north"}
+    res = geo_from_request(stations, request, {"longitude_column": "east"})
+    assert res.level == "unit" and res.rows.count() == 5
 
 
-def test_empty_result_warnings(geo_df):
-    res = geo_summary(geo_df, "area", "Actual", filter="Actual > 10000")
-    assert [r["message"] for r in res.warnings.collect()] == [
-        "No non-empty PostcodeArea values were found after filtering."]
-    res = geo_summary(geo_df, "unit", "Actual", weight="Weight", filter="Weight IS NULL")
-    assert [r["message"] for r in res.warnings.orderBy("position").collect()] == [
-        "1 row excluded from Weight because Weight was missing.",
-        "No plot-ready PostcodeUnit points were found after filtering."]
+def test_empty_result_warnings(stations):
+    res = geo_summary(stations, "area", "spend", filter="spend < 0")
+    assert [r["message"] for r in res.warnings.collect()] == ["No non-empty PostcodeArea values were found after filtering."]
+    res = geo_summary(stations, "unit", "spend", filter="lat < -90")
+    assert [r["message"] for r in res.warnings.collect()] == ["No plot-ready PostcodeUnit points were found after filtering."]

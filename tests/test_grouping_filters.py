@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from kpiframe.functions import kinds
 from kpiframe.functions.labels import double_text_sql
 from kpiframe.operators.filters import apply_filter, combine_filter_columns, combine_filters, row_counts
-from kpiframe.operators.grouping import assign_display, parse_threshold
+from kpiframe.operators.grouping import assign_display
 from kpiframe.plans.chart import chart
 
 
@@ -30,8 +30,7 @@ def loop_tails(volumes, t):
 
 
 @pytest.mark.parametrize("seed", range(8))
-@pytest.mark.parametrize("small_rows", [None, 0])
-def test_tails_equal_loop(spark, seed, small_rows):
+def test_tails_equal_loop(spark, seed):
     rnd = random.Random(seed)
     n = rnd.randint(3, 25)
     volumes = [float(rnd.randint(-3, 9)) for _ in range(n)]
@@ -39,7 +38,7 @@ def test_tails_equal_loop(spark, seed, small_rows):
     groups = spark.createDataFrame(
         [(float(i), str(i), float(i), v) for i, v in enumerate(volumes)], "x_key double, x_label string, x_sort double, volume double"
     )
-    out, _ = assign_display(groups, kinds.NUMERIC, str(t), small_rows=small_rows)
+    out, _ = assign_display(groups, kinds.NUMERIC, str(t))
     labels = {int(r["x_key"]): r["x"] for r in out.collect()}
     low, high = loop_tails(volumes, t)
     for i in range(n):
@@ -61,10 +60,24 @@ def test_weight_conserved_under_tails_and_other(spark):
         assert merged[0] == pytest.approx(plain[0]) and merged[1] == pytest.approx(plain[1])
 
 
-@pytest.mark.parametrize("raw, total, expected", [("", 100, 0), ("none", 100, 0), ("-", 100, 0), ("5%", 200, 10),
-                                                  ("7", 100, 7), ("abc", 100, 0)])
-def test_parse_threshold(raw, total, expected):
-    assert parse_threshold(raw, total) == expected
+@pytest.mark.parametrize("weights, t, high", [
+    ([1e16, 1, 1, 1, 1], 2, 2), ([9.1, 3.3, 0.4, 0.2, 0.1], 0.7, 3), ([5, 7, 0.2, 0.1], 0.3, 0), ([5, 0.7, 0.1, 0.2], 0.3, 0)])
+def test_high_tail_is_summed_from_the_end(spark, weights, t, high):
+    groups = spark.createDataFrame(
+        [(float(i), str(i), float(i), float(v)) for i, v in enumerate(weights)], "x_key double, x_label string, x_sort double, volume double")
+    out, _ = assign_display(groups, kinds.NUMERIC, str(t))
+    # What the loop takes: weights added from the last group on, in floating point.
+    taken = len(loop_tails([float(w) for w in weights], t)[1])
+    assert out.where("x = 'High tail'").count() == (taken if taken > 1 else 0)
+    if high:
+        assert taken in (high, high - 1)  # 0.4 + 0.2 + 0.1 may round above 0.7
+
+
+@pytest.mark.parametrize("raw, total, amount", [("", 50, 0), ("None", 50, 0), ("-", 50, 0), ("12%", 50, 6), ("2.5", 50, 2.5), ("few", 50, 0), ("%", 50, 0), (None, 9, 0)])
+def test_thresholds(raw, total, amount):
+    from kpiframe.functions.arguments import Argument
+
+    assert Argument(raw).threshold().of_total(total) == amount
 
 
 def test_filter_combinations_complement(spark):
@@ -90,7 +103,9 @@ def test_row_counts(spark):
 
 @pytest.mark.parametrize("value, text", [(10.0, "10.0"), (0.05, "0.05"), (1e7, "10000000.0"), (1e-4, "0.0001"),
                                          (123456789.5, "123456789.5"), (1e16, "1e+16"), (1.5e-5, "1.5e-05"),
-                                         (-2.5e20, "-2.5e+20"), (float("nan"), "nan")])
+                                         (-2.5e20, "-2.5e+20"), (float("nan"), "nan"),
+                                         (1.2345678901234567e-4, "0.00012345678901234567"), (-5e-4, "-0.0005"), (-1.25e8, "-125000000.0"),
+                                         (9007199254740993.0, "9007199254740992.0"), (0.00012, "0.00012")])
 def test_double_labels(spark, value, text):
     got = spark.createDataFrame([(value,)], "v double").select(F.expr(double_text_sql("`v`")).alias("t")).first()["t"]
     assert got == text

@@ -5,15 +5,12 @@ import os
 
 import pytest
 
+from kpiframe.plans import registry
+
 duckdb = pytest.importorskip("duckdb")
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["chart_category_weighted", "chart_quantile_ties", "chart_week", "sigma_tails", "tails_quantile_missing",
-          "other_group", "transform_logit", "weight_warnings", "geo_unit", "geo_boundary_join", "geo_legend_bins",
-          "postcode_keys", "profile_band_suggestion", "table_page"]
-
-
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 4)
@@ -32,7 +29,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_query_matches_oracle(spark, con, name):
     import __spark_entry__ as entry
 

@@ -1,22 +1,13 @@
-"""The distributed (two-level) paths give the same chart rows as the single-window paths."""
+"""Charts over a hot key keep every row, and equal the single-task windows computed beside them."""
 
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kpiframe.plans.chart import chart
 
-COLS = ["x", "position", "is_tail", "volume", "resp0", "resp1", "sigma_se", "valid_folds"]
-
-
-def rows_of(res):
-    out = []
-    for r in res.rows.select(*COLS).collect():
-        out.append(tuple(round(v, 9) if isinstance(v, float) else v for v in r))
-    return sorted(out, key=lambda t: t[1])
-
-
 @pytest.fixture(scope="module")
 def skewed(spark):
     rnd = random.Random(11)
@@ -28,32 +19,23 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id long, x double, a double, e double, w double, c string")
 
 
-@pytest.mark.parametrize("kwargs", [
-    dict(x="x", band=25, low_weight="6%"),
-    dict(x="x", quantiles=9, tie_by=["id"], low_weight="15%"),
-    dict(x="x", quantiles=9, tie_by=["id"], tile_method="windows"),
-    dict(x="x", band=10, low_weight="4%", sigma=2, fold_by=["id"]),
-])
-def test_forced_distributed_paths_match(spark, skewed, kwargs):
-    kwargs = dict(kwargs)
-    x = kwargs.pop("x")
-    single = chart(skewed, x, "a", "e", weight="w", **kwargs)
-    split = chart(skewed, x, "a", "e", weight="w", small_rows=0, **kwargs)
-    assert rows_of(single) == rows_of(split)
+@pytest.mark.parametrize("n", [5, 9, 300])
+def test_tiles_of_a_hot_value(spark, skewed, n):
+    got = {r["x"]: (r["volume"], r["resp0"]) for r in chart(skewed, "x", "a", weight="w", quantiles=n, tie_by=["id"]).rows.collect()}
+    tiles = skewed.withColumn("t", F.ntile(n).over(Window.orderBy("x", "id")))
+    want = {f"Q{r['t']}": (r["v"], r["s"] / r["v"]) for r in tiles.groupBy("t").agg(F.sum("w").alias("v"), F.sum("a").alias("s")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_hot_key_keeps_whole_weight(spark, skewed):
-    res = chart(skewed, "x", "a", weight="w", quantiles=5, tie_by=["id"], small_rows=0)
-    total = skewed.agg(F.sum("w")).first()[0]
-    assert res.rows.agg(F.sum("volume")).first()[0] == pytest.approx(total)
+    for kwargs in ({"band": 25, "low_weight": "6%"}, {"quantiles": 5, "tie_by": ["id"]}, {"band": 10, "low_weight": "4%"}):
+        res = chart(skewed, "x", "a", "e", weight="w", sigma=2, fold_by=["id"], **kwargs)
+        assert res.rows.agg(F.sum("volume")).first()[0] == pytest.approx(skewed.agg(F.sum("w")).first()[0])
 
 
-def test_large_cap_uses_distributed_numbering(spark):
+def test_positions_without_one_window(spark):
     df = spark.range(3000).select((F.col("id") % 2500).alias("x"), (F.col("id") % 7).cast("double").alias("v"))
-    small = chart(df, "x", "v", max_groups=2400, transform="zero")
-    large = chart(df, "x", "v", max_groups=2400, transform="zero", small_rows=100)
-    cols = ["x", "position", "volume", "resp0"]
-    a = sorted(tuple(r) for r in small.rows.select(*cols).collect())
-    b = sorted(tuple(r) for r in large.rows.select(*cols).collect())
-    assert len(a) == 2400 and [r[:3] for r in a] == [r[:3] for r in b]
-    assert all(abs(x[3] - y[3]) < 1e-9 for x, y in zip(a, b))
+    rows = chart(df, "x", "v", transform="zero").rows.select("x", "position").collect()
+    assert sorted(r["position"] for r in rows) == list(range(1, 2501))
+    assert all(int(r["x"]) + 1 == r["position"] for r in rows)

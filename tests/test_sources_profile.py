@@ -45,9 +45,9 @@ def test_parquet_and_errors(spark, tmp_path):
 
 def test_saved_filters(spark, tmp_path):
     p = tmp_path / "filter_spec.csv"
-    p.write_text("﻿name,expression\nOlder drivers,YoungestDriverAge > 40\n , x\nEmpty,\n", encoding="utf-8")
+    p.write_text("﻿name,expression\nHeavy,\t load > 15\u00a0\n , x\nEmpty,\n", encoding="utf-8")
     rows = load_saved_filters(spark, str(p)).collect()
-    assert [(r["name"], r["expression"]) for r in rows] == [("Older drivers", "YoungestDriverAge > 40")]
+    assert [(r["name"], r["expression"]) for r in rows] == [("Heavy", "load > 15")]
     assert load_saved_filters(spark, cwd=str(tmp_path)).count() == 1
     assert load_saved_filters(spark, enabled=False).count() == 0
     (tmp_path / "bad.csv").write_text("filter\nx > 1\n")
@@ -72,7 +72,7 @@ def test_geojson_roundtrip(spark, tmp_path):
     out = str(tmp_path / "lines")
     write_features(b, out, "PostcodeArea")
     again = read_boundaries(spark, out, "PostcodeArea", lines=True)
-    assert {r["key"] for r in again.collect()} == {"AB", "AL"}
+    assert {r["key"]: r["properties"].get("n") for r in again.collect()} == {"AB": "1", "AL": None}
     with pytest.raises(ValueError):
         read_boundaries(spark, str(p), "PostcodeSector")
 
@@ -113,16 +113,22 @@ def test_profile(spark):
     assert profile(small).first()["band_suggestion"] == 1.0
 
 
-def test_saved_filters_bind(spark, tmp_path, chart_df):
+def test_saved_filters_bind(spark, tmp_path, rides):
     from kpiframe.operators.filters import check_filters
 
     p = tmp_path / "spec.csv"
-    p.write_text('name,expression\nOlder drivers,YoungestDriverAge > 40\nVans,"UseofVan IN (\'Social\', \'Business\')"\nBroken,NoSuchColumn = 1\n')
-    results = check_filters(chart_df, load_saved_filters(spark, str(p)))
-    assert [(n, ok) for n, ok, _ in results] == [("Older drivers", True), ("Vans", True), ("Broken", False)]
+    p.write_text('name,expression\nLong,hours > 3\nTariffs,"tariff IN (\'hour\', \'week\')"\nBroken,wheels = 2\n')
+    results = check_filters(rides, load_saved_filters(spark, str(p)))
+    assert [(n, ok) for n, ok, _ in results] == [("Long", True), ("Tariffs", True), ("Broken", False)]
     assert results[2][2].startswith("Invalid filter")
 
 
+def test_profile_reads_every_row(spark):
+    # The spread is in the last rows only.
+    df = spark.range(30000).select(F.when(F.col("id") < 20000, 0.0).otherwise(F.col("id") * 1.0).alias("v"))
+    assert profile(df).first()["band_suggestion"] == 5000.0  # standard deviation about 11,900: rung 10000, one below
+
+
 def test_file_metadata_folder(spark, tmp_path):
     out = str(tmp_path / "multi.parquet")
     spark.range(100).repartition(3).write.parquet(out)  # a folder with 3 part files and _SUCCESS
