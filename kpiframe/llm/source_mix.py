@@ -186,8 +186,8 @@ def mix_sources(
         located(docs, "doc_id", "source", "text").select("doc_id", "source", size_of(F.col("text")).alias("size"), "place"),
         "mix-sizes",
     )
-    targets = written(source_targets(sized, share, most), "mix-targets")
-    lines = written(shuffled_lines(sized, sized.count(), seed), "mix-lines")
+    targets = source_targets(sized, share, most)
+    lines = shuffled_lines(sized, sized.count(), seed)
     goals = targets.select(F.col("source").alias("s"), "source_size", "goal").filter("goal > 0")
     pieces = (
         lines.filter("size > 0")
