@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiframe.llm.bpe_codec import bpe_codec
-from kpiframe.llm.common import importable, stored, without, written
+from kpiframe.llm.common import prepare, stored, without, written
 from kpiframe.llm.exact_dedup import exact_dedup
 from kpiframe.llm.near_dedup import near_dedup
 from kpiframe.llm.quality_gam import accepted
@@ -22,28 +22,33 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model doesn't reject; it learns from those of ``docs`` that have labels."""
+    prepare(spark)
     return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with equal texts."""
+    prepare(spark)
     docs = stored(docs)
     return without(docs, exact_dedup(docs).filter("not kept").select("place"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
+    prepare(spark)
     docs = stored(docs)
     return without(docs, near_dedup(docs).filter("not kept").select("place"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix of sources takes them."""
+    prepare(spark)
     return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and text (decoded from the ids)."""
+    prepare(spark)
     coded = bpe_codec(docs, public_tokenizers.path(TOKENIZER), keep=("doc_id", "lang", "source"))
     return coded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text")
@@ -64,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline over ``documents``."""
-    importable(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")

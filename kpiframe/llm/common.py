@@ -21,13 +21,16 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None, fewer: int = 1) -> DataFrame:
     """Write ``df`` as a zstd Parquet table in the shared folder and return a DataFrame that reads it.
 
-    The table cuts the lineage and stays readable when executors are lost.
+    The table cuts the lineage and stays readable when executors are lost. ``fewer``: a narrow table is written by one
+    task for so many shuffle partitions, so that it isn't cut into tiny files.
     """
     spark = df.sparkSession
     path = path or shared_path(spark, label)
+    if fewer > 1:
+        df = df.coalesce(max(1, shuffle_partitions(spark) // fewer))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,14 +47,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+def hash_below(share: float) -> int:
+    """The 64-bit hash below which about ``share`` of evenly spread hashes lie."""
+    return 2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def place_of(docs: DataFrame) -> Column:
+    """File and row where a row of ``docs`` is stored (an extra column named like the metadata doesn't hide it)."""
+    meta = docs.metadataColumn("_metadata")
+    return F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+
+
 def stored(docs: DataFrame) -> DataFrame:
-    """``docs``, or a written copy if it isn't read from files: then every row has a place (file and row)."""
+    """``docs``, or a written copy if it isn't read from files: then every row has a place."""
     try:
-        docs.select("_metadata.row_index")
+        docs.select(place_of(docs))
         return docs
     except AnalysisException:
         return written(docs, "content")
@@ -59,8 +73,8 @@ def stored(docs: DataFrame) -> DataFrame:
 
 def located(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns`` and ``place``, the file and row where the row is stored."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return stored(docs).select(*columns, place.alias("place"))
+    docs = stored(docs)
+    return docs.select(*columns, place_of(docs).alias("place"))
 
 
 #: Up to so many dropped rows (a file name and a number each) are broadcast; beyond, the same join shuffles.
@@ -70,8 +84,8 @@ DROPPED_BROADCAST = 200_000
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs`` (stored) whose place isn't in ``dropped`` (place)."""
     columns = docs.columns
-    placed = docs.withColumn("__place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
-    gone = written(dropped.select(F.col("place").alias("__gone")), "dropped")
+    placed = docs.select("*", place_of(docs).alias("__place"))
+    gone = written(dropped.select(F.col("place").alias("__gone")), "dropped", fewer=8)
     if gone.count() <= DROPPED_BROADCAST:
         gone = F.broadcast(gone)
     return placed.join(gone, F.col("__place") == F.col("__gone"), "left_anti").select(*columns)
@@ -84,8 +98,14 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this library from where the driver did, if it lies there for them too."""
+#: Bytes of rows that a Python worker gets at once; texts are long, and both sides hold a few such batches.
+ARROW_BYTES = "4m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Prepare a session for the corpus queries: small Arrow batches, and workers that can import this library
+    (from where the driver did, if it lies there for them too)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

@@ -10,7 +10,8 @@ Texts are equal when they are identical after deleting every character of ``[\\x
    ``state_dir``, it goes on from the state: documents that arrive later meet the digests of earlier runs.
 3. *Hits.* Where a digest came more than once, the full normalised bytes are compared: the smallest and the
    largest text of the digest are equal exactly if all are. Both are combined map-side, so a huge group of
-   copies costs one row per task. Should a digest join different texts, those rows are grouped by the text.
+   copies costs one row per task. Should a digest join different texts, those rows are grouped by the text
+   (across runs that is an error: the digest is too short).
 4. The state is read with Spark's state reader and joined back to the arrivals on the digest (AQE splits a hot one).
 
 Defined results: null text counts as empty; repeated identical rows form one group of which exactly one row
@@ -19,6 +20,7 @@ stays; a null ``doc_id`` sorts after every id; an empty table gives an empty res
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,14 +65,14 @@ def _stays() -> Column:
 
 
 def _state(spark: SparkSession, arrivals: str, schema, state_dir: str, files_per_trigger: int) -> DataFrame:
-    """Run the keyed state over the new arrivals and read it back: digest, n, first."""
+    """Run the keyed state over the arrivals that it hasn't seen and read it back: digest, n, first."""
     session = spark.newSession()
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         session.conf.set(key, spark.conf.get(key))
     for key, value in STATE_SETTINGS.items():
         session.conf.set(key, value)
     stream = (
-        session.readStream.schema(schema)
+        session.readStream.schema(schema.add("run", "string"))
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(arrivals)
         .groupBy("digest")
@@ -109,7 +111,9 @@ def exact_dedup(
     spark = docs.sparkSession
     content = located(docs, "doc_id", "text")
     norm = normalised(F.col("text"))
-    table = shared_path(spark, "dedup-arrivals")
+    state_dir = state_dir or shared_path(spark, "dedup-state")
+    # Beside the state, a folder for each run: the stream goes on where it stopped, whatever came before.
+    table = f"{state_dir.rstrip('/')}-arrivals"
     arrivals = written(
         content.select(
             "doc_id",
@@ -119,7 +123,7 @@ def exact_dedup(
             sha256(norm).alias("text_sha256"),
         ),
         "dedup-arrivals",
-        table,
+        f"{table}/run={uuid.uuid4().hex}",
     )
     if arrivals.isEmpty():
         return arrivals.select(
@@ -130,7 +134,7 @@ def exact_dedup(
             "text_sha256",
             "place",
         )
-    found = _state(spark, table, arrivals.schema, state_dir or shared_path(spark, "dedup-state"), files_per_trigger)
+    found = _state(spark, table, arrivals.schema, state_dir, files_per_trigger)
     groups_at = shared_path(spark, "dedup-groups")
     schema = written(found.select("digest", F.col("n").alias("group_size"), "first"), "dedup-groups", groups_at).schema
     state = spark.read.schema(schema).parquet(groups_at)
@@ -142,16 +146,31 @@ def exact_dedup(
             "place", "digest", F.xxhash64("place").alias("spot")
         ),
         "dedup-hits",
+        fewer=4,
     )
     texts = content.select("place", norm.alias("norm"))
     if hits.count() <= HITS_BROADCAST:
         texts = texts.join(F.broadcast(hits.select("spot")), F.xxhash64("place") == F.col("spot"), "left_semi")
+    compared = hits.select("place", "digest").join(texts, "place").select("digest", "norm")
+    # Rows that stay from earlier runs are read where their locators say.
+    earlier = written(
+        hits.select("digest").distinct().join(state, "digest").select("digest", F.col("first.place").alias("place"))
+        .join(hits.select("place"), "place", "left_anti"),
+        "dedup-earlier",
+        fewer=8,
+    )
+    files = [r[0] for r in earlier.select("place.file").distinct().collect()]  # file names, not rows
+    if files:
+        old = located(spark.read.parquet(*files), "text").select("place", norm.alias("norm"))
+        compared = compared.unionByName(earlier.join(old, "place").select("digest", "norm"))
     mixed = written(
-        hits.select("place", "digest").join(texts, "place")
-        .groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+        compared.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
         .filter("low <> high").select("digest"),
         "dedup-mixed",
+        fewer=8,
     )
+    if files and not mixed.isEmpty():
+        raise ValueError("the digest joins different texts of different runs: it needs more bits")
     if mixed.isEmpty():
         whole = rows
         apart = None

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import held_out
+from kpiframe.llm.common import hash_below, held_out
 
 #: Bound of the sample: documents of each language, and words of each.
 SAMPLE = 1500
@@ -239,14 +239,13 @@ def training_runs(docs: DataFrame, sample: int = SAMPLE, span: int = SPAN) -> li
     usable = docs.filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
     )
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    chosen = (
-        usable.select("lang", "doc_id", order.alias("order"))
-        .withColumn("rank", first)  # each task keeps its first rows of a language before the shuffle
-        .filter(F.col("rank") <= sample)
-        .select(F.col("lang").alias("its"), F.col("doc_id").alias("id"))
-        .distinct()
-    )
+    # The hash spreads evenly over the longs: a share of its range holds about that share of a language's rows. Twice the
+    # sample is read, whatever the table's size, and cut to the sample below.
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    cuts = [(r["lang"], hash_below(2.0 * sample / r["n"])) for r in counts]
+    if not cuts:
+        return []
+    below = F.create_map(*[F.lit(x) for pair in cuts for x in pair])
 
     def runs(batches):
         for batch in batches:
@@ -261,9 +260,7 @@ def training_runs(docs: DataFrame, sample: int = SAMPLE, span: int = SPAN) -> li
             )
 
     found = (
-        usable.join(
-            F.broadcast(chosen), (F.col("lang") == F.col("its")) & (F.col("doc_id") == F.col("id")), "left_semi"
-        )
+        usable.filter(order <= F.element_at(below, F.col("lang")))
         .select("lang", "text", order.alias("order"), (F.pmod(order, F.lit(10007)) / 10007).alias("place"))
         .mapInArrow(runs, "lang string, order long, words array<string>")
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "words")))

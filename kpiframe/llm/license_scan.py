@@ -2,17 +2,17 @@
 
 1. *Index.* One pass splits every whole text into words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after
    lower-casing A-Z) and keeps, per file, the places of words that occur in any licence template.
-2. *Rarity.* Document frequencies of the licence words over all files give every template its rarest word,
-   the one of the highest IDF.
-3. *Look-up and intersection.* Files that hold a template's rarest word are looked up. Their licence words meet
+2. *Rarity.* Document frequencies of the licence words over all files give every template its ``RARE`` words of the
+   highest IDF (among those that occur at all).
+3. *Look-up and intersection.* Files that hold a rare word are looked up. Their licence words meet
    the template postings (word, template, place in template); place in file minus place in template is the
    offset, and counting postings per (file, template, offset) intersects them by relative position.
-4. *Verification.* An offset counts if it has the rarest word, every word of the template's mandatory key phrase, and at
+4. *Verification.* An offset counts if it has a rare word, every word of the template's mandatory key phrase, and at
    least ``COVERAGE`` of the template's words. The base phrases are templates that are mandatory as a whole.
 
 Defined results: null and empty texts have 0 words, no labels (empty strings), null places and score 0; repeated
 rows are files of their own; a null ``doc_id`` is kept; an empty table gives an empty result; other columns are
-ignored. ``score`` is the largest share of a template's words found at one offset with its rarest word.
+ignored. ``score`` is the largest share of a template's words found at one offset with a rare word.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from kpiframe.llm.common import small_table, written
 
 COVERAGE = 0.8
+RARE = 3
 
 #: Base phrases and their labels.
 BASE = {
@@ -107,8 +108,8 @@ def licence_index(docs: DataFrame) -> DataFrame:
     )
 
 
-def rarest_words(index: DataFrame) -> list[tuple[int, str, int, float]]:
-    """(template, word, place, idf) of each template's highest-IDF word; document frequencies over all files."""
+def rare_words(index: DataFrame) -> dict[tuple[int, str], float]:
+    """IDF of each (template, word) of the templates' rarest words; document frequencies over all files."""
     counts = {
         r["word"]: r["files"]
         for r in index.select(F.explode(F.array_distinct(F.transform("places", lambda x: x["word"]))).alias("word"))
@@ -117,23 +118,26 @@ def rarest_words(index: DataFrame) -> list[tuple[int, str, int, float]]:
         .collect()  # one row per licence word at most
     }
     files = index.count()
-    best: dict[int, tuple] = {}
-    for template, _, _, word, place, _, _ in postings():
-        rank = (counts.get(word, 0), word, place)
-        if template not in best or rank < best[template]:
-            best[template] = rank
-    return [(t, w, p, math.log((1 + files) / (1 + n))) for t, (n, w, p) in sorted(best.items())]
+    words: dict[int, set] = {}
+    for template, _, _, word, _, _, _ in postings():
+        if word in counts:
+            words.setdefault(template, set()).add((counts[word], word))
+    return {(t, w): math.log((1 + files) / (1 + n)) for t, found in words.items() for n, w in sorted(found)[:RARE]}
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per file: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     index = licence_index(docs)
-    rare = rarest_words(index)
-    anchors = small_table(spark, [r[:3] for r in rare], "template int, anchor string, anchor_place int")
-    # Both tables have a few rows per template of the list above.
-    posting = F.broadcast(small_table(spark, postings(), _POSTING_SCHEMA).join(anchors, "template"))
-    looked_up = sorted({r[1] for r in rare})
+    rare = rare_words(index)
+    needs: dict[int, int] = {}
+    for template, _, _, _, _, must, _ in postings():
+        needs[template] = needs.get(template, 0) + must
+    # A few rows per template of the list above.
+    posting = F.broadcast(
+        small_table(spark, [(*p, (p[0], p[3]) in rare, needs[p[0]]) for p in postings()], _POSTING_SCHEMA + ", rare boolean, needs int")
+    )
+    looked_up = sorted({word for _, word in rare})
     found = (
         index.filter(F.exists("places", lambda x: x["word"].isin(looked_up)))
         .select("file", F.explode("places").alias("x"))
@@ -143,20 +147,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
         .agg(
             F.first("label").alias("label"),
             F.first("base").alias("base"),
-            F.max(F.col("place") == F.col("anchor_place")).alias("anchored"),
+            F.max("rare").alias("rare"),
             F.sum(F.col("must").cast("int")).alias("must"),
+            F.first("needs").alias("needs"),
             (F.count(F.lit(1)) / F.first("length")).alias("coverage"),
         )
-        .filter("anchored")
-    )
-    wanted = anchors.select("template").join(
-        small_table(spark, postings(), _POSTING_SCHEMA).groupBy("template").agg(
-            F.sum(F.col("must").cast("int")).alias("needs")
-        ),
-        "template",
-    )
-    found = found.join(F.broadcast(wanted), "template").withColumn(
-        "holds", (F.col("must") == F.col("needs")) & (F.col("coverage") >= COVERAGE)
+        .filter("rare")
+        .withColumn("holds", (F.col("must") == F.col("needs")) & (F.col("coverage") >= COVERAGE))
     )
     base = F.col("holds") & F.col("base")
     joined = lambda label: F.array_join(F.sort_array(F.collect_set(label)), ",")
@@ -199,15 +196,16 @@ files AS (
 ), placed AS (SELECT file, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM files),
 lic AS (SELECT * FROM placed WHERE word IN (SELECT word FROM posting)),
 freq AS (SELECT word, count(DISTINCT file) AS n FROM lic GROUP BY word),
-anchor AS (
-  SELECT template, place AS anchor_place FROM posting LEFT JOIN freq USING (word)
-  QUALIFY row_number() OVER (PARTITION BY template ORDER BY COALESCE(n, 0), word, place) = 1
+rare AS (
+  SELECT DISTINCT template, word FROM (
+    SELECT template, word, dense_rank() OVER (PARTITION BY template ORDER BY n, word) AS place FROM posting JOIN freq USING (word)
+  ) WHERE place <= {RARE}
 ), need AS (SELECT template, sum(must) AS needs FROM posting GROUP BY template),
 found AS (
   SELECT file, template, pos - place AS start, any_value(label) AS label, bool_or(base) AS base,
     sum(must) AS must, count(*) / any_value(length)::DOUBLE AS coverage
-  FROM lic JOIN posting USING (word) JOIN anchor USING (template)
-  GROUP BY file, template, pos - place HAVING bool_or(place = anchor_place)
+  FROM lic JOIN posting USING (word) LEFT JOIN (SELECT template, word, TRUE AS is_rare FROM rare) USING (template, word)
+  GROUP BY file, template, pos - place HAVING bool_or(is_rare)
 ), judged AS (SELECT *, must = needs AND coverage >= {COVERAGE} AS holds FROM found JOIN need USING (template)),
 phrases AS (
   SELECT file, pos AS start, label FROM (

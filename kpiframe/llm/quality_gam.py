@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import held_out
+from kpiframe.llm.common import hash_below, held_out
 
 #: Bound of the labelled sample that the model is fitted on.
 SAMPLE = 20_000
@@ -198,15 +198,19 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Gam:
     """Fit on the documents of ``sample`` labelled ids (see above); the rows collected are bounded by ``sample``."""
+    usable = labels.select("doc_id", F.col(label).alias("y")).filter(
+        F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out()
+    )
+    # The hash spreads evenly over the longs, so a share of its range holds about that share of the rows: what is
+    # sorted below is about twice the sample, whatever the table's size.
+    order = F.xxhash64("doc_id")
+    below = hash_below(2.0 * sample / max(1, usable.count()))
     known = (
-        labels.select("doc_id", F.col(label).alias("y"))
-        .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
+        usable.filter(order <= below)
         .groupBy("doc_id")
         .agg((F.avg("y") >= 0.5).cast("double").alias("y"))
-        .withColumn("order", F.xxhash64("doc_id"))
-        .orderBy("order", "doc_id")
+        .orderBy(order, "doc_id")
         .limit(sample)
-        .select("doc_id", "y")
     )
 
     def compute(batches):
@@ -221,7 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         docs.select("doc_id", "text")
         .join(F.broadcast(known), "doc_id")
         .mapInArrow(compute, f"doc_id {kind}, y double, x array<double>")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "x")
+        .orderBy(order, "doc_id", "x")
         .limit(sample)
         .select("x", "y")
         .toArrow()
@@ -237,7 +241,7 @@ def _scored(docs: DataFrame, model: Gam, columns: list[str]) -> DataFrame:
 
     def score(batches):
         for batch in batches:
-            x = np.array([features_of(t) for t in batch.column("__text").to_pylist()], float).reshape(-1, len(FEATURES))
+            x = np.array([features_of(t.as_py()) for t in batch.column("__text")], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
                 [*batch.select(columns).columns, pa.array(shipped.value.score(x))], [*columns, "__score"]
             )

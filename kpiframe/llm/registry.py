@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kpiframe.llm import license_scan, source_mix, url_rules, vector_topk
 from kpiframe.llm.bpe_codec import bpe_codec
-from kpiframe.llm.common import importable
+from kpiframe.llm.common import prepare
 from kpiframe.llm.exact_dedup import exact_dedup
 from kpiframe.llm.language_crf import identify
 from kpiframe.llm.near_dedup import near_dedup
@@ -26,7 +26,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 def _query(f):
     @functools.wraps(f)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        importable(spark)
+        prepare(spark)
         return f(spark, sf_dir)
 
     QUERIES[f.__name__] = query

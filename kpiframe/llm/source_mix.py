@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import BLANKS, WORD_OF_SIZE, located, stored, written
+from kpiframe.llm.common import BLANKS, WORD_OF_SIZE, located, place_of, stored, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -233,14 +233,13 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     docs = stored(docs)
     columns = docs.columns
     taken = taken_words(*mix_sources(docs, **settings)).filter("taken > 0")
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     uses = taken.select(
         F.col("place").alias("__at"),
         F.col("size").alias("__size"),
         F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")))).alias("__round"),
         "taken",
     ).select("__at", "__size", F.least("__size", F.col("taken") - F.col("__round") * F.col("__size")).alias("__words"))
-    out = docs.withColumn("__place", place).join(uses, F.col("__place") == F.col("__at"))
+    out = docs.select("*", place_of(docs).alias("__place")).join(uses, F.col("__place") == F.col("__at"))
     parts = F.split("text", BLANKS + "+", -1)
     # A text that starts with blanks has an empty first part.
     first = F.when(F.element_at(parts, 1) == "", F.col("__words") + 1).otherwise(F.col("__words"))

@@ -1,8 +1,8 @@
 """Token counts by a two-tier look-up of pre-token lengths, map-side only.
 
 *First tier.* One pass counts the pieces (blanks and the word behind them, one or more whole pre-tokens) of all
-texts in mergeable Misra-Gries summaries, one per task with ``SUMMARY`` entries. The ``FREQUENT`` most frequent ones and
-their token lengths become a compact hash table, broadcast (at most FREQUENT entries of at most ``LONGEST``
+texts in mergeable Misra-Gries summaries, one per task with ``SUMMARY`` entries. Pieces that make up at least one in
+``FREQUENT`` of all counted (so FREQUENT at most) and their token lengths become a compact hash table, broadcast (at most FREQUENT entries of at most ``LONGEST``
 characters: a few MB at any input size). The summaries only decide what is fast, never a result.
 
 *Second tier.* Pieces that miss are encoded by the library, once per worker while its cache holds them
@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kpiframe.llm.common import written
 from kpiframe.llm.pieces import encode_keys, ship, tools
 
-FREQUENT = 65_536
+FREQUENT = 131_072
 LONGEST = 32
 SUMMARY = 16_384
 CACHE = 400_000
@@ -38,7 +39,7 @@ def _trim(counts: Counter, size: int) -> Counter:
 
 
 def frequent_lengths(docs: DataFrame, tokenizer, frequent: int = FREQUENT, summary: int = SUMMARY) -> dict[str, int]:
-    """Token lengths of the most frequent pieces over all rows (at most ``frequent`` entries)."""
+    """Token lengths of the pieces that are one in ``frequent`` or more of all (so ``frequent`` entries at most)."""
 
     def count(batches):
         cutter, _ = tools(tokenizer.value)
@@ -53,18 +54,11 @@ def frequent_lengths(docs: DataFrame, tokenizer, frequent: int = FREQUENT, summa
             [pa.array([k for k, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["key", "n"]
         )
 
-    top = (
-        docs.select("text")
-        .mapInArrow(count, "key string, n long")
-        .groupBy("key")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "key")
-        .limit(frequent)
-        .select("key")
-        .toArrow()
-        .column(0)
-        .to_pylist()
+    counted = written(
+        docs.select("text").mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")), "frequent-pieces"
     )
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = counted.filter(F.col("n") * frequent >= total).select("key").toArrow().column(0).to_pylist()
     _, encoder = tools(tokenizer.value)
     return {k: len(ids) for i in range(0, len(top), 1000) for k, ids in zip(top[i : i + 1000], encode_keys(encoder, top[i : i + 1000]))}
 
