@@ -11,8 +11,8 @@ shingle), weighted by how often the text has them. Two texts are linked if their
 2. *Copies.* Texts with the same words are collapsed to one representative first, counted map-side.
 3. *Banding.* Representatives that agree on all registers of a band meet in a bucket. A bucket of more than ``CELL``
    members is dealt out in pairs of parts, so that each task holds two parts.
-4. *Pairs.* In a bucket, pairs whose estimate is within 3.5 standard deviations of the threshold are possible. The first
-   round emits only a spanning forest of them, best estimates first (less than one pair per member). Pairs are verified
+4. *Pairs.* In a bucket, pairs whose estimate is within 3 standard deviations of the threshold are possible; a pair
+   counts only in the first band on which its texts agree. The first round emits only a spanning forest of them, best estimates first (less than one pair per member). Pairs are verified
    on their whole shingle sets, and classes formed. The second round emits the possible pairs that are still in
    different classes and weren't verified; within classes nothing is compared. So no possible link is lost.
 5. *Classes.* Minimum labels with pointer jumping over the links.
@@ -39,14 +39,16 @@ from kpiframe.llm.common import located, shuffle_partitions, written
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
-REGISTERS = BANDS * ROWS
+#: The bands use the first 192 registers, estimates all of them.
+REGISTERS = 256
 CELL = 2048
-#: Estimates this far below the threshold are still verified (3.5 standard deviations at the threshold).
-LEAST = THRESHOLD - 3.5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
+#: Estimates this far below the threshold are still verified (3 standard deviations at the threshold).
+LEAST = THRESHOLD - 3 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Up to so many candidates (8 bytes each) are broadcast to keep other texts out of a shuffle.
 BROADCAST = 1_000_000
-SHINGLES_AT_ONCE = 600_000
-CACHE = 500_000
+SHINGLES_AT_ONCE = 200_000
+ROWS_AT_ONCE = 256
+CACHE = 200_000
 
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -135,6 +137,13 @@ def _word_hashes(texts, cache):
     return [list(map(cache.__getitem__, _WORD.findall(t.lower()))) if t else [] for t in texts]
 
 
+def _slices(batches):
+    """The batches in pieces of a few rows, so that a task never unpacks many texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _groups(lists):
     """(from, to) of runs of texts with about SHINGLES_AT_ONCE words."""
     lo, size = 0, 0
@@ -151,7 +160,7 @@ def sign(content: DataFrame) -> DataFrame:
 
     def run(batches):
         cache = _Hashes()
-        for batch in batches:
+        for batch in _slices(batches):
             lists = _word_hashes(batch.column("text").to_pylist(), cache)
             copies, sigs = [], []
             for lo, hi in _groups(lists):
@@ -173,7 +182,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         cache = _Hashes()
-        for batch in batches:
+        for batch in _slices(batches):
             lists = _word_hashes(batch.column("text").to_pylist(), cache)
             hashes, weights = [], []
             for lo, hi in _groups(lists):
@@ -190,11 +199,11 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
 
 def bucket_rows(reps: DataFrame) -> DataFrame:
-    """bucket, cell, part, id, sig: members of buckets with at least two; large buckets in cells of two parts."""
+    """bucket, cell, band, part, inside, id, sig: members of buckets with at least two; large buckets in cells of two parts."""
     width = 2 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     rows = reps.select("id", "sig", band.alias("band")).select(
-        "id", F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})")).alias("bucket")
+        "id", "band", F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})")).alias("bucket")
     )
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / CELL).cast("int")
@@ -210,19 +219,28 @@ def bucket_rows(reps: DataFrame) -> DataFrame:
             # A cell of one part compares inside, a cell of two only across.
             (F.col("part") == F.col("other")).alias("inside"),
             "id",
+            "band",
         )
     )
     # In the cell of a part with itself every member comes once; in a cell of two parts, too.
     return dealt.join(reps.select("id", "sig"), "id")
 
 
-def _possible(ids, sigs, parts, inside, classes):
-    """(estimate, i, j) of possible pairs in one cell whose classes differ, as arrays with i < j in place."""
-    n = len(ids)
+def _possible(sigs, bands, parts, inside, band, classes):
+    """(estimate, i, j) of possible pairs in one cell: different classes, first common band here, estimate high enough.
+
+    ``bands`` has one number per member and band, equal where the band's registers are.
+    """
+    n = len(sigs)
     found = []
     for i in range(n - 1):
-        other = np.arange(i + 1, n) if inside else i + 1 + np.flatnonzero(parts[i + 1 :] != parts[i])
-        other = other[classes[other] != classes[i]]
+        other = np.arange(i + 1, n)
+        keep = classes[i + 1 :] != classes[i]
+        if not inside:
+            keep &= parts[i + 1 :] != parts[i]
+        if band:
+            keep &= ~(bands[i + 1 :, :band] == bands[i, :band]).any(axis=1)
+        other = other[keep]
         if len(other):
             share = (sigs[other] == sigs[i]).mean(axis=1)
             good = share >= LEAST
@@ -254,7 +272,7 @@ def _forest(pairs, n):
 
 
 def candidate_pairs(buckets: DataFrame, forest: bool) -> DataFrame:
-    """a, b (a < b) of possible pairs in different classes; ``buckets`` has bucket, cell, part, inside, id, sig, class."""
+    """a, b (a < b) of possible pairs in different classes, each pair once; ``buckets`` has also the members' class."""
     tasks = shuffle_partitions(buckets.sparkSession)
 
     def run(batches):
@@ -264,13 +282,16 @@ def candidate_pairs(buckets: DataFrame, forest: bool) -> DataFrame:
             ids, classes = table["id"].to_numpy(), table["class"].to_numpy()
             parts, inside = table["part"].to_numpy(), table["inside"].to_numpy(zero_copy_only=False)
             sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            bucket, cell = table["bucket"].to_numpy(), table["cell"].to_numpy()
+            with np.errstate(over="ignore"):
+                weight = _ODD ** np.arange(1, ROWS + 1, dtype=np.uint64)
+                bands = _mixed((sigs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64) * weight).sum(axis=2))
+            bucket, cell, band = table["bucket"].to_numpy(), table["cell"].to_numpy(), table["band"].to_numpy()
             edges = np.flatnonzero(np.append(True, (np.diff(bucket) != 0) | (np.diff(cell) != 0)))
             out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi in zip(edges.tolist(), np.append(edges[1:], len(ids)).tolist()):
                 if hi - lo < 2:
                     continue
-                pairs = _possible(ids[lo:hi], sigs[lo:hi], parts[lo:hi], bool(inside[lo]), classes[lo:hi])
+                pairs = _possible(sigs[lo:hi], bands[lo:hi], parts[lo:hi], bool(inside[lo]), int(band[lo]), classes[lo:hi])
                 if pairs is None:
                     continue
                 if forest:
@@ -296,11 +317,10 @@ def candidate_pairs(buckets: DataFrame, forest: bool) -> DataFrame:
             yield emit(held)
 
     return (
-        buckets.select("bucket", "cell", "part", "inside", "id", "sig", "class")
+        buckets.select("bucket", "cell", "band", "part", "inside", "id", "sig", "class")
         .repartition(tasks, "bucket", "cell")
         .sortWithinPartitions("bucket", "cell")
         .mapInArrow(run, "a long, b long")
-        .distinct()
     )
 
 
@@ -310,64 +330,86 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
 
     def run(batches):
-        def read(h, w):
-            hashes = np.frombuffer(h, np.uint64)
-            return hashes, np.frombuffer(w, np.uint32) if w is not None else np.ones(len(hashes), np.uint32)
+        def read(hashes, weights, i):
+            found = np.frombuffer(hashes[i].as_buffer(), np.uint64)
+            weight = weights[i]
+            return found, np.frombuffer(weight.as_buffer(), np.uint32) if weight.is_valid else np.ones(len(found), np.uint32)
 
         for batch in batches:
-            kept = []
-            for i, (ha, wa, hb, wb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ha", "wa", "hb", "wb")))):
-                if similarity(read(ha, wa), read(hb, wb)) >= threshold:
-                    kept.append(i)
+            ha, wa, hb, wb = (batch.column(c) for c in ("ha", "wa", "hb", "wb"))
+            kept = [i for i in range(batch.num_rows) if similarity(read(ha, wa, i), read(hb, wb, i)) >= threshold]
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id and class (the smallest id) of every id in ``links`` (a, b)."""
-    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("class")), "near-labels")
+    """id and class (the smallest id) of every id in ``links`` (a, b).
+
+    Each turn every node takes its smallest neighbour for its parent, then the parent's parent; links between nodes of
+    one class are dropped and the others go on between the parents, so the links left shrink from turn to turn.
+    """
+    edges = links
+    labels = None
     while True:
-        around = (
-            both.join(labels.select(F.col("id").alias("b"), "class"), "b").groupBy("a").agg(F.min("class").alias("near"))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = both.groupBy("a").agg(F.least("a", F.min("b")).alias("parent"))
+        up = parents.select(F.col("a").alias("parent"), F.col("parent").alias("top"))
+        parents = written(
+            parents.join(up, "parent", "left").select(F.col("a").alias("node"), F.coalesce("top", "parent").alias("parent")),
+            "near-parents",
+            fewer=8,
         )
-        # One step over the links, then one jump to the label's own label.
-        jump = labels.select(F.col("id").alias("class"), F.col("class").alias("far"))
-        after = written(
-            labels.join(around.withColumnRenamed("a", "id"), "id").join(jump, "class")
-            .select("id", F.least("class", "near", "far").alias("class"), (F.least("near", "far") < F.col("class")).alias("moved")),
-            "near-labels",
+        if labels is None:
+            labels = parents.select(F.col("node").alias("id"), F.col("parent").alias("class"))
+        else:
+            moved = parents.select(F.col("node").alias("class"), "parent")
+            labels = labels.join(moved, "class", "left").select("id", F.coalesce("parent", "class").alias("class"))
+        tail = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
+        head = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+        edges = written(
+            edges.join(tail, "a").join(head, "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(),
+            "near-edges",
+            fewer=8,
         )
-        labels = after.select("id", "class")
-        if after.filter("moved").isEmpty():
-            return labels
+        if edges.isEmpty():
+            return written(labels, "near-labels", fewer=8)
 
 
 def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (id of the row that stays), class_size, kept, place."""
     content = located(docs, "doc_id", "text")
-    signed = written(sign(content), "near-signed").withColumn("id", F.lit(None).cast("long"))
-    signed = written(signed.withColumn("id", F.monotonically_increasing_id()), "near-numbered")
+    signed = written(sign(content).withColumn("id", F.monotonically_increasing_id()), "near-signed")
     # Texts without words are copies of nothing.
     copy = F.coalesce("copy", F.concat(F.lit(b"\x00"), F.col("id").cast("string").cast("binary")))
-    copies = written(signed.groupBy(copy.alias("text_key")).agg(F.min("id").alias("id")), "near-copies")
+    copies = signed.groupBy(copy.alias("text_key")).agg(F.min("id").alias("id"))
     reps = signed.filter("copy is not null").join(copies.select("id"), "id", "left_semi").select("id", "sig")
     buckets = written(bucket_rows(reps), "near-buckets")
     first = written(candidate_pairs(buckets.withColumn("class", F.col("id")), True), "near-pairs")
-    ids = written(first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).distinct()
-                  .join(signed.select("id", "place"), "id").withColumn("spot", F.xxhash64("place")), "near-candidates")
+    ends = first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).distinct()
+    ids = written(
+        ends.join(signed.select("id", "place"), "id").withColumn("spot", F.xxhash64("place")), "near-candidates", fewer=8
+    )
     texts = content.select("place", "text")
     if ids.count() <= BROADCAST:
         texts = texts.join(F.broadcast(ids.select("spot")), F.xxhash64("place") == F.col("spot"), "left_semi")
     sets = written(shingle_sets(texts.join(ids.select("id", "place"), "place")), "near-sets")
-    links = written(verified(first, sets, threshold), "near-verified")
+    links = written(verified(first, sets, threshold), "near-verified", fewer=4)
     classes = components(links)
     held = buckets.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
     second = candidate_pairs(held, False).join(first, ["a", "b"], "left_anti")
-    more = written(verified(second, sets, threshold), "near-verified")
+    more = written(verified(second, sets, threshold), "near-verified", fewer=4)
     if not more.isEmpty():
-        classes = components(links.unionByName(more))
+        # Links between classes: classes of classes.
+        ends = held.select("id", "class").distinct()
+        tail, head = (ends.select(F.col("id").alias(c), F.col("class").alias(f"c{c}")) for c in "ab")
+        joined = components(
+            more.join(tail, "a").join(head, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+        )
+        classes = (
+            ends.join(joined.select(F.col("id").alias("class"), F.col("class").alias("whole")), "class", "left")
+            .select("id", F.coalesce("whole", "class").alias("class"))
+        )
     # Copies get their representative's class.
     rows = (
         signed.select("doc_id", "place", copy.alias("text_key"))
