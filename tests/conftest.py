@@ -62,6 +62,3 @@ def stations(spark):
         "lat double, long double, north double, east double, spend double, hours double",
     )
 
-
-def by_x(rows):
-    return {r["x"]: r for r in rows}

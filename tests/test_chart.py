@@ -1,11 +1,14 @@
 import pytest
-from conftest import by_x
 from pyspark.sql import functions as F
 
 from kpiframe.functions.arguments import Argument
 from kpiframe.plans.chart import chart, chart_from_request
 
 
+def by_x(rows):
+    return {r["x"]: r for r in rows}
+
+
 def shown(res, *columns):
     return [tuple(r[c] for c in columns) for r in res.rows.orderBy("position").collect()]
 
