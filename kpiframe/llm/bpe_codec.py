@@ -35,7 +35,10 @@ from kpiframe.llm.common import shared_path, shuffle_partitions
 from kpiframe.llm.pieces import encode_keys, ship, tools
 
 BLOCK_BYTES = 16 << 20
-TABLE = 500_000
+TABLE = 250_000
+#: Rows unpacked, and words put together, at once.
+ROWS_AT_ONCE = 256
+WORDS_AT_ONCE = 1 << 18
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -110,7 +113,8 @@ def pack_blocks(docs: DataFrame, tokenizer, buckets: int, keep: list[str], block
         cutter, _ = tools(tokenizer.value)
         first, made = TaskContext.get().partitionId() << 32, 0
         kept, lengths, numbers, size, table = [], [], [], 0, _Numbers()
-        for batch in batches:
+        pieces_of = (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
+        for batch in pieces_of:
             texts, done = batch.column("__text").to_pylist(), 0
             columns = pa.Table.from_batches([batch]).select(keep)
             for i, text in enumerate(texts):
@@ -154,7 +158,7 @@ def encode_words(blocks: DataFrame, tokenizer, buckets: int) -> DataFrame:
 
     def encode(batches):
         _, encoder = tools(tokenizer.value)
-        table: dict[str, list[int]] = {}
+        table: dict[str, bytes] = {}  # ids of a word, four bytes each
         for batch in batches:
             for block, bucket, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = _expand_words(packed)
@@ -162,14 +166,15 @@ def encode_words(blocks: DataFrame, tokenizer, buckets: int) -> DataFrame:
                 if len(table) + len(new) > TABLE:
                     table, new = {}, words
                 for i in range(0, len(new), 2000):
-                    table.update(zip(new[i : i + 2000], encode_keys(encoder, new[i : i + 2000])))
+                    ids = encode_keys(encoder, new[i : i + 2000])
+                    table.update(zip(new[i : i + 2000], (np.array(x, np.uint32).tobytes() for x in ids)))
                 found = [table[w] for w in words]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([block], pa.int64()),
                         pa.array([bucket], pa.int32()),
-                        pa.array([_squeeze(np.array([i for x in found for i in x], np.uint32))], pa.binary()),
-                        pa.array([_squeeze(np.fromiter(map(len, found), np.uint32, len(found)))], pa.binary()),
+                        pa.array([_squeeze(np.frombuffer(b"".join(found), np.uint32))], pa.binary()),
+                        pa.array([_squeeze(np.fromiter(map(len, found), np.uint32, len(found)) // 4)], pa.binary()),
                     ],
                     ["block", "bucket", "ids", "counts"],
                 )
@@ -234,7 +239,7 @@ def bpe_codec(
     return held.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(cogrouped, schema)
 
 
-def _slices(lengths: np.ndarray, words: int = 1 << 20):
+def _slices(lengths: np.ndarray, words: int = WORDS_AT_ONCE):
     """(from, to) of runs of documents with about ``words`` words."""
     ends, lo = np.cumsum(lengths, dtype=np.int64), 0
     while lo < len(lengths):
