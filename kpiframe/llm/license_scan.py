@@ -2,17 +2,18 @@
 
 1. *Index.* One pass splits every whole text into words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after
    lower-casing A-Z) and keeps, per file, the places of words that occur in any licence template.
-2. *Rarity.* Document frequencies of the licence words over all files give every template its ``RARE`` words of the
-   highest IDF (among those that occur at all).
+2. *Rarity.* Document frequencies of the licence words over all files give every template its rare word: of its
+   mandatory key phrase, which every hit holds, the word of the highest IDF. A template of whose key phrase some word
+   occurs in no file has none and is left out.
 3. *Look-up and intersection.* Files that hold a rare word are looked up. Their licence words meet
    the template postings (word, template, place in template); place in file minus place in template is the
    offset, and counting postings per (file, template, offset) intersects them by relative position.
-4. *Verification.* An offset counts if it has a rare word, every word of the template's mandatory key phrase, and at
+4. *Verification.* An offset counts if it has the rare word, every word of the template's mandatory key phrase, and at
    least ``COVERAGE`` of the template's words. The base phrases are templates that are mandatory as a whole.
 
 Defined results: null and empty texts have 0 words, no labels (empty strings), null places and score 0; repeated
 rows are files of their own; a null ``doc_id`` is kept; an empty table gives an empty result; other columns are
-ignored. ``score`` is the largest share of a template's words found at one offset with a rare word.
+ignored. ``score`` is the largest share of a template's words found at one offset with its rare word.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from kpiframe.llm.common import small_table, written
 
 COVERAGE = 0.8
-RARE = 3
 
 #: Base phrases and their labels.
 BASE = {
@@ -109,7 +109,7 @@ def licence_index(docs: DataFrame) -> DataFrame:
 
 
 def rare_words(index: DataFrame) -> dict[tuple[int, str], float]:
-    """IDF of each (template, word) of the templates' rarest words; document frequencies over all files."""
+    """IDF of each template's rare word, by (template, word); document frequencies over all files."""
     counts = {
         r["word"]: r["files"]
         for r in index.select(F.explode(F.array_distinct(F.transform("places", lambda x: x["word"]))).alias("word"))
@@ -118,11 +118,12 @@ def rare_words(index: DataFrame) -> dict[tuple[int, str], float]:
         .collect()  # one row per licence word at most
     }
     files = index.count()
-    words: dict[int, set] = {}
-    for template, _, _, word, _, _, _ in postings():
-        if word in counts:
-            words.setdefault(template, set()).add((counts[word], word))
-    return {(t, w): math.log((1 + files) / (1 + n)) for t, found in words.items() for n, w in sorted(found)[:RARE]}
+    keys: dict[int, list] = {}
+    for template, _, _, word, _, must, _ in postings():
+        if must:
+            keys.setdefault(template, []).append((counts.get(word, 0), word))
+    rarest = {template: min(words) for template, words in keys.items()}
+    return {(t, word): math.log((1 + files) / (1 + n)) for t, (n, word) in rarest.items() if n}
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -197,9 +198,11 @@ files AS (
 lic AS (SELECT * FROM placed WHERE word IN (SELECT word FROM posting)),
 freq AS (SELECT word, count(DISTINCT file) AS n FROM lic GROUP BY word),
 rare AS (
-  SELECT DISTINCT template, word FROM (
-    SELECT template, word, dense_rank() OVER (PARTITION BY template ORDER BY n, word) AS place FROM posting JOIN freq USING (word)
-  ) WHERE place <= {RARE}
+  SELECT template, word FROM (
+    SELECT template, word, COALESCE(n, 0) AS n,
+      row_number() OVER (PARTITION BY template ORDER BY COALESCE(n, 0), word) AS place
+    FROM posting LEFT JOIN freq USING (word) WHERE must = 1
+  ) WHERE place = 1 AND n > 0
 ), need AS (SELECT template, sum(must) AS needs FROM posting GROUP BY template),
 found AS (
   SELECT file, template, pos - place AS start, any_value(label) AS label, bool_or(base) AS base,
