@@ -127,30 +127,32 @@ def match_stats(joined: DataFrame, summary: DataFrame, level_label: str = "keys"
 
 @dataclass
 class Scale:
-    """Summary rows with ``__rank`` among the finite values (ascending, then key), null for the others; ``count`` of them."""
+    """Summary rows with ``__rank`` among the finite values (ascending, then key; null for the others) and ``__n`` of them."""
 
     rows: DataFrame
-    count: int
     _bounds: dict[int, list[float]] = field(default_factory=dict, repr=False)
 
     def bounds(self, buckets: int) -> list[float]:
-        """Thresholds of an equal-count scale: entry i-1 is the value at rank ceil(count * i / buckets) (GEO-2)."""
-        n = self.count
-        if n and buckets not in self._bounds:
-            ranks = [-(-n * i // buckets) for i in range(1, buckets)]
+        """Thresholds of an equal-count scale: entry i-1 is the value at rank ceil(n * i / buckets) (GEO-2)."""
+        if buckets not in self._bounds:
+            rank, n = F.col("__rank"), F.col("__n")
+            # The last i whose rank this can be; it is one if the rank before is too small for it.
+            i = F.least(F.floor(rank * buckets / n), F.lit(buckets - 1))
+            wanted = (i >= 1) & (i * n > (rank - 1) * buckets)
             # Fewer rows than buckets, whatever the table's size.
-            found = self.rows.where(F.col("__rank").isin(sorted(set(ranks)))).select("__rank", "value").collect()
+            found = self.rows.where(rank.isNotNull() & wanted).select("__rank", "__n", "value").collect()
             value = {r["__rank"]: float(r["value"]) for r in found}
-            self._bounds[buckets] = [value[r] for r in ranks]
-        return self._bounds.get(buckets, [])
+            total = found[0]["__n"] if found else 0
+            self._bounds[buckets] = [value[-(-total * i // buckets)] for i in range(1, buckets)] if total else []
+        return self._bounds[buckets]
 
 
 def value_scale(summary: DataFrame) -> Scale:
     """Number the finite values of a summary once, for thresholds, colours, legend and extremes."""
     finite = finite_or_null(F.col("value"))
-    ranked = running_sum(summary, [finite.isNull().asc(), finite.asc(), F.col("key").asc()])
-    rows = ranked.withColumn("__rank", F.when(finite.isNotNull(), F.col("__pos"))).drop("__pos", "__cum")
-    return Scale(rows, int(rows.agg(F.count("__rank")).first()[0]))
+    order = [finite.isNull().asc(), finite.asc(), F.col("key").asc()]
+    ranked = running_sum(summary, order, finite.isNotNull().cast("long"), total_col="__n")
+    return Scale(ranked.withColumn("__rank", F.when(finite.isNotNull(), F.col("__pos"))).drop("__pos", "__cum"))
 
 
 def _as_scale(summary: DataFrame | Scale) -> Scale:
@@ -173,7 +175,7 @@ def colour_buckets(summary: DataFrame | Scale, buckets: int = COLOUR_BUCKETS) ->
     """``bucket`` = number of thresholds strictly below the value (0..buckets-1); null value -> null (GEO-3)."""
     scale = _as_scale(summary)
     bucket = _bucket_of(finite_or_null(F.col("value")), scale.bounds(buckets)).cast("int")
-    return scale.rows.drop("__rank").withColumn("bucket", bucket)
+    return scale.rows.drop("__rank", "__n").withColumn("bucket", bucket)
 
 
 def legend_bins(summary: DataFrame | Scale, buckets: int = LEGEND_BUCKETS) -> DataFrame:
@@ -197,10 +199,10 @@ def legend_bins(summary: DataFrame | Scale, buckets: int = LEGEND_BUCKETS) -> Da
     )
 
 
-def among_extremes(scale: Scale, count: int) -> Column:
-    """Whether a row of ``scale`` is among the ``count`` highest (count > 0) or lowest (count < 0) finite values."""
+def among_extremes(count: int) -> Column:
+    """Whether a row of a scale is among the ``count`` highest (count > 0) or lowest (count < 0) finite values."""
     rank = F.col("__rank")
-    return rank > scale.count - count if count > 0 else rank <= -count
+    return rank > F.col("__n") - count if count > 0 else rank <= -count
 
 
 def hotspots(summary: DataFrame | Scale, count: int) -> DataFrame:
@@ -209,6 +211,6 @@ def hotspots(summary: DataFrame | Scale, count: int) -> DataFrame:
     Ties follow the key: descending for highest, ascending for lowest; 0 -> no rows.
     """
     scale = _as_scale(summary)
-    rank = F.lit(scale.count + 1) - F.col("__rank") if count > 0 else F.col("__rank")
-    chosen = scale.rows.where(among_extremes(scale, count) & F.col("key").isNotNull() & F.lit(count != 0))
-    return chosen.withColumn("rank", rank.cast("long")).drop("__rank")
+    rank = F.col("__n") + 1 - F.col("__rank") if count > 0 else F.col("__rank")
+    chosen = scale.rows.where(among_extremes(count) & F.col("key").isNotNull() & F.lit(count != 0))
+    return chosen.withColumn("rank", rank.cast("long")).drop("__rank", "__n")

@@ -3,7 +3,8 @@
 Rows are range-partitioned on the order columns (a random last key splits a run of equal ones), and written to the
 checkpoint folder with their partition number: that pins the partitions, so a retried task or a second action sees
 the same split. Totals per partition, one row each, give every partition what lies before and behind it; a
-window inside the partition adds the rest. One way at every size: adaptive execution makes one partition of a few rows.
+window inside the partition adds the rest. One way at every size: adaptive execution makes one partition of a few rows,
+and then nothing lies before or behind it.
 """
 
 from __future__ import annotations
@@ -25,42 +26,55 @@ def running_sum(
     cum_col: str = "__cum",
     suffix_col: str | None = None,
     count_col: str | None = None,
+    total_col: str | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Add ``pos_col`` (1-based position) and ``cum_col`` (inclusive running sum of ``value``, default 1).
 
     ``suffix_col`` adds the running sum from the end (summed from there, not a difference), ``count_col`` the number
-    of rows. ``order_by`` must be a total order for the result to be unique. The result reads the pinned rows.
+    of rows, ``total_col`` the sum of ``value``. ``order_by`` must be a total order for the result to be unique. The result reads the pinned rows.
     """
     ensure_checkpoint_dir(df.sparkSession)
     keys = [*order_by, F.col("__salt").asc()]
     staged = df.withColumn("__val", F.lit(1) if value is None else value).withColumn("__salt", F.rand(17))
     ranged = staged.repartitionByRange(partitions, *keys) if partitions else staged.repartitionByRange(*keys)
     pinned = ranged.withColumn("__part", F.spark_partition_id()).checkpoint(eager=True)
+    single = pinned._jdf.rdd().getNumPartitions() <= 1
+    # Inside the only partition every row is at hand, so no shuffle by partition number is needed.
+    by_part = Window.partitionBy() if single else Window.partitionBy("__part")
+    local = by_part.orderBy(*keys)
+    # From the end: a window in falling order of the position, added up one row at a time as well.
+    falling = by_part.orderBy(F.col(pos_col).desc())
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    placed = pinned if single else pinned.join(F.broadcast(_offsets(pinned)), "__part")  # one row per partition
+    nothing = F.lit(0)
+    before = lambda name: nothing if single else F.col(name)
+    placed = placed.withColumns(
+        {
+            pos_col: (before("__n_before") + F.row_number().over(local)).cast("long"),
+            cum_col: before("__v_before") + F.sum("__val").over(local.rowsBetween(*so_far)),
+        }
+    )
+    if suffix_col:
+        placed = placed.withColumn(suffix_col, before("__v_behind") + F.sum("__val").over(falling.rowsBetween(*so_far)))
+    every = Window.partitionBy()
+    if count_col:
+        placed = placed.withColumn(count_col, F.count(F.lit(1)).over(every) if single else F.col("__n_all"))
+    if total_col:
+        placed = placed.withColumn(total_col, F.sum("__val").over(every) if single else F.col("__v_all"))
+    return placed.drop("__part", "__n_before", "__v_before", "__v_behind", "__n_all", "__v_all", "__val", "__salt")
+
+
+def _offsets(pinned: DataFrame) -> DataFrame:
+    """Rows and sums that lie before and behind each partition, and the number of all rows."""
     sums = pinned.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.sum("__val").alias("__v"))
-    by_part = Window.orderBy("__part")  # one row per partition
-    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.orderBy(F.col("__part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
+    return sums.select(
         "__part",
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n_before"),
         F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__v_before"),
         F.coalesce(F.sum("__v").over(behind), F.lit(0)).alias("__v_behind"),
         F.sum("__n").over(Window.partitionBy()).alias("__n_all"),
+        F.sum("__v").over(Window.partitionBy()).alias("__v_all"),
     )
-    local = Window.partitionBy("__part").orderBy(*keys)
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # From the end: a window in falling order of the position, added up one row at a time as well.
-    falling = Window.partitionBy("__part").orderBy(F.col(pos_col).desc())
-    back = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = pinned.join(F.broadcast(offsets), "__part").withColumns(  # one row per partition: a proven bound
-        {
-            pos_col: (F.col("__n_before") + F.row_number().over(local)).cast("long"),
-            cum_col: F.col("__v_before") + F.sum("__val").over(upto),
-        }
-    )
-    if suffix_col:
-        placed = placed.withColumn(suffix_col, F.col("__v_behind") + F.sum("__val").over(back))
-    if count_col:
-        placed = placed.withColumn(count_col, F.col("__n_all"))
-    return placed.drop("__part", "__n_before", "__v_before", "__v_behind", "__n_all", "__val", "__salt")

@@ -47,7 +47,8 @@ class ChartResult:
     """Result DataFrames of one chart request, built on first access.
 
     ``groups``: one row per group before tails, in the checkpoint folder; ``rows``: display rows. ``totals``,
-    ``quality`` and ``warnings`` re-sum the groups, so a full request scans the table once.
+    ``quality`` and ``warnings`` re-sum the groups. ``rows`` read the groups once, so asked for alone they leave them
+    lazy; a request that also wants the others asks for those first (as ``payload`` does) and scans the table once.
     """
 
     x: str
@@ -67,7 +68,7 @@ class ChartResult:
 
     @cached_property
     def _shown(self) -> tuple[DataFrame, DataFrame | None]:
-        return self._present(self.groups)
+        return self._present(self.__dict__.get("groups", self._lazy_groups))
 
     @property
     def rows(self) -> DataFrame:
