@@ -17,13 +17,14 @@ rows, the rest q rows.
 from __future__ import annotations
 
 
+import math
 from dataclasses import dataclass
 from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.functions.numbers import col_of, count_at_most
+from kpiframe.functions.numbers import array_of, col_of, count_at_most
 from kpiframe.operators.ranking import running_sum
 
 INFINITY = float("inf")
@@ -62,11 +63,14 @@ class TilePlan:
     before: dict[int, tuple[int, int]]  # bucket that holds a boundary -> rows in all buckets before it, and in it
 
     def lookup(self, values: dict[int, int]) -> Column:
-        entries = F.array(*[F.lit(values.get(b)).cast("long") for b in range(max(values, default=0) + 1)])
+        entries = array_of([values.get(b, 0) for b in range(max(values, default=0) + 1)], "bigint")
         return F.when(F.col("__bucket").isNotNull(), F.element_at(entries, F.col("__bucket") + 1))
 
     def is_whole(self) -> Column:
-        return ~F.col("__bucket").isin(list(self.before)) if self.before else F.lit(True)
+        return ~self.holds_boundary()
+
+    def holds_boundary(self) -> Column:
+        return F.expr(f"__bucket IN ({','.join(map(str, self.before))})") if self.before else F.lit(False)
 
 
 def _windows(values: Sequence[float]) -> tuple[list[float], list[float]]:
@@ -94,7 +98,7 @@ def plan_tiles(df: DataFrame, x: Column, n: int, count_buckets: Callable[[Column
     value = F.when(~F.isnan("__qx"), F.col("__qx"))
     aggs = [F.count("__qx").alias("total"), F.count(value).alias("numbers")]
     if guesses:
-        aggs.append(F.percentile_approx(value, guesses, accuracy).alias("values"))
+        aggs.append(F.percentile_approx(value, array_of(guesses, "double"), accuracy).alias("values"))
     stats = df.select(x.alias("__qx")).agg(*aggs).first()
     total, numbers = int(stats["total"]), int(stats["numbers"])
     if not total:
@@ -108,10 +112,12 @@ def plan_tiles(df: DataFrame, x: Column, n: int, count_buckets: Callable[[Column
         inside = [r for r in ends if r <= numbers]
         if not values and inside:
             shares = [min(1.0, max(0.0, r / numbers + side)) for r in inside for side in (-margin - 1 / numbers, margin + 1 / numbers)]
-            values = list(df.select(value_of(x).alias("v")).agg(F.percentile_approx("v", shares, accuracy).alias("p")).first()["p"])
+            values = list(df.select(value_of(x).alias("v")).agg(F.percentile_approx("v", array_of(shares, "double"), accuracy).alias("p")).first()["p"])
         lows, highs = _windows(values) if margin < 0.5 else ([-INFINITY], [INFINITY])
         nan_bucket = 2 * len(lows) + 1
-        place = (count_at_most(x, lows) + count_at_most(x, highs, strict=True)).cast("int")
+        # One sorted list of edges: a window starts at its low and has ended at the next double after its high.
+        edges = [e for low, high in zip(lows, highs) for e in (low, math.nextafter(high, INFINITY) if high < INFINITY else math.nan)]
+        place = count_at_most(x, edges).cast("int")
         bucket = F.when(x.isNull(), F.lit(None).cast("int")).when(F.isnan(x), F.lit(nan_bucket)).otherwise(place)
         counts = count_buckets(bucket)
         whole: dict[int, int] = {}
@@ -138,7 +144,7 @@ def value_of(x: Column) -> Column:
 
 def ranked_tiles(df: DataFrame, plan: TilePlan, ties: Sequence[str], tile_col: str) -> DataFrame:
     """``tile_col`` for rows (with ``__bucket`` and ``__qx``) of the buckets that hold a boundary."""
-    hot = df.where(F.col("__bucket").isin(list(plan.before)))
+    hot = df.where(plan.holds_boundary())
     order = [F.col("__bucket").asc(), F.col("__qx").asc()] + [col_of(t).asc_nulls_last() for t in ties]
     # Ranked together, bucket after bucket: the offset adds the rows of the buckets in between.
     skipped, held = {}, 0
