@@ -35,13 +35,6 @@ def written(df: DataFrame, label: str, path: str | None = None, fewer: int = 1)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that :func:`written` made, when nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows kept from learning: crc32 of the id's text leaves 2 modulo 4 (a null id may be learned from)."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
