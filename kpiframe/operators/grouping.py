@@ -23,11 +23,6 @@ OTHER = "Other"
 LEAST_GROUPS = 3
 
 
-def has_threshold(threshold: object) -> bool:
-    """Whether a low-weight threshold may merge anything."""
-    return Argument(threshold).threshold().active
-
-
 def _shown(groups: DataFrame, merged: Column | None = None, name: str | Column = OTHER) -> DataFrame:
     """``x`` (display label) and ``is_tail``: groups where ``merged`` holds show ``name``."""
     if merged is None:
