@@ -2,30 +2,30 @@
 
 1. *Index.* One pass splits every whole text into words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after
    lower-casing A-Z) and keeps, per file, the places of words that occur in any licence template.
-2. *Rarity.* Document frequencies of the licence words over all files give every template its rare word: of its
-   mandatory key phrase, which every hit holds, the word of the highest IDF. A template of whose key phrase some word
-   occurs in no file has none and is left out.
-3. *Look-up and intersection.* Files that hold a rare word are looked up. Their licence words meet
-   the template postings (word, template, place in template); place in file minus place in template is the
-   offset, and counting postings per (file, template, offset) intersects them by relative position.
-4. *Verification.* An offset counts if it has the rare word, every word of the template's mandatory key phrase, and at
+2. *Rarity.* Document frequencies of the licence words over all files give every template its ``RARE`` words of the
+   highest IDF (among those that occur at all), and the word of the highest IDF of its mandatory key phrase, which every
+   hit holds. A template of whose key phrase some word occurs in no file has no such key word and no hits.
+3. *Look-up and intersection.* Every place of one of these words, less its place in the template, is an offset. A
+   template is ``SPAN`` words long at most, so the licence words that may meet it there are at most as many neighbours in
+   the file's places; they are intersected with the template by relative position, inside the row.
+4. *Verification.* An offset is a hit if it has every word of the template's mandatory key phrase, and at
    least ``COVERAGE`` of the template's words. The base phrases are templates that are mandatory as a whole.
 
 Defined results: null and empty texts have 0 words, no labels (empty strings), null places and score 0; repeated
 rows are files of their own; a null ``doc_id`` is kept; an empty table gives an empty result; other columns are
-ignored. ``score`` is the largest share of a template's words found at one offset with its rare word.
+ignored. ``score`` is the largest share of a template's words found at one offset that has one of its
+rare words or is a hit.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import small_table, written
+from kpiframe.llm.common import written
 
 COVERAGE = 0.8
+RARE = 3
 
 #: Base phrases and their labels.
 BASE = {
@@ -72,11 +72,12 @@ def postings() -> list[tuple[int, str, bool, str, int, bool, int]]:
     return rows
 
 
-_POSTING_SCHEMA = "template int, label string, base boolean, word string, place int, must boolean, length int"
+#: Words of the longest template.
+SPAN = max(row[-1] for row in postings())
 
 
 def licence_index(docs: DataFrame) -> DataFrame:
-    """Per file: file (a number), doc_id, n_words, places (array of word, pos) of licence words. Written once."""
+    """Per file: doc_id, n_words, places (array of word, pos) of licence words. Written once."""
     vocabulary = sorted({row[3] for row in postings()})
     parts = F.col("parts")
     lead = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
@@ -99,7 +100,6 @@ def licence_index(docs: DataFrame) -> DataFrame:
     return written(
         split.withColumn("lead", lead)
         .select(
-            F.monotonically_increasing_id().alias("file"),
             "doc_id",
             (F.size(parts) - F.col("lead") - trail).cast("long").alias("n_words"),
             plain.alias("places"),
@@ -108,77 +108,122 @@ def licence_index(docs: DataFrame) -> DataFrame:
     )
 
 
-def rare_words(index: DataFrame) -> dict[tuple[int, str], float]:
-    """IDF of each template's rare word, by (template, word); document frequencies over all files."""
-    counts = {
+def file_counts(index: DataFrame) -> dict[str, int]:
+    """In how many files each licence word occurs. The fewer, the higher its IDF."""
+    return {
         r["word"]: r["files"]
         for r in index.select(F.explode(F.array_distinct(F.transform("places", lambda x: x["word"]))).alias("word"))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("files"))
         .collect()  # one row per licence word at most
     }
-    files = index.count()
+
+
+def probes(counts: dict[str, int]) -> dict[str, list[tuple[int, int, bool, bool]]]:
+    """Per word that is looked up: (template, place in it, rare, key). Every hit is found by one key place."""
+    words: dict[int, set] = {}
     keys: dict[int, list] = {}
-    for template, _, _, word, _, must, _ in postings():
+    for template, _, _, word, place, must, _ in postings():
+        if word in counts:
+            words.setdefault(template, set()).add((counts[word], word))
         if must:
-            keys.setdefault(template, []).append((counts.get(word, 0), word))
-    rarest = {template: min(words) for template, words in keys.items()}
-    return {(t, word): math.log((1 + files) / (1 + n)) for t, (n, word) in rarest.items() if n}
+            keys.setdefault(template, []).append((counts.get(word, 0), word, place))
+    rare = {(t, w) for t, found in words.items() for _, w in sorted(found)[:RARE]}
+    key = {(t, *min(found)[1:]) for t, found in keys.items() if min(found)[0]}
+    out: dict[str, list] = {}
+    for template, _, _, word, place, _, _ in postings():
+        flags = (template, word) in rare, (template, word, place) in key
+        if any(flags):
+            out.setdefault(word, []).append((template, place, *flags))
+    return out
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
-    """One row per file: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    spark = docs.sparkSession
-    index = licence_index(docs)
-    rare = rare_words(index)
-    needs: dict[int, int] = {}
-    for template, _, _, _, _, must, _ in postings():
-        needs[template] = needs.get(template, 0) + must
-    # A few rows per template of the list above.
-    posting = F.broadcast(
-        small_table(spark, [(*p, (p[0], p[3]) in rare, needs[p[0]]) for p in postings()], _POSTING_SCHEMA + ", rare boolean, needs int")
-    )
-    looked_up = sorted({word for _, word in rare})
-    found = (
-        index.filter(F.exists("places", lambda x: x["word"].isin(looked_up)))
-        .select("file", F.explode("places").alias("x"))
-        .select("file", "x.word", "x.pos")
-        .join(posting, "word")
-        .groupBy("file", "template", (F.col("pos") - F.col("place")).alias("start"))
-        .agg(
-            F.first("label").alias("label"),
-            F.first("base").alias("base"),
-            F.max("rare").alias("rare"),
-            F.sum(F.col("must").cast("int")).alias("must"),
-            F.first("needs").alias("needs"),
-            (F.count(F.lit(1)) / F.first("length")).alias("coverage"),
-        )
-        .filter("rare")
-        .withColumn("holds", (F.col("must") == F.col("needs")) & (F.col("coverage") >= COVERAGE))
+def _literal(rows: list[tuple], *names: str) -> Column:
+    """Tuples as an array of structs."""
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+
+
+def _templates() -> Column:
+    """The templates by number: label, base, words, and the places where the key phrase begins and ends."""
+    rows: dict[int, list] = {}
+    for row in postings():
+        rows.setdefault(row[0], []).append(row)
+    out = []
+    for of in rows.values():
+        must = [place for _, _, _, _, place, must, _ in of if must]
+        out.append((of[0][1], of[0][2], [row[3] for row in of], min(must), max(must) + 1))
+    return _literal(out, "label", "base", "words", "key_from", "key_to")
+
+
+def _offsets(places: Column, looked_up: dict) -> Column:
+    """Array of label, base, start, holds, score: the offsets that looked-up words of a file give."""
+    templates = _templates()
+    at = F.create_map(
+        *[x for word, of in looked_up.items() for x in (F.lit(word), _literal(of, "template", "place", "rare", "key"))]
     )
-    base = F.col("holds") & F.col("base")
-    joined = lambda label: F.array_join(F.sort_array(F.collect_set(label)), ",")
-    per_file = found.groupBy("file").agg(
-        F.count(F.when(base, 1)).alias("n_base"),
-        F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
-        joined(F.when(base, F.col("label"))).alias("base_labels"),
-        joined(F.when(F.col("holds"), F.col("label"))).alias("labels"),
-        F.max("coverage").alias("score"),
+    seen = F.filter(
+        F.transform(places, lambda x, i: F.struct(i.alias("i"), x["word"].alias("word"), x["pos"].alias("pos"))),
+        lambda x: x["word"].isin(sorted(looked_up)),
     )
-    return (
-        index.select("file", "doc_id", "n_words")
-        .join(per_file, "file", "left")
-        .select(
-            "doc_id",
-            "n_words",
-            F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
-            "first_word",
-            "last_word",
-            F.coalesce("base_labels", F.lit("")).alias("base_labels"),
-            F.coalesce("labels", F.lit("")).alias("labels"),
-            F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"),
+
+    def met(x: Column, probe: Column) -> Column:
+        """Template, start and the template's places whose words stand there."""
+        start = x["pos"] - probe["place"]
+        # Licence words less than SPAN words away are less than SPAN elements away.
+        near = F.slice(places, F.greatest(x["i"] - (SPAN - 1), F.lit(0)) + 1, F.lit(2 * SPAN - 1))
+        words = F.get(templates, probe["template"])["words"]
+        here = F.filter(near, lambda y: F.coalesce(F.get(words, y["pos"] - start) == y["word"], F.lit(False)))
+        return F.struct(
+            F.get(templates, probe["template"]).alias("t"),
+            start.alias("start"),
+            probe["rare"].alias("rare"),
+            probe["key"].alias("key"),
+            F.transform(here, lambda y: y["pos"] - start).alias("here"),
         )
+
+    def judged(m: Column) -> Column:
+        t = m["t"]
+        coverage = F.size(m["here"]) / F.size(t["words"])
+        must = F.size(F.filter(m["here"], lambda p: (p >= t["key_from"]) & (p < t["key_to"])))
+        holds = m["key"] & (must == t["key_to"] - t["key_from"]) & (coverage >= COVERAGE)
+        return F.struct(
+            t["label"].alias("label"),
+            t["base"].alias("base"),
+            m["start"].alias("start"),
+            holds.alias("holds"),
+            F.when(m["rare"] | holds, coverage).alias("score"),
+        )
+
+    found = F.flatten(F.transform(seen, lambda x: F.transform(F.element_at(at, x["word"]), lambda probe: met(x, probe))))
+    return F.transform(found, judged)
+
+
+def license_scan(docs: DataFrame) -> DataFrame:
+    """One row per file: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    index = licence_index(docs)
+    looked_up = probes(file_counts(index))
+    if not looked_up:
+        # No licence word in any file: the same columns, over a word that no file has.
+        looked_up = {postings()[0][3]: [(0, 0, False, False)]}
+    found = index.select("doc_id", "n_words", _offsets(F.col("places"), looked_up).alias("found"))
+    # The offsets are made once; every column below reads them.
+    found = found.select(
+        "doc_id",
+        "n_words",
+        F.array_max(F.transform("found", lambda x: x["score"])).alias("score"),
+        F.filter("found", lambda x: x["holds"]).alias("hits"),
+    ).withColumn("base", F.filter("hits", lambda x: x["base"]))
+    joined = lambda hits: F.array_join(F.sort_array(F.array_distinct(F.transform(hits, lambda x: x["label"]))), ",")
+    starts = F.transform("base", lambda x: x["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        joined("base").alias("base_labels"),
+        joined("hits").alias("labels"),
+        F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"),
     )
 
 

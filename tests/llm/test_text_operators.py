@@ -177,6 +177,33 @@ def test_licence_places(spark, table):
     assert license_scan.license_scan(docs.limit(0)).count() == 0
 
 
+def brute_scores(texts):
+    """Largest share of a template's words at an offset that holds one of its three rarest words."""
+    files = [re.findall(r"[0-9a-z]+", (t or "").lower()) for t in texts]
+    counts = Counter(w for f in files for w in set(f))
+    templates = [p.split() for p in license_scan.BASE] + [words.split() for _, words, _ in license_scan.TEMPLATES]
+    out = []
+    for f in files:
+        best = 0.0
+        for words in templates:
+            rare = sorted({(counts[w], w) for w in words if counts[w]})[:3]
+            for start in range(-len(words), len(f)):
+                here = [w for i, w in enumerate(words) if 0 <= start + i < len(f) and f[start + i] == w]
+                if {w for _, w in rare} & set(here):
+                    best = max(best, len(here) / len(words))
+        out.append(round(best, 6))
+    return out
+
+
+def test_licence_scores_of_partial_matches(table):
+    grant = "permission is hereby granted free of charge to any person obtaining a copy of this software"
+    texts = ["free of charge to any person obtaining a copy of this software", grant, grant.replace("hereby", "now"), "hereby hereby", "the software of any person"]
+    texts += ["permission granted to use it", "person obtaining a copy", "in source and binary forms", "the gnu public", "cc", "by", "", None]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(table([doc(i, t) for i, t in enumerate(texts)], DOC)).collect()}
+    assert [got[i]["score"] for i in range(len(texts))] == brute_scores(texts)
+    assert got[0]["score"] == 0.75 and got[0]["labels"] == ""  # 12 of 16 words, not the rarest one of the key phrase
+
+
 # --- tokens -----------------------------------------------------------------------------------------
 
 
