@@ -8,8 +8,10 @@
 3. *Look-up and intersection.* Every place of one of these words, less its place in the template, is an offset. A
    template is ``SPAN`` words long at most, so the licence words that may meet it there are at most as many neighbours in
    the file's places; they are intersected with the template by relative position, inside the row.
-4. *Verification.* An offset is a hit if it has every word of the template's mandatory key phrase, and at
-   least ``COVERAGE`` of the template's words. The base phrases are templates that are mandatory as a whole.
+4. *Verification.* An offset is a hit if it has every word of the template's mandatory key phrase, and the whole name:
+   the words from the first that isn't a lead-in (``LEAD``) to the end of the key phrase. Lead-in words and the rest
+   only raise the score. The name keeps "lesser general public license version 3" from being the GPL. An offset without
+   the whole name is a hit with ``COVERAGE`` of the template's words. The base phrases are mandatory as a whole.
 
 Defined results: null and empty texts have 0 words, no labels (empty strings), null places and score 0; repeated
 rows are files of their own; a null ``doc_id`` is kept; an empty table gives an empty result; other columns are
@@ -55,6 +57,9 @@ TEMPLATES = [
      "free and unencumbered software"),
 ]
 
+#: Words that lead in to a licence's name or grant; texts often put others in their place.
+LEAD = {"licensed", "under", "the", "this", "is"}
+
 _GAP = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -144,15 +149,16 @@ def _literal(rows: list[tuple], *names: str) -> Column:
 
 
 def _templates() -> Column:
-    """The templates by number: label, base, words, and the places where the key phrase begins and ends."""
+    """The templates by number: label, base, words, and the places where the name and the key phrase begin and the key phrase ends."""
     rows: dict[int, list] = {}
     for row in postings():
         rows.setdefault(row[0], []).append(row)
     out = []
     for of in rows.values():
         must = [place for _, _, _, _, place, must, _ in of if must]
-        out.append((of[0][1], of[0][2], [row[3] for row in of], min(must), max(must) + 1))
-    return _literal(out, "label", "base", "words", "key_from", "key_to")
+        name = min(place for _, _, _, word, place, must_be, _ in of if must_be or word not in LEAD)
+        out.append((of[0][1], of[0][2], [row[3] for row in of], name, min(must), max(must) + 1))
+    return _literal(out, "label", "base", "words", "name_from", "key_from", "key_to")
 
 
 def _offsets(places: Column, looked_up: dict) -> Column:
@@ -184,8 +190,8 @@ def _offsets(places: Column, looked_up: dict) -> Column:
     def judged(m: Column) -> Column:
         t = m["t"]
         coverage = F.size(m["here"]) / F.size(t["words"])
-        must = F.size(F.filter(m["here"], lambda p: (p >= t["key_from"]) & (p < t["key_to"])))
-        holds = m["key"] & (must == t["key_to"] - t["key_from"]) & (coverage >= COVERAGE)
+        whole = lambda lo: F.size(F.filter(m["here"], lambda p: (p >= lo) & (p < t["key_to"]))) == t["key_to"] - lo
+        holds = m["key"] & whole(t["key_from"]) & (whole(t["name_from"]) | (coverage >= COVERAGE))
         return F.struct(
             t["label"].alias("label"),
             t["base"].alias("base"),

@@ -204,6 +204,39 @@ def test_licence_scores_of_partial_matches(table):
     assert got[0]["score"] == 0.75 and got[0]["labels"] == ""  # 12 of 16 words, not the rarest one of the key phrase
 
 
+@pytest.mark.parametrize("batch", [0, 1])
+def test_licence_mentions_without_their_lead_in(table, batch):
+    want = [
+        {
+            "under the terms of the GNU General Public License version 3": "gpl,gpl-3.0",
+            "GNU General Public License version 3": "gpl,gpl-3.0",
+            "GNU General Public License, version 2": "gpl,gpl-2.0",
+            "licensed under the new GNU General Public License version 3": "gpl,gpl-3.0",
+            "Apache License, Version 2.0": "apache,apache-2.0",
+            "CC BY-NC 4.0": "cc-by,cc-by-nc",
+            "licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc",
+            "CC BY-SA 3.0": "cc-by,cc-by-sa",
+            "Permission is hereby granted, free of charge, to everybody": "mit",
+            "Redistribution and use in source and binary forms is allowed": "bsd",
+            "it is free and unencumbered software": "unlicense",
+        },
+        {  # names that hold others' key phrases
+            "GNU Lesser General Public License version 3": "lgpl",
+            "GNU Affero General Public License version 3": "agpl",
+            "Mozilla Public License Version 2.0": "mpl",
+            "Mozilla Public License 1.1": "mpl",
+            "licensed under the terms of a public license version 3": "",
+            "licensed under the gnu broad public license version 3": "gpl-3.0",  # 8 of 9 words
+            "licensed under the Apache License": "apache",
+            "hereby granted, free of charge": "",
+            "CC BY 4.0": "cc-by",
+        },
+    ][batch]
+    docs = table([doc(i, t) for i, t in enumerate(want)], DOC)
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(want)} == want
+
+
 # --- tokens -----------------------------------------------------------------------------------------
 
 
