@@ -229,16 +229,26 @@ def taken_words(lines: DataFrame, targets: DataFrame, plan: DataFrame) -> DataFr
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix, all columns: each as often as it is taken, cut to its first words where it is
-    taken in part (one document of a source at most), documents that aren't taken left out."""
+    taken in part (one document of a source at most), documents that aren't taken left out.
+
+    The rows stand in the order of the schedule: by the slot in which a use of a document begins, and inside a slot
+    as on the source's line.
+    """
     docs = stored(docs)
     columns = docs.columns
-    taken = taken_words(*mix_sources(docs, **settings)).filter("taken > 0")
-    uses = taken.select(
-        F.col("place").alias("__at"),
-        F.col("size").alias("__size"),
-        F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")))).alias("__round"),
-        "taken",
-    ).select("__at", "__size", F.least("__size", F.col("taken") - F.col("__round") * F.col("__size")).alias("__words"))
+    lines, _, plan = mix_sources(docs, **settings)
+    uses = plan.groupBy(_spot(F.col("source"), F.col("start")).alias("spot"), F.col("round").alias("__round")).agg(
+        F.sum(F.col("to_word") - F.col("from_word")).alias("__words"), F.min("slot").alias("__slot")
+    )
+    uses = (
+        lines.filter("size > 0")
+        .select(
+            _spot(F.col("source"), F.col("start")).alias("spot"),
+            F.col("place").alias("__at"), F.col("size").alias("__size"), F.col("start").alias("__start"),
+        )
+        .join(uses, "spot")
+        .drop("spot")
+    )
     out = docs.select("*", place_of(docs).alias("__place")).join(uses, F.col("__place") == F.col("__at"))
     parts = F.split("text", BLANKS + "+", -1)
     # A text that starts with blanks has an empty first part.
@@ -248,7 +258,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     out = out.withColumn("text", F.when(partial, cut).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(partial, F.char_length("text")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    return out.orderBy("__slot", "__round", "__start").select(*columns)
 
 
 #: Rows of the mix query for DuckDB: targets by the same water level, words by position on the shuffled line.

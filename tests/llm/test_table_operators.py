@@ -90,6 +90,22 @@ def test_empty_mix_and_reruns(odd_documents):
     assert mixed.agg(F.sum(source_mix.size_of(F.col("text")))).first()[0] == want
 
 
+def test_mixed_documents_stand_in_schedule_order(table):
+    docs = table([doc(i, "w " * (5 + i % 37), source="abc"[i % 3]) for i in range(300)], DOC)
+    _, _, plan = source_mix.mix_sources(docs, block=16)
+    first = {}
+    for p in plan.collect():
+        use = (p["doc_id"], p["round"])
+        first[use] = min(first.get(use, (math.inf,)), (p["slot"], p["round"], p["start"]))
+    mixed = source_mix.mixed_documents(docs, block=16).collect()
+    assert [r["doc_id"] for r in mixed] == [i for i, _ in sorted(first, key=first.get)]
+    goal = Counter(r["source"] for r in mixed)
+    seen = Counter()
+    for n, r in enumerate(mixed, start=1):  # any start of the mix has nearly the target shares
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - n * goal[s] / len(mixed)) < 12 for s in goal)
+
+
 # --- URL rules ------------------------------------------------------------------------------------------
 
 
