@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiframe.llm import license_scan, source_mix, url_rules, vector_topk
+from kpiframe.llm import decontamination, license_scan, source_mix, url_rules, vector_topk
 from kpiframe.llm.bpe_codec import bpe_codec
 from kpiframe.llm.common import prepare
 from kpiframe.llm.exact_dedup import exact_dedup
@@ -121,3 +121,11 @@ def op10_bpe_codec(spark, sf_dir):
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op12_benchmark_scan(spark, sf_dir):
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_benchmark_scan"] = decontamination.oracle()
