@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiframe.llm import decontamination, license_scan, source_mix, url_rules, vector_topk
+from kpiframe.llm import conversation_repair, decontamination, hard_negatives, license_scan, source_mix, url_rules, vector_topk
 from kpiframe.llm.bpe_codec import bpe_codec
 from kpiframe.llm.common import prepare
 from kpiframe.llm.exact_dedup import exact_dedup
@@ -123,9 +123,27 @@ def op10_bpe_codec(spark, sf_dir):
     )
 
 
+@_query
+def op11_hard_negatives(spark, sf_dir):
+    vectors = hard_negatives.mined_vectors(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
+ORACLE["op11_hard_negatives"] = hard_negatives.ORACLE
+
+
 @_query
 def op12_benchmark_scan(spark, sf_dir):
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 ORACLE["op12_benchmark_scan"] = decontamination.oracle()
+
+
+@_query
+def op13_conversation_repair(spark, sf_dir):
+    summary, _ = conversation_repair.repair(table(spark, sf_dir, "conversations"))
+    return summary
+
+
+ORACLE["op13_conversation_repair"] = conversation_repair.ORACLE
