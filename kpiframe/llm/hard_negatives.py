@@ -4,7 +4,8 @@
 folder. Every candidate gets one more component, ``sqrt(M - |x|^2)`` with M the shard's largest squared norm, so all have
 one length and the inner product with a query (whose own extra component is 0) falls with the distance. A node of level i has a
 centre, and every vector below it lies within the covering radius ``top / BASE**i`` of it (the tight radius of the node is
-kept); centres of one parent are further apart than that. With ``|<q, x> - <q, c>| <= |q| * |x - c|`` the radius bounds all
+kept); centres of one parent are further apart than that, and what is too sparse for a node of its own stays in a leaf of
+its parent. With ``|<q, x> - <q, c>| <= |q| * |x - c|`` the radius bounds all
 inner products below a node from both sides.
 
 *Descent.* Anchors are broadcast in blocks of ``BLOCK``; the trees stay where they are, and each task passes what an anchor
@@ -42,6 +43,9 @@ SHARD_ROWS = 8192
 #: Covering radii shrink by this factor from level to level.
 BASE = 1.3
 LEAF = 64
+#: The least rows of a node of its own, and after how many smaller ones the rest of a level is left to one leaf.
+DENSE = 32
+SPARSE = 24
 #: Anchors that are broadcast at once.
 BLOCK = 4096
 
@@ -71,19 +75,22 @@ class CoverTree:
         order = np.arange(len(ids))
         lo, hi, kid, kids, centre, radius, level = [0], [len(ids)], [0], [0], [0], [0.0], [0]
         if len(ids):
-            radius[0] = float(np.sqrt(((lifted - lifted[0]) ** 2).sum(axis=1).max()))
+            radius[0] = self._reach(lifted, order, 0)
         top, node = radius[0], 0
         while node < len(lo):
             a, b = lo[node], hi[node]
-            if b - a > LEAF and radius[node] > 0:
+            if level[node] >= 0 and b - a > LEAF and radius[node] > 0:
                 # The next level whose covering radius is below this node's own.
                 step = level[node] + 1
                 while top / BASE**step >= radius[node]:
                     step += 1
-                groups = self._cover(lifted, order[a:b], centre[node], top / BASE**step)
-                kid[node], kids[node] = len(lo), len(groups)
+                groups, rest = self._cover(lifted, order[a:b], centre[node], top / BASE**step)
+                below = [(point, members, self._reach(lifted, members, point), step) for point, members in groups]
+                if groups and len(rest):
+                    below.append((centre[node], rest, self._reach(lifted, rest, centre[node]), -1))
+                kid[node], kids[node] = len(lo), len(below)
                 at = a
-                for point, members, reach in groups:
+                for point, members, reach, of_level in below:
                     order[at : at + len(members)] = members
                     lo.append(at)
                     at += len(members)
@@ -92,7 +99,7 @@ class CoverTree:
                     kids.append(0)
                     centre.append(point)
                     radius.append(reach)
-                    level.append(step)
+                    level.append(of_level)
             node += 1
         self.uids, self.ids, self.labels, self.rows = uids[order], ids[order], labels[order], rows[order]
         self.lo, self.hi, self.kid, self.kids = (np.array(x, np.int64) for x in (lo, hi, kid, kids))
@@ -103,18 +110,32 @@ class CoverTree:
         high = np.array([self.labels[a:b].max() if b > a else 0 for a, b in zip(lo, hi)], np.int64)
         self.low_label, self.high_label = low, high
 
+    @staticmethod
+    def _reach(lifted: np.ndarray, members: np.ndarray, centre: int) -> float:
+        """The tight covering radius."""
+        return float(np.sqrt(((lifted[members] - lifted[centre]) ** 2).sum(axis=1).max()))
+
     @staticmethod
     def _cover(lifted: np.ndarray, members: np.ndarray, first: int, reach: float):
-        """(centre, members, tight radius): each member with the first centre within ``reach``; centres lie further apart."""
-        groups, left, point = [], members, first
-        while len(left):
-            away = np.sqrt(((lifted[left] - lifted[point]) ** 2).sum(axis=1))
-            near = away <= reach
-            near |= left == point
-            groups.append((point, left[near], float(away[near].max())))
-            left = left[~near]
+        """Groups (centre, members within ``reach`` of it; centres lie further apart), and what is too sparse for a group.
+
+        Sparse members stay in one leaf of their parent: a node of a few rows costs more than it can save. After
+        ``SPARSE`` sparse centres in a row all that is left counts as sparse.
+        """
+        groups, sparse, left, point, vain = [], [], members, first, 0
+        points, squares = lifted[members], (lifted[members] ** 2).sum(axis=1)
+        while len(left) and vain < SPARSE:
+            away = squares - 2 * (points @ lifted[point]) + (lifted[point] ** 2).sum()
+            near = (away <= reach * reach) | (left == point)
+            if near.sum() >= DENSE:
+                groups.append((point, left[near]))
+                vain = 0
+            else:
+                sparse.append(left[near])
+                vain += 1
+            left, points, squares = left[~near], points[~near], squares[~near]
             point = int(left[0]) if len(left) else -1
-        return groups
+        return groups, np.concatenate([*sparse, left])
 
     def pack(self) -> bytes:
         out = io.BytesIO()
@@ -127,10 +148,9 @@ class CoverTree:
         with np.load(io.BytesIO(blob)) as parts:
             for name in parts.files:
                 setattr(tree, name, parts[name])
-        # Below 2**53 the products of doubles are exact, and faster.
-        largest = float(np.abs(tree.rows).max(initial=0))
-        tree.exact = largest * largest * max(1, tree.rows.shape[1]) < 2.0**52
-        tree.doubles = tree.rows.astype(np.float64) if tree.exact else None
+        # Sums of products below 2**24 are exact as floats, below 2**53 as doubles, and faster than as integers.
+        tree.size = float(np.abs(tree.rows).max(initial=0))
+        tree.as_kind = {}
         return tree
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +163,11 @@ class CoverTree:
         return middle - slack, middle + slack
 
     def scores(self, query: np.ndarray, a: int, b: int) -> np.ndarray:
-        if self.exact and float(np.abs(query).max(initial=0)) ** 2 * max(1, len(query)) < 2.0**52:
-            return (self.doubles[a:b] @ query.astype(np.float64)).astype(np.int64)
-        return self.rows[a:b] @ query
+        most = self.size * float(np.abs(query).max(initial=0)) * max(1, len(query))
+        kind = np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
+        if kind not in self.as_kind:
+            self.as_kind[kind] = self.rows.astype(kind)
+        return (self.as_kind[kind][a:b] @ query.astype(kind)).astype(np.int64)
 
     def search(self, query: np.ndarray, uid: int, label: int, same: bool, windows: list, low: np.ndarray, high: np.ndarray) -> None:
         """Add to each window's heap. A window is (least, most, k, heap of (score, -id, uid)); ``low`` and ``high``: bounds()."""
@@ -175,12 +197,17 @@ class CoverTree:
             a, b = int(self.lo[node]), int(self.hi[node])
             scores = self.scores(query, a, b)
             counts = (self.labels[a:b] == label) == same
+            if same:
+                counts &= self.uids[a:b] != uid
             for least, most, k, heap in windows:
                 floor = least if len(heap) < k else max(least, heap[0][0])
-                for place in np.flatnonzero(counts & (scores >= floor) & (scores <= most)).tolist():
+                found = np.flatnonzero(counts & (scores >= floor) & (scores <= most))
+                if len(found) > k:
+                    # The k best of the leaf, by score and then id.
+                    found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
+                    found = found[np.lexsort((self.ids[a + found], -scores[found]))[:k]]
+                for place in found.tolist():
                     item = (int(scores[place]), -int(self.ids[a + place]), int(self.uids[a + place]))
-                    if item[2] == uid:
-                        continue
                     if len(heap) < k:
                         heapq.heappush(heap, item)
                     elif item > heap[0]:
