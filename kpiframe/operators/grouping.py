@@ -9,13 +9,13 @@ A tail ends at the first running sum above the threshold, also when a negative w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiframe.functions import kinds
 from kpiframe.functions.arguments import Argument, Threshold
 from kpiframe.operators.ranking import running_sum
-from kpiframe.session import materialize
+from kpiframe.session import is_single, materialize
 
 LOW_TAIL = "Low tail"
 HIGH_TAIL = "High tail"
@@ -34,7 +34,7 @@ def _shown(groups: DataFrame, merged: Column | None = None, name: str | Column =
 def assign_display(groups: DataFrame, kind: str, threshold: object) -> tuple[DataFrame, bool]:
     """Group rows plus ``x`` and ``is_tail``; second value: whether anything merged.
 
-    ``groups`` needs ``x_key, x_label, x_sort, volume``. With a threshold the returned rows read a checkpoint,
+    ``groups`` needs ``x_key, x_label, x_sort, volume``. With a threshold the returned rows read pinned rows,
     so callers may read them again. Only scalars reach the driver.
     """
     limit = Argument(threshold).threshold()
@@ -42,28 +42,41 @@ def assign_display(groups: DataFrame, kind: str, threshold: object) -> tuple[Dat
         return _shown(groups), False
     if kind in kinds.ORDERED_KINDS:
         return _tails(groups, limit, F.col("x_key").isNull() if kind == kinds.QUANTILE else F.lit(False))
-    return _others(materialize(groups), limit)
+    return _others(groups if is_single(groups) else materialize(groups), limit)
+
+
+def _amount(groups: DataFrame, limit: Threshold) -> Column:
+    """The threshold as weight; a share is one of all groups' weight."""
+    if not limit.share:
+        return F.lit(limit.amount)
+    if is_single(groups):
+        total = F.sum("volume").over(Window.partitionBy())
+    else:
+        total = groups.agg(F.sum("volume").alias("__total")).scalar()
+    return F.lit(limit.share) * F.coalesce(total, F.lit(0.0)) / F.lit(100.0)
 
 
 def _others(groups: DataFrame, limit: Threshold) -> tuple[DataFrame, bool]:
-    whole = groups.agg(F.sum("volume").alias("total"), F.count(F.lit(1)).alias("n")).first()
-    amount = limit.of_total(float(whole["total"] or 0.0))
-    if amount <= 0 or whole["n"] < LEAST_GROUPS:
+    # One job: the threshold, the number of groups, and how many are within it.
+    staged = groups.select("volume", _amount(groups, limit).alias("__amount"))
+    found = staged.agg(
+        F.max("__amount").alias("amount"),
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("volume") <= F.col("__amount"), 1)).alias("rare"),
+    ).first()
+    amount = found["amount"] or 0.0
+    if amount <= 0 or found["n"] < LEAST_GROUPS or found["rare"] < 2:
         return _shown(groups), False
-    rare = F.col("volume") <= F.lit(amount)
-    several = len(groups.where(rare).select(F.lit(1)).take(2)) > 1
-    return (_shown(groups, rare), True) if several else (_shown(groups), False)
+    return _shown(groups, F.col("volume") <= F.lit(amount)), True
 
 
 def _tails(groups: DataFrame, limit: Threshold, missing: Column) -> tuple[DataFrame, bool]:
     # The Missing group sorts last and weighs nothing here, so it changes no other group's sums or place.
     order = [missing.asc(), F.col("x_sort").asc_nulls_last(), F.col("x_label").asc()]
     ranked = running_sum(groups, order, F.when(missing, F.lit(0.0)).otherwise(F.col("volume")), suffix_col="__suffix")
-    # One job: totals, and how often each running sum is above a threshold that is a share of the total.
+    # One job: how often each running sum is above the threshold.
     amount = F.col("__amount")
-    total = ranked.agg(F.coalesce(F.sum("volume"), F.lit(0.0)).alias("__total"))
-    share = F.lit(limit.share) * total.scalar() / F.lit(100.0)
-    staged = ranked.where(~missing).withColumn("__amount", share if limit.share else F.lit(limit.amount))
+    staged = ranked.withColumn("__amount", _amount(ranked, limit)).where(~missing)
     ends = staged.agg(
         F.max("__amount").alias("amount"),
         F.count(F.lit(1)).alias("n"),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kpiframe.functions import kinds
 from kpiframe.operators.ranking import running_sum
+from kpiframe.session import ensure_checkpoint_dir, is_single
 
 PAGE_SIZE = 1_000
 SORTS = ("alpha", "volume", "actual", "response", "expected")
@@ -40,8 +44,8 @@ def cap_groups(rows: DataFrame, order: list[Column], max_groups: int | None = No
     whether there are more.
     """
     cap = int(max_groups or 0)
-    ranked = running_sum(rows.orderBy(*order).limit(cap + 1) if cap > 0 else rows, order, count_col="__n")
-    ranked = ranked.withColumnRenamed("__pos", "position").drop("__cum")
+    top = rows if not cap or is_single(rows) else rows.orderBy(*order).limit(cap + 1)
+    ranked = running_sum(top, order, count_col="__n").withColumnRenamed("__pos", "position").drop("__cum")
     if cap > 0:
         ranked = ranked.withColumn("truncated", F.col("__n") > cap).where(F.col("position") <= cap)
     else:
@@ -63,3 +67,38 @@ def table_page(rows: DataFrame, page: int = 1, page_size: int = PAGE_SIZE) -> Da
     return rows.where((F.col("position") > F.lit(lo)) & (F.col("position") <= F.lit(hi))).withColumns(
         {"pages": F.lit(pages).cast("long"), "page": F.lit(current).cast("long")}
     )
+
+
+#: Rows of one file of a :class:`PagedRows`: 100 pages of the usual size.
+FILE_ROWS = 100_000
+
+
+class PagedRows:
+    """Positioned rows (1..n, LIM-3) in files by position, so that one page opens the one or two files that hold it.
+
+    The rows are written once: partitioned by the number of their file, sorted by position inside, with the file number as
+    a folder. A page is a read of the folders that it needs.
+    """
+
+    def __init__(self, rows: DataFrame, path: str | None = None, file_rows: int = FILE_ROWS):
+        self._spark = rows.sparkSession
+        self.path = path or f"{ensure_checkpoint_dir(self._spark)}/pages-{uuid.uuid4().hex}"
+        self.file_rows = file_rows
+        number = F.floor((F.col("position") - 1) / F.lit(file_rows)).cast("long")
+        dealt = rows.withColumn("file", number).repartition("file").sortWithinPartitions("file", "position")
+        dealt.write.partitionBy("file").parquet(self.path)
+        self.schema = rows.schema
+        self.rows = int(self.read().agg(F.max("position").alias("n")).first()["n"] or 0)
+
+    def read(self) -> DataFrame:
+        return self._spark.read.schema(T.StructType([*self.schema.fields, T.StructField("file", T.LongType())])).parquet(self.path)
+
+    def page(self, number: int = 1, page_size: int = PAGE_SIZE) -> DataFrame:
+        """Rows of a page (clamped to 1..pages) with ``page`` and ``pages``."""
+        size = max(1, int(page_size))
+        pages = max(1, -(-self.rows // size))
+        current = min(max(int(number), 1), pages)
+        lo, hi = (current - 1) * size, current * size
+        wanted = self.read().where(F.col("file").between(lo // self.file_rows, (hi - 1) // self.file_rows))
+        wanted = wanted.where((F.col("position") > lo) & (F.col("position") <= hi)).drop("file")
+        return wanted.withColumns({"pages": F.lit(pages).cast("long"), "page": F.lit(current).cast("long")})

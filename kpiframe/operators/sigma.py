@@ -20,21 +20,26 @@ from kpiframe.functions.numbers import col_of
 FOLDS = 20
 
 
-def fold_column(fold_by: Sequence[str] | None = None, folds: int = FOLDS) -> Column:
-    """Fold number 0..folds-1.
-
-    With ``fold_by`` key columns: the first 8 hex digits of ``md5(key text)``
-    modulo ``folds`` (the same number any SQL engine with md5 computes).
-    Without: a hash of the row's position in its input split, which is
-    stable for a given input and split size.
+def fold_column(
+    fold_by: Sequence[str] | None = None, folds: int = FOLDS, *, row: Column | None = None, others: Sequence[Column] = ()
+) -> Column:
+    """Fold number 0..folds-1: the first 8 hex digits of ``md5(key text)`` modulo ``folds`` (the same number any SQL
+    engine with md5 computes).
+
+    The key is that of the ``fold_by`` columns, or else ``row``, the row's number in file order. Rows that have no
+    place in files fall into folds by the hash of ``others``, the values that are used: either way the split size
+    changes nothing.
     """
     if fold_by:
         # A null part has a text of its own, so null keys fall into folds like any other.
         parts = [F.coalesce(col_of(c).cast("string"), F.lit("\x00")) for c in fold_by]
         key = parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
-        hashed = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-        return (hashed % F.lit(folds)).cast("int")
-    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(folds)).cast("int")
+    elif row is not None:
+        key = row.cast("string")
+    else:
+        return F.pmod(F.xxhash64(*others), F.lit(folds)).cast("int")
+    hashed = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+    return (hashed % F.lit(folds)).cast("int")
 
 
 def fold_sigma(fold_parts: DataFrame, id_cols: Sequence[str]) -> DataFrame:

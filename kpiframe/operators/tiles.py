@@ -7,7 +7,8 @@ A global NTILE window runs in one task. Instead, one way for every input:
 2. one pass gives every row a bucket (inside a window or in a gap between two) and counts rows per bucket, along with
    whatever else the caller aggregates. The exact counts show whether every boundary lies in its window (else the windows
    are widened and counted again) and which buckets lie whole in one tile;
-3. only rows of buckets that hold a boundary are ranked, by ``(x, ties…)`` (:func:`running_sum`).
+3. only rows of buckets that hold a boundary are ranked, by ``(x, ties…)`` (:func:`running_sum`). Charts
+   (:func:`tiled_parts`) keep those rows from the second pass, equal ones as one, so they read the table twice.
 
 NaN is the largest value, as in SQL's order: it is a bucket of its own behind the others. Zero and minus zero are
 equal. Null x has no tile. Tile of rank r for N rows and n tiles (q, m = divmod(N, n)): the first m tiles hold q+1
@@ -16,16 +17,17 @@ rows, the rest q rows.
 
 from __future__ import annotations
 
-
 import math
 from dataclasses import dataclass
 from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kpiframe.functions.numbers import array_of, col_of, count_at_most
 from kpiframe.operators.ranking import running_sum
+from kpiframe.session import is_single, materialize
 
 INFINITY = float("inf")
 
@@ -66,6 +68,14 @@ class TilePlan:
         entries = array_of([values.get(b, 0) for b in range(max(values, default=0) + 1)], "bigint")
         return F.when(F.col("__bucket").isNotNull(), F.element_at(entries, F.col("__bucket") + 1))
 
+    def skipped(self) -> dict[int, int]:
+        """Buckets with a boundary are ranked together, bucket after bucket; what lies in between is added to their ranks."""
+        out, held = {}, 0
+        for b, (before, rows) in sorted(self.before.items()):
+            out[b] = before - held
+            held += rows
+        return out
+
     def is_whole(self) -> Column:
         return ~self.holds_boundary()
 
@@ -146,13 +156,8 @@ def ranked_tiles(df: DataFrame, plan: TilePlan, ties: Sequence[str], tile_col: s
     """``tile_col`` for rows (with ``__bucket`` and ``__qx``) of the buckets that hold a boundary."""
     hot = df.where(plan.holds_boundary())
     order = [F.col("__bucket").asc(), F.col("__qx").asc()] + [col_of(t).asc_nulls_last() for t in ties]
-    # Ranked together, bucket after bucket: the offset adds the rows of the buckets in between.
-    skipped, held = {}, 0
-    for b, (before, rows) in sorted(plan.before.items()):
-        skipped[b] = before - held
-        held += rows
     ranked = running_sum(hot, order)
-    rank = F.col("__pos") + plan.lookup(skipped)
+    rank = F.col("__pos") + plan.lookup(plan.skipped())
     return ranked.withColumn(tile_col, tile_of_rank(rank, plan.total, plan.n)).drop("__pos", "__cum")
 
 
@@ -173,33 +178,89 @@ def assign_tiles(df: DataFrame, x: Column, n: int, ties: Sequence[str], *, tile_
     return out.drop("__qx", "__bucket")
 
 
+#: So many different window rows (x, ties, measures) at most are ranked in one task; more are range-partitioned.
+RANKED_TOGETHER = 200_000
+
+
+def _scaled(name: str, kind: T.DataType) -> Column:
+    """A partial sum over ``rows`` interchangeable rows, for ``__taken`` of them."""
+    if isinstance(kind, T.IntegralType):
+        return F.expr(f"{name} DIV rows * __taken").cast(kind).alias(name)
+    return F.expr(f"CASE WHEN __taken = rows THEN {name} ELSE {name} / rows * __taken END").alias(name)
+
+
+def _shared_out(ranked: DataFrame, plan: TilePlan, kept: Sequence[str]) -> DataFrame:
+    """Ranked window rows (``rows`` alike, the last at rank ``__last``) dealt to the tiles their ranks fall into."""
+    first = F.col("__last") - F.col("rows") + 1
+    spread = ranked.withColumn(
+        "__tile",
+        F.explode(F.sequence(tile_of_rank(first, plan.total, plan.n), tile_of_rank(F.col("__last"), plan.total, plan.n))),
+    )
+    q, m = divmod(plan.total, plan.n)
+    end = lambda t: t * F.lit(q) + F.least(t, F.lit(m))
+    tile = F.col("__tile")
+    taken = F.least(F.col("__last"), end(tile)) - F.greatest(first, end(tile - 1) + 1) + 1
+    spread = spread.withColumn("__taken", taken)
+    types = {f.name: f.dataType for f in spread.schema.fields}
+    return spread.select("__tile", *[c if c not in _sums_of(types) else _scaled(c, types[c]) for c in kept])
+
+
+def _sums_of(types: dict) -> list[str]:
+    return [c for c in types if c == "rows" or c.endswith(("_sum", "_num", "_rows"))]
+
+
 def tiled_parts(
     rows: DataFrame,
     n: int,
     ties: Sequence[str],
     grain: Sequence[str],
+    measures: Sequence[str],
     partial: Sequence[Column],
     rollup: Sequence[Column],
-    materialize: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Partial sums per (``__tile``, grain) of ``rows`` (with ``__qx``), ``__tile`` null for null x.
+    """Partial sums per (``__tile``, grain) of ``rows`` (with ``__qx``), ``__tile`` null for null x; pinned.
 
-    The pass that counts the buckets also sums them, so whole buckets are never read again; only rows of buckets with a
-    boundary are. ``rollup`` re-sums ``partial`` (which has a count named ``rows``) at a coarser grain.
+    The table is read twice: once for the count and the sketch, once for the buckets. The second pass keeps one row per
+    bucket and grain for gaps; inside windows it keeps x, the ties and the measures as well, so equal rows become one with
+    a count, and ranking reads only those. ``rollup`` re-sums ``partial`` (which has a count named ``rows``) at a coarser
+    grain.
     """
     held: dict[str, DataFrame] = {}
+    counted: dict[int, int] = {}
+    # Rows alike in all of these are interchangeable in every sum.
+    told = list(dict.fromkeys(["__qx", *ties, *(m for m in measures if m not in grain)]))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
 
     def count_buckets(bucket: Column) -> dict[int, int]:
-        held["parts"] = materialize(rows.withColumn("__bucket", bucket).groupBy("__bucket", *grain).agg(*partial))
-        found = held["parts"].groupBy("__bucket").agg(F.sum("rows").alias("n")).collect()
+        staged = rows.withColumn("__bucket", bucket)
+        inside = F.pmod("__bucket", F.lit(2)) == 1
+        keys = [F.when(inside, F.col(c)).cast(kinds[c]).alias(f"__in{i}") for i, c in enumerate(told)]
+        detail = staged.groupBy("__bucket", *grain, *keys).agg(*partial)
+        held["parts"] = materialize(detail)
+        found = held["parts"].groupBy("__bucket").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("different")).collect()
+        counted.clear()
+        counted.update({r["__bucket"]: r["different"] for r in found if r["__bucket"] is not None})
         return {r["__bucket"]: r["n"] for r in found if r["__bucket"] is not None}
 
     plan = plan_tiles(rows, F.col("__qx"), n, count_buckets)
     if plan is None:
-        return rows.withColumn("__tile", F.lit(None).cast("long")).groupBy("__tile", *grain).agg(*partial)
-    parts = held["parts"].where(F.col("__bucket").isNull() | plan.is_whole())
-    parts = parts.withColumn("__tile", plan.lookup(plan.whole)).drop("__bucket")
+        return materialize(rows.withColumn("__tile", F.lit(None).cast("long")).groupBy("__tile", *grain).agg(*partial))
+    parts = held["parts"]
+    kept = [*grain, *[c for c in parts.columns if c not in ("__bucket", *grain) and not c.startswith("__in")]]
+    whole = parts.where(F.col("__bucket").isNull() | plan.is_whole()).select(plan.lookup(plan.whole).alias("__tile"), *kept)
     if plan.before:
-        ranked = ranked_tiles(rows.withColumn("__bucket", plan.bucket), plan, ties, "__tile")
-        parts = parts.unionByName(ranked.groupBy("__tile", *grain).agg(*partial))
-    return parts.groupBy("__tile", *grain).agg(*rollup)
+        hot = parts.where(plan.holds_boundary())
+        if sum(counted[b] for b in plan.before) <= RANKED_TOGETHER:
+            hot = hot.coalesce(1)
+        order = [F.col("__bucket").asc(), F.col("__in0").asc()]
+        order += [F.col(f"__in{i}").asc_nulls_last() for i in range(1, len(told))]
+        order += [F.col(c).asc_nulls_last() for c in grain]
+        ranked = running_sum(hot, order, F.col("rows"))
+        ranked = ranked.withColumn("__last", F.col("__cum") + plan.lookup(plan.skipped()))
+        shared = _shared_out(ranked, plan, kept)
+        both = is_single(whole) and is_single(shared)
+        whole = whole.unionByName(shared)
+        whole = whole.coalesce(1) if both else whole
+    tiled = whole.groupBy("__tile", *grain).agg(*rollup)
+    # Sums over pinned rows of one task are cheap to make again; others are pinned.
+    return tiled if is_single(tiled) else materialize(tiled)

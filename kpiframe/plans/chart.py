@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property
-from typing import Any, Sequence
+from typing import Any, Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,22 +33,27 @@ from kpiframe.operators.filters import apply_filter
 from kpiframe.operators.grouping import assign_display
 from kpiframe.operators.keys import quantile_key, x_key
 from kpiframe.operators.ordering import cap_groups, sort_columns
+from kpiframe.operators.positions import file_place, with_row_number
 from kpiframe.operators.sigma import fold_column, fold_sigma
 from kpiframe.operators.tiles import tiled_parts
-from kpiframe.session import materialize
+from kpiframe.session import is_single, materialize
+from kpiframe.sources.footers import footer_statistics
+from kpiframe.sources.table import Table
 
 #: The cap that requests in the original tool's shape get when they name none (fixed value).
 REQUEST_MAX_GROUPS = 10_000
 TRUNCATED_POSITION = 6
+#: ``tie_by`` for the order of rows in the input's files.
+ROW_ORDER = "row order"
 
 
 @dataclass
 class ChartResult:
     """Result DataFrames of one chart request, built on first access.
 
-    ``groups``: one row per group before tails, in the checkpoint folder; ``rows``: display rows. ``totals``,
-    ``quality`` and ``warnings`` re-sum the groups. ``rows`` read the groups once, so asked for alone they leave them
-    lazy; a request that also wants the others asks for those first (as ``payload`` does) and scans the table once.
+    ``groups``: one row per group before tails; ``rows``: display rows. ``totals``, ``quality`` and ``warnings`` re-sum
+    the groups. All of them read one table of partial sums in the checkpoint folder, written by whichever is asked for
+    first, so the input is scanned once in any order.
     """
 
     x: str
@@ -57,30 +62,45 @@ class ChartResult:
     responses: list[M.Response]
     weight: M.Weight
     max_groups: int
-    _lazy_groups: DataFrame = field(repr=False)
-    _present: Any = field(repr=False)
-    _source: DataFrame = field(repr=False)
+    #: The rows that the scan projects, for ``explain()``.
+    scanned: DataFrame = field(repr=False)
+    _parts_of: Callable[[], DataFrame] = field(repr=False)
+    _group: Callable[[DataFrame], DataFrame] = field(repr=False)
+    _present: Callable[[DataFrame, DataFrame], tuple] = field(repr=False)
+    _source: DataFrame | Table = field(repr=False)
     _filter: str | None = field(default=None, repr=False)
 
+    @cached_property
+    def parts(self) -> DataFrame:
+        """Partial sums per group (and fold): the one result of the scan."""
+        return self._parts_of()
+
     @cached_property
     def groups(self) -> DataFrame:
-        return materialize(self._lazy_groups)
+        return self._group(self.parts)
 
     @cached_property
     def _shown(self) -> tuple[DataFrame, DataFrame | None]:
-        return self._present(self.__dict__.get("groups", self._lazy_groups))
+        return self._present(self.groups, self.parts)
 
     @property
     def rows(self) -> DataFrame:
         return self._shown[0]
 
     @property
-    def _parts(self) -> DataFrame:
+    def _sums(self) -> DataFrame:
         return self.groups.withColumn("volume_sum", F.col("volume"))
 
+    @cached_property
+    def _row_count(self) -> int:
+        if isinstance(self._source, Table):
+            return self._source.row_count()
+        footers = footer_statistics(self._source, [])
+        return footers.rows if footers else self._source.count()
+
     def row_count(self) -> int:
-        """Rows of the whole table (SCH-3): a count that reads no column; ``quality`` has the filtered rows."""
-        return self._source.count()
+        """Rows of the whole table (SCH-3): kept by a ``Table``, else from the footers, else a count that reads no column."""
+        return self._row_count
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -90,11 +110,11 @@ class ChartResult:
 
     @cached_property
     def totals(self) -> DataFrame:
-        return M.totals(self._parts, self.responses)
+        return M.totals(self._sums, self.responses)
 
     @cached_property
     def quality(self) -> DataFrame:
-        return M.weight_quality(self._parts)
+        return M.weight_quality(self._sums)
 
     @cached_property
     def warnings(self) -> DataFrame:
@@ -146,7 +166,7 @@ def _tile_count(quantiles: Any) -> int | None:
 
 
 def chart(
-    df: DataFrame,
+    df: DataFrame | Table,
     x: str,
     actual: Any = None,
     expected: Any = None,
@@ -164,6 +184,7 @@ def chart(
     max_groups: int | None = None,
     tie_by: Sequence[str] | None = None,
     fold_by: Sequence[str] | None = None,
+    first_seen: bool = False,
 ) -> ChartResult:
     """Chart rows for feature ``x``.
 
@@ -173,10 +194,12 @@ def chart(
     hour/day/week/month/year (date x); ``low_weight`` a tail threshold
     (absolute or ``"p%"``); ``sigma`` the bound multiplier; ``max_groups`` a cap
     (None or 0: every group; rows carry ``truncated``); ``fold_by`` key columns for
-    sigma folds; ``tie_by`` columns that order rows with equal x in quantile mode
-    (default: the response, weight and fold columns, so rows still tied are
-    interchangeable in every output).
+    sigma folds (default: the row's number in file order); ``tie_by`` columns that order rows with equal x in quantile
+    mode, or :data:`ROW_ORDER` for the order in the files (default: the response, weight and fold columns, so rows
+    still tied are interchangeable in every output); ``first_seen`` adds the number of a group's first row in the files.
     """
+    source = df
+    df = df.df if isinstance(df, Table) else df
     if x not in df.columns:
         raise ValueError("Choose a valid x-axis feature")
     x_kind = kinds.column_kinds(df)[x]
@@ -189,21 +212,39 @@ def chart(
     base = apply_filter(df, filter)
     n_resp = len(resp)
     include_sigma = float(sigma or 0) > 0 and n_resp >= 2
-    fold = {"__fold": fold_column(fold_by)} if include_sigma else {}
-    measures = {**fold, **M.row_measures(resp, wt)}
-
     n_tiles = _tile_count(quantiles)
-    if n_tiles and kinds.is_numeric_kind(x_kind):
-        used = dict.fromkeys([*(r.column for r in resp), wt.column, *(fold_by or [])])
-        ties = list(tie_by) if tie_by else [c for c in used if c]
+    tiled = bool(n_tiles) and kinds.is_numeric_kind(x_kind)
+    in_row_order = tiled and isinstance(tie_by, str) and tie_by == ROW_ORDER
+    row = None
+    if first_seen or in_row_order or (include_sigma and not fold_by):
+        numbered = with_row_number(base)
+        if numbered is not None:
+            base, row = numbered, F.col("__row")
+        elif first_seen or in_row_order:
+            raise ValueError("Row order needs an input that is read from Parquet files")
+    used = [c for c in dict.fromkeys([*(r.column for r in resp), wt.column, *(fold_by or [])]) if c]
+    fold = {}
+    if include_sigma:
+        fold = {"__fold": fold_column(fold_by, row=row, others=[col_of(c) for c in dict.fromkeys([x, *used])])}
+    measures = {**fold, **M.row_measures(resp, wt)}
+    partial, rollup = M.partial_aggs(n_resp), M.rollup_aggs(n_resp)
+    if first_seen:
+        measures["__row"] = row
+        partial, rollup = [*partial, F.min("__row").alias("first_seen")], [*rollup, F.min("first_seen").alias("first_seen")]
+
+    if tiled:
+        ties = used if not tie_by else ["__row"] if in_row_order else list(tie_by)
+        if include_sigma and not fold_by and row is not None and not tie_by:
+            ties = [*ties, "__row"]  # rows of other folds aren't interchangeable
         # Tie columns under names of their own, beside x and the measures: nothing else is read.
         named = {f"__tie{i}": col_of(c) for i, c in enumerate(ties)}
         rows = base.select(try_double(x).alias("__qx"), *[c.alias(n) for n, c in {**named, **measures}.items()])
-        parts = tiled_parts(
-            rows, n_tiles, list(named), list(fold), M.partial_aggs(n_resp), M.rollup_aggs(n_resp), materialize
-        )
         key = quantile_key(F.col("__tile"))
-        parts = parts.select(key.key.alias("x_key"), key.label.alias("x_label"), *[c for c in parts.columns if c != "__tile"])
+
+        def summed() -> DataFrame:
+            tiles = tiled_parts(rows, n_tiles, list(named), list(fold), list(measures), partial, rollup)
+            return tiles.select(key.key.alias("x_key"), key.label.alias("x_label"), *[c for c in tiles.columns if c != "__tile"])
+
     else:
         key = x_key(base, x, band, bucket)
         # The sort key is a function of the group key, so it is derived after the
@@ -212,15 +253,17 @@ def chart(
         keyed = base.select(
             key.key.alias("x_key"), key.label.alias("x_label"), *[c.alias(name) for name, c in measures.items()]
         )
-        parts = keyed.groupBy("x_key", "x_label", *fold).agg(*M.partial_aggs(n_resp))
+        summed = lambda: materialize(keyed.groupBy("x_key", "x_label", *fold).agg(*partial))
     group_kind = key.kind
-    if include_sigma:
-        parts = materialize(parts)
-        grouped = parts.groupBy("x_key", "x_label").agg(*M.rollup_aggs(n_resp))
-    else:
+
+    def group(parts: DataFrame) -> DataFrame:
         grouped = parts
+        if include_sigma:
+            grouped = parts.groupBy("x_key", "x_label").agg(*rollup)
+            grouped = grouped if is_single(parts) else materialize(grouped)
+        return groups_from_parts(grouped, group_kind, n_resp)
 
-    def present(g: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    def present(g: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         return present_groups(
             g, group_kind, n_resp, parts=parts if include_sigma else None, low_weight=low_weight, sort=sort,
             max_groups=max_groups, transform=transform, sigma=float(sigma or 0) if include_sigma else 0.0,
@@ -233,9 +276,11 @@ def chart(
         responses=resp,
         weight=wt,
         max_groups=int(max_groups or 0),
-        _lazy_groups=groups_from_parts(grouped, group_kind, n_resp),
+        scanned=rows if tiled else keyed,
+        _parts_of=summed,
+        _group=group,
         _present=present,
-        _source=df,
+        _source=source,
         _filter=filter,
     )
 
@@ -269,8 +314,10 @@ def present_groups(
     display = display.withColumn("__id", F.when(F.col("is_tail"), F.lit(None)).otherwise(F.col("x_key")))
     merged = _merge(display, n_resp, group_kind) if has_tails else _unmerged(display, n_resp)
     if sigma > 0 and parts is not None and n_resp >= 2:
-        members = display.select("x_key", "x_label", F.col("x").alias("__x"), F.col("is_tail").alias("__t"),
-                                 F.col("__id").alias("__i"))
+        # Rows of one task are joined there; a broadcast would be a job of its own.
+        here = (lambda df: df.hint("shuffle_hash")) if is_single(parts) and is_single(display) else (lambda df: df)
+        members = here(display.select("x_key", "x_label", F.col("x").alias("__x"), F.col("is_tail").alias("__t"),
+                                      F.col("__id").alias("__i")))
         fold_parts = parts.join(
             members, (parts["x_key"].eqNullSafe(members["x_key"])) & (parts["x_label"] == members["x_label"])
         ).select(F.col("__x").alias("x"), F.col("__t").alias("is_tail"), F.col("__i").alias("__id"),
@@ -279,7 +326,7 @@ def present_groups(
             F.col("x").alias("__sx"), F.col("is_tail").alias("__st"), F.col("__id").alias("__si"),
             "sigma_se", "valid_folds")
         merged = merged.join(
-            sig,
+            here(sig),
             (F.col("x") == F.col("__sx")) & (F.col("is_tail") == F.col("__st")) & F.col("__id").eqNullSafe(F.col("__si")),
             "left",
         ).drop("__sx", "__st", "__si")
@@ -297,7 +344,7 @@ def _finite(q: str) -> str:
 
 def _unmerged(display: DataFrame, n_resp: int) -> DataFrame:
     """Display rows when nothing was merged: the groups themselves."""
-    exprs = ["x", "is_tail", "__id", "x_sort", "volume"]
+    exprs = ["x", "is_tail", "__id", "x_sort", "volume", *[c for c in display.columns if c == "first_seen"]]
     for i in range(n_resp):
         num, den = f"resp{i}_num", f"resp{i}_den"
         exprs += [f"{_finite(num)} AS {num}", f"{_finite(den)} AS {den}",
@@ -315,6 +362,7 @@ def _merge(display: DataFrame, n_resp: int, group_kind: str) -> DataFrame:
     ordered = group_kind != kinds.CATEGORICAL
     aggs = [F.min("x_sort").alias("x_sort")] if ordered else []
     aggs.append(F.sum("volume").alias("volume"))
+    aggs += [F.min(c).alias(c) for c in display.columns if c == "first_seen"]
     for i in range(n_resp):
         aggs.append(
             F.when(F.first(tail), F.coalesce(F.sum(f"resp{i}_num"), F.lit(0.0)))
@@ -336,7 +384,7 @@ def _merge(display: DataFrame, n_resp: int, group_kind: str) -> DataFrame:
 def _transform(rows: DataFrame, n_resp: int, transform: str, sigma: float) -> tuple[DataFrame, DataFrame | None]:
     """Display values (TRF-1..4) over the shown rows; returns rows and the invalid-value warning.
 
-    Averages for the centred transforms are two sums over the shown rows (after a cap), one job and one row.
+    Averages for the centred transforms are two sums over the shown rows (after a cap): one row.
     """
     if n_resp == 0:
         return rows, None
@@ -345,13 +393,18 @@ def _transform(rows: DataFrame, n_resp: int, transform: str, sigma: float) -> tu
         return rows, None
     averages = [f"CAST(NULL AS DOUBLE) AS __avg{i}" for i in range(n_resp)]
     if name in ("zero", "one"):
-        sums = rows.selectExpr(
-            *[f"sum(coalesce(resp{i}_num, 0D)) AS n{i}" for i in range(n_resp)],
-            *[f"sum(coalesce(resp{i}_den, 0D)) AS d{i}" for i in range(n_resp)],
-        ).first()
-        averages = [
-            f"{(sums[f'n{i}'] / sums[f'd{i}'])!r}D AS __avg{i}" if sums[f"d{i}"] else averages[i] for i in range(n_resp)
-        ]
+        sums = [f"sum(coalesce(resp{i}_num, 0D)) AS n{i}" for i in range(n_resp)]
+        sums += [f"sum(coalesce(resp{i}_den, 0D)) AS d{i}" for i in range(n_resp)]
+        if is_single(rows):
+            over = [s.replace(" AS ", " OVER () AS __") for s in sums]
+            rows = rows.selectExpr("*", *over)
+            averages = [f"CASE WHEN __d{i} <> 0 THEN __n{i} / __d{i} END AS __avg{i}" for i in range(n_resp)]
+        else:
+            found = rows.selectExpr(*sums).first()
+            averages = [
+                f"{(found[f'n{i}'] / found[f'd{i}'])!r}D AS __avg{i}" if found[f"d{i}"] else averages[i]
+                for i in range(n_resp)
+            ]
     staged = rows.selectExpr("*", *averages)
     shown = {f"resp{i}": transform_sql(f"resp{i}", name, f"__avg{i}") for i in range(n_resp)}
     if sigma > 0 and n_resp >= 2:
@@ -359,7 +412,8 @@ def _transform(rows: DataFrame, n_resp: int, transform: str, sigma: float) -> tu
         for bound, op in (("resp1_low", "-"), ("resp1_high", "+")):
             value = transform_sql(f"(resp1 {op} {float(sigma)!r}D * sigma_se)", name, "__avg1")
             shown[bound] = f"CASE WHEN {ok} THEN {value} END"
-    others = [quote(c) for c in staged.columns if c not in shown and not c.startswith("__avg")]
+    inner = [f"__{c}{i}" for c in ("avg", "n", "d") for i in range(n_resp)]
+    others = [quote(c) for c in staged.columns if c not in shown and c not in inner]
     display = staged.selectExpr(*others, *[f"{sql} AS {col}" for col, sql in shown.items()])
     if name == "none":
         return display, None
@@ -383,10 +437,12 @@ def chart_from_request(df: DataFrame, request: dict) -> ChartResult:
 
     Keys: x, responses (list of {label, numerator}), denominator/weight,
     filter, bandWidth, quantileMode, dateBucket, lowGroup, sort, sigma,
-    transform, maxGroups; plus our tieBy / foldBy key lists.
+    transform, maxGroups; plus our tieBy / foldBy key lists.  Ties and folds follow the order of the input's files, as
+    in that tool, where it has one.
     """
     quantile_mode = Argument(request.get("quantileMode")).switched_on()
     numeric = [item for item in request.get("responses") or [] if M.resolve_responses(df, [item])]
+    ties = request.get("tieBy") or (ROW_ORDER if quantile_mode and file_place(df) else None)
     return chart(
         df,
         str(request.get("x") or ""),
@@ -401,6 +457,6 @@ def chart_from_request(df: DataFrame, request: dict) -> ChartResult:
         sigma=float(request.get("sigma") or 0),
         transform=str(request.get("transform") or "none"),
         max_groups=int(request.get("maxGroups") or REQUEST_MAX_GROUPS),
-        tie_by=request.get("tieBy"),
+        tie_by=ties,
         fold_by=request.get("foldBy"),
     )

@@ -69,6 +69,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or folder
 
 
+def is_single(df) -> bool:
+    """Whether ``df`` is known, from its plan alone, to come out of one task (no job runs)."""
+    return df._jdf.queryExecution().sparkPlan().outputPartitioning().toString() == "SinglePartition"
+
+
 def materialize(df):
     """Write ``df`` to the checkpoint folder and return a DataFrame reading it.
 
@@ -77,6 +82,10 @@ def materialize(df):
     to the big scan is cut, a lost executor costs a re-read of the
     checkpoint files rather than a re-aggregation of the table, and no
     entry is left in the session's cache manager.
+
+    A table that adaptive execution put into one partition stays in one (:func:`is_single`), so what follows
+    needs no shuffle.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    pinned = df.checkpoint(eager=True)
+    return pinned.coalesce(1) if pinned._jdf.rdd().getNumPartitions() <= 1 else pinned

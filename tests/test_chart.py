@@ -107,7 +107,7 @@ def test_default_ties_read_only_columns_in_use(spark, tmp_path):
     res = chart(spark.read.parquet(path), "x", "a", weight="w", quantiles=7)
     again = chart(spark.read.parquet(path).orderBy("a"), "x", "a", weight="w", quantiles=7)
     assert shown(res, "x", "volume", "resp0") == shown(again, "x", "volume", "resp0")
-    plan = res._lazy_groups._jdf.queryExecution().toString()
+    plan = res.scanned._jdf.queryExecution().toString()
     assert "note" not in plan.split("ReadSchema", 1)[-1]
 
 
