@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kpiframe.functions.numbers import col_of, count_at_most, finite_or_null, safe_ratio, try_double
 from kpiframe.operators import measures as M
 from kpiframe.operators.ranking import running_sum
+from kpiframe.session import is_single
 
 COLOUR_BUCKETS = 100
 LEGEND_BUCKETS = 10
@@ -103,12 +104,12 @@ def extent(points: DataFrame) -> DataFrame:
 def boundary_join(summary: DataFrame, boundaries: DataFrame, key: str = "key") -> DataFrame:
     """Every boundary feature with its summary row, if any (JOIN-3).
 
-    ``matched`` is true when the feature's row has a finite value.  The join
-    strategy is left to AQE: with runtime statistics a small summary is
-    broadcast, a large one (millions of units) is shuffled.
+    ``matched`` is true when the feature's row has a finite value.  A summary that lies in one pinned partition is
+    broadcast, so the features aren't shuffled; for a larger one (millions of units) the strategy is left to AQE.
     """
     feats = boundaries.withColumn("__bkey", col_of(key).cast("string"))
     s = summary.select(F.col("key").cast("string").alias("__skey"), *[F.col(c) for c in summary.columns if c != "key"])
+    s = F.broadcast(s) if is_single(s) else s
     joined = feats.join(s, feats["__bkey"] == s["__skey"], "left").drop("__skey")
     return joined.withColumn("matched", F.coalesce(finite_or_null(F.col("value")).isNotNull(), F.lit(False))).drop("__bkey")
 

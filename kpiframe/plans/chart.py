@@ -315,7 +315,7 @@ def present_groups(
     merged = _merge(display, n_resp, group_kind) if has_tails else _unmerged(display, n_resp)
     if sigma > 0 and parts is not None and n_resp >= 2:
         # Rows of one task are joined there; a broadcast would be a job of its own.
-        here = (lambda df: df.hint("shuffle_hash")) if is_single(parts) and is_single(display) else (lambda df: df)
+        here = (lambda df: df.coalesce(1).hint("shuffle_hash")) if is_single(parts) and is_single(display) else (lambda df: df)
         members = here(display.select("x_key", "x_label", F.col("x").alias("__x"), F.col("is_tail").alias("__t"),
                                       F.col("__id").alias("__i")))
         fold_parts = parts.join(
@@ -325,8 +325,9 @@ def present_groups(
         sig = fold_sigma(fold_parts, ["x", "is_tail", "__id"]).select(
             F.col("x").alias("__sx"), F.col("is_tail").alias("__st"), F.col("__id").alias("__si"),
             "sigma_se", "valid_folds")
+        # Spark takes a joined table for larger than one task's share; one row per display row of one pinned partition isn't.
         merged = merged.join(
-            here(sig),
+            F.broadcast(sig) if is_single(merged) else sig,
             (F.col("x") == F.col("__sx")) & (F.col("is_tail") == F.col("__st")) & F.col("__id").eqNullSafe(F.col("__si")),
             "left",
         ).drop("__sx", "__st", "__si")

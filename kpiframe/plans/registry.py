@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiframe.plans import oracle as O
-from kpiframe.plans.chart import chart
+from kpiframe.operators.ordering import PagedRows
+from kpiframe.plans.chart import ROW_ORDER, chart
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -1307,3 +1308,54 @@ def chart_page_length_quantiles(spark, sf):
     pages = table(spark, sf, "pages").withColumn("html_chars", F.length("html").cast("long"))
     res = chart(pages, "html_chars", "html_chars", quantiles=5, tie_by=["page_id"])
     return out(res.rows, ["x", "position", "volume", "resp0"])
+
+
+# --- file order, pages -------------------------------------------------------------------
+
+_ROW_ORDERS = "(SELECT *, row_number() OVER () AS rn, o_totalprice * 0.9 + (o_orderkey % 13) * 100.0 AS expected FROM orders) src"
+_PRIORITY = O.category_key("o_orderpriority")
+
+
+@register(
+    "sigma_default_folds",
+    O.chart_sql(_ROW_ORDERS, _PRIORITY, _PRIORITY, _PRIORITY, ["o_totalprice", "expected"], None, ALPHA,
+                _SIG_COLS + [b.format(k="2.0") for b in _BOUNDS], where="o_totalprice > 50000", fold_key="rn"),
+)
+def sigma_default_folds(spark, sf):
+    orders = table(spark, sf, "orders").withColumn("expected", F.col("o_totalprice") * 0.9 + (F.col("o_orderkey") % 13) * 100.0)
+    res = chart(orders, "o_orderpriority", "o_totalprice", "expected", filter="o_totalprice > 50000", sigma=2)
+    return out(res.rows, ["x", "position", "is_tail", "volume", "resp0", "resp1", "sigma_se", "valid_folds",
+                          "resp1_low", "resp1_high"])
+
+
+@register(
+    "chart_first_seen",
+    "SELECT CAST(CAST(l_partkey AS BIGINT) AS VARCHAR) AS x, CAST(MIN(rn) AS BIGINT) AS first_seen, CAST(COUNT(*) AS DOUBLE) AS volume "
+    "FROM (SELECT l_partkey, l_discount, row_number() OVER () AS rn FROM lineitem) src WHERE l_discount >= 0.02 GROUP BY l_partkey",
+)
+def chart_first_seen(spark, sf):
+    res = chart(table(spark, sf, "lineitem"), "l_partkey", "l_extendedprice", filter="l_discount >= 0.02", first_seen=True)
+    return out(res.rows, ["x", "first_seen", "volume"])
+
+
+@register(
+    "chart_quantile_row_order",
+    O.chart_sql(_quantile_source("(SELECT *, row_number() OVER () AS rn FROM lineitem) numbered", "l_linenumber", "rn", 9),
+                "tile", _QLABEL, _QSORT, ["l_extendedprice"], "l_quantity", ORDERED, ["x", "position", rd("volume"), rd("resp0")]),
+)
+def chart_quantile_row_order(spark, sf):
+    # Seven values in nine tiles: rows of one value fall into tiles by their place in the file.
+    res = chart(table(spark, sf, "lineitem"), "l_linenumber", "l_extendedprice", weight="l_quantity", quantiles=9, tie_by=ROW_ORDER)
+    return out(res.rows, ["x", "position", "volume", "resp0"])
+
+
+@register(
+    "table_page_from_files",
+    "SELECT x, position, volume, page, pages FROM (SELECT x, position, volume, 4 AS page, CAST(CEIL(COUNT(*) OVER () / 100.0) AS BIGINT) AS pages FROM ("
+    + O.chart_sql("lineitem", _PK, O.integer_label(_PK), _PK, ["l_extendedprice"], None, ORDERED, ["x", "position", rd("volume")])
+    + ") every_group) p WHERE position > 300 AND position <= 400",
+)
+def table_page_from_files(spark, sf):
+    res = chart(table(spark, sf, "lineitem"), "l_partkey", "l_extendedprice")
+    pages = PagedRows(res.rows.select("x", "position", "volume"), file_rows=1000)
+    return out(pages.page(4, page_size=100), ["x", "position", "volume", "page", "pages"])
