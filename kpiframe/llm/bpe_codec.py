@@ -3,10 +3,10 @@
 1. *Words.* Tasks split whole texts into words (a piece: blanks and the word behind them) and pack the documents
    of about ``BLOCK_BYTES`` into a block: its distinct words, and each document as numbers of those words. The
    distinct words leave the block in ``buckets`` parts by a hash of the word. Blocks are written to the shared folder
-   as a table bucketed by block.
+   as a table bucketed by block, without an entry in the catalog.
 2. *Distinct-word table.* The parts are shuffled by bucket, so all occurrences of a word meet in one task, which
-   encodes each distinct word once (and starts its table again after ``TABLE`` words). A word comes once per block, so a
-   word that holds a third of all positions brings one row per block.
+   encodes each distinct word once: its table holds one of ``buckets`` parts of all distinct words. A word comes once
+   per block, so a word that holds a third of all positions brings one row per block.
 3. *Join by position.* The ids of a block's words go back to the block, where each document's numbers are
    replaced by ids in order. Tasks hold one block at a time.
 4. *Decoding.* Ids meet the id-to-piece table, a broadcast of the vocabulary (fixed by the file, about a MB),
@@ -31,11 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiframe.llm.common import shared_path, shuffle_partitions
+from kpiframe.llm.common import shared_path, shuffle_partitions, tidied
 from kpiframe.llm.pieces import encode_keys, ship, tools
 
-BLOCK_BYTES = 16 << 20
-TABLE = 250_000
+BLOCK_BYTES = 8 << 20
 #: Rows unpacked, and words put together, at once.
 ROWS_AT_ONCE = 256
 WORDS_AT_ONCE = 1 << 18
@@ -109,6 +108,7 @@ def pack_blocks(docs: DataFrame, tokenizer, buckets: int, keep: list[str], block
                 rows.append({"block": number, "bucket": b, "words": _squeeze_words(part)})
         return pa.RecordBatch.from_pylist(rows, schema=arrow)
 
+    @tidied
     def pack(batches):
         cutter, _ = tools(tokenizer.value)
         first, made = TaskContext.get().partitionId() << 32, 0
@@ -121,7 +121,7 @@ def pack_blocks(docs: DataFrame, tokenizer, buckets: int, keep: list[str], block
                 keys = cutter.keys(text)
                 lengths.append(len(keys))
                 numbers.append(np.fromiter(map(table.__getitem__, keys), np.uint32, len(keys)))
-                size += len(text or "")
+                size += len((text or "").encode())
                 if size >= block_bytes:
                     kept.append(columns.slice(done, i + 1 - done))
                     yield block_rows(first + made, pa.concat_tables(kept), lengths, numbers, table)
@@ -142,7 +142,10 @@ def pack_blocks(docs: DataFrame, tokenizer, buckets: int, keep: list[str], block
         .option("compression", "zstd")
         .saveAsTable(name)
     )
-    return docs.sparkSession.table(name)
+    blocks = docs.sparkSession.table(name)
+    # The table lies outside the warehouse: its entry goes, its files stay for the plan that names them.
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    return blocks
 
 
 class _Numbers(dict):
@@ -156,6 +159,7 @@ class _Numbers(dict):
 def encode_words(blocks: DataFrame, tokenizer, buckets: int) -> DataFrame:
     """block, bucket, ids (of all words of the row, one after another) and counts (ids of each word), squeezed."""
 
+    @tidied
     def encode(batches):
         _, encoder = tools(tokenizer.value)
         table: dict[str, bytes] = {}  # ids of a word, four bytes each
@@ -163,8 +167,6 @@ def encode_words(blocks: DataFrame, tokenizer, buckets: int) -> DataFrame:
             for block, bucket, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = _expand_words(packed)
                 new = [w for w in words if w not in table]
-                if len(table) + len(new) > TABLE:
-                    table, new = {}, words
                 for i in range(0, len(new), 2000):
                     ids = encode_keys(encoder, new[i : i + 2000])
                     table.update(zip(new[i : i + 2000], (np.array(x, np.uint32).tobytes() for x in ids)))
@@ -234,7 +236,9 @@ def bpe_codec(
             )
 
     def cogrouped(key, block, parts):
-        return pa.concat_tables(list(join_back(key, block, parts)))
+        out = pa.concat_tables(list(join_back(key, block, parts)))
+        pa.default_memory_pool().release_unused()
+        return out
 
     return held.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(cogrouped, schema)
 

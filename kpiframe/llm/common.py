@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -70,6 +74,41 @@ def located(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, place_of(docs).alias("place"))
 
 
+def fresh(columns, name: str) -> str:
+    """``name``, or one like it that no column has (names don't tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def tidied(run):
+    """A task's function over batches that leaves its worker small: workers stay for the next stages, and what their
+    allocators hold back counts against the executor."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    """Return free memory of this Python worker to the system."""
+    from kpiframe.llm import pieces
+
+    pieces.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: it trims by itself or not at all
+
+
 #: Up to so many dropped rows (a file name and a number each) are broadcast; beyond, the same join shuffles.
 DROPPED_BROADCAST = 200_000
 
@@ -77,11 +116,12 @@ DROPPED_BROADCAST = 200_000
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs`` (stored) whose place isn't in ``dropped`` (place)."""
     columns = docs.columns
-    placed = docs.select("*", place_of(docs).alias("__place"))
-    gone = written(dropped.select(F.col("place").alias("__gone")), "dropped", fewer=8)
+    place, gone_place = fresh(columns, "__place"), fresh(columns, "__gone")
+    placed = docs.select("*", place_of(docs).alias(place))
+    gone = written(dropped.select(F.col("place").alias(gone_place)), "dropped", fewer=8)
     if gone.count() <= DROPPED_BROADCAST:
         gone = F.broadcast(gone)
-    return placed.join(gone, F.col("__place") == F.col("__gone"), "left_anti").select(*columns)
+    return placed.join(gone, F.col(place) == F.col(gone_place), "left_anti").select(*columns)
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

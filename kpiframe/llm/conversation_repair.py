@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import located, written
+from kpiframe.llm.common import located, tidied, written
 
 BLOCK_ROWS = 256
 BLOCK_BYTES = 2 << 20
@@ -243,6 +243,7 @@ def cut_pieces(rows: DataFrame, block_rows: int = BLOCK_ROWS, block_bytes: int =
          ("audit", pa.string()), ("repaired", _ARROW_TURNS), ("rows", _ARROW_ROWS)]
     )
 
+    @tidied
     def run(batches):
         part = TaskContext.get().partitionId()
 
@@ -349,6 +350,7 @@ def fold(costs: list[list], ranks: list[list]) -> tuple[list, list, list]:
 def _leaves(blocks: DataFrame) -> DataFrame:
     kind, arrow = blocks.schema["conv_id"].dataType.simpleString(), _id_type(blocks)
 
+    @tidied
     def run(batches):
         def records():
             for batch in batches:
@@ -428,6 +430,7 @@ def _edited(blocks: DataFrame) -> DataFrame:
          ("last", pa.string()), ("audit", pa.string()), ("repaired", _ARROW_TURNS)]
     )
 
+    @tidied
     def run(batches):
         def records():
             for batch in batches:
@@ -458,6 +461,7 @@ def _summed(edited: DataFrame) -> DataFrame:
     kind, arrow = edited.schema["conv_id"].dataType.simpleString(), _id_type(edited)
     schema = pa.schema([("conv_id", arrow), *[(c, pa.int64()) for c in _COUNTS], ("audit", pa.string()), ("repaired_sha256", pa.string())])
 
+    @tidied
     def run(batches):
         def records():
             conv, total = None, None

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import place_of, stored, written
+from kpiframe.llm.common import place_of, stored, tidied, written
 
 WINDOW = 10
 #: What one automaton holds at most.
@@ -135,6 +135,7 @@ def _scanned(docs: DataFrame, rows: list[tuple[str | None, str]]) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(rows)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in kept])
 
+    @tidied
     def run(batches):
         automaton = Automaton(shipped.value)
         for batch in batches:

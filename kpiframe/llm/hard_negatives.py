@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import written
+from kpiframe.llm.common import tidied, written
 
 POSITIVES = 5
 NEGATIVES = 10
@@ -243,6 +243,7 @@ def _descend(trees: DataFrame, anchors: list, same: bool) -> DataFrame:
     """What the tasks find for (uid, label, vector, [(positive, least, most, k)]); at most k rows a task and window."""
     shipped = trees.sparkSession.sparkContext.broadcast(anchors)
 
+    @tidied
     def run(batches):
         wanted = shipped.value
         heaps = [[[] for _ in windows] for *_, windows in wanted]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import hash_below, held_out
+from kpiframe.llm.common import hash_below, held_out, tidied
 
 #: Bound of the sample: documents of each language, and words of each.
 SAMPLE = 1500
@@ -48,7 +48,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased. The pattern also takes numbers that are no digits (fractions, Roman numerals)."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def word_features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,6 +251,7 @@ def training_runs(docs: DataFrame, sample: int = SAMPLE, span: int = SPAN) -> li
         return []
     below = F.create_map(*[F.lit(x) for pair in cuts for x in pair])
 
+    @tidied
     def runs(batches):
         for batch in batches:
             out = []
@@ -286,6 +291,7 @@ def identify(docs: DataFrame, *, sample: int = SAMPLE, spans: bool = False, crf:
     if spans:
         schema += ", spans array<struct<start:int,end:int,lang:string>>"
 
+    @tidied
     def label(batches):
         net = model.value
         if net is None:

@@ -11,7 +11,7 @@ shingle), weighted by how often the text has them. Two texts are linked if their
 2. *Copies.* Texts with the same words are collapsed to one representative first, counted map-side.
 3. *Banding.* Representatives that agree on all registers of a band meet in a bucket. A bucket of more than ``CELL``
    members is dealt out in pairs of parts, so that each task holds two parts.
-4. *Pairs.* In a bucket, pairs whose estimate is within 3 standard deviations of the threshold are possible; a pair
+4. *Pairs.* In a bucket, pairs whose estimate is within 3.5 standard deviations of the threshold are possible; a pair
    counts only in the first band on which its texts agree. The first round emits only a spanning forest of them, best estimates first (less than one pair per member). Pairs are verified
    on their whole shingle sets, and classes formed. The second round emits the possible pairs that are still in
    different classes and weren't verified; within classes nothing is compared. So no possible link is lost.
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import located, shuffle_partitions, written
+from kpiframe.llm.common import located, shuffle_partitions, tidied, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -42,8 +42,8 @@ BANDS, ROWS = 32, 6
 #: The bands use the first 192 registers, estimates all of them.
 REGISTERS = 256
 CELL = 2048
-#: Estimates this far below the threshold are still verified (3 standard deviations at the threshold).
-LEAST = THRESHOLD - 3 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
+#: Estimates this far below the threshold are still verified (3.5 standard deviations at the threshold).
+LEAST = THRESHOLD - 3.5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Up to so many candidates (8 bytes each) are broadcast to keep other texts out of a shuffle.
 BROADCAST = 1_000_000
 SHINGLES_AT_ONCE = 200_000
@@ -158,6 +158,7 @@ def sign(content: DataFrame) -> DataFrame:
     """doc_id, place, copy (digest of the words; null without words) and sig of every text."""
     schema = content.select("doc_id", "place").schema.add("copy", "binary").add("sig", "binary")
 
+    @tidied
     def run(batches):
         cache = _Hashes()
         for batch in _slices(batches):
@@ -180,6 +181,7 @@ def sign(content: DataFrame) -> DataFrame:
 def shingle_sets(texts: DataFrame) -> DataFrame:
     """id, hashes and weights (as bytes; no weights: all 1) of (id, text)."""
 
+    @tidied
     def run(batches):
         cache = _Hashes()
         for batch in _slices(batches):
@@ -275,6 +277,7 @@ def candidate_pairs(buckets: DataFrame, forest: bool) -> DataFrame:
     """a, b (a < b) of possible pairs in different classes, each pair once; ``buckets`` has also the members' class."""
     tasks = shuffle_partitions(buckets.sparkSession)
 
+    @tidied
     def run(batches):
         held = None
 
@@ -329,6 +332,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
 
+    @tidied
     def run(batches):
         def read(hashes, weights, i):
             found = np.frombuffer(hashes[i].as_buffer(), np.uint64)
@@ -377,7 +381,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (id of the row that stays), class_size, kept, place."""
+    """One row per document: doc_id, class_id (id of the row that stays), class_size, kept, place.
+
+    Banding and estimates are made for ``THRESHOLD``: a higher ``threshold`` is a stricter verification, a lower one is an
+    error, because it would lose links without a word.
+    """
+    if not THRESHOLD <= threshold <= 1:
+        raise ValueError(f"threshold must be between {THRESHOLD} and 1: the bands are made for {THRESHOLD}")
     content = located(docs, "doc_id", "text")
     signed = written(sign(content).withColumn("id", F.monotonically_increasing_id()), "near-signed")
     # Texts without words are copies of nothing.

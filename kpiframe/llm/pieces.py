@@ -76,6 +76,11 @@ def tools(tokenizer_json: str):
     return _loaded[mark]
 
 
+def forget() -> None:
+    """Drop the tokenizer that this worker holds."""
+    _loaded.clear()
+
+
 def encode_keys(tokenizer, keys: list[str]) -> list[list[int]]:
     """Ids of each key's piece, as the library encodes the piece."""
     return [e.ids for e in tokenizer.encode_batch_fast([piece_of(k) for k in keys], add_special_tokens=False)]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import hash_below, held_out
+from kpiframe.llm.common import fresh, hash_below, held_out, tidied
 
 #: Bound of the labelled sample that the model is fitted on.
 SAMPLE = 20_000
@@ -213,6 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         .limit(sample)
     )
 
+    @tidied
     def compute(batches):
         for batch in batches:
             x = [features_of(t) for t in batch.column("text").to_pylist()]
@@ -234,33 +235,35 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit(x, np.array(rows["y"].to_pylist(), float))
 
 
-def _scored(docs: DataFrame, model: Gam, columns: list[str]) -> DataFrame:
-    """``columns`` of every row and ``__score`` of its whole text."""
+def _scored(docs: DataFrame, model: Gam, columns: list[str]) -> tuple[DataFrame, str]:
+    """``columns`` of every row and the score of its whole text; and the score's name, which no column has."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*columns, F.col("text").alias("__text"))
+    name, text = fresh(columns, "__score"), fresh(columns, "__text")
+    rows = docs.select(*columns, F.col("text").alias(text))
 
+    @tidied
     def score(batches):
         for batch in batches:
-            x = np.array([features_of(t.as_py()) for t in batch.column("__text")], float).reshape(-1, len(FEATURES))
+            x = np.array([features_of(t.as_py()) for t in batch.column(text)], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
-                [*batch.select(columns).columns, pa.array(shipped.value.score(x))], [*columns, "__score"]
+                [*batch.select(columns).columns, pa.array(shipped.value.score(x))], [*columns, name]
             )
 
-    return rows.mapInArrow(score, docs.select(*columns).schema.add("__score", "double"))
+    return rows.mapInArrow(score, docs.select(*columns).schema.add(name, "double")), name
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= ``threshold``)."""
-    scored = _scored(docs, learn(docs, labels, sample=sample), ["doc_id"])
+    scored, score = _scored(docs, learn(docs, labels, sample=sample), ["doc_id"])
     return scored.select(
         "doc_id",
         held_out().alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= threshold).cast("int").alias("predicted"),
+        F.col(score).alias("score"),
+        (F.col(score) >= threshold).cast("int").alias("predicted"),
     )
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``threshold`` or more."""
-    scored = _scored(docs, learn(docs, labels, sample=sample), docs.columns)
-    return scored.filter(F.col("__score") >= threshold).drop("__score")
+    scored, score = _scored(docs, learn(docs, labels, sample=sample), docs.columns)
+    return scored.filter(F.col(score) >= threshold).drop(score)

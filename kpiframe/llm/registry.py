@@ -58,7 +58,7 @@ ORACLE["op2_vector_topk"] = vector_topk.ORACLE
 @_query
 def op3_source_mix(spark, sf_dir):
     lines, targets, plan = source_mix.mix_sources(table(spark, sf_dir, "documents"))
-    return source_mix.taken_words(lines, targets, plan).select("doc_id", "size", "source_size", "target", "taken")
+    return source_mix.taken_words(lines, targets, plan).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 ORACLE["op3_source_mix"] = source_mix.ORACLE

@@ -20,10 +20,10 @@ null source is a source, last in order; repeated rows are documents of their own
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import BLANKS, WORD_OF_SIZE, located, place_of, stored, written
+from kpiframe.llm.common import WORD_OF_SIZE, fresh, located, place_of, shuffle_partitions, stored, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -34,6 +34,8 @@ BLOCK = 256
 GOLDEN_32 = 2654435769
 #: Rows of one level of the running sums, on average.
 RANGE_ROWS = 5_000
+#: A range with more rows (null or equal ids) is cut into parts. At most one range in four of a table's can be one.
+HOT_RANGE = 4 * RANGE_ROWS
 #: The unit line is cut into this many cells, so that points meet sources by an equality join.
 CELLS = 4096
 
@@ -90,29 +92,42 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def shuffled_lines(sized: DataFrame, rows: int, seed: str) -> DataFrame:
-    """``sized`` (doc_id, source, size, ...) with ``start``: words before the document on its source's line."""
+    """``sized`` (doc_id, source, size, place) with ``start``: words before the document on its source's line."""
     ranges = max(1, -(-rows // RANGE_ROWS))
     keyed = sized.withColumn("mix", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
     # The first 32 bits of the digest cut its order into ranges of about the same number of rows.
     keyed = keyed.withColumn(
         "range", F.floor(F.conv(F.substring("mix", 1, 8), 16, 10).cast("long") * F.lit(ranges) / F.lit(2**32))
     )
-    sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = lambda df, *by: df.groupBy("source", *by).agg(F.sum("size").alias("range_size"), F.count(F.lit(1)).alias("n"))
+    sums = per_range(keyed, "range")
+    hot = sums.filter(F.col("n") > HOT_RANGE).select(
+        F.col("source").alias("s"), F.col("range").alias("r"), F.ceil(F.col("n") / RANGE_ROWS).alias("parts")
+    )
+    if hot.isEmpty():
+        keyed = keyed.withColumn("part", F.lit(0).cast("long"))
+        sums = sums.withColumn("part", F.lit(0).cast("long"))
+    else:
+        # Null or equal ids have one digest: their range is cut further by where the rows are stored.
+        cut = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("place"), F.col("parts"))).otherwise(F.lit(0))
+        keyed = keyed.join(F.broadcast(hot), _same(F.col("source"), F.col("s")) & (F.col("range") == F.col("r")), "left")
+        keyed = keyed.withColumn("part", cut.cast("long")).drop("s", "r", "parts")
+        sums = per_range(keyed, "range", "part")
+    before = Window.partitionBy("source").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
-        F.col("source").alias("s"), F.col("range").alias("r"),
+        F.col("source").alias("s"), F.col("range").alias("r"), F.col("part").alias("p"),
         F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start"),
     )
     within = (
-        Window.partitionBy("source", "range")
-        .orderBy("mix", F.col("doc_id").asc_nulls_last(), "size")
+        Window.partitionBy("source", "range", "part")
+        .orderBy("mix", F.col("doc_id").asc_nulls_last(), "size", "place")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
         keyed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(sums, _same(F.col("source"), F.col("s")) & (F.col("range") == F.col("r")))
+        .join(sums, _same(F.col("source"), F.col("s")) & (F.col("range") == F.col("r")) & (F.col("part") == F.col("p")))
         .withColumn("start", F.col("range_start") + F.col("inner"))
-        .drop("mix", "range", "s", "r", "range_start", "inner")
+        .drop("mix", "range", "part", "s", "r", "p", "range_start", "inner")
     )
 
 
@@ -209,11 +224,12 @@ def mix_sources(
 
 
 def taken_words(lines: DataFrame, targets: DataFrame, plan: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, source, start, place."""
+    """One row per document: doc_id, size, source_size, target, taken, first_slot (the first scheduled slot that takes words
+    of it, null if none does), source, start, place."""
     taken = (
-        plan.select(_spot(F.col("source"), F.col("start")).alias("spot"), (F.col("to_word") - F.col("from_word")).alias("n"))
+        plan.select(_spot(F.col("source"), F.col("start")).alias("spot"), (F.col("to_word") - F.col("from_word")).alias("n"), "slot")
         .groupBy("spot")
-        .agg(F.sum("n").alias("taken"))
+        .agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot"))
     )
     goals = targets.select(F.col("source").alias("s"), "source_size", "target")
     return (
@@ -222,43 +238,49 @@ def taken_words(lines: DataFrame, targets: DataFrame, plan: DataFrame) -> DataFr
         .join(goals, _same(F.col("source"), F.col("s")))
         .select(
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-            "source", "start", "place",
+            "first_slot", "source", "start", "place",
         )
     )
 
 
+def _partition_keys(spark: SparkSession, parts: int) -> list[int]:
+    """Numbers that hash partitioning sends to partitions 0, 1, 2, ... of ``parts``."""
+    tries = spark.range(64 * parts + 64)
+    found = tries.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.min("id").alias("key")).orderBy("part").collect()
+    return [r["key"] for r in found] if len(found) == parts else list(range(parts))
+
+
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The documents of the mix, all columns: each as often as it is taken, cut to its first words where it is
-    taken in part (one document of a source at most), documents that aren't taken left out.
+    """The documents of the mix, all columns and whole texts: each as often as it is taken. The document on which a
+    source's target ends is taken or left whole, whichever ends nearer to the target.
 
     The rows stand in the order of the schedule: by the slot in which a use of a document begins, and inside a slot
-    as on the source's line.
+    as on the source's line. Slots are numbered without gaps, so equal runs of them are the partitions.
     """
     docs = stored(docs)
-    columns = docs.columns
+    spark, columns = docs.sparkSession, docs.columns
     lines, _, plan = mix_sources(docs, **settings)
-    uses = plan.groupBy(_spot(F.col("source"), F.col("start")).alias("spot"), F.col("round").alias("__round")).agg(
-        F.sum(F.col("to_word") - F.col("from_word")).alias("__words"), F.min("slot").alias("__slot")
+    place, at, slot, turn, start, part = (fresh(columns, f"__{c}") for c in ("place", "at", "slot", "turn", "start", "part"))
+    uses = plan.groupBy(_spot(F.col("source"), F.col("start")).alias("spot"), "round").agg(
+        F.sum(F.col("to_word") - F.col("from_word")).alias("words"), F.min("slot").alias("slot")
     )
-    uses = (
-        lines.filter("size > 0")
-        .select(
-            _spot(F.col("source"), F.col("start")).alias("spot"),
-            F.col("place").alias("__at"), F.col("size").alias("__size"), F.col("start").alias("__start"),
-        )
-        .join(uses, "spot")
-        .drop("spot")
+    named = lines.filter("size > 0").select(
+        _spot(F.col("source"), F.col("start")).alias("spot"), "place", "size", "start"
+    )
+    uses = written(
+        named.join(uses, "spot").filter("2 * words >= size").select(
+            F.col("place").alias(at), F.col("slot").alias(slot), F.col("round").alias(turn), F.col("start").alias(start)
+        ),
+        "mix-uses",
+    )
+    parts = shuffle_partitions(spark)
+    slots = uses.agg(F.coalesce(F.max(slot) + 1, F.lit(1)).alias("n")).first()["n"]
+    keys = F.array(*[F.lit(k) for k in _partition_keys(spark, parts)])
+    run = F.floor(F.col(slot) * F.lit(parts) / F.lit(slots)).cast("int")
+    out = docs.select("*", place_of(docs).alias(place)).join(
+        uses.withColumn(part, F.get(keys, run).cast("long")), F.col(place) == F.col(at)
     )
-    out = docs.select("*", place_of(docs).alias("__place")).join(uses, F.col("__place") == F.col("__at"))
-    parts = F.split("text", BLANKS + "+", -1)
-    # A text that starts with blanks has an empty first part.
-    first = F.when(F.element_at(parts, 1) == "", F.col("__words") + 1).otherwise(F.col("__words"))
-    cut = F.array_join(F.slice(parts, F.lit(1), first.cast("int")), " ")
-    partial = F.col("__words") < F.col("__size")
-    out = out.withColumn("text", F.when(partial, cut).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(partial, F.char_length("text")).otherwise(F.col("n_chars")))
-    return out.orderBy("__slot", "__round", "__start").select(*columns)
+    return out.repartition(parts, part).sortWithinPartitions(slot, turn, start).select(*columns)
 
 
 #: Rows of the mix query for DuckDB: targets by the same water level, words by position on the shuffled line.
@@ -278,16 +300,36 @@ WITH sized AS (
       - COALESCE(SUM(weight) OVER (ORDER BY room / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS each
   FROM weighted
 ), targets AS (
-  SELECT source, source_size, CASE WHEN room / weight <= each THEN room
+  SELECT source, source_size, no, CASE WHEN room / weight <= each THEN room
     ELSE weight * MAX(CASE WHEN room / weight > each THEN each END) OVER () END AS target FROM filled
 ), placed AS (
   SELECT s.*, t.source_size, t.target, floor(t.target)::BIGINT AS goal,
     COALESCE(SUM(size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || doc_id), doc_id, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), lined AS (
+  SELECT source, ceil(floor(target) / 256)::BIGINT AS blocks, SUM(target) OVER (ORDER BY no) AS upto, target, SUM(target) OVER () AS whole
+  FROM targets
+), bounds AS (
+  SELECT source, blocks, floor((upto - target) / whole * 4294967296)::BIGINT AS from_point, floor(upto / whole * 4294967296)::BIGINT AS to_point
+  FROM lined
+), slots AS (
+  SELECT slot, ((slot + 1) * 2654435769::HUGEINT % 4294967296)::BIGINT AS point
+  FROM (SELECT unnest(range((SELECT COALESCE(SUM(blocks), 0) FROM lined)::BIGINT)) AS slot)
+), dealt AS (
+  SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block
+  FROM slots JOIN bounds ON point >= from_point AND point < to_point
+), given AS (SELECT source, count(*) AS n FROM dealt GROUP BY source),
+scheduled AS (
+  SELECT slot, source, block FROM dealt WHERE block < blocks
+  UNION ALL
+  SELECT (SELECT count(*) FROM slots) + block, source, block FROM (
+    SELECT b.source, unnest(range(COALESCE(n, 0), blocks)) AS block FROM bounds b LEFT JOIN given g ON b.source IS NOT DISTINCT FROM g.source
+  )
 )
-SELECT doc_id, size, source_size, target,
+SELECT doc_id, size, p.source_size, p.target,
   (greatest(0, least(start + size, goal) - start)
-   + greatest(0, least(start + source_size + size, goal) - start - source_size))::BIGINT AS taken
-FROM placed
+   + greatest(0, least(start + source_size + size, goal) - start - source_size))::BIGINT AS taken,
+  CASE WHEN size > 0 AND start < goal THEN slot END::BIGINT AS first_slot
+FROM placed p LEFT JOIN scheduled s ON p.source IS NOT DISTINCT FROM s.source AND s.block = p.start // 256
 """
