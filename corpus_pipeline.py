@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. ``run`` writes each stage's result
 to the shared folder and reads it again for the next, so a lost executor costs no earlier stage.
+
+Defined results of every stage: null and empty texts are texts without words (what becomes of them is said below); very long
+texts are kept whole; repeated rows and null ids are documents of their own; ties go by id, then by where rows are stored;
+an empty table gives an empty result; all columns are kept but by the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,33 +25,34 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model doesn't reject; it learns from those of ``docs`` that have labels."""
+    """Documents that the quality model doesn't reject; it learns from those of ``docs`` that have labels. Null and empty texts
+    are scored like any other."""
     prepare(spark)
     return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with equal texts."""
+    """One document of each group with equal texts; null, empty and blank texts are one group."""
     prepare(spark)
     docs = stored(docs)
     return without(docs, exact_dedup(docs).filter("not kept").select("place"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class; a text without words is a class of its own."""
     prepare(spark)
     docs = stored(docs)
     return without(docs, near_dedup(docs).filter("not kept").select("place"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix of sources takes them."""
+    """The documents, whole, as often as the mix of sources takes them; texts without words aren't taken."""
     prepare(spark)
     return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and text (decoded from the ids)."""
+    """doc_id, lang, source, n_tokens, ids and text (decoded from the ids; empty for a null text)."""
     prepare(spark)
     coded = bpe_codec(docs, public_tokenizers.path(TOKENIZER), keep=("doc_id", "lang", "source"))
     return coded.select(

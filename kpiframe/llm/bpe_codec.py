@@ -13,7 +13,8 @@
    and the pieces' bytes are read as UTF-8, with the replacement character for bytes that are not.
 
 Defined results: null and empty texts have no ids and decode to the empty text; special strings in texts become
-their own id, as the library's default does; repeated rows and null keys are kept; an empty table gives an empty result.
+their own id, as the library's default does; very long texts are a block of their own, encoded whole; repeated rows and null
+keys are kept; an empty table gives an empty result; columns that aren't in ``keep`` are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiframe.llm.common import shared_path, shuffle_partitions, tidied
+from kpiframe.llm.common import fresh, shared_path, shuffle_partitions, tidied
 from kpiframe.llm.pieces import encode_keys, ship, tools
 
 BLOCK_BYTES = 8 << 20
@@ -87,6 +88,7 @@ _BLOCK_SCHEMA = "block long, bucket int, words binary, docs binary, lengths bina
 def pack_blocks(docs: DataFrame, tokenizer, buckets: int, keep: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks: one row with the documents (bucket -1) and one row of words for each bucket that has any."""
     schema = T._parse_datatype_string(_BLOCK_SCHEMA)
+    text_column = fresh(keep, "__text")
     arrow = pa.schema(
         [("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary())]
         + [(name, pa.binary()) for name in ("docs", "lengths", "numbers", "buckets")]
@@ -115,7 +117,7 @@ def pack_blocks(docs: DataFrame, tokenizer, buckets: int, keep: list[str], block
         kept, lengths, numbers, size, table = [], [], [], 0, _Numbers()
         pieces_of = (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
         for batch in pieces_of:
-            texts, done = batch.column("__text").to_pylist(), 0
+            texts, done = batch.column(text_column).to_pylist(), 0
             columns = pa.Table.from_batches([batch]).select(keep)
             for i, text in enumerate(texts):
                 keys = cutter.keys(text)
@@ -132,7 +134,7 @@ def pack_blocks(docs: DataFrame, tokenizer, buckets: int, keep: list[str], block
         if lengths:
             yield block_rows(first + made, pa.concat_tables(kept), lengths, numbers, table)
 
-    rows = docs.select(*keep, F.col("text").alias("__text"))
+    rows = docs.select(*keep, F.col("text").alias(text_column))
     # Bucketed by block, so that the documents needn't be shuffled to meet their ids.
     name = f"bpe_blocks_{uuid.uuid4().hex}"
     (

@@ -131,6 +131,22 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector and all its components are there and finite."""
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    return vector.isNotNull() & F.forall(vector, fine)
+
+
+def whole_numbers(vector: Column, scale: int) -> Column:
+    """floor(scale * x) of every component; an error where sums of products could leave 64 bits."""
+    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    most = F.sqrt(F.lit(2.0**62) / F.greatest(F.size(vector), F.lit(1))) - 1
+    fits = F.coalesce(largest * scale < most, F.lit(True))
+    message = F.lit("vector components are too large for exact 64-bit inner products")
+    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
+    return F.when(fits, whole).otherwise(F.raise_error(message).cast("array<bigint>"))
+
+
 #: Bytes of rows that a Python worker gets at once; texts are long, and both sides hold a few such batches.
 ARROW_BYTES = "4m"
 

@@ -7,7 +7,9 @@ Texts are equal when they are identical after deleting every character of ``[\\x
 2. *State.* A streaming aggregation keyed by digest reads the arrivals. Its state lives in RocksDB with its
    change files in the shared folder, has no watermark and never expires. It keeps the number of rows and the
    row that stays (most code points, then smallest id, then smallest locator). Run again with the same
-   ``state_dir``, it goes on from the state: documents that arrive later meet the digests of earlier runs.
+   ``state_dir``, it goes on from the state: documents that arrive later meet the digests of earlier runs. What an
+   earlier run returned isn't taken back: if a longer copy arrives later, it stays as well, with the new group's size, and
+   ``keep_id`` of its run names it; callers that keep earlier results drop the former keeper of that digest.
 3. *Hits.* Where a digest came more than once, the full normalised bytes are compared: the smallest and the
    largest text of the digest are equal exactly if all are. Both are combined map-side, so a huge group of
    copies costs one row per task. Should a digest join different texts, those rows are grouped by the text
@@ -15,7 +17,8 @@ Texts are equal when they are identical after deleting every character of ``[\\x
 4. The state is read with Spark's state reader and joined back to the arrivals on the digest (AQE splits a hot one).
 
 Defined results: null text counts as empty; repeated identical rows form one group of which exactly one row
-stays; a null ``doc_id`` sorts after every id; an empty table gives an empty result; other columns are ignored.
+stays; a null ``doc_id`` sorts after every id; very long texts are hashed and compared whole; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import tidied, written
+from kpiframe.llm.common import tidied, usable, whole_numbers, written
 
 POSITIVES = 5
 NEGATIVES = 10
@@ -50,21 +50,6 @@ SPARSE = 24
 BLOCK = 4096
 
 
-def usable(vector: Column) -> Column:
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-    return vector.isNotNull() & F.forall(vector, fine)
-
-
-def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component; an error where sums of products could leave 64 bits."""
-    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
-    most = F.sqrt(F.lit(2.0**62) / F.greatest(F.size(vector), F.lit(1))) - 1
-    fits = F.coalesce(largest * scale < most, F.lit(True))
-    message = F.lit("vector components are too large for exact 64-bit inner products")
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
-    return F.when(fits, whole).otherwise(F.raise_error(message).cast("array<bigint>"))
-
-
 class CoverTree:
     """A cover tree in arrays. Node n covers rows lo[n]:hi[n]; its children are kid[n] to kid[n] + kids[n] - 1 (none: a leaf)."""
 
@@ -348,7 +333,7 @@ def mined_vectors(embeddings: DataFrame) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding"))
     return embeddings.filter(fine).select(
-        F.col("vec_id").alias("id"), moved.alias("label"), quantised(F.col("embedding")).alias("v")
+        F.col("vec_id").alias("id"), moved.alias("label"), whole_numbers(F.col("embedding"), SCALE).alias("v")
     )
 
 

@@ -12,7 +12,7 @@ The result is exact. A text's language is the one with the largest mean posterio
 the score.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every text if nothing can be
-learned from; repeated rows and null ids are kept (null ids aren't held out); ties go to the smaller language
+learned from; very long texts are labelled whole; repeated rows and null ids are kept (null ids aren't held out); ties go to the smaller language
 name; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -184,6 +184,35 @@ def _sequences(rows: list[tuple[str, list[str]]]) -> tuple[list[str], np.ndarray
     return languages, np.array(words[:keep], dtype=object).reshape(-1, length), np.array(labels[:keep]).reshape(-1, length)
 
 
+def gradients(emissions: np.ndarray, transitions: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the sequences' log-likelihood (sequence, word, language) by emissions and transitions.
+
+    ``gold`` has 1 at each word's language. What stands before a sequence is any language, one as likely as another.
+    """
+    batch, length, size = emissions.shape
+    scaled = np.exp(emissions - emissions.max(axis=2, keepdims=True))
+    move = np.exp(transitions - transitions.max())
+    forward, message = np.empty_like(scaled), np.full((batch, size), 1.0 / size)
+    for t in range(length):
+        message = (message @ move) * scaled[:, t]
+        message /= message.sum(axis=1, keepdims=True)
+        forward[:, t] = message
+    backward, message = np.empty_like(scaled), np.ones((batch, size))
+    moves = np.zeros_like(transitions)
+    for t in range(length - 1, -1, -1):
+        backward[:, t] = message
+        inward = forward[:, t - 1] if t else np.full((batch, size), 1.0 / size)
+        outward = scaled[:, t] * message
+        pair = inward[:, :, None] * move[None] * outward[:, None, :]
+        moves += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        message = outward @ move.T
+        message /= message.max(axis=1, keepdims=True)
+    posterior = forward * backward
+    posterior /= posterior.sum(axis=2, keepdims=True)
+    gold_moves = np.einsum("bti,btj->ij", gold[:, :-1], gold[:, 1:]) + gold[:, 0].sum(axis=0)[None, :] / size
+    return gold - posterior, gold_moves - moves
+
+
 def fit(rows: list[tuple[str, list[str]]]) -> Crf | None:
     """Weights and transitions from (language, words) runs; None without any word."""
     rows = [(lang, words) for lang, words in rows if words]
@@ -204,32 +233,12 @@ def fit(rows: list[tuple[str, list[str]]]) -> Crf | None:
     where = where.reshape(labels.shape)
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(transitions), np.zeros_like(transitions)]
     gold = np.eye(size)[labels]
-    gold_moves = np.einsum("bti,btj->ij", gold[:, :-1], gold[:, 1:]) + gold[:, 0].sum(axis=0)[None, :] / size
     for epoch in range(1, EPOCHS + 1):
-        emissions = np.add.reduceat(weights[numbers], starts, axis=0)[where]
-        scaled = np.exp(emissions - emissions.max(axis=2, keepdims=True))
-        move = np.exp(transitions - transitions.max())
-        forward, message = np.empty_like(scaled), np.full((batch, size), 1.0 / size)
-        for t in range(length):
-            message = (message @ move) * scaled[:, t]
-            message /= message.sum(axis=1, keepdims=True)
-            forward[:, t] = message
-        backward, message = np.empty_like(scaled), np.ones((batch, size))
-        moves = np.zeros_like(transitions)
-        for t in range(length - 1, -1, -1):
-            backward[:, t] = message
-            inward = forward[:, t - 1] if t else np.full((batch, size), 1.0 / size)
-            outward = scaled[:, t] * message
-            pair = inward[:, :, None] * move[None] * outward[:, None, :]
-            moves += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            message = outward @ move.T
-            message /= message.max(axis=1, keepdims=True)
-        posterior = forward * backward
-        posterior /= posterior.sum(axis=2, keepdims=True)
-        miss = (gold - posterior).reshape(-1, size)
+        miss, moves_missed = gradients(np.add.reduceat(weights[numbers], starts, axis=0)[where], transitions, gold)
+        miss = miss.reshape(-1, size)
         per_type = np.stack([np.bincount(where.ravel(), miss[:, k], len(types)) for k in range(size)], axis=1)
         slope = np.stack([np.bincount(numbers, per_type[owner, k], len(weights)) for k in range(size)], axis=1)
-        slopes = (slope / miss.shape[0] - RIDGE * weights / 100, (gold_moves - moves) / miss.shape[0])
+        slopes = (slope / miss.shape[0] - RIDGE * weights / 100, moves_missed / miss.shape[0])
         for target, grad, first, second in zip((weights, transitions), slopes, moments[::2], moments[1::2]):
             first += 0.1 * (grad - first)
             second += 0.02 * (grad * grad - second)

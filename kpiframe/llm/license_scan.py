@@ -14,8 +14,8 @@
    the whole name is a hit with ``COVERAGE`` of the template's words. The base phrases are mandatory as a whole.
 
 Defined results: null and empty texts have 0 words, no labels (empty strings), null places and score 0; repeated
-rows are files of their own; a null ``doc_id`` is kept; an empty table gives an empty result; other columns are
-ignored. ``score`` is the largest share of a template's words found at one offset that has one of its
+rows are files of their own; a null ``doc_id`` is kept; very long texts are scanned whole, as one row; an empty table gives
+an empty result; other columns are ignored. ``score`` is the largest share of a template's words found at one offset that has one of its
 rare words or is a hit.
 """
 
@@ -37,26 +37,84 @@ BASE = {
     "mit license": "mit",
 }
 
-#: Further templates: label, words, mandatory key phrase.
+#: Grants, notices and names of the common licences, as their publishers word them. Label, words, mandatory
+#: key phrase.
 TEMPLATES = [
+    # names
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
     ("gpl-3.0", "licensed under the gnu general public license version 3", "public license version 3"),
     ("gpl-2.0", "licensed under the gnu general public license version 2", "public license version 2"),
+    ("gpl-3.0", "gplv3", "gplv3"),
+    ("gpl-2.0", "gplv2", "gplv2"),
     ("lgpl", "gnu lesser general public license", "lesser general public license"),
+    ("lgpl", "gnu library general public license", "library general public license"),
+    ("lgpl", "lgplv3", "lgplv3"),
     ("agpl", "gnu affero general public license", "affero general public license"),
+    ("agpl", "agplv3", "agplv3"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc-by", "creative commons attribution 4 0 international", "creative commons attribution 4 0"),
+    ("cc-by-sa", "creative commons attribution sharealike", "creative commons attribution sharealike"),
+    ("cc-by-nc", "creative commons attribution noncommercial", "creative commons attribution noncommercial"),
+    ("cc0", "cc0 1 0 universal", "cc0 1 0"),
     ("mpl", "mozilla public license version 2 0", "mozilla public license"),
+    ("epl", "eclipse public license v 2 0", "eclipse public license"),
+    ("epl", "epl 2 0", "epl 2 0"),
+    ("bsl", "boost software license version 1 0", "boost software license"),
+    ("bsd", "bsd 2 clause license", "bsd 2 clause"),
+    ("bsd", "bsd 3 clause license", "bsd 3 clause"),
+    ("isc", "the isc license", "isc license"),
+    ("zlib", "the zlib license", "zlib license"),
+    # grants
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software",
      "permission is hereby granted free of charge"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+     "documentation files the software to deal in the software without restriction including without limitation the rights to use "
+     "copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software "
+     "is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be "
+     "included in all copies or substantial portions of the software", "permission is hereby granted free of charge"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
      "redistribution and use in source and binary forms"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+     "following conditions are met redistributions of source code must retain the above copyright notice this list of conditions "
+     "and the following disclaimer", "redistribution and use in source and binary forms"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+     "derived from this software without specific prior written permission", "to endorse or promote products derived from this software"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose",
      "permission to use copy modify and or distribute"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+     "provided that the above copyright notice and this permission notice appear in all copies",
+     "permission to use copy modify and or distribute"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it "
+     "and redistribute it freely", "permission is granted to anyone to use this software for any purpose"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+     "accompanying documentation covered by this license", "person or organization obtaining a copy of the software"),
     ("unlicense", "this is free and unencumbered software released into the public domain",
      "free and unencumbered software"),
+    # notices
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the "
+     "license you may obtain a copy of the license at", "you may not use this file except in compliance with the license"),
+    ("gpl-3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+     "software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
+    ("gpl-2.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+     "software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0",
+     "subject to the terms of the mozilla public license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license",
+     "under the terms of the eclipse public license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights",
+     "waived all copyright and related or neighboring rights"),
 ]
 
+#: Words of SPDX identifiers, as they stand behind ``SPDX-License-Identifier:``.
+SPDX = {
+    "mit": "mit", "apache 2 0": "apache-2.0", "gpl 3 0": "gpl-3.0", "gpl 2 0": "gpl-2.0", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl",
+    "agpl 3 0": "agpl", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "isc": "isc", "mpl 2 0": "mpl", "epl 2 0": "epl",
+    "bsl 1 0": "bsl", "zlib": "zlib", "unlicense": "unlicense", "cc0 1 0": "cc0", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa",
+    "cc by nc 4 0": "cc-by-nc",
+}
+TEMPLATES += [(label, f"spdx license identifier {words}", f"license identifier {words}") for words, label in SPDX.items()]
+
 #: Words that lead in to a licence's name or grant; texts often put others in their place.
 LEAD = {"licensed", "under", "the", "this", "is"}
 
@@ -77,6 +135,15 @@ def postings() -> list[tuple[int, str, bool, str, int, bool, int]]:
     return rows
 
 
+def name_starts() -> dict[int, int]:
+    """Per template, where its whole name begins: at the first word that is mandatory or no lead-in."""
+    out: dict[int, int] = {}
+    for template, _, _, word, place, must, _ in postings():
+        if must or word not in LEAD:
+            out.setdefault(template, place)
+    return out
+
+
 #: Words of the longest template.
 SPAN = max(row[-1] for row in postings())
 
@@ -156,8 +223,7 @@ def _templates() -> Column:
     out = []
     for of in rows.values():
         must = [place for _, _, _, _, place, must, _ in of if must]
-        name = min(place for _, _, _, word, place, must_be, _ in of if must_be or word not in LEAD)
-        out.append((of[0][1], of[0][2], [row[3] for row in of], name, min(must), max(must) + 1))
+        out.append((of[0][1], of[0][2], [row[3] for row in of], name_starts()[of[0][0]], min(must), max(must) + 1))
     return _literal(out, "label", "base", "words", "name_from", "key_from", "key_to")
 
 
@@ -234,13 +300,19 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for the scan: words one by one, the base phrases by comparing neighbouring words."""
+    """DuckDB SQL for the scan, from the definitions: words one by one, the base phrases by comparing neighbouring words.
+
+    An offset counts for the score with any of a template's ``RARE`` rarest words, or as a hit: the whole key phrase, and the
+    whole name or ``COVERAGE`` of the words.
+    """
+    begins = name_starts()
+    ends = {t: place + 1 for t, _, _, _, place, must, _ in postings() if must}
     values = ", ".join(
-        f"({t}, '{label}', {str(base).lower()}, '{word}', {place}, {int(must)}, {length})"
+        f"({t}, '{label}', {str(base).lower()}, '{word}', {place}, {int(must)}, {int(begins[t] <= place < ends[t])}, {length})"
         for t, label, base, word, place, must, length in postings()
     )
     return rf"""
-WITH posting(template, label, base, word, place, must, length) AS (VALUES {values}),
+WITH posting(template, label, base, word, place, must, named, length) AS (VALUES {values}),
 files AS (
   SELECT row_number() OVER () AS file, doc_id,
     regexp_extract_all(translate(COALESCE(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w
@@ -249,19 +321,17 @@ files AS (
 lic AS (SELECT * FROM placed WHERE word IN (SELECT word FROM posting)),
 freq AS (SELECT word, count(DISTINCT file) AS n FROM lic GROUP BY word),
 rare AS (
-  SELECT template, word FROM (
-    SELECT template, word, COALESCE(n, 0) AS n,
-      row_number() OVER (PARTITION BY template ORDER BY COALESCE(n, 0), word) AS place
-    FROM posting LEFT JOIN freq USING (word) WHERE must = 1
-  ) WHERE place = 1 AND n > 0
-), need AS (SELECT template, sum(must) AS needs FROM posting GROUP BY template),
+  SELECT template, word FROM (SELECT DISTINCT template, word, n FROM posting JOIN freq USING (word))
+  QUALIFY row_number() OVER (PARTITION BY template ORDER BY n, word) <= {RARE}
+), need AS (SELECT template, sum(must) AS needs, sum(named) AS names FROM posting GROUP BY template),
 found AS (
-  SELECT file, template, pos - place AS start, any_value(label) AS label, bool_or(base) AS base,
-    sum(must) AS must, count(*) / any_value(length)::DOUBLE AS coverage
-  FROM lic JOIN posting USING (word) LEFT JOIN (SELECT template, word, TRUE AS is_rare FROM rare) USING (template, word)
-  GROUP BY file, template, pos - place HAVING bool_or(is_rare)
-), judged AS (SELECT *, must = needs AND coverage >= {COVERAGE} AS holds FROM found JOIN need USING (template)),
-phrases AS (
+  SELECT file, template, pos - place AS start, any_value(label) AS label, any_value(base) AS base, bool_or(r.word IS NOT NULL) AS has_rare,
+    sum(must) AS must, sum(named) AS named, count(*) / any_value(length)::DOUBLE AS coverage
+  FROM lic JOIN posting USING (word) LEFT JOIN rare r USING (template, word)
+  GROUP BY file, template, pos - place
+), judged AS (
+  SELECT *, must = needs AND (named = names OR coverage >= {COVERAGE}) AS holds FROM found JOIN need USING (template)
+), phrases AS (
   SELECT file, pos AS start, label FROM (
     SELECT file, pos, word AS a, lead(word, 1) OVER p AS b, lead(word, 2) OVER p AS c, lead(word, 3) OVER p AS d
     FROM placed WINDOW p AS (PARTITION BY file ORDER BY pos)
@@ -272,7 +342,7 @@ phrases AS (
     array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM phrases GROUP BY file
 ), best AS (
   SELECT file, array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE holds)), ',') AS labels,
-    max(coverage) AS score FROM judged GROUP BY file
+    max(coverage) FILTER (WHERE has_rare OR holds) AS score FROM judged GROUP BY file
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
   last_word::BIGINT AS last_word, COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels,

@@ -20,8 +20,8 @@ shingle), weighted by how often the text has them. Two texts are linked if their
 With 32 bands of 6 registers, a pair at the threshold meets in a bucket with probability 0.9999.
 
 Defined results: null texts and texts without words are classes of their own; of a class the row with the
-smallest id stays (null last, then by place); repeated rows are copies; an empty table gives an empty result; other
-columns are ignored.
+smallest id stays (null last, then by place); repeated rows are copies; very long texts are signed and compared whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

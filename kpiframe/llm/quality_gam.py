@@ -11,8 +11,9 @@ The sample: the ``SAMPLE`` labelled rows with the smallest hash of their id, amo
 that are null or neither 0 nor 1 are left out, labels of one id are averaged and cut at a half; a document that
 comes more than once counts each time. Without labels of both kinds the score is the smoothed share of 1 for all.
 
-Defined results: null text counts as empty and is scored like any other; repeated rows and null ids are kept
-(null ids aren't held out); an empty table gives an empty result; other columns are ignored.
+Defined results: null text counts as empty and is scored like any other; very long texts are scored whole; repeated rows and
+null ids are kept (null ids aren't held out), ties at the sample's end go by hash and id; an empty table gives an empty result;
+other columns are ignored by :func:`quality_scores` and kept by :func:`accepted`, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ A source that the schedule leaves short of its last few blocks (the discrepancy,
 slots) gets them at the end, and slots beyond its target are dropped, so its words meet the target exactly.
 
 Defined results: null text has size 0; a document of size 0 and one beyond every target is taken 0 times; a
-null source is a source, last in order; repeated rows are documents of their own; an empty table gives none.
+null source is a source, last in order; repeated rows and null ids are documents of their own, ordered by where they are
+stored; very long texts count whole; an empty table gives none; other columns are ignored by the mix and kept by
+:func:`mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations

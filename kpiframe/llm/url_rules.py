@@ -14,7 +14,8 @@ The innermost is on top, and every open host is asked for its longest path that
 
 Defined results: a null URL or one without ``://`` has empty host and path and gets ``default``; a URL that no
 rule fits gets a null rule and ``default``; repeated rows and null ids are kept; an empty table gives an empty
-result; without rules every URL gets ``default``; two rules with the same host and path: block wins.
+result; without rules every URL gets ``default``; two rules with the same host and path: block wins; very long URLs are
+judged whole; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,17 +3,18 @@
 *Shards.* Vectors are dealt to shards by a hash of their id; a shard holds about ``SHARD_ROWS`` vectors. One task per
 shard builds a KD-tree over its integer vectors: each node is split at the median of its widest dimension and keeps
 the tight bounding box of its vectors and their smallest id. Trees are written to the shared folder.
-*Queries* go through the shards in blocks. First each block searches its own first shard, which gives every query a kth
-score. Then the blocks meet all other shards with that score: the propagated bound with which each best-first
-traversal starts. A node is opened in order of the largest inner product that its box allows with the query, and the
-traversal ends when that is below the kth score (equal and a smaller id possible: it goes on).
-*Merge.* The k best of each shard are merged per query by (score, smaller id).
+*Queries* are sent to the trees in blocks of ``BLOCK``, as broadcasts of a bounded size; the trees stay where they are, and
+are read once for each block. A task searches its trees one after another and passes every query's kth score on from tree
+to tree: the propagated bound with which the next best-first traversal starts. A node is opened in order of the largest
+inner product that its box allows with the query, and the traversal ends when that is below the kth score (equal and a
+smaller id possible: it goes on).
+*Merge.* The k best of each task are merged per query by (score, smaller id).
 
 Defined results: vectors that are null, or hold null, NaN or infinite components, take no part; vectors meet
 only vectors of their own length; an empty vector scores 0 with empty vectors; rows with a null id take no part; repeated
 ids are candidates of their own, but a row is never its own query's candidate (a row with the query's id isn't
 one); fewer candidates than k give all; an empty table gives an empty result; other columns are ignored.
-Scores are exact while the sum of absolute products stays below 2**53.
+Scores are exact; components too large for 64-bit products are an error that says so.
 """
 
 from __future__ import annotations
@@ -26,22 +27,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import shuffle_partitions, written
+from kpiframe.llm.common import tidied, usable, whole_numbers, written
 
 K = 10
 SCALE = 1024
 SHARD_ROWS = 8192
 LEAF = 64
-BLOCK = 512
+#: Queries that are broadcast at once.
+BLOCK = 4096
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
-
-
-def usable(vector: Column) -> Column:
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-    return vector.isNotNull() & F.forall(vector, fine)
+    return whole_numbers(vector, scale)
 
 
 class Tree:
@@ -83,8 +80,9 @@ class Tree:
                 setattr(tree, name, parts[name])
         return tree
 
-    def search(self, query: np.ndarray, own: int, k: int, kth: int | None) -> list[tuple[int, int]]:
-        """The k best (score, id), best first, among those that score at least ``kth``."""
+    def search(self, query: np.ndarray, own: int, k: int, kth: int | None, found: list | None = None) -> list[tuple[int, int]]:
+        """The k best (score, id), best first, among those that score at least ``kth`` and the heap ``found`` (added to)."""
+        best = [] if found is None else found  # a heap: the worst of the k best on top, as (score, -id)
         if not len(self.ids):
             return []
         positive = query > 0
@@ -92,7 +90,6 @@ class Tree:
         def bounds(nodes):
             return np.where(positive, self.high[nodes], self.low[nodes]) @ query
 
-        best: list[tuple[int, int]] = []  # a heap: the worst of the k best on top, as (score, -id)
         heap = [(-int(bounds([0])[0]), int(self.least[0]), 0)]
         while heap:
             bound, least, node = heapq.heappop(heap)
@@ -115,7 +112,7 @@ class Tree:
             for place in places.tolist():
                 item = (int(scores[place - a]), -int(self.ids[place]))
                 if item[1] == -own:
-                    continue
+                    continue  # a query's own id
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -145,29 +142,30 @@ def build_shards(vectors: DataFrame, shards: int) -> DataFrame:
 _FOUND = "q long, query_id long, vec_id long, score long"
 
 
-def _search(pairs: DataFrame, k: int) -> DataFrame:
-    """Search rows (tree, queries: array of (q, id, v, kth)); at most k rows per query and tree."""
+def _search(trees: DataFrame, queries: list, k: int) -> DataFrame:
+    """What the tasks find for a block of queries (q, id, v); at most k rows per query and task."""
+    shipped = trees.sparkSession.sparkContext.broadcast(queries)
 
+    @tidied
     def run(batches):
+        wanted = [(q, own, np.array(v, np.int64)) for q, own, v in shipped.value]
+        heaps: list[list] = [[] for _ in wanted]
         for batch in batches:
-            for blob, queries in zip(batch.column("tree"), batch.column("queries")):
-                tree, out = Tree.unpack(blob.as_py()), []
-                for q in queries.as_py():
-                    for score, found in tree.search(np.array(q["v"], np.int64), q["id"], k, q["kth"]):
-                        out.append((q["q"], q["id"], found, score))
-                columns = list(zip(*out)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["q", "query_id", "vec_id", "score"])
-
-    return pairs.select("tree", "queries").mapInArrow(run, _FOUND)
-
-
-def _blocks(queries: DataFrame, count: int) -> DataFrame:
-    """Query blocks of about ``BLOCK`` queries of one length: block, dim, queries."""
-    return (
-        queries.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(count)))
-        .groupBy("block", "dim")
-        .agg(F.collect_list(F.struct("q", "id", "v", "kth")).alias("queries"))
-    )
+            for dim, blob in zip(batch.column("dim").to_pylist(), batch.column("tree")):
+                tree = Tree.unpack(blob.as_py())
+                for (_, own, vector), heap in zip(wanted, heaps):
+                    if len(vector) == dim:
+                        tree.search(vector, own, k, None, heap)
+        for at in range(0, len(wanted), 512):
+            out = [
+                (q, own, -minus, score)
+                for (q, own, _), heap in zip(wanted[at : at + 512], heaps[at : at + 512])
+                for score, minus in heap
+            ]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["q", "query_id", "vec_id", "score"])
+
+    return trees.select("dim", "tree").mapInArrow(run, _FOUND)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -178,30 +176,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, shard_rows: int
     sized = lambda df: df.filter("id is not null").select("id", "v", F.size("v").alias("dim"))
     vectors = written(sized(vectors), "topk-vectors")
     queries = written(sized(queries).withColumn("q", F.monotonically_increasing_id()), "topk-queries")
-    shards = max(1, -(-vectors.count() // shard_rows))
-    trees = build_shards(vectors, shards)
-    count = max(1, -(-queries.count() // BLOCK))
-    tasks = shuffle_partitions(vectors.sparkSession)
-    # Work items are (tree, block) rows: a few hundred at a time per task, dealt evenly.
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    plain = _blocks(queries.withColumn("kth", F.lit(None).cast("long")), count).withColumn("shard", home)
-    first = written(_search(plain.join(trees, ["shard", "dim"]).repartition(tasks), k), "topk-first")
-    kth = (
-        first.groupBy("q")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
-        .select("q", F.when(F.col("n") >= k, F.col("low")).alias("kth"))
-    )
-    bounded = queries.join(kth, "q", "left")
-    others = (
-        _blocks(bounded, count)
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .filter(F.col("shard") != home)
-    )
-    rest = _search(others.join(trees, ["shard", "dim"]).repartition(tasks), k)
+    trees = build_shards(vectors, max(1, -(-vectors.count() // shard_rows)))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    found = None
+    for block in range(blocks):
+        # About BLOCK rows.
+        some = queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).select("q", "id", "v").collect()
+        part = written(_search(trees, [tuple(r) for r in some], k), "topk-found")
+        found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return (
-        first.unionByName(rest)
-        .withColumn("rank", F.row_number().over(best))
+        found.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )

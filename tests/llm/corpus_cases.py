@@ -3,7 +3,8 @@
 SF = "/root/testdata/sf0.001"
 
 #: Names that operators use inside, as extra columns of a table.
-CLASHES = ["place", "size", "start", "id", "key", "digest", "rank", "band", "score", "n", "file", "row", "_metadata", "words", "block"]
+CLASHES = ["place", "size", "start", "id", "key", "digest", "rank", "band", "score", "n", "file", "row", "_metadata", "words", "block",
+           "__text", "__score", "__place", "__gone", "__at", "__slot", "__turn", "__start", "__part", "__words"]
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 

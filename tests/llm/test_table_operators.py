@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 from corpus_cases import DOC, SF, doc
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from kpiframe.llm import registry, source_mix, url_rules, vector_topk
@@ -124,6 +125,23 @@ def test_mixed_documents_stand_in_schedule_order(table):
         assert all(abs(seen[s] - n * goal[s] / len(mixed)) < 12 for s in goal)
 
 
+def test_hot_ids_are_split(table, monkeypatch):
+    """Rows of one source with null or one repeated id: one digest, and still no window takes them all."""
+    monkeypatch.setattr(source_mix, "RANGE_ROWS", 20)
+    monkeypatch.setattr(source_mix, "HOT_RANGE", 40)
+    rows = [doc(None, "w " * (1 + i % 9), source="a") for i in range(150)] + [doc(7, "v " * (1 + i % 5), source="a") for i in range(150)]
+    rows += [doc(i, "u " * (i % 11), source="b") for i in range(100, 200)]
+    docs = table(rows, DOC)
+    lines, targets, plan = source_mix.mix_sources(docs, block=16)
+    placed = sorted((r["start"], r["size"]) for r in lines.where("source = 'a' AND size > 0").collect())
+    assert [s for s, _ in placed] == [sum(n for _, n in placed[:i]) for i in range(len(placed))]  # one line without gaps
+    taken = source_mix.taken_words(lines, targets, plan)
+    for r in taken.groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect():
+        assert r["n"] == math.floor(r["t"] + 1e-6)
+    again = source_mix.taken_words(*source_mix.mix_sources(docs, block=16))
+    assert sorted(map(str, taken.drop("place").collect())) == sorted(map(str, again.drop("place").collect()))
+
+
 # --- URL rules ------------------------------------------------------------------------------------------
 
 
@@ -187,6 +205,27 @@ def test_top_k_against_all_pairs(spark, table):
     assert vector_topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_too_large_components_are_refused(table):
+    df = table([(100, [1e300, 1.0], 0), (1, [1.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    vectors = df.select(F.col("vec_id").alias("id"), vector_topk.quantised(F.col("embedding")).alias("v"))
+    with pytest.raises(PySparkException, match="too large for exact"):
+        vector_topk.top_k(vectors, vectors.filter("id % 100 = 0")).collect()
+
+
+def test_queries_go_to_the_trees_in_blocks(spark, monkeypatch):
+    """Whatever the number of query blocks, the trees aren't shuffled."""
+    monkeypatch.setattr(vector_topk, "BLOCK", 7)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(-99, 99, 4).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "id long, v array<long>")
+    found = vector_topk.top_k(vectors, vectors.filter("id % 10 = 0"), k=3, shard_rows=50)
+    want = {(i, rank, j, s) for i, v in rows if i % 10 == 0 for rank, (s, j) in enumerate(
+        sorted(((int(np.dot(v, w)), j) for j, w in rows if j != i), key=lambda x: (-x[0], x[1]))[:3], start=1)}
+    assert set(map(tuple, found.collect())) == want
+    plan = vector_topk._search(vector_topk.build_shards(vectors.withColumn("dim", F.size("v")), 3), [(0, 0, [1, 2, 3, 4])], 3)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_trees_prune():
     rng = np.random.default_rng(2)
     centres = rng.integers(-4000, 4000, (40, 8))

@@ -290,6 +290,22 @@ def test_small_caches_change_nothing(documents):
     assert {r["doc_id"]: len(r["ids"]) for r in codec.bpe_codec(documents, BPE, block_bytes=1 << 15).collect()} == want
 
 
+def test_no_piece_is_shuffled(documents, spark):
+    """Summaries, one row a task, are all that is exchanged; merged, they know the frequent pieces."""
+    from kpiframe.llm import token_counts
+    from kpiframe.llm.pieces import Cutter, ship
+
+    tokenizer = ship(spark, BPE)
+    rows = token_counts.summaries(documents.repartition(70), tokenizer)
+    assert "Exchange" not in token_counts.summaries(documents, tokenizer)._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 70
+    cutter = Cutter(tokenizer.value)
+    counts = Counter(k for r in documents.select("text").collect() for k in cutter.keys(r["text"]))
+    got = token_counts.frequent_lengths(documents.repartition(70), tokenizer, frequent=200)
+    assert set(got) == {k for k, n in counts.items() if n * 200 >= counts.total() and len(k) <= token_counts.LONGEST}
+    assert token_counts.frequent_lengths(documents.limit(0), tokenizer) == {}
+
+
 def test_other_tokenizer_files_are_refused(documents):
     with pytest.raises(ValueError, match="byte-level"):
         count_tokens(documents, public_tokenizers.path("word_bpe_49k.json"))
@@ -321,6 +337,35 @@ def test_posteriors_are_forward_backward():
         at += n
 
 
+def test_learning_follows_the_likelihood():
+    """Slopes against numeric differences of the log-likelihood, summed over every labelling."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    size, length, batch = 3, 4, 2
+    emissions, transitions = rng.normal(size=(batch, length, size)), rng.normal(size=(size, size))
+    labels = rng.integers(0, size, (batch, length))
+
+    def likelihood(e, t):
+        total = 0.0
+        for b in range(batch):
+            score = lambda y, start: t[start, y[0]] + sum(e[b, i, y[i]] for i in range(length)) + sum(t[y[i], y[i + 1]] for i in range(length - 1))
+            every = [score(y, s) for y in itertools.product(range(size), repeat=length) for s in range(size)]
+            total += np.mean([score(labels[b], s) for s in range(size)]) - np.log(np.exp(every).sum())
+        return total
+
+    by_word, by_move = language_crf.gradients(emissions, transitions, np.eye(size)[labels])
+    step = 1e-5
+    for array, slopes in ((emissions, by_word), (transitions, by_move)):
+        for at in np.ndindex(array.shape):
+            up, down = array.copy(), array.copy()
+            up[at] += step
+            down[at] -= step
+            pick = (lambda x: (x, transitions)) if array is emissions else (lambda x: (emissions, x))
+            numeric = (likelihood(*pick(up)) - likelihood(*pick(down))) / (2 * step)
+            assert slopes[at] == pytest.approx(numeric, abs=1e-6)
+
+
 def test_languages_held_out(documents):
     rows = language_crf.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(rows) > 20 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
@@ -359,6 +404,27 @@ def test_quality_held_out(spark):
     assert len(rows) > 60 and np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
 
 
+def test_features_by_hand():
+    text = "The cat, the CAT the cat!! 12 ## x\nThe same line\nThe same line\nété"
+    got = dict(zip(quality_gam.FEATURES, quality_gam.features_of(text)))
+    words = text.split()
+    n, size = len(words), len(text.encode())
+    want = {
+        "log_words": np.log(1 + n), "word_length": sum(map(len, words)) / n, "long_words": 0, "distinct_words": len(set(words)) / n**0.8,
+        "repeated_next": 0, "top_word": 3 / n, "single_marks": 0, "symbol_ends": 1 / n, "symbols": 2 / size, "digits": 2 / size,
+        "upper": 6 / size, "stops": 2 / n, "lines_per_word": 4 / n, "repeated_lines": 1 - 3 / 4,
+        "blanks": sum(c in " \n" for c in text) / size, "beyond_ascii": 4 / size,
+    }
+    assert {k: pytest.approx(v) for k, v in want.items()} == got
+    assert quality_gam.features_of(None) == quality_gam.features_of("") and len(quality_gam.features_of("")) == len(want)
+    # The model's step on one feature: the mean of its bin's residuals over p (1 - p) + 1, times the rate.
+    x, y = np.zeros((40, 16)), np.array([0.0, 1.0] * 20)
+    x[:, 3] = y
+    model = quality_gam.fit(x, y)
+    low, high = model.score(x[:2])
+    assert low < 0.02 and high > 0.98 and all(not t.any() for j, t in enumerate(model.tables) if j != 3)
+
+
 def test_gam_learns_pairs_and_scores_by_tables():
     rng = np.random.default_rng(0)
     x = rng.random((3000, len(quality_gam.FEATURES)))
