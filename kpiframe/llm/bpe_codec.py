@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from kpiframe.llm.common import fresh, shared_path, shuffle_partitions, tidied
 from kpiframe.llm.pieces import encode_keys, ship, tools
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Rows unpacked, and words put together, at once.
 ROWS_AT_ONCE = 256
 WORDS_AT_ONCE = 1 << 18

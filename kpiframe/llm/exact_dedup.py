@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import BLANKS, located, shared_path, written
+from kpiframe.llm.common import BLANKS, located, shared_path, shuffle_partitions, written
 
 DIGEST_BITS = 256
 
@@ -37,13 +37,16 @@ DIGEST_BITS = 256
 #: byte comparison; beyond, the same join shuffles the texts.
 HITS_BROADCAST = 1_000_000
 
+#: One state store for so many shuffle partitions.
+STATE_SHARE = 4
+
 #: Settings of the streaming session only: disk-backed state with bounded memory.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Many small stores: no space reserved ahead for their logs.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
@@ -70,8 +73,9 @@ def _stays() -> Column:
 def _state(spark: SparkSession, arrivals: str, schema, state_dir: str, files_per_trigger: int) -> DataFrame:
     """Run the keyed state over the arrivals that it hasn't seen and read it back: digest, n, first."""
     session = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        session.conf.set(key, spark.conf.get(key))
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    # The state's rows are narrow, and each partition is a store with memory of its own.
+    session.conf.set("spark.sql.shuffle.partitions", str(max(1, shuffle_partitions(spark) // STATE_SHARE)))
     for key, value in STATE_SETTINGS.items():
         session.conf.set(key, value)
     stream = (
