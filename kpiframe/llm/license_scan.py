@@ -3,7 +3,7 @@
 1. *Index.* One pass splits every whole text into words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after
    lower-casing A-Z) and keeps, per file, the places of words that occur in any licence template.
 2. *Rarity.* Document frequencies of the licence words over all files give every template its ``RARE`` words of the
-   highest IDF (among those that occur at all), and the word of the highest IDF of its mandatory key phrase, which every
+   highest IDF (among those that occur at all, and not in more than ``COMMON_SHARE`` of the files), and the word of the highest IDF of its mandatory key phrase, which every
    hit holds. A template of whose key phrase some word occurs in no file has no such key word and no hits.
 3. *Look-up and intersection.* Every place of one of these words, less its place in the template, is an offset. A
    template is ``SPAN`` words long at most, so the licence words that may meet it there are at most as many neighbours in
@@ -28,6 +28,9 @@ from kpiframe.llm.common import written
 
 COVERAGE = 0.8
 RARE = 3
+#: A word in more than this share of the files (and in more than so many) has too low an IDF to be looked up.
+COMMON_SHARE = 0.1
+COMMON_FILES = 20
 
 #: Base phrases and their labels.
 BASE = {
@@ -191,12 +194,12 @@ def file_counts(index: DataFrame) -> dict[str, int]:
     }
 
 
-def probes(counts: dict[str, int]) -> dict[str, list[tuple[int, int, bool, bool]]]:
+def probes(counts: dict[str, int], files: int) -> dict[str, list[tuple[int, int, bool, bool]]]:
     """Per word that is looked up: (template, place in it, rare, key). Every hit is found by one key place."""
     words: dict[int, set] = {}
     keys: dict[int, list] = {}
     for template, _, _, word, place, must, _ in postings():
-        if word in counts:
+        if word in counts and counts[word] <= max(COMMON_FILES, files * COMMON_SHARE):
             words.setdefault(template, set()).add((counts[word], word))
         if must:
             keys.setdefault(template, []).append((counts.get(word, 0), word, place))
@@ -273,7 +276,7 @@ def _offsets(places: Column, looked_up: dict) -> Column:
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per file: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     index = licence_index(docs)
-    looked_up = probes(file_counts(index))
+    looked_up = probes(file_counts(index), index.count())
     if not looked_up:
         # No licence word in any file: the same columns, over a word that no file has.
         looked_up = {postings()[0][3]: [(0, 0, False, False)]}
@@ -322,6 +325,7 @@ lic AS (SELECT * FROM placed WHERE word IN (SELECT word FROM posting)),
 freq AS (SELECT word, count(DISTINCT file) AS n FROM lic GROUP BY word),
 rare AS (
   SELECT template, word FROM (SELECT DISTINCT template, word, n FROM posting JOIN freq USING (word))
+  WHERE n <= greatest({COMMON_FILES}, (SELECT count(*) FROM files) * {COMMON_SHARE})
   QUALIFY row_number() OVER (PARTITION BY template ORDER BY n, word) <= {RARE}
 ), need AS (SELECT template, sum(must) AS needs, sum(named) AS names FROM posting GROUP BY template),
 found AS (

@@ -96,7 +96,7 @@ def _folded(rows: DataFrame, summary: int) -> DataFrame:
         total = sum(table["total"].to_pylist())
         return pa.Table.from_batches([_summary_row(key[0].as_py(), total, _trim(counts, summary))])
 
-    return rows.groupBy(F.floor(F.col("task") / FOLD).alias("task")).applyInArrow(merge, _SUMMARY)
+    return rows.groupBy(F.floor(F.col("task") / FOLD).alias("fold")).applyInArrow(merge, _SUMMARY)
 
 
 def frequent_lengths(docs: DataFrame, tokenizer, frequent: int = FREQUENT, summary: int = SUMMARY) -> dict[str, int]:

@@ -207,7 +207,7 @@ def brute_scores(texts):
     for f in files:
         best = 0.0
         for words in templates:
-            rare = sorted({(counts[w], w) for w in words if counts[w]})[:3]
+            rare = sorted({(counts[w], w) for w in words if 0 < counts[w] <= max(20, len(files) / 10)})[:3]
             for start in range(-len(words), len(f)):
                 here = [w for i, w in enumerate(words) if 0 <= start + i < len(f) and f[start + i] == w]
                 if {w for _, w in rare} & set(here):
@@ -296,13 +296,15 @@ def test_no_piece_is_shuffled(documents, spark):
     from kpiframe.llm.pieces import Cutter, ship
 
     tokenizer = ship(spark, BPE)
-    rows = token_counts.summaries(documents.repartition(70), tokenizer)
+    rows = token_counts.summaries(documents.repartition(40), tokenizer)
     assert "Exchange" not in token_counts.summaries(documents, tokenizer)._jdf.queryExecution().executedPlan().toString()
-    assert rows.count() == 70
+    assert rows.count() == 40
     cutter = Cutter(tokenizer.value)
     counts = Counter(k for r in documents.select("text").collect() for k in cutter.keys(r["text"]))
-    got = token_counts.frequent_lengths(documents.repartition(70), tokenizer, frequent=200)
-    assert set(got) == {k for k, n in counts.items() if n * 200 >= counts.total() and len(k) <= token_counts.LONGEST}
+    got = token_counts.frequent_lengths(documents.repartition(40), tokenizer, frequent=200)
+    # Summaries count a little less than there is, never more.
+    often = lambda share: {k for k, n in counts.items() if n * share >= counts.total() and len(k) <= token_counts.LONGEST}
+    assert len(often(150)) > 5 and often(150) <= set(got) <= often(200)
     assert token_counts.frequent_lengths(documents.limit(0), tokenizer) == {}
 
 
