@@ -1351,9 +1351,10 @@ def chart_quantile_row_order(spark, sf):
 
 @register(
     "table_page_from_files",
-    "SELECT x, position, volume, page, pages FROM (SELECT x, position, volume, 4 AS page, CAST(CEIL(COUNT(*) OVER () / 100.0) AS BIGINT) AS pages FROM ("
+    "SELECT x, position, volume, page, pages FROM (SELECT *, LEAST(4, pages) AS page FROM ("
+    "SELECT x, position, volume, CAST(GREATEST(1, CEIL(COUNT(*) OVER () / 100.0)) AS BIGINT) AS pages FROM ("
     + O.chart_sql("lineitem", _PK, O.integer_label(_PK), _PK, ["l_extendedprice"], None, ORDERED, ["x", "position", rd("volume")])
-    + ") every_group) p WHERE position > 300 AND position <= 400",
+    + ") every_group) counted) p WHERE position > (page - 1) * 100 AND position <= page * 100",
 )
 def table_page_from_files(spark, sf):
     res = chart(table(spark, sf, "lineitem"), "l_partkey", "l_extendedprice")
