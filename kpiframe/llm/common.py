@@ -96,6 +96,17 @@ def tidied(run):
     return task
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect and return free heap before the next stage.
+
+    A JVM keeps the heap that a stage's garbage made it claim, and the Python workers of the next stage need room beside
+    it. One short task per core asks for it; an executor that gets none only keeps what it has.
+    """
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    call = F.reflect(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, tasks, 1, tasks).select(call.alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def give_back() -> None:
     """Return free memory of this Python worker to the system."""
     from kpiframe.llm import pieces
