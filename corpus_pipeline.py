@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiframe.llm.bpe_codec import bpe_codec
-from kpiframe.llm.common import prepare, stored, without, written
+from kpiframe.llm.common import collect_garbage, prepare, stored, without, written
 from kpiframe.llm.exact_dedup import exact_dedup
 from kpiframe.llm.near_dedup import near_dedup
 from kpiframe.llm.quality_gam import accepted
@@ -24,36 +24,42 @@ from kpiframe.llm.source_mix import mixed_documents
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def begin(spark: SparkSession) -> None:
+    """A stage starts with the session's settings and with executors that hold nothing of the stage before."""
+    prepare(spark)
+    collect_garbage(spark)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model doesn't reject; it learns from those of ``docs`` that have labels. Null and empty texts
     are scored like any other."""
-    prepare(spark)
+    begin(spark)
     return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with equal texts; null, empty and blank texts are one group."""
-    prepare(spark)
+    begin(spark)
     docs = stored(docs)
     return without(docs, exact_dedup(docs).filter("not kept").select("place"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class; a text without words is a class of its own."""
-    prepare(spark)
+    begin(spark)
     docs = stored(docs)
     return without(docs, near_dedup(docs).filter("not kept").select("place"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, whole, as often as the mix of sources takes them; texts without words aren't taken."""
-    prepare(spark)
+    begin(spark)
     return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and text (decoded from the ids; empty for a null text)."""
-    prepare(spark)
+    begin(spark)
     coded = bpe_codec(docs, public_tokenizers.path(TOKENIZER), keep=("doc_id", "lang", "source"))
     return coded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text")
