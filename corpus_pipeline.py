@@ -22,6 +22,8 @@ from kpiframe.llm.quality_gam import accepted
 from kpiframe.llm.source_mix import mixed_documents
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Smaller blocks than the operator's own: more to shuffle, less to hold beside what earlier stages left.
+BLOCK_BYTES = 6 << 20
 
 
 def begin(spark: SparkSession) -> None:
@@ -60,7 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and text (decoded from the ids; empty for a null text)."""
     begin(spark)
-    coded = bpe_codec(docs, public_tokenizers.path(TOKENIZER), keep=("doc_id", "lang", "source"))
+    coded = bpe_codec(docs, public_tokenizers.path(TOKENIZER), keep=("doc_id", "lang", "source"), block_bytes=BLOCK_BYTES)
     return coded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text")
     )
