@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from corpus_cases import DOC, doc
 from pyspark.sql import functions as F
@@ -169,6 +170,60 @@ def test_large_buckets_lose_no_link(spark, table, monkeypatch):
     assert got.select("class_id").distinct().count() == 1 and got.where("kept").count() == 1
 
 
+def family(rng, count, most):
+    """Texts that are one text with up to ``most`` words of their own between its words: many pairs are just not similar enough."""
+    base = [f"t{i}" for i in range(150)]
+    texts = []
+    for i in range(count):
+        words = list(base)
+        for k in range(rng.randrange(1, most + 1)):
+            words.insert(rng.randrange(len(words)), f"own{i}x{k}")
+        texts.append(" ".join(words))
+    return texts
+
+
+def classes_by_jaccard(texts):
+    sets = [set(shingled(t)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                gone, root_ = max(root[i], root[j]), min(root[i], root[j])
+                root = [root_ if r == gone else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("cell, size", [(near_dedup.CELL, 8 << 20), (16, 8 << 20), (near_dedup.CELL, 30_000)])
+def test_dense_families_are_verified_without_a_row_for_each_pair(spark, table, monkeypatch, cell, size):
+    monkeypatch.setattr(near_dedup, "CELL", cell)
+    monkeypatch.setattr(near_dedup, "CELL_BYTES", size, raising=False)
+    pairs, plain = [], near_dedup.verified
+
+    def verified(found, *args):
+        pairs.append(found.count())
+        return plain(found, *args)
+
+    monkeypatch.setattr(near_dedup, "verified", verified)
+    texts = family(random.Random(3), 160, 5)
+    got = near_dedup.near_dedup(table([doc(i, t) for i, t in enumerate(texts)], DOC)).collect()
+    want = classes_by_jaccard(texts)
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(want)) and 5 < len(set(want)) < 100
+    if cell > len(texts):
+        # A spanning forest for each bucket, and no pairs after that (there are 12,720 pairs).
+        assert sum(pairs) < 12 * len(texts)
+
+
+def test_sets_of_a_cell_compare_as_pairs_do():
+    rng = np.random.default_rng(4)
+    counts = [Counter(rng.integers(0, 60, rng.integers(1, 80)).tolist()) for _ in range(12)] + [Counter(range(n)) for n in (1, 20, 40, 60)]
+    sets = [(np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)], np.uint32)) for c in counts]
+    packed = pa.array([h.tobytes() for h, _ in sets], pa.binary()), pa.array([w.tobytes() if w.max() > 1 else None for _, w in sets], pa.binary())
+    held = near_dedup._Sets(*packed)
+    for i in range(len(sets)):
+        others = np.array([j for j in range(len(sets)) if j != i])
+        assert held.similarities(i, others).tolist() == [near_dedup.similarity(sets[i], sets[j]) for j in others]
+
+
 def test_odd_documents_have_near_classes(odd_documents):
     got = near_dedup.near_dedup(odd_documents)
     assert got.count() == 12 and got.where("doc_id = 1").select("class_size").distinct().collect()[0][0] == 2
