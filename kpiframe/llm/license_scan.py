@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiframe.llm.common import written
+from kpiframe.llm.common import collect_garbage, written
 
 COVERAGE = 0.8
 RARE = 3
@@ -157,9 +157,10 @@ def licence_index(docs: DataFrame) -> DataFrame:
     parts = F.col("parts")
     lead = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
     trail = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    # Only licence words become structs: one for every word of a long text would be most of the pass's garbage.
     hits = F.filter(
-        F.transform(parts, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))),
-        lambda x: F.lower(x["word"]).isin(vocabulary),
+        F.transform(parts, lambda w, i: F.when(F.lower(w).isin(vocabulary), F.struct(w.alias("word"), i.alias("pos")))),
+        lambda x: x.isNotNull(),
     )
     # lower() also folds a few characters beyond A-Z into ASCII; only A-Z may be folded.
     plain = F.filter(
@@ -275,7 +276,10 @@ def _offsets(places: Column, looked_up: dict) -> Column:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per file: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    # Splitting texts makes the executors' heaps grow; neither pass begins with what an earlier one made them claim.
+    collect_garbage(docs.sparkSession)
     index = licence_index(docs)
+    collect_garbage(docs.sparkSession)
     looked_up = probes(file_counts(index), index.count())
     if not looked_up:
         # No licence word in any file: the same columns, over a word that no file has.

@@ -239,6 +239,18 @@ def brute_licences(text):
     return len(words), len(found), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def test_licence_passes_begin_with_collected_garbage(table, monkeypatch):
+    done, written, collect = [], license_scan.written, license_scan.collect_garbage
+    monkeypatch.setattr(license_scan, "written", lambda df, label: done.append(label) or written(df, label))
+    monkeypatch.setattr(license_scan, "collect_garbage", lambda spark: done.append("collected") or collect(spark))
+    # Words that aren't licence words leave no place, those that only lower() makes licence words neither.
+    rows = license_scan.license_scan(table([doc(1, "x MIT License \u212aey c\u0130 mit\u212a"), doc(2, "x y"), doc(3, None)], DOC)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["labels"]) for r in rows} == {
+        1: (6, 1, 1, "mit"), 2: (2, 0, None, ""), 3: (0, 0, None, "")
+    }
+    assert done == ["collected", "licence-index", "collected"]
+
+
 def test_licence_places(spark, table):
     rng = random.Random(2)
     words = "gnu general public license apache cc by mit version 2 the of İt \u212aey nc".split()
