@@ -107,6 +107,10 @@ class Gam:
         return 1 / (1 + np.exp(-total))
 
 
+#: Steps as small as this are rounding.
+ROUNDING = 1e-12
+
+
 def _edges(column: np.ndarray, bins: int) -> np.ndarray:
     return np.unique(np.quantile(column, np.arange(1, bins) / bins, method="higher"))
 
@@ -135,7 +139,9 @@ def _tree(g: np.ndarray, h: np.ndarray, leaves: int) -> np.ndarray:
         cuts[best[1] : best[1] + 1] = [(a, best[2]), (best[2], b)]
     out = np.zeros(len(g))
     for a, b in cuts:
-        out[a:b] = g[a:b].sum() / (h[a:b].sum() + 1.0)
+        value = g[a:b].sum() / (h[a:b].sum() + 1.0)
+        # Residuals that cancel out leave what the machine's rounding makes of them.
+        out[a:b] = value if abs(value) > ROUNDING else 0.0
     return out
 
 
